@@ -40,7 +40,19 @@ def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.format_chats(turns.unionByName(extra)))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_bpe_forced_boundaries, op5_quality_trees, op7_chat_format, op9_bottom_k)}
+def op8_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillstream.llm import pii
+
+    return pii.find(table(spark, sf_dir, "documents"))
+
+
+def op10_toxicity_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillstream.llm import toxicity
+
+    return toxicity.verdicts(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_bpe_forced_boundaries, op5_quality_trees, op7_chat_format, op8_pii_spans, op9_bottom_k, op10_toxicity_lexicon)}
 
 ORACLE_SQL: dict[str, str] = {
     "op7_chat_format": r"""
