@@ -9,6 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 from quillstream.llm.storage import table
 
 
+def op1_warc_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillstream.llm import storage, warc
+
+    manifest = warc.write(table(spark, sf_dir, "pages"), f"{storage.shared_dir(spark)}/archives")
+    return warc.read(manifest).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op2_bpe_forced_boundaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -24,6 +31,12 @@ def op9_bottom_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.edited_pairs(table(spark, sf_dir, "documents"), places)
 
 
+def op3_length_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillstream.llm import packing
+
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 def op5_quality_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quillstream.llm import quality
 
@@ -52,9 +65,27 @@ def op10_toxicity_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.verdicts(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_bpe_forced_boundaries, op5_quality_trees, op7_chat_format, op8_pii_spans, op9_bottom_k, op10_toxicity_lexicon)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_warc_zip, op2_bpe_forced_boundaries, op3_length_buckets, op5_quality_trees, op7_chat_format, op8_pii_spans, op9_bottom_k, op10_toxicity_lexicon)}
+
+def _base32(hex_digits: str) -> str:
+    """SQL for bare upper-case base32: every five hexadecimal digits are four characters of five bits."""
+    five = "('0x' || substr({0}, {1}, 5))::bigint"
+    alphabet = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'"
+    return " || ".join(f"substr({alphabet}, 1 + ((({five.format(hex_digits, 1 + 5 * k)}) >> {shift}) & 31)::int, 1)" for k in range(8) for shift in (15, 10, 5, 0))
+
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_warc_zip": f"""
+        with pages_sha as (
+            select page_id, octet_length(encode(coalesce(html, ''))) as payload_bytes, sha1(coalesce(html, '')) as sha from pages
+        ), firsts as (
+            select *, min(page_id) over (partition by sha) as first from pages_sha
+        )
+        select page_id, payload_bytes::bigint as payload_bytes, {_base32('sha')} as payload_digest,
+            case when first < page_id or (page_id is null and first is not null) then 'revisit' else 'response' end as record_type,
+            case when first < page_id or page_id is null then first end as refers_to
+        from firsts
+    """,
     "op7_chat_format": r"""
         with turns as (
             select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
