@@ -37,6 +37,12 @@ def op3_length_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillstream.llm import ngram_join
+
+    return ngram_join.link_components(table(spark, sf_dir, "documents")).drop("cls")
+
+
 def op5_quality_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quillstream.llm import quality
 
@@ -65,7 +71,7 @@ def op10_toxicity_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.verdicts(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_warc_zip, op2_bpe_forced_boundaries, op3_length_buckets, op5_quality_trees, op7_chat_format, op8_pii_spans, op9_bottom_k, op10_toxicity_lexicon)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_warc_zip, op2_bpe_forced_boundaries, op3_length_buckets, op4_ngram_jaccard, op5_quality_trees, op7_chat_format, op8_pii_spans, op9_bottom_k, op10_toxicity_lexicon)}
 
 def _base32(hex_digits: str) -> str:
     """SQL for bare upper-case base32: every five hexadecimal digits are four characters of five bits."""
@@ -86,6 +92,24 @@ ORACLE_SQL: dict[str, str] = {
             case when first < page_id or page_id is null then first end as refers_to
         from firsts
     """,
+    "op4_ngram_jaccard": r"""
+        with recursive w as (
+            select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents
+        ), s as (
+            select doc_id, case when len(w) = 0 then [] when len(w) < 4 then [array_to_string(w, ' ')]
+                else list_distinct(list_transform(range(1, len(w) - 2), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3])) end as s from w
+        ), t as (
+            select doc_id, len(s) as n, unnest(s) as g from s
+        ), pairs as (
+            select a.doc_id as x, b.doc_id as y from t a join t b on a.g = b.g and a.doc_id < b.doc_id
+            group by a.doc_id, b.doc_id having 100 * count(*) >= 85 * (any_value(a.n) + any_value(b.n) - count(*))
+        ), edges as (
+            select x, y from pairs union all select y, x from pairs
+        ), reach as (
+            select doc_id as x, doc_id as y from documents union select r.x, e.y from reach r join edges e on r.y = e.x
+        )
+        select s.doc_id, len(s)::bigint as n_shingles, (select min(r.y) from reach r where r.x = s.doc_id) as component_id from s
+    """,
     "op7_chat_format": r"""
         with turns as (
             select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
