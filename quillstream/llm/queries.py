@@ -50,6 +50,12 @@ def op5_quality_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(docs, quality.train(docs, table(spark, sf_dir, "labels")))
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillstream.llm import line_dedup
+
+    return line_dedup.dedup(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_removed", "text")
+
+
 def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quillstream.llm import chat
 
@@ -71,7 +77,7 @@ def op10_toxicity_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.verdicts(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_warc_zip, op2_bpe_forced_boundaries, op3_length_buckets, op4_ngram_jaccard, op5_quality_trees, op7_chat_format, op8_pii_spans, op9_bottom_k, op10_toxicity_lexicon)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_warc_zip, op2_bpe_forced_boundaries, op3_length_buckets, op4_ngram_jaccard, op5_quality_trees, op6_line_dedup, op7_chat_format, op8_pii_spans, op9_bottom_k, op10_toxicity_lexicon)}
 
 def _base32(hex_digits: str) -> str:
     """SQL for bare upper-case base32: every five hexadecimal digits are four characters of five bits."""
