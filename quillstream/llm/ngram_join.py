@@ -5,9 +5,9 @@ is on classes.  Two classes link when 100 * intersection >= percent * union.
 
 1. Frequencies of all n-grams (``rarity``) give one global order: rare first.
 2. Linked sets share an n-gram among each other's rarest n - ceil(percent * n / 100) + 1.  These
-   prefixes, less the n-grams that no second document has, are dealt by n-gram; classes that
-   meet are joined to the least class there, and the components of these stars are blocks.  No
-   link crosses blocks.
+   prefixes, less the n-grams that no second document has, are dealt by n-gram and sorted by size.
+   Neighbours there whose sizes still allow a link are joined, which joins all pairs whose sizes do;
+   components of these chains are blocks.  No link crosses blocks.
 3. Inside a block each class lengthens its prefix by m - 1, where m minimises the estimated cost of
    scanning the prefix's n-grams plus verifying the candidates that they leave: linked sets share
    min(m, m') n-grams of their lengthened prefixes, so candidates must have that many in common.
@@ -30,6 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillstream.llm import membership
 from quillstream.llm import rarity as rare
 from quillstream.llm import text as tx
 from quillstream.llm.graph import components
@@ -180,7 +181,8 @@ def _dealt(rows: DataFrame, run, parts: int) -> DataFrame:
 
 
 def link_components(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
-    """doc_id, n_shingles and component_id (the least doc_id reachable by links) of every row.
+    """doc_id, n_shingles and component_id (the least doc_id reachable by links) of every row, with the
+    text's xxhash64 as text_key and the component's name as root (null without n-grams).
 
     A null or empty text, or one without words, has no n-gram and is linked with nothing: its component
     is its own doc_id.  Texts of 1 to n - 1 words have one n-gram, all of them.  Rows of equal sets are
@@ -189,7 +191,7 @@ def link_components(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame
     """
     spark = docs.sparkSession
     parts = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), "text")
 
     def all_tokens(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
         for part in tx.slices(batch, "text"):
@@ -214,18 +216,19 @@ def link_components(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame
                     seen.add(name)
                     first = order.value.ordered(own)[0][: len(own) - least_overlap(len(own), percent) + 1]
                     prefix.append(first[order.value.may_repeat(first)].view(np.int64))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(size, pa.int64()), pa.array(names, pa.binary()), pa.array(prefix, pa.list_(pa.int64()))], names=["doc_id", "n_shingles", "cls", "prefix"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text_key"), pa.array(size, pa.int64()), pa.array(names, pa.binary()), pa.array(prefix, pa.list_(pa.int64()))], names=["doc_id", "text_key", "n_shingles", "cls", "prefix"])
 
-    described = written(read.mapInArrow(describe, "doc_id long, n_shingles long, cls binary, prefix array<bigint>"), "described")
+    described = written(read.mapInArrow(describe, "doc_id long, text_key long, n_shingles long, cls binary, prefix array<bigint>"), "described")
     # 1. classes, and blocks of classes that meet in a prefix.  Short names only group candidates.
     short = F.xxhash64("cls")
     classes = described.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("least"), F.max("n_shingles").alias("n"))
     from pyspark.sql import Window
 
-    met = Window.partitionBy("token")
-    postings = described.where(F.size("prefix") > 0).select(F.explode("prefix").alias("token"), short.alias("b"))
-    stars = postings.select("b", F.min("b").over(met).alias("a")).where("a <> b").distinct()
-    blocks = components(stars)
+    met = Window.partitionBy("token").orderBy("n_shingles", "b")
+    postings = described.where(F.size("prefix") > 0).select(F.explode("prefix").alias("token"), short.alias("b"), "n_shingles")
+    before = F.lag(F.struct("b", "n_shingles")).over(met)
+    chains = postings.select("b", "n_shingles", before.alias("before")).where(f"before.b <> b and 100 * before.n_shingles >= {percent} * n_shingles")
+    blocks = components(chains.select(F.col("before.b").alias("a"), "b"))
     named = written(classes.withColumn("short", short), "classes")
     members = named.join(blocks.withColumnRenamed("node", "short"), "short").select("cls", "n", "least", F.col("root").alias("block"))
     total = members.groupBy("block").agg(F.count("*").alias("k"), F.sum("n").alias("tokens"))
@@ -233,17 +236,16 @@ def link_components(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame
     members = written(members.join(total, "block").select("cls", "least", "block", chunks.cast("int").alias("chunks")), "members")
 
     # 2. their sets, from one text of each class
+    flags = spark.sparkContext.broadcast(membership.bitmap(members.select(F.col("least").alias("doc_id")), "doc_id"))
+
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            batch = batch.filter(pa.array(membership.inside(flags.value, batch.column("cell").to_numpy())))
             for part in tx.slices(batch, "text"):
                 raw = [own.tobytes() for own in sets(part.column("text"), n)]
-                name = [hashlib.blake2b(r, digest_size=16).digest() for r in raw]
-                keep = pa.array([a == b for a, b in zip(name, part.column("cls").to_pylist(), strict=True)])
-                yield part.drop_columns(["text"]).append_column("tokens", pa.array(raw, pa.binary())).filter(keep)
+                yield pa.RecordBatch.from_arrays([pa.array([hashlib.blake2b(r, digest_size=16).digest() for r in raw], pa.binary()), pa.array(raw, pa.binary())], names=["cls", "tokens"])
 
-    wanted = members.select(F.col("least").alias("doc_id"), "cls", "block", "chunks")
-    sized = read.join(wanted, read["doc_id"].eqNullSafe(wanted["doc_id"])).select("cls", "block", "chunks", "text")
-    fetched = sized.mapInArrow(fetch, "cls binary, block long, chunks int, tokens binary")
+    fetched = read.select(membership.cell("doc_id").alias("cell"), "text").mapInArrow(fetch, "cls binary, tokens binary").join(members.select("cls", "block", "chunks"), "cls")
     # repeated rows of one id bring a class twice
     held = written(fetched.withColumn("grp", F.xxhash64("block", F.pmod(F.xxhash64("cls"), "chunks"))), "sets")
 
@@ -269,9 +271,23 @@ def link_components(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame
     roots = components(edges)
     rooted = named.join(roots.withColumnRenamed("node", "cls"), "cls", "left").select("cls", "least", F.coalesce("root", "cls").alias("root"))
     lowest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    placed = rooted.join(lowest, "root").select("cls", "component_id")
-    out = described.select("doc_id", "n_shingles", "cls").join(placed, "cls", "left")
-    return out.select("doc_id", "n_shingles", F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "cls")
+    placed = rooted.join(lowest, "root").select("cls", "root", "component_id")
+    out = described.select("doc_id", "text_key", "n_shingles", "cls").join(placed, "cls", "left")
+    return out.select("doc_id", "n_shingles", F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "text_key", "root")
+
+
+def one_of_each(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
+    """``docs`` with one row of each component: the least doc_id (nulls last), then the least text_key.
+
+    Rows without words stay, repeated ones too.
+    """
+    linked = link_components(docs, n, percent).where("root is not null")
+    last = F.coalesce("doc_id", F.lit((1 << 63) - 1))
+    stays = linked.groupBy("root").agg(F.min(F.struct(last.alias("d"), F.col("text_key").alias("k"))).alias("at")).select("at.*").distinct()
+    wordy = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    keyed = docs.where(wordy).withColumn("__d", F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1))).withColumn("__k", F.xxhash64("text"))
+    kept = keyed.join(stays, (keyed["__d"] == stays["d"]) & (keyed["__k"] == stays["k"]), "left_semi").dropDuplicates(["__d", "__k"]).drop("__d", "__k")
+    return kept.unionByName(docs.where(~wordy))
 
 
 def _across(large: DataFrame, edges: DataFrame, percent: int, order, parts: int) -> DataFrame:

@@ -40,7 +40,7 @@ def op3_length_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quillstream.llm import ngram_join
 
-    return ngram_join.link_components(table(spark, sf_dir, "documents")).drop("cls")
+    return ngram_join.link_components(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
 def op5_quality_trees(spark: SparkSession, sf_dir: str) -> DataFrame:

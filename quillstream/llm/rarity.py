@@ -31,8 +31,8 @@ class Rarity:
     bitmap: np.ndarray
 
     def frequency(self, tokens: np.ndarray) -> np.ndarray:
-        """The frequency of frequent tokens, 1 of all others."""
-        out = np.ones(len(tokens), dtype=np.int64)
+        """The frequency of frequent tokens; of the others 2, or 1 if the bitmap rules a second occurrence out."""
+        out = 1 + self.may_repeat(tokens).astype(np.int64)
         if len(self.heads) and len(tokens):
             head = tokens >> np.uint64(64 - HEAD_BITS)
             at = np.minimum(np.searchsorted(self.heads, head), len(self.heads) - 1)
