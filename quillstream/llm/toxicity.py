@@ -25,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from quillstream.llm import text as tx
 
@@ -240,7 +241,7 @@ def score(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
 
     A column of that name is replaced.
     """
-    schema = docs.drop("toxicity").schema.add("toxicity", "double")
+    schema = StructType([*docs.drop("toxicity").schema.fields, StructField("toxicity", DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
