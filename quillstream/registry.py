@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from quillstream.plans import analytics, entities, feed, history, scalars, upkeep
+from quillstream.plans.common import Query
 
-from pyspark.sql import DataFrame, SparkSession
-
-Query = Callable[[SparkSession, str], DataFrame]
+_ALL = (feed.P, analytics.P, history.P, entities.P, scalars.P, upkeep.P)
 
 
 def queries() -> dict[str, Query]:
-    return {}
+    return {name: f for plans in _ALL for name, f in plans.queries.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for plans in _ALL for name, sql in plans.sql.items()}
