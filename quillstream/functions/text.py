@@ -169,9 +169,9 @@ def segments(c: Column) -> Column:
 
 def latin1_repair(c: Column) -> Column:
     """UTF-8 that was read as Latin-1, read anew; other texts stay."""
-    garbled = c.rlike("[ÂÃâ][-¿]")
+    garbled = c.rlike(r"[ÂÃâ][\x{80}-\x{BF}]")
     again = F.decode(F.encode(c, "ISO-8859-1"), "UTF-8")
-    return F.when(garbled & ~c.rlike("[^ -ÿ\n\t]"), again).otherwise(c)
+    return F.when(garbled & ~c.rlike(r"[^\x{0}-\x{FF}]"), again).otherwise(c)
 
 
 def inverted_index_text(c: Column) -> Column:

@@ -1,3 +1,222 @@
-from quillstream.plans.common import Plans
+"""Duplicate groups, survivors, linkage by titles, and enrichment."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from quillstream.functions import text as T
+from quillstream.functions import udfs as U
+from quillstream.operators import groups as G
+from quillstream.operators import rows as R
+from quillstream.plans.common import Plans, total
 
 P = Plans()
+
+_GROUPS = """with recursive n as (select s_suppkey as id, s_nationkey % 9 as x, cast(floor(s_acctbal) as int) % 40 as y from supplier where s_suppkey <= 60),
+    e as (select a.id as a, b.id as b from n a join n b on a.y = b.y and a.id <> b.id),
+    reach as (select id as a, id as b from n union select r.a, e.b from reach r join e on r.b = e.a),
+    g as (select a as id, min(b) as root from reach group by a)
+"""
+
+
+def _nodes(t):
+    return t("supplier").where("s_suppkey <= 60").select(F.col("s_suppkey").alias("id"), F.expr("s_nationkey % 9").alias("x"), F.expr("cast(floor(s_acctbal) as int) % 40").alias("y"), "s_acctbal")
+
+
+def _rooted(t):
+    n = _nodes(t)
+    found = G.connected(G.star_pairs(n, "y", "id"))
+    return n.join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+
+
+@P.add("set_2_transitive_groups", """
+    with recursive n as (select p_partkey as id, p_name, p_brand from part where p_partkey <= 150),
+    e as (select a.id as a, b.id as b from n a join n b on (a.p_name = b.p_name or a.p_brand = b.p_brand) and a.id <> b.id),
+    reach as (select id as a, id as b from n union select r.a, e.b from reach r join e on r.b = e.a)
+    select a as id, min(b) as root from reach group by a
+""")
+def _(t):
+    n = t("part").where("p_partkey <= 150").select(F.col("p_partkey").alias("id"), "p_name", "p_brand")
+    found = G.connected(G.star_pairs(n, "p_name", "id").unionAll(G.star_pairs(n, "p_brand", "id")))
+    return n.select("id").join(found.withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("root", "id").alias("root"))
+
+
+@P.add("er_4_identifier_groups", _GROUPS + "select root, string_agg(id::varchar, ',' order by id) as ids from g group by root having count(*) > 1")
+def _(t):
+    g = R.nested(_rooted(t), ["root"], "id").where(F.size("items") > 1)
+    return g.select("root", F.array_join(F.transform("items", lambda x: x["id"].cast("string")), ",").alias("ids"))
+
+
+@P.add("er_6_merge_into_earliest", """
+    select p_name, min(p_partkey) as canonical, first(p_brand order by p_partkey) filter (where p_brand <> 'Brand#11') as brand, first(p_type order by p_partkey) filter (where p_size > 25) as type from part group by p_name
+""")
+def _(t):
+    pick = lambda c, cond: F.min_by(F.when(cond, F.col(c)), F.when(cond, F.col("p_partkey")))
+    return t("part").groupBy("p_name").agg(F.min("p_partkey").alias("canonical"), pick("p_brand", F.col("p_brand") != "Brand#11").alias("brand"), pick("p_type", F.col("p_size") > 25).alias("type"))
+
+
+@P.add("er_5_fuzzy_titles")
+def _(t):
+    """Pairs of titles within one brand and type; similarity by word order and overlap."""
+    p = t("part").select("p_partkey", "p_name", "p_brand", "p_type").dropDuplicates(["p_brand", "p_type", "p_name"])
+    other = p.select(F.col("p_partkey").alias("b"), F.col("p_name").alias("y"), "p_brand", "p_type")
+    pairs = p.select(F.col("p_partkey").alias("a"), F.col("p_name").alias("x"), "p_brand", "p_type").join(other, ["p_brand", "p_type"]).where("a < b")
+    ratio = U.sequence_ratio(T.words(T.fuzzy_form(F.col("x"))), T.words(T.fuzzy_form(F.col("y"))))
+    scored = pairs.withColumn("seq", ratio).withColumn("over", T.overlap(T.content_words(F.col("x")), T.content_words(F.col("y"))))
+    return scored.withColumn("score", F.when((F.col("over") > F.col("seq")) & (F.col("seq") < 0.5), F.col("seq")).otherwise(F.greatest("seq", "over"))).where("score >= 0.5").select("a", "b", "score")
+
+
+@P.add("er_2_within_key_dedup", """
+    select l_orderkey, min(l_linenumber) as kept, count(*) as n from lineitem group by l_orderkey, l_suppkey % 3
+""")
+def _(t):
+    return t("lineitem").groupBy("l_orderkey", F.expr("l_suppkey % 3")).agg(F.min("l_linenumber").alias("kept"), F.count("*").alias("n")).select("l_orderkey", "kept", "n")
+
+
+@P.add("er_9_exact_name_merge", """
+    select p_partkey as dup, c as canonical from (select p_partkey, first_value(p_partkey) over (partition by lower(p_name), p_brand order by p_retailprice desc, p_partkey) as c from part) where p_partkey <> c
+""")
+def _(t):
+    members = t("part").withColumn("g", F.concat_ws("|", F.lower("p_name"), "p_brand"))
+    return G.survivors(members, "g", "p_partkey", F.desc("p_retailprice"), F.col("p_partkey"))
+
+
+@P.add("er_10_owner_backfill", """
+    select distinct o_custkey as owner, l_partkey as paper from orders join lineitem on l_orderkey = o_orderkey where l_quantity >= 48
+        and not exists (select 1 from lineitem b where b.l_suppkey = o_custkey and b.l_partkey = lineitem.l_partkey)
+""")
+def _(t):
+    pairs = t("orders").join(t("lineitem").where("l_quantity >= 48"), F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("o_custkey").alias("owner"), F.col("l_partkey").alias("paper")).distinct()
+    known = t("lineitem").select(F.col("l_suppkey").alias("owner"), F.col("l_partkey").alias("paper"))
+    return pairs.join(known, ["owner", "paper"], "left_anti")
+
+
+@P.add("er_11_last_name_in_tokens", "select c_custkey, s_suppkey from customer join supplier on c_custkey % 100 = s_suppkey % 100 where list_contains(string_split(lower(s_name), '#'), lower(string_split(c_name, '#')[2]))")
+def _(t):
+    c = t("customer").select("c_custkey", F.lower(F.element_at(F.split("c_name", "#"), 2)).alias("last"), F.expr("c_custkey % 100").alias("k"))
+    s = t("supplier").select("s_suppkey", F.split(F.lower("s_name"), "#").alias("tokens"), F.expr("s_suppkey % 100").alias("k"))
+    return c.join(s, "k").where(F.array_contains("tokens", F.col("last"))).select("c_custkey", "s_suppkey")
+
+
+@P.add("er_8_sorted_neighbours")
+def _(t):
+    """Neighbours in order of their normal form, of one beginning and nearly one word order."""
+    form = T.normalize_title(F.left("text", F.lit(200)))
+    w = Window.partitionBy("source").orderBy("form", "doc_id")
+    pairs = t("documents").select("doc_id", "source", form.alias("form")).select(F.col("doc_id").alias("b"), F.lag("doc_id").over(w).alias("a"), F.col("form").alias("y"), F.lag("form").over(w).alias("x"))
+    near = pairs.where(F.left("x", F.lit(20)) == F.left("y", F.lit(20))).withColumn("score", U.sequence_ratio(T.words(F.col("x")), T.words(F.col("y"))))
+    return near.where("score >= 0.92").select("a", "b", "score")
+
+
+@P.add("win_3_greedy_best_match")
+def _(t):
+    """Each old title of a page used once, best pairs first; greedy within a page of a few titles."""
+    import pandas as pd
+
+    lines = t("pages").select("page_id", F.posexplode(F.slice(F.split("html", "<p>"), 2, 6)).alias("k", "piece"))
+    pair = lines.select("page_id", F.col("k").alias("i"), F.col("piece").alias("x")).join(lines.select("page_id", F.col("k").alias("j"), F.col("piece").alias("y")), "page_id").where("i < j")
+    scored = pair.withColumn("score", T.title_jaccard(F.col("x"), F.col("y"))).where("score >= 0.2").select("page_id", "i", "j", "score")
+
+    def greedy(rows: pd.DataFrame) -> pd.DataFrame:
+        left, right, keep = set(), set(), []
+        for r in rows.sort_values(["score", "i", "j"], ascending=[False, True, True]).itertuples(index=False):
+            if r.i not in left and r.j not in right:
+                left.add(r.i)
+                right.add(r.j)
+                keep.append(r)
+        return pd.DataFrame(keep, columns=rows.columns)
+
+    return scored.groupBy("page_id").applyInPandas(greedy, "page_id long, i int, j int, score double")
+
+
+@P.add("enr_1_queue", """
+    select p_partkey, d is not null as has_doi from part left join (select l_partkey, min(l_orderkey) as d from lineitem where l_discount = 0.1 group by l_partkey) on l_partkey = p_partkey
+    where p_size > 25 and (d is not null or p_type like '%a%') order by d is not null desc, p_partkey limit 100
+""")
+def _(t):
+    d = t("lineitem").where("l_discount = 0.1").groupBy("l_partkey").agg(F.min("l_orderkey").alias("d"))
+    q = t("part").where("p_size > 25").join(d, F.col("l_partkey") == F.col("p_partkey"), "left").where("d is not null or p_type like '%a%'")
+    return q.orderBy(F.col("d").isNotNull().desc(), "p_partkey").limit(100).select("p_partkey", F.col("d").isNotNull().alias("has_doi"))
+
+
+@P.add("enr_2_budget", "select event_id from (select event_id, row_number() over (partition by ts::date order by ts, event_id) as n from events) where n <= 50")
+def _(t):
+    return R.top(t("events").withColumn("day", F.to_date("ts")), ["day"], 50, F.col("ts"), F.col("event_id")).select("event_id")
+
+
+@P.add("enr_4_topic_codes", """
+    with topics as (select p_partkey, case p_size % 6 when 0 then 'Labor market and wage' when 1 then 'Fiscal policy' when 2 then 'Climate and energy' when 3 then 'Urban housing' when 4 then 'Game theory' else 'Poetry' end as topic, p_retailprice from part),
+    codes as (select p_partkey, unnest(case topic when 'Labor market and wage' then ['J'] when 'Fiscal policy' then ['E', 'H'] when 'Climate and energy' then ['Q'] when 'Urban housing' then ['R'] when 'Game theory' then ['C', 'D'] else [] end) as code, p_retailprice from topics)
+    select code, count(*) as n, sum(p_retailprice::decimal(18,4))::double as weight from codes group by code
+""")
+def _(t):
+    names = F.array(*map(F.lit, ("Labor market and wage", "Fiscal policy", "Climate and energy", "Urban housing", "Game theory", "Poetry")))
+    topic = F.element_at(names, F.col("p_size") % 6 + 1)
+    each = t("part").select(F.explode(T.topic_codes(topic)).alias("code"), "p_retailprice")
+    return each.groupBy("code").agg(F.count("*").alias("n"), total("p_retailprice").alias("weight"))
+
+
+@P.add("enr_5_candidates", """
+    select distinct b.l_suppkey as candidate from lineitem a join lineitem b on a.l_orderkey = b.l_orderkey and a.l_suppkey <> b.l_suppkey
+    where a.l_suppkey in (select l_suppkey from lineitem where l_quantity = 50 group by l_suppkey having count(*) >= 14)
+        and not exists (select 1 from supplier where s_suppkey = b.l_suppkey and s_acctbal > 0)
+""")
+def _(t):
+    strong = t("lineitem").where("l_quantity = 50").groupBy("l_suppkey").count().where("count >= 14").select("l_suppkey")
+    work = t("lineitem").select("l_orderkey", "l_suppkey").distinct()
+    seeds = work.join(strong, "l_suppkey", "left_semi").select("l_orderkey", F.col("l_suppkey").alias("seed"))
+    beside = work.join(seeds, "l_orderkey").where("l_suppkey <> seed").select(F.col("l_suppkey").alias("candidate")).distinct()
+    return beside.join(t("supplier").where("s_acctbal > 0"), F.col("s_suppkey") == F.col("candidate"), "left_anti")
+
+
+@P.add("enr_6_home_page", "select host, coalesce(first(page_id order by page_id) filter (where page_id % 3 = 0), min(page_id)) as page from (select *, regexp_extract(url, '//([^/?#:]+)', 1) as host from pages) group by host")
+def _(t):
+    home = F.min(F.when(F.col("page_id") % 3 == 0, F.col("page_id")))
+    return t("pages").groupBy(F.regexp_extract("url", "//([^/?#:]+)", 1).alias("host")).agg(F.coalesce(home, F.min("page_id")).alias("page"))
+
+
+@P.add("rvw_1_actions", """select event_id, case event_type when 'purchase' then 'hide_event' when 'view' then 'fix_title' else 'none' end as action from events where (props::json->>'k')::int > 80""")
+def _(t):
+    k = F.from_json("props", "struct<k:int>")["k"]
+    return t("events").where(k > 80).select("event_id", F.when(F.col("event_type") == "purchase", "hide_event").when(F.col("event_type") == "view", "fix_title").otherwise("none").alias("action"))
+
+
+@P.add("set_1_difference_both_ways", """
+    select l_partkey as k, 'gone' as way from (select l_partkey from lineitem where l_shipdate < '1997-01-01' and l_quantity > 45 except select l_partkey from lineitem where l_shipdate >= '1997-01-01' and l_quantity > 45)
+    union all select l_partkey, 'new' from (select l_partkey from lineitem where l_shipdate >= '1997-01-01' and l_quantity > 45 except select l_partkey from lineitem where l_shipdate < '1997-01-01' and l_quantity > 45)
+""")
+def _(t):
+    # one aggregation instead of two anti joins
+    early = F.col("l_shipdate") < F.lit("1997-01-01").cast("timestamp_ntz")
+    sides = t("lineitem").where("l_quantity > 45").groupBy(F.col("l_partkey").alias("k")).agg(F.bool_or(early).alias("was"), F.bool_or(~early).alias("is"))
+    return sides.where("was <> is").select("k", F.when(F.col("was"), "gone").otherwise("new").alias("way"))
+
+
+@P.add("set_3_no_conflict", "select l_orderkey, count(distinct l_returnflag) = 1 as clear from lineitem group by l_orderkey")
+def _(t):
+    return t("lineitem").groupBy("l_orderkey").agg((F.countDistinct("l_returnflag") == 1).alias("clear"))
+
+
+@P.add("set_4_symmetric_difference", r"""
+    with w as (select doc_id, list_distinct(string_split(text[1:80], ' ')) as a, list_distinct(string_split(text[41:120], ' ')) as b from documents)
+    select doc_id, (len(list_filter(a, lambda x: not list_contains(b, x))) + len(list_filter(b, lambda x: not list_contains(a, x))))::bigint as n from w
+""")
+def _(t):
+    a, b = F.array_distinct(F.split(F.substring("text", 1, 80), " ")), F.array_distinct(F.split(F.substring("text", 41, 80), " "))
+    return t("documents").select("doc_id", (F.size(F.array_except(a, b)) + F.size(F.array_except(b, a))).cast("long").alias("n"))
+
+
+@P.add("set_5_union_all", "select c_custkey as k, 'c' as side from customer where c_acctbal < 0 union all select s_suppkey, 's' from supplier where s_acctbal < 0")
+def _(t):
+    return t("customer").where("c_acctbal < 0").select(F.col("c_custkey").alias("k"), F.lit("c").alias("side")).unionByName(t("supplier").where("s_acctbal < 0").select(F.col("s_suppkey").alias("k"), F.lit("s").alias("side")))
+
+
+@P.add("set_6_disjoint_labels", """
+    select label, count(*) as n from (select case when o is null then 'never' when m < 50000 then 'small' else 'regular' end as label
+        from customer left join (select o_custkey as o, max(o_totalprice) as m from orders group by o_custkey) on o = c_custkey) group by label
+""")
+def _(t):
+    m = t("orders").groupBy(F.col("o_custkey").alias("o")).agg(F.max("o_totalprice").alias("m"))
+    label = F.when(F.col("o").isNull(), "never").when(F.col("m") < 50000, "small").otherwise("regular")
+    return t("customer").join(m, F.col("o") == F.col("c_custkey"), "left").groupBy(label.alias("label")).agg(F.count("*").alias("n"))
