@@ -27,17 +27,18 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StructField, StructType
 
+from quillstream.llm import columns as C
 from quillstream.llm import membership
 from quillstream.llm import rarity as rare
 from quillstream.llm import text as tx
-from quillstream.llm.line_sets import Lines, line_sets
-from quillstream.llm.ngram_join import grouped
+from quillstream.llm.line_sets import BITS, Lines, line_sets
 from quillstream.llm.storage import written
 
 PERCENT, LEAST_WORDS = 80, 5
 #: Earliest candidates tried first, and the rows of a word's block.
-TRIES, BLOCK_ROWS = 3, 8192
+TRIES, BLOCK_ROWS = 2, 8192
 _LAST = (1 << 63) - 1
 
 
@@ -51,9 +52,14 @@ def _tokens(least: int):
 
 
 def _prefixes(lines: Lines, order: rare.Rarity, percent: int, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Owner, token, place in the line's order and frequency of all prefix words that may occur in a second line."""
+    """Owner, token, place in the line's order and frequency of all prefix words that may occur in a second line.
+
+    The order is by the logarithm of the frequency in quarters of an octave, then by hash.
+    """
     frequency = order.frequency(lines.tokens)
-    at = np.lexsort((lines.tokens, frequency, lines.owner))
+    rank = np.minimum(63, (4 * np.log2(frequency)).astype(np.int64))
+    inside = np.arange(len(lines.tokens)) - lines.first[lines.owner]
+    at = np.argsort((lines.owner << 40) | (rank << 34) | inside) if lines.size.max(initial=0) < 1 << 34 and len(lines.size) < 1 << 23 else np.lexsort((inside, rank, lines.owner))
     owner = lines.owner[at]
     place = np.arange(len(at)) - lines.first[owner]
     size = lines.size[owner]
@@ -63,46 +69,98 @@ def _prefixes(lines: Lines, order: rare.Rarity, percent: int, least: int) -> tup
     return owner[again], lines.tokens[at[again]], place[again], frequency[at[again]]
 
 
-def _candidates(size: np.ndarray, place: np.ndarray, sign: np.ndarray, probe: np.ndarray, side: np.ndarray | None, percent: int, most: int | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Pairs (later, earlier) of rows in order that pass all bounds, and for each whether its later row had more.
+def _level(size: np.ndarray) -> np.ndarray:
+    """Signatures of longer lines are of every 2nd, 4th, ... word, lest all bits be set."""
+    return np.maximum(0, np.ceil(np.log2(np.maximum(size, 1) / 48))).astype(np.int64)
+
+
+def signatures(lines: Lines) -> np.ndarray:
+    """64 bits of each line: two lines of one level differ in as many words at least as their bits do."""
+    level = _level(lines.size)[lines.owner]
+    token = lines.tokens >> np.uint64(64 - BITS)
+    bit = np.uint64(1) << (token & np.uint64(63))
+    bit[((token >> np.uint64(6)).astype(np.int64) & ((1 << level) - 1)) != 0] = 0
+    return np.bitwise_or.reduceat(bit, lines.first[:-1])
+
+
+def _earliest(x: np.ndarray, y: np.ndarray, most: int | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of pairs (later, earlier) of ordinals: the ``most`` earliest of each later one, and whether it had more."""
+    order = np.lexsort((y, x))
+    x, y = x[order], y[order]
+    if most is None or not len(x):
+        return x, y, np.zeros(len(x), dtype=bool)
+    start = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]]))
+    count = np.diff(np.append(start, len(x)))
+    rank = np.arange(len(x)) - np.repeat(start, count)
+    keep = rank < most
+    return x[keep], y[keep], np.repeat(count > most, count)[keep]
 
-    ``most``: only that many earliest ones of each row.
+
+def meet(grp: np.ndarray, side: np.ndarray, doc: np.ndarray, line: np.ndarray, size: np.ndarray, place: np.ndarray, sign: np.ndarray, probe: np.ndarray, percent: int, most: int | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs (later row, earlier row) of one group each that pass all bounds, and for each whether its later row had more.
+
+    Rows are sorted by group and size.  Step d compares each row with the d-th after it, as long as
+    that one is of its group and not too long: all groups at once.
     """
-    later, earlier, more = [], [], []
-    n = len(size)
-    width = max(1, (1 << 20) // n)
-    for a in range(0, n, width):
-        b = min(n, a + width)
-        x, y = np.arange(a, b)[:, None], np.arange(b)[None, :]
-        n_x, n_y = size[a:b, None], size[None, :b]
-        total = n_x + n_y
+    ordinal = np.empty(len(doc), dtype=np.int64)
+    by_age = np.lexsort((line, doc))
+    ordinal[by_age] = np.arange(len(doc))
+    row_of = by_age
+    new = np.concatenate([[True], grp[1:] != grp[:-1]])
+    end = np.append(np.flatnonzero(new), len(grp))[np.cumsum(new)]
+    level = _level(size)
+    later, earlier, more = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], np.zeros(0, bool)
+    held, had_more = 0, np.zeros(len(doc), dtype=bool)
+    i = np.flatnonzero(np.arange(len(grp)) + 1 < end)
+    d = 1
+    while len(i):
+        j = i + d
+        near = 100 * size[i] >= percent * size[j]
+        i, j = i[near], j[near]
+        total = size[i] + size[j]
         need = -(-percent * total // (100 + percent))
-        good = (y < x) & probe[a:b, None]
-        good &= 100 * np.minimum(n_x, n_y) >= percent * np.maximum(n_x, n_y)
-        good &= np.minimum(n_x - place[a:b, None], n_y - place[None, :b]) >= need
-        good &= np.bitwise_count(sign[a:b, None] ^ sign[None, :b]) <= total - 2 * need
-        if side is not None:
-            good &= side[a:b, None] != side[None, :b]
-        i, j = np.nonzero(good)
-        if not len(i):
-            continue
-        count = np.bincount(i, minlength=b - a)
-        if most is not None:
-            rank = np.arange(len(i)) - np.repeat(np.cumsum(count) - count, count)
-            over = (count > most)[i]
-            i, j, over = i[rank < most], j[rank < most], over[rank < most]
-        else:
-            over = np.zeros(len(i), dtype=bool)
-        later.append(i + a)
-        earlier.append(j)
-        more.append(over)
-    if not later:
-        none = np.zeros(0, np.int64)
-        return none, none, none.astype(bool)
-    return np.concatenate(later), np.concatenate(earlier), np.concatenate(more)
-
-
-_PAIR = "x_doc long, x_line int, x_key long, y_doc long, y_line int, y_key long, more boolean"
+        good = np.minimum(size[i] - place[i], size[j] - place[j]) >= need
+        good &= (level[i] != level[j]) | (np.bitwise_count(sign[i] ^ sign[j]) <= total - 2 * need)
+        good &= (doc[i] != doc[j]) | (line[i] != line[j])
+        good &= (side[i] == 0) | (side[i] != side[j])
+        if good.any():
+            a, b = ordinal[i[good]], ordinal[j[good]]
+            x, y = np.maximum(a, b), np.minimum(a, b)
+            wanted = probe[row_of[x]]
+            later.append(x[wanted])
+            earlier.append(y[wanted])
+            held += int(wanted.sum())
+            if held > 1 << 20 and most is not None:
+                x, y, more = _earliest(np.concatenate(later), np.concatenate(earlier), most)
+                had_more[x[more]] = True
+                later, earlier, held = [x], [y], 0
+        d += 1
+        i = i[i + d < end[i]]
+    x, y, more = _earliest(np.concatenate(later), np.concatenate(earlier), most)
+    return row_of[x], row_of[y], more | had_more[x]
+
+
+_PAIR = "x_doc long, x_line int, y_doc long, y_line int, more boolean"
+_LINE = {"h1": "<u8", "h2": "<u8", "doc": "<i8", "key": "<i8", "line": "<i4", "size": "<i4", "sign": "<u8", "words": "<i4"}
+_POSTING = {"grp": "<u8", "doc": "<i8", "line": "<i4", "size": "<i4", "place": "<i4", "sign": "<u8", "side": "<i1"}
+
+
+def _spread(columns: dict[str, np.ndarray], blocks: np.ndarray) -> dict[str, np.ndarray]:
+    """Postings by group: the token, or for a token of several blocks each pair of them.
+
+    A row of a token with b blocks goes to b groups.  ``side`` tells a pair's blocks apart (1, 2); 0 is
+    for rows that meet all others of their group.
+    """
+    at = np.repeat(np.arange(len(blocks)), blocks)
+    out = {k: c[at] for k, c in columns.items()}
+    several = blocks[at] > 1
+    if several.any():
+        own = (tx.mix(tx.mix(out["doc"].view(np.uint64)) + out["line"].astype(np.uint64)) % blocks[at].astype(np.uint64)).astype(np.int64)
+        other = np.arange(len(at)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
+        pair = tx.mix(out["grp"] + tx.mix((np.minimum(own, other) << 32 | np.maximum(own, other)).astype(np.uint64)))
+        out["grp"] = np.where(several, pair, out["grp"])
+        out["side"] = np.where(several & (own != other), np.where(own < other, 1, 2), 0).astype(np.int8)
+    return out
 
 
 def later_lines(docs: DataFrame, percent: int = PERCENT, least: int = LEAST_WORDS) -> DataFrame:
@@ -111,133 +169,136 @@ def later_lines(docs: DataFrame, percent: int = PERCENT, least: int = LEAST_WORD
     Lines of rows with equal doc_id and number are equally early: neither removes the other.
     """
     spark = docs.sparkSession
-    parts = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    parts = 4 * max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
     read = docs.where(F.col("text").isNotNull()).select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("doc_id"), F.xxhash64("text").alias("text_key"), "text")
     order = spark.sparkContext.broadcast(rare.measure(read.select("text"), _tokens(least)))
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Names of lines' sets, each followed by its prefix words as (token, place and blocks) in the columns of a line."""
         for batch in batches:
             for part in tx.slices(batch, "text"):
                 lines = line_sets(part.column("text"))
-                if not len(lines.size):
+                keep = np.flatnonzero(lines.size >= least)
+                if not len(keep):
                     continue
                 first = lines.first[:-1]
-                # a set's name and signature: sums and bits over its words, in any order
+                # a set's name: two sums over its words, in any order
                 h1 = np.add.reduceat(tx.mix(lines.tokens + np.uint64(1)), first)
                 h2 = np.add.reduceat(tx.mix(lines.tokens ^ np.uint64(0x5851F42D4C957F2D)), first)
-                sign = np.bitwise_or.reduceat(np.uint64(1) << (lines.tokens & np.uint64(63)), first)
+                sign = signatures(lines)
                 owner, token, place, frequency = _prefixes(lines, order.value, percent, least)
-                keep = np.flatnonzero(lines.size >= least)
-                count = np.bincount(owner, minlength=len(lines.size))[keep]
-                offsets = pa.array(np.concatenate([[0], np.cumsum(count)]).astype(np.int32))
-                blocks = np.minimum(-(-frequency // BLOCK_ROWS), 1 << 20)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        part.column("doc_id").take(pa.array(lines.row[keep])), part.column("text_key").take(pa.array(lines.row[keep])),
-                        pa.array(lines.number[keep].astype(np.int32)), pa.array(h1[keep].view(np.int64)), pa.array(h2[keep].view(np.int64)), pa.array(lines.size[keep].astype(np.int32)), pa.array(sign[keep].view(np.int64)),
-                        pa.ListArray.from_arrays(offsets, pa.array(token.view(np.int64))), pa.ListArray.from_arrays(offsets, pa.array(place.astype(np.int32))), pa.ListArray.from_arrays(offsets, pa.array(blocks.astype(np.int32))),
-                    ],
-                    names=["doc_id", "text_key", "line", "h1", "h2", "size", "sign", "tokens", "places", "blocks"],
-                )
-
-    lines = written(read.mapInArrow(describe, "doc_id long, text_key long, line int, h1 long, h2 long, size int, sign long, tokens array<bigint>, places array<int>, blocks array<int>"), "lines")
-    where = F.struct("doc_id", "line", "text_key")
-    first = lines.groupBy("h1", "h2").agg(F.min(where).alias("at"), F.count("*").alias("n"), F.min_by(F.struct("size", "sign", "tokens", "places", "blocks"), where).alias("set"))
-    classes = written(first.select("h1", "h2", "at", "n", "set.*"), "classes")
-
-    def postings(probes: DataFrame | None) -> DataFrame:
-        rows = classes.select("at", "size", "sign", "tokens", "places", "blocks", F.lit(True).alias("probe"))
-        if probes is not None:
-            rows = rows.drop("probe").join(probes.withColumn("probe", F.lit(True)), rows["at"] == probes["x"], "left").drop("x").withColumn("probe", F.coalesce("probe", F.lit(False)))
-        each = rows.where(F.size("tokens") > 0).withColumn("z", F.explode(F.arrays_zip("tokens", "places", "blocks")))
-        flat = each.select(F.col("z.tokens").alias("token"), F.col("at.doc_id").alias("doc"), F.col("at.line").alias("line"), F.col("at.text_key").alias("key"), "size", F.col("z.places").alias("place"), "sign", "probe", F.col("z.blocks").alias("blocks"))
-        # in one block: the token is the group; in more: every pair of blocks is
-        block = F.pmod(F.xxhash64("doc", "line", "key"), F.col("blocks")).cast("int")
-        dealt = flat.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        grp = F.when(F.col("blocks") == 1, F.col("token")).otherwise(F.xxhash64("token", F.least("block", "other"), F.greatest("block", "other")))
-        # a pair of different blocks compares across only; a block's own rows meet where block = other
-        side = F.when(F.col("blocks") == 1, F.lit(0)).otherwise(F.when(F.col("block") == F.col("other"), F.lit(0)).when(F.col("block") < F.col("other"), F.lit(1)).otherwise(F.lit(2)))
-        return dealt.select(grp.alias("grp"), side.cast("int").alias("side"), "doc", "line", "key", "size", "place", "sign", "probe")
-
-    def meet(most: int | None):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for table in grouped_rows(batches):
-                doc, line, key, size, place, sign, probe, side = table
-                if len(doc) < 2:
-                    continue
-                at = np.lexsort((key, line, doc))
-                sides = side[at]
-                i, j, more = _candidates(size[at].astype(np.int64), place[at].astype(np.int64), sign[at].view(np.uint64), probe[at], sides if sides.any() else None, percent, most)
-                if len(i):
-                    x, y = at[i], at[j]
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in (doc[x], line[x], key[x], doc[y], line[y], key[y], more)], names=["x_doc", "x_line", "x_key", "y_doc", "y_line", "y_key", "more"])
-
-        return run
-
-    def pairs(probes: DataFrame | None, most: int | None) -> DataFrame:
-        met = postings(probes).repartition(parts, "grp").sortWithinPartitions("grp").mapInArrow(meet(most), _PAIR)
-        x, y = (F.struct(F.col(f"{s}_doc").alias("doc_id"), F.col(f"{s}_line").alias("line"), F.col(f"{s}_key").alias("text_key")) for s in "xy")
-        found = met.where("(x_doc, x_line) <> (y_doc, y_line)").select(x.alias("x"), y.alias("y"), "more").groupBy("x", "y").agg(F.max("more").alias("more"))
-        return written(found, "pairs")
+                count = np.bincount(owner, minlength=len(lines.size))
+                ids, keys = (part.column(c).to_numpy()[lines.row] for c in ("doc_id", "text_key"))
+                head = {"h1": h1, "h2": h2, "doc": ids, "key": keys, "line": lines.number.astype(np.int32), "size": lines.size.astype(np.int32), "sign": sign, "words": count.astype(np.int32)}
+                blocks = np.minimum(-(-frequency // BLOCK_ROWS), 1 << 20).astype(np.int32)
+                tail = {"h1": h1[owner], "h2": h2[owner], "doc": ids[owner], "key": keys[owner], "line": lines.number[owner].astype(np.int32), "size": place.astype(np.int32), "sign": token >> np.uint64(64 - rare.HEAD_BITS), "words": -blocks}
+                # a line's row and its words' rows have one key, and go to one part
+                both = {k: np.concatenate([head[k][keep], tail[k]]) for k in _LINE}
+                yield from C.deal(both, (both["h1"] % np.uint64(parts)).astype(np.int32), both["h1"])
+
+    def classify(c: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
+        """Later lines of each class (kind 0), lines at the same place as its first (1), and the first's postings (2)."""
+        word = c["words"] < 0
+        line = {k: v[~word] for k, v in c.items()}
+        at = np.lexsort((line["key"], line["line"], line["doc"], line["h2"], line["h1"]))
+        line = {k: v[at] for k, v in line.items()}
+        new = np.concatenate([[True], (line["h1"][1:] != line["h1"][:-1]) | (line["h2"][1:] != line["h2"][:-1])])
+        first = np.flatnonzero(new)[np.cumsum(new) - 1]
+        same = (line["doc"] == line["doc"][first]) & (line["line"] == line["line"][first])
+        for kind, rows in ((0, ~same), (1, same & (line["key"] != line["key"][first]))):
+            hit = np.flatnonzero(rows)
+            if len(hit):
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(hit), kind, np.int32)), pa.array(line["doc"][hit]), pa.array(line["line"][hit]), pa.array(line["key"][hit]), pa.array(line["key"][first[hit]]), pa.nulls(len(hit), pa.int32()), pa.nulls(len(hit), pa.binary())], schema=_CLASSED)
+        # the words of first lines: found by their lines' place, of repeated rows once
+        lead = np.flatnonzero(new)
+        words = {k: v[word] for k, v in c.items()}
+        if not len(words["h1"]):
+            return
+        at = np.lexsort((words["size"], words["key"], words["line"], words["doc"], words["h2"], words["h1"]))
+        words = {k: v[at] for k, v in words.items()}
+        mark = np.concatenate([[True], np.any([words[k][1:] != words[k][:-1] for k in ("h1", "h2", "doc", "line", "key", "size")], axis=0)])
+        words = {k: v[mark] for k, v in words.items()}
+        begin = np.concatenate([[True], (words["h1"][1:] != words["h1"][:-1]) | (words["h2"][1:] != words["h2"][:-1])])
+        start = np.flatnonzero(begin)
+        # classes with words are a part of all classes, in the same order
+        names = np.searchsorted(line["h1"][lead], words["h1"][start])
+        while (off := line["h2"][lead][names] != words["h2"][start]).any():
+            names = names + off
+        of = np.repeat(lead[names], np.diff(np.append(start, len(begin))))
+        own = (words["doc"] == line["doc"][of]) & (words["line"] == line["line"][of]) & (words["key"] == line["key"][of])
+        words, of = {k: v[own] for k, v in words.items()}, of[own]
+        rows = {"grp": words["sign"], "doc": words["doc"], "line": words["line"], "size": line["size"][of], "place": words["size"], "sign": line["sign"][of], "side": np.zeros(len(of), np.int8)}
+        rows = _spread(rows, -words["words"].astype(np.int64))
+        for batch in C.deal(rows, (tx.mix(rows["grp"]) % np.uint64(parts)).astype(np.int32), rows["grp"]):
+            n = batch.num_rows
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, 2, np.int32)), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), batch.column("part"), batch.column("blob")], schema=_CLASSED)
+
+    classed = written(C.gathered(read.mapInArrow(describe, C.BLOB), parts, _LINE, classify, "kind int, doc_id long, line int, text_key long, first_key long, part int, blob binary"), "classes")
+    later = classed.where("kind = 0").select("doc_id", "text_key", "line")
+    twins = classed.where("kind = 1").select("doc_id", "line", "text_key", "first_key")
+
+    def pairs(probes: np.ndarray | None, most: int | None) -> DataFrame:
+        """Candidates (x later, y earlier); with ``probes``, of later lines in that bitmap only."""
+        wanted = None if probes is None else spark.sparkContext.broadcast(probes)
+
+        def run(c: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
+            at = np.lexsort((c["size"], c["grp"]))
+            grp, side, doc, line, size, place, sign = (c[k][at] for k in ("grp", "side", "doc", "line", "size", "place", "sign"))
+            probe = np.ones(len(grp), bool) if wanted is None else membership.inside(wanted.value, membership.pair_cells(doc, line))
+            x, y, more = meet(grp, side, doc, line, size.astype(np.int64), place.astype(np.int64), sign, probe, percent, most)
+            if len(x):
+                yield pa.RecordBatch.from_arrays([pa.array(v) for v in (doc[x], line[x], doc[y], line[y], more)], names=["x_doc", "x_line", "y_doc", "y_line", "more"])
+
+        met = C.gathered(classed.where("kind = 2").select("part", "blob"), parts, _POSTING, run, _PAIR)
+        return written(met.groupBy("x_doc", "x_line", "y_doc", "y_line").agg(F.max("more").alias("more")), "pairs")
 
     def verified(found: DataFrame) -> DataFrame:
-        """x of the pairs whose sets are similar."""
-        wanted = found.select(F.explode(F.array("x", "y")).alias("at")).distinct().select("at.*")
-        flags = spark.sparkContext.broadcast(membership.bitmap(wanted, "doc_id", "text_key"))
+        """The later lines of pairs whose sets are similar (x_doc, x_line, text_key)."""
+        ends = found.select(F.col("x_doc").alias("doc"), F.col("x_line").alias("line")).unionAll(found.select("y_doc", "y_line"))
+        flags = spark.sparkContext.broadcast(membership.pair_bitmap(ends))
+        texts = spark.sparkContext.broadcast(membership.bitmap(ends.select("doc").withColumnRenamed("doc", "doc_id"), "doc_id"))
 
-        def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def read_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                batch = batch.filter(pa.array(membership.inside(flags.value, batch.column("cell").to_numpy())))
+                batch = batch.filter(pa.array(membership.inside(texts.value, batch.column("cell").to_numpy())))
                 for part in tx.slices(batch, "text"):
                     own = line_sets(part.column("text"))
-                    keep = own.size >= least
-                    at = np.flatnonzero(keep)
-                    raw = own.tokens[keep[own.owner]].view(np.int64)
-                    offsets = pa.array(np.concatenate([[0], np.cumsum(own.size[at])]).astype(np.int64))
-                    yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(own.row[at])), part.column("text_key").take(pa.array(own.row[at])), pa.array(own.number[at].astype(np.int32)), pa.LargeListArray.from_arrays(offsets, pa.array(raw)).cast(pa.list_(pa.int64()))], names=["doc_id", "text_key", "line", "words"])
-
-        texts = read.withColumn("cell", membership.cell("doc_id", "text_key")).mapInArrow(fetch, "doc_id long, text_key long, line int, words array<bigint>")
-        key = ["doc_id", "line", "text_key"]
-        held = written(texts.join(wanted, key).dropDuplicates(key).select(F.struct(*key).alias("at"), "words"), "sets")
-        both = found.select("x", "y").join(held.withColumnRenamed("words", "a"), F.col("x") == F.col("at")).drop("at").join(held.withColumnRenamed("words", "b"), F.col("y") == F.col("at"))
-        shared = F.size(F.array_intersect("a", "b"))
-        return both.where(100 * shared >= percent * (F.size("a") + F.size("b") - shared)).select("x").distinct()
+                    ids = part.column("doc_id").to_numpy()[own.row]
+                    at = np.flatnonzero((own.size >= least) & membership.inside(flags.value, membership.pair_cells(ids, own.number)))
+                    if len(at):
+                        raw, first = (own.tokens >> np.uint64(64 - BITS)).astype(np.int64), own.first
+                        words = [raw[first[k] : first[k + 1]].tobytes() for k in at.tolist()]
+                        yield pa.RecordBatch.from_arrays([pa.array(ids[at]), part.column("text_key").take(pa.array(own.row[at])), pa.array(own.number[at].astype(np.int32)), pa.array(words, pa.binary())], names=["doc_id", "text_key", "line", "words"])
+
+        key = ["doc_id", "line"]
+        sets = read.withColumn("cell", membership.cell("doc_id")).mapInArrow(read_sets, "doc_id long, text_key long, line int, words binary")
+        held = written(sets.dropDuplicates([*key, "text_key"]), "sets")
+
+        def similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                hits = []
+                for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True):
+                    a, b = np.frombuffer(a, np.int64), np.frombuffer(b, np.int64)
+                    both = len(np.intersect1d(a, b, assume_unique=True))
+                    hits.append(100 * both >= percent * (len(a) + len(b) - both))
+                yield batch.drop_columns(["a", "b"]).filter(pa.array(hits, pa.bool_()))
+
+        left, right = (held.select(F.col("doc_id").alias(f"{s}_doc"), F.col("line").alias(f"{s}_line"), *more) for s, more in (("x", ("text_key", F.col("words").alias("a"))), ("y", (F.col("words").alias("b"),))))
+        both = found.drop("more").join(left, ["x_doc", "x_line"]).join(right, ["y_doc", "y_line"]).select("x_doc", "x_line", "text_key", "a", "b")
+        return both.mapInArrow(similar, "x_doc long, x_line int, text_key long").distinct()
 
     early = pairs(None, TRIES)
     settled = written(verified(early), "settled")
-    rest = early.where("more").select("x").distinct().join(settled, "x", "left_anti")
-    rest = written(rest, "rest")
+    x = ["x_doc", "x_line"]
+    rest = written(early.where("more").select(x).distinct().join(settled.select(x), x, "left_anti"), "rest")
     if rest.head(1):
-        settled = settled.unionAll(written(verified(pairs(rest, None)), "settled"))
-    going = classes.join(settled.withColumnRenamed("x", "at").withColumn("all_go", F.lit(True)), "at", "left").where("n > 1 or all_go").select("h1", "h2", "at", F.coalesce("all_go", F.lit(False)).alias("all_go"))
-    place = F.struct("doc_id", "line")
-    out = lines.select("doc_id", "line", "text_key", "h1", "h2").join(going, ["h1", "h2"]).where(F.col("all_go") | (place > F.struct("at.doc_id", "at.line")))
-    return out.select("doc_id", "text_key", "line")
-
-
-def grouped_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
-    """The columns of each run of equal ``grp``; runs of one row are skipped at once."""
-    names = ("doc", "line", "key", "size", "place", "sign", "probe", "side")
-    held: list[tuple[np.ndarray, ...]] = []
-    last = None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        grp = batch.column("grp").to_numpy()
-        columns = tuple(batch.column(c).to_numpy(zero_copy_only=False) for c in names)
-        cuts = np.concatenate([[0], np.flatnonzero(grp[1:] != grp[:-1]) + 1, [len(grp)]])
-        runs = np.flatnonzero(np.diff(cuts) > 1).tolist()
-        # the first and last run may go on in other batches
-        runs = sorted({0, len(cuts) - 2, *runs})
-        for k in runs:
-            a, b = int(cuts[k]), int(cuts[k + 1])
-            if held and last != int(grp[a]):
-                yield tuple(np.concatenate(c) for c in zip(*held, strict=True))
-                held = []
-            held.append(tuple(c[a:b] for c in columns))
-            last = int(grp[a])
-    if held:
-        yield tuple(np.concatenate(c) for c in zip(*held, strict=True))
+        settled = settled.unionAll(written(verified(pairs(membership.pair_bitmap(rest), None)), "settled"))
+    going = settled.select(F.col("x_doc").alias("doc_id"), "text_key", F.col("x_line").alias("line")).distinct()
+    beside = twins.join(going.withColumnRenamed("text_key", "first_key"), ["doc_id", "line", "first_key"]).select("doc_id", "text_key", "line")
+    return later.unionByName(going).unionByName(beside)
+
+
+_CLASSED = pa.schema([("kind", pa.int32()), ("doc_id", pa.int64()), ("line", pa.int32()), ("text_key", pa.int64()), ("first_key", pa.int64()), ("part", pa.int32()), ("blob", pa.binary())])
 
 
 def without(lines: Column, gone: Column) -> Column:
@@ -252,13 +313,22 @@ def dedup(docs: DataFrame, percent: int = PERCENT, least: int = LEAST_WORDS) ->
     text stays null (0 lines); columns named n_lines or n_removed are replaced; no rows give none.
     """
     gone = later_lines(docs, percent, least).groupBy("doc_id", "text_key").agg(F.collect_set("line").alias("gone"))
-    gone = gone.select(F.col("doc_id").alias("gone_doc"), F.col("text_key").alias("gone_key"), "gone")
-    kept = docs.drop("n_lines", "n_removed")
-    joined = kept.join(gone, (F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)) == F.col("gone_doc")) & (F.xxhash64("text") == F.col("gone_key")), "left")
+    gone = written(gone.select(F.col("doc_id").alias("__gone_doc"), F.col("text_key").alias("__gone_key"), F.col("gone").alias("__gone")), "gone")
+    flags = docs.sparkSession.sparkContext.broadcast(membership.bitmap(gone, "__gone_doc", "__gone_key"))
+
+    def may_lose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.append_column("__may", pa.array(membership.inside(flags.value, batch.column("__cell").to_numpy())))
+
+    kept = docs.drop("n_lines", "n_removed").withColumn("__doc", F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST))).withColumn("__key", F.xxhash64("text")).withColumn("__cell", membership.cell("__doc", "__key"))
+    flagged = kept.mapInArrow(may_lose, StructType([*kept.schema.fields, StructField("__may", BooleanType())]))
     lines = F.split("text", "\n")
-    text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(without(lines, F.col("gone")), "\n"))
-    n_removed = F.coalesce(F.array_size("gone"), F.lit(0))
-    out = joined.withColumn("n_lines", F.coalesce(F.regexp_count("text", F.lit("\n")) + 1, F.lit(0))).withColumn("n_removed", n_removed).withColumn("text", text)
+    n_lines = F.coalesce(F.regexp_count("text", F.lit("\n")) + 1, F.lit(0))
+    losing = flagged.where("__may").join(gone, (F.col("__doc") == F.col("__gone_doc")) & (F.col("__key") == F.col("__gone_key")), "left")
+    text = F.when(F.col("__gone").isNull(), F.col("text")).otherwise(F.array_join(without(lines, F.col("__gone")), "\n"))
+    changed = losing.withColumn("n_lines", n_lines).withColumn("n_removed", F.coalesce(F.array_size("__gone"), F.lit(0))).withColumn("text", text)
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("gone").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
-    return out.select(*(c for c in docs.columns if c not in ("n_lines", "n_removed")), "n_lines", "n_removed")
+        changed = changed.withColumn("n_chars", F.when(F.col("__gone").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
+    columns = [*(c for c in docs.columns if c not in ("n_lines", "n_removed")), "n_lines", "n_removed"]
+    same = flagged.where("not __may").withColumn("n_lines", n_lines).withColumn("n_removed", F.lit(0))
+    return changed.select(columns).unionByName(same.select(columns))

@@ -10,6 +10,10 @@ import pyarrow as pa
 from quillstream.llm import text as tx
 
 
+#: Bits of a word's hash that tell words of lines apart; the lower ones are 0.
+BITS = 42
+
+
 @dataclass
 class Lines:
     """Lines with a word of a batch, in order: their text's row, number in it, and distinct words (ascending)."""
@@ -39,10 +43,15 @@ def line_sets(column: pa.Array) -> Lines:
     new = np.ones(len(starts), dtype=bool)
     new[1:] = (row[1:] != row[:-1]) | (number[1:] != number[:-1])
     line = np.cumsum(new) - 1
-    order = np.lexsort((words, line))
-    words, owner = words[order], line[order]
-    keep = np.ones(len(words), dtype=bool)
-    keep[1:] = (owner[1:] != owner[:-1]) | (words[1:] != words[:-1])
-    words, owner = words[keep], owner[keep]
+    if line[-1] < 1 << (64 - BITS):  # line and token in one number, which sorts several times faster
+        key = np.sort((line.astype(np.uint64) << np.uint64(BITS)) | (words >> np.uint64(64 - BITS)))
+        key = key[np.concatenate([[True], key[1:] != key[:-1]])]
+        owner, words = (key >> np.uint64(BITS)).astype(np.int64), key << np.uint64(64 - BITS)
+    else:
+        words = (words >> np.uint64(64 - BITS)) << np.uint64(64 - BITS)
+        order = np.lexsort((words, line))
+        words, owner = words[order], line[order]
+        keep = np.concatenate([[True], (owner[1:] != owner[:-1]) | (words[1:] != words[:-1])])
+        words, owner = words[keep], owner[keep]
     at = np.flatnonzero(new)
     return Lines(row[at], number[at], np.bincount(owner, minlength=len(at)), words, owner)

@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillstream.llm.text import mix
+
 BITS, RANGE_BITS = 26, 8
 
 
@@ -19,22 +21,46 @@ def cell(*columns: str) -> Column:
 
 def bitmap(rows: DataFrame, *columns: str) -> np.ndarray:
     """2**BITS flags: those of cells in which a row lies.  Eight MB come to the driver, whatever the table's size."""
+    return _collected(rows.select(cell(*columns).alias("cell")), lambda batch: batch.column(0).to_numpy())
+
+
+def pair_cells(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Cells of pairs of integers, for keys that tasks make themselves."""
+    mixed = mix(mix(a.astype(np.int64).view(np.uint64)) + b.astype(np.int64).view(np.uint64))
+    return (mixed >> np.uint64(64 - BITS)).astype(np.int64)
+
+
+def pair_bitmap(rows: DataFrame) -> np.ndarray:
+    """The flags of a table of two integer columns, by ``pair_cells``."""
+    return _collected(rows, lambda batch: pair_cells(batch.column(0).to_numpy(), batch.column(1).to_numpy()))
+
+
+def _collected(rows: DataFrame, cells_of) -> np.ndarray:
     size = 1 << (BITS - RANGE_BITS)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         flags: dict[int, np.ndarray] = {}
         for batch in batches:
-            cells = batch.column(0).to_numpy()
+            cells = cells_of(batch)
             for name in np.unique(cells >> (BITS - RANGE_BITS)).tolist():
-                own = flags.setdefault(name, np.zeros(size, np.uint8))
-                own[cells[cells >> (BITS - RANGE_BITS) == name] & (size - 1)] = 1
+                own = flags.setdefault(name, np.zeros(size >> 3, np.uint8))
+                inner = np.unique(cells[cells >> (BITS - RANGE_BITS) == name] & (size - 1))
+                np.bitwise_or.at(own, inner >> 3, (1 << (inner & 7)).astype(np.uint8))
         if flags:
-            yield pa.RecordBatch.from_arrays([pa.array(list(flags), pa.int32()), pa.array([np.packbits(f, bitorder="little").tobytes() for f in flags.values()], pa.binary())], names=["range", "flags"])
+            yield pa.RecordBatch.from_arrays([pa.array(list(flags), pa.int32()), pa.array([f.tobytes() for f in flags.values()], pa.binary())], names=["range", "flags"])
 
-    out = np.zeros(1 << (BITS - 3), dtype=np.uint8)
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        flags: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for name, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                flags[name] = flags.get(name, 0) | np.frombuffer(raw, np.uint8)
+        if flags:
+            yield pa.RecordBatch.from_arrays([pa.array(list(flags), pa.int32()), pa.array([f.tobytes() for f in flags.values()], pa.binary())], names=["range", "flags"])
+
+    kind = "range int, flags binary"
     shuffles = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    spread = rows.select(cell(*columns).alias("cell")).distinct().repartition(min(1 << RANGE_BITS, shuffles), F.shiftright("cell", BITS - RANGE_BITS))
-    for r in spread.mapInArrow(pack, "range int, flags binary").collect():
+    out = np.zeros(1 << (BITS - 3), dtype=np.uint8)
+    for r in rows.mapInArrow(pack, kind).repartition(min(1 << RANGE_BITS, shuffles), "range").mapInArrow(merge, kind).collect():
         part = np.frombuffer(r["flags"], np.uint8)
         out[r["range"] * len(part) : (r["range"] + 1) * len(part)] |= part
     return out

@@ -22,9 +22,9 @@ def written(df: DataFrame, name: str = "table") -> DataFrame:
     """The frame as a table in the shared folder, read again: later plans start from its files."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}"
-    df.write.parquet(path)
-    # The step's shuffle files go once its plan is collected; waiting for the driver to need memory keeps them for hours.
+    # Shuffle files of finished steps go once their plans are collected; until the driver needs memory that can take hours.
     spark.sparkContext._jvm.System.gc()
+    df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
