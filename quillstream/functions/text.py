@@ -184,7 +184,7 @@ def inverted_index_text(c: Column) -> Column:
 def fenced_json(c: Column) -> Column:
     """The inside of a fenced block, or all of it."""
     inside = F.regexp_extract(c, r"(?s)```(?:json)?\s*\n?(.*?)```", 1)
-    return F.trim(F.coalesce(F.nullif(inside, F.lit("")), c))
+    return F.regexp_replace(F.coalesce(F.nullif(inside, F.lit("")), c), r"^\s+|\s+$", "")
 
 
 def first_object(c: Column) -> Column:
