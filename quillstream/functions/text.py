@@ -190,3 +190,34 @@ def fenced_json(c: Column) -> Column:
 def first_object(c: Column) -> Column:
     """The first brace to its first closing one."""
     return F.nullif(F.regexp_extract(c, r"(?s)\{.*?\}", 0), F.lit(""))
+
+
+def meaningful_words(c: Column) -> Column:
+    """Distinct lower-case words of two letters or more that aren't stop words."""
+    found = F.regexp_extract_all(F.lower(strip_accents(c)), F.lit("[a-z0-9_]+"), 0)
+    return F.array_distinct(F.filter(found, lambda w: (F.length(w) > 1) & ~w.isin(*V.LINK_STOPWORDS)))
+
+
+def alnum(c: Column) -> Column:
+    return F.regexp_replace(F.lower(strip_accents(c)), "[^a-z0-9]", "")
+
+
+def link_score(anchor: Column, title: Column) -> Column:
+    """How well an anchor names a title: 1 if one holds the other and is over three quarters of it, else the lesser
+    of the shares of common words in either, of which each needs two."""
+    a, t = alnum(anchor), alnum(title)
+    share = F.least(F.length(a), F.length(t)) / F.greatest(F.length(a), F.length(t))
+    held = (F.contains(a, t) | F.contains(t, a)) & (t != "")
+    x, y = meaningful_words(anchor), meaningful_words(title)
+    both = F.size(F.array_intersect(x, y))
+    words_score = F.when((F.size(x) >= 2) & (F.size(y) >= 2), F.least(both / F.size(x), both / F.size(y))).otherwise(F.lit(0.0))
+    return F.when((F.length(F.trim(anchor)) < 5) | (F.length(a) < 5), 0.0).when(held & (share > 0.75), 1.0).otherwise(words_score)
+
+
+def generic_anchor(c: Column) -> Column:
+    bare = F.trim(c)
+    return (F.length(bare) < 5) | bare.rlike(V.GENERIC_ANCHOR) | F.lower(bare).endswith(".pdf")
+
+
+def capitalised(c: Column) -> Column:
+    return F.concat(F.upper(F.left(c, F.lit(1))), F.substring(c, 2, 1 << 30))

@@ -13,7 +13,7 @@ from quillstream.plans.common import Plans, total
 
 P = Plans()
 
-_GROUPS = """with recursive n as (select s_suppkey as id, s_nationkey % 9 as x, cast(floor(s_acctbal) as int) % 40 as y from supplier where s_suppkey <= 60),
+_GROUPS = """with recursive n as (select s_suppkey as id, s_nationkey % 9 as x, cast(floor(s_acctbal) as int) % 40 as y from supplier),
     e as (select a.id as a, b.id as b from n a join n b on a.y = b.y and a.id <> b.id),
     reach as (select id as a, id as b from n union select r.a, e.b from reach r join e on r.b = e.a),
     g as (select a as id, min(b) as root from reach group by a)
@@ -21,7 +21,7 @@ _GROUPS = """with recursive n as (select s_suppkey as id, s_nationkey % 9 as x,
 
 
 def _nodes(t):
-    return t("supplier").where("s_suppkey <= 60").select(F.col("s_suppkey").alias("id"), F.expr("s_nationkey % 9").alias("x"), F.expr("cast(floor(s_acctbal) as int) % 40").alias("y"), "s_acctbal")
+    return t("supplier").select(F.col("s_suppkey").alias("id"), F.expr("s_nationkey % 9").alias("x"), F.expr("cast(floor(s_acctbal) as int) % 40").alias("y"), "s_acctbal")
 
 
 def _rooted(t):
@@ -30,14 +30,9 @@ def _rooted(t):
     return n.join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
 
 
-@P.add("set_2_transitive_groups", """
-    with recursive n as (select p_partkey as id, p_name, p_brand from part where p_partkey <= 150),
-    e as (select a.id as a, b.id as b from n a join n b on (a.p_name = b.p_name or a.p_brand = b.p_brand) and a.id <> b.id),
-    reach as (select id as a, id as b from n union select r.a, e.b from reach r join e on r.b = e.a)
-    select a as id, min(b) as root from reach group by a
-""")
+@P.add("set_2_transitive_groups")
 def _(t):
-    n = t("part").where("p_partkey <= 150").select(F.col("p_partkey").alias("id"), "p_name", "p_brand")
+    n = t("part").select(F.col("p_partkey").alias("id"), "p_name", "p_brand")
     found = G.connected(G.star_pairs(n, "p_name", "id").unionAll(G.star_pairs(n, "p_brand", "id")))
     return n.select("id").join(found.withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("root", "id").alias("root"))
 
@@ -102,9 +97,9 @@ def _(t):
 @P.add("er_8_sorted_neighbours")
 def _(t):
     """Neighbours in order of their normal form, of one beginning and nearly one word order."""
-    form = T.normalize_title(F.left("text", F.lit(200)))
-    w = Window.partitionBy("source").orderBy("form", "doc_id")
-    pairs = t("documents").select("doc_id", "source", form.alias("form")).select(F.col("doc_id").alias("b"), F.lag("doc_id").over(w).alias("a"), F.col("form").alias("y"), F.lag("form").over(w).alias("x"))
+    w = Window.partitionBy("p_brand").orderBy("form", "p_partkey")
+    forms = t("part").select("p_partkey", "p_brand", T.normalize_title(F.concat_ws(" ", "p_name", "p_type")).alias("form"))
+    pairs = forms.select(F.col("p_partkey").alias("b"), F.lag("p_partkey").over(w).alias("a"), F.col("form").alias("y"), F.lag("form").over(w).alias("x"))
     near = pairs.where(F.left("x", F.lit(20)) == F.left("y", F.lit(20))).withColumn("score", U.sequence_ratio(T.words(F.col("x")), T.words(F.col("y"))))
     return near.where("score >= 0.92").select("a", "b", "score")
 
@@ -114,7 +109,7 @@ def _(t):
     """Each old title of a page used once, best pairs first; greedy within a page of a few titles."""
     import pandas as pd
 
-    lines = t("pages").select("page_id", F.posexplode(F.slice(F.split("html", "<p>"), 2, 6)).alias("k", "piece"))
+    lines = t("pages").select("page_id", F.posexplode(F.slice(F.split("html", "<p>"), 2, 1 << 30)).alias("k", "piece"))
     pair = lines.select("page_id", F.col("k").alias("i"), F.col("piece").alias("x")).join(lines.select("page_id", F.col("k").alias("j"), F.col("piece").alias("y")), "page_id").where("i < j")
     scored = pair.withColumn("score", T.title_jaccard(F.col("x"), F.col("y"))).where("score >= 0.2").select("page_id", "i", "j", "score")
 
@@ -199,11 +194,11 @@ def _(t):
 
 
 @P.add("set_4_symmetric_difference", r"""
-    with w as (select doc_id, list_distinct(string_split(text[1:80], ' ')) as a, list_distinct(string_split(text[41:120], ' ')) as b from documents)
-    select doc_id, (len(list_filter(a, lambda x: not list_contains(b, x))) + len(list_filter(b, lambda x: not list_contains(a, x))))::bigint as n from w
+    with w as (select doc_id, list_distinct(string_split(text, ' ')) as a, list_distinct(string_split(text[41:], ' ')) as b from documents)
+    select doc_id, (len(a) + len(b) - 2 * len(list_intersect(a, b)))::bigint as n from w
 """)
 def _(t):
-    a, b = F.array_distinct(F.split(F.substring("text", 1, 80), " ")), F.array_distinct(F.split(F.substring("text", 41, 80), " "))
+    a, b = F.array_distinct(F.split("text", " ")), F.array_distinct(F.split(F.substring("text", 41, 1 << 30), " "))
     return t("documents").select("doc_id", (F.size(F.array_except(a, b)) + F.size(F.array_except(b, a))).cast("long").alias("n"))
 
 

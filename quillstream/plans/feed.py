@@ -231,11 +231,12 @@ def _(t):
 
 
 @P.add("join_11_prefix", """
-    select distinct d.doc_id, b.item_id from documents d join benchmark b on d.doc_id % 40 = b.item_id % 40 and starts_with(lower(d.text), lower(b.text[1:2]))
+    select distinct d.doc_id, b.item_id from documents d join benchmark b on split_part(lower(d.text), ' ', 1) = split_part(lower(b.text), ' ', 1) and starts_with(lower(d.text), split_part(lower(b.text), ' ', 1) || ' ' || split_part(lower(b.text), ' ', 2)[1:2])
 """)
 def _(t):
-    b = t("benchmark").select("item_id", F.expr("item_id % 40").alias("k"), F.lower(F.left("text", F.lit(2))).alias("head"))
-    return t("documents").withColumn("k", F.expr("doc_id % 40")).join(b, "k").where(F.startswith(F.lower("text"), F.col("head"))).select("doc_id", "item_id").distinct()
+    word = lambda n: F.split_part(F.lower("text"), F.lit(" "), F.lit(n))
+    b = t("benchmark").select("item_id", word(1).alias("k"), F.concat(word(1), F.lit(" "), F.left(word(2), F.lit(2))).alias("head"))
+    return t("documents").withColumn("k", word(1)).join(b, "k").where(F.startswith(F.lower("text"), F.col("head"))).select("doc_id", "item_id").distinct()
 
 
 @P.add("join_12_first_match", "select url_key, min(page_id) as page_id from (select page_id, lower(regexp_extract(url, '^https?://([^/?#]+)', 1)) as url_key from pages) group by url_key")
@@ -350,13 +351,13 @@ def _(t):
 
 @P.add("srv_2_detail", """
     select p_partkey, p_name, (select string_agg(s_name, ', ' order by k) from (select s_name, min(l_linenumber) * 100000 + s_suppkey as k from lineitem join supplier on s_suppkey = l_suppkey where l_partkey = p_partkey group by s_name, s_suppkey)) as authors
-    from part where p_partkey <= 50
+    from part
 """)
 def _(t):
     a = t("lineitem").groupBy("l_partkey", "l_suppkey").agg(F.min("l_linenumber").alias("first"))
     named = a.join(t("supplier").select("s_suppkey", "s_name"), F.col("s_suppkey") == F.col("l_suppkey")).withColumn("k", F.expr("first * 100000 + s_suppkey"))
     authors = R.nested(named, ["l_partkey"], "k", "s_name").select(F.col("l_partkey").alias("p_partkey"), F.array_join(F.transform("items", lambda x: x["s_name"]), ", ").alias("authors"))
-    return t("part").where("p_partkey <= 50").join(authors, "p_partkey", "left").select("p_partkey", "p_name", "authors")
+    return t("part").join(authors, "p_partkey", "left").select("p_partkey", "p_name", "authors")
 
 
 @P.add("srv_3_people_list", """

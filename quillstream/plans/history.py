@@ -200,7 +200,7 @@ def _(t):
 
 @P.add("html_3_links")
 def _(t):
-    return t("pages").select("page_id", F.explode(U.page_links("html")).alias("l")).select("page_id", "l.url", "l.anchor", F.left("l.block", F.lit(200)).alias("block"))
+    return t("pages").select("page_id", F.explode(U.page_links("html")).alias("l")).select("page_id", "l.url", "l.anchor", "l.block")
 
 
 @P.add("html_2_main_text")

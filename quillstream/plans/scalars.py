@@ -11,14 +11,14 @@ from quillstream.plans.common import AS_OF, Plans
 
 P = Plans()
 _NORMAL = r"trim(regexp_replace(regexp_replace(lower(trim({0})), '[^a-z0-9\s]', '', 'g'), '\s+', ' ', 'g'))"
-_TEXT = _NORMAL.format("text[1:400]")
+_TEXT = _NORMAL.format("text")
 
 
 def _docs(t):
     return t("documents")
 
 
-_HEAD = "left(text, 400)"
+_HEAD = "text"
 
 
 @P.add("str_1_normalize_title", f"select doc_id, {_TEXT} as title from documents")
@@ -60,22 +60,22 @@ def _(t):
     return t("part").select("p_partkey", T.normalize_text(F.expr(_PAGE)).alias("text"))
 
 
-@P.add("str_6_match_form", "select doc_id, trim(regexp_replace(lower(text[1:300]), '[^a-z0-9]+', ' ', 'g')) as form from documents")
+@P.add("str_6_match_form", "select doc_id, trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')) as form from documents")
 def _(t):
-    return _docs(t).select("doc_id", T.match_form(F.left("text", F.lit(300))).alias("form"))
+    return _docs(t).select("doc_id", T.match_form(F.col("text")).alias("form"))
 
 
-@P.add("str_7_strip_accents", "select doc_id, strip_accents(text[1:300]) as bare from documents")
+@P.add("str_7_strip_accents", "select doc_id, strip_accents(text) as bare from documents")
 def _(t):
-    return _docs(t).select("doc_id", T.strip_accents(F.left("text", F.lit(300))).alias("bare"))
+    return _docs(t).select("doc_id", T.strip_accents(F.col("text")).alias("bare"))
 
 
-@P.add("str_7_strip_accents_unicode", "select doc_id, strip_accents(text[1:300]) as bare from documents")
+@P.add("str_7_strip_accents_unicode", "select doc_id, strip_accents(text) as bare from documents")
 def _(t):
-    return _docs(t).select("doc_id", U.strip_accents(F.left("text", F.lit(300))).alias("bare"))
+    return _docs(t).select("doc_id", U.strip_accents(F.col("text")).alias("bare"))
 
 
-_A, _B = _NORMAL.format("text[1:120]"), _NORMAL.format("text[61:180]")
+_A, _B = _NORMAL.format("text"), _NORMAL.format("text[61:]")
 
 
 @P.add("str_8_word_jaccard", f"""
@@ -83,39 +83,39 @@ _A, _B = _NORMAL.format("text[1:120]"), _NORMAL.format("text[61:180]")
     select doc_id, case when len(a) > 0 and len(b) > 0 then round(len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b))), 9) else 0.0 end as score from w
 """)
 def _(t):
-    return _docs(t).select("doc_id", F.round(T.title_jaccard(F.substring("text", 1, 120), F.substring("text", 61, 120)), 9).alias("score"))
+    return _docs(t).select("doc_id", F.round(T.title_jaccard(F.col("text"), F.substring("text", 61, 1 << 30)), 9).alias("score"))
 
 
 @P.add("str_9_overlap", f"""
     with w as (select doc_id, list_distinct(list_filter(string_split({_A}, ' '), lambda x: x <> '' and not list_contains(['the', 'a', 'an', 'of', 'on', 'in', 'at', 'to', 'for', 'and', 'or', 'by', 'with', 'from', 'as', 'is', 'are'], x))) as a,
-        list_distinct(list_filter(string_split({_B}, ' '), lambda x: x <> '' and not list_contains(['the', 'a', 'an', 'of', 'on', 'in', 'at', 'to', 'for', 'and', 'or', 'by', 'with', 'from', 'as', 'is', 'are'], x))) as b from documents where lang = 'en')
+        list_distinct(list_filter(string_split({_B}, ' '), lambda x: x <> '' and not list_contains(['the', 'a', 'an', 'of', 'on', 'in', 'at', 'to', 'for', 'and', 'or', 'by', 'with', 'from', 'as', 'is', 'are'], x))) as b from documents)
     select doc_id, case when least(len(a), len(b)) > 0 then round(len(list_intersect(a, b)) / least(len(a), len(b)), 9) else 0.0 end as score from w
 """)
 def _(t):
-    a, b = (T.content_words(T.normalize_title(F.substring("text", k, 120))) for k in (1, 61))
-    return _docs(t).where("lang = 'en'").select("doc_id", F.round(T.overlap(a, b), 9).alias("score"))
+    a, b = (T.content_words(T.normalize_title(F.substring("text", k, 1 << 30))) for k in (1, 61))
+    return _docs(t).select("doc_id", F.round(T.overlap(a, b), 9).alias("score"))
 
 
 @P.add("str_10_sequence_ratio")
 def _(t):
-    a, b = (T.words(F.substring("text", k, 200)) for k in (1, 101))
-    return _docs(t).select("doc_id", U.sequence_ratio(a, b).alias("ratio"))
+    return t("part").select("p_partkey", U.sequence_ratio(T.words(F.lower("p_name")), T.words(F.lower("p_type"))).alias("ratio"))
 
 
 @P.add("str_12_name_compatible")
 def _(t):
-    a, b = F.substring_index(F.substring("text", 1, 40), ".", 1), F.concat(F.left("text", F.lit(1)), F.lit("."))
-    return _docs(t).select("doc_id", T.compatible_names(a, b).alias("ok"), T.initial_match(b, a).alias("initial"), T.longer_name(a, b).alias("longer"), T.abbreviation(a, b).alias("short"))
+    a, b = F.col("p_name"), F.concat(F.left("p_type", F.lit(1)), F.lit("."))
+    return t("part").select("p_partkey", T.compatible_names(a, b).alias("ok"), T.initial_match(b, a).alias("initial"), T.longer_name(a, b).alias("longer"), T.abbreviation(a, b).alias("short"))
 
 
 @P.add("str_16_title_renamed")
 def _(t):
-    return _docs(t).select("doc_id", U.title_renamed(T.normalize_title(F.substring("text", 1, 60)), T.normalize_title(F.substring("text", 4, 60))).alias("renamed"))
+    return t("part").select("p_partkey", U.title_renamed(T.normalize_title(F.col("p_name")), T.normalize_title(F.col("p_type"))).alias("renamed"))
 
 
 @P.add("str_17_title_on_page")
 def _(t):
-    return _docs(t).select("doc_id", U.title_on_page(T.match_form(F.substring("text", 30, 70)), T.match_form(F.substring("text", 1, 2000))).alias("found"))
+    title = T.match_form(F.regexp_extract("html", "(?s)<title>(.*?)</title>", 1))
+    return t("pages").select("page_id", U.title_on_page(title, U.match_html("html")).alias("found"))
 
 
 @P.add("str_21_first_words", "select doc_id, array_to_string(string_split(text, ' ')[1:20], ' ') as head, length(text)::bigint as n from documents")
@@ -133,9 +133,9 @@ def _(t):
     return t("customer").select("c_custkey", T.strip_prefix(F.col("c_name"), "Customer#").alias("bare"))
 
 
-@P.add("str_25_acronym", "select doc_id, replace(upper(array_to_string(list_transform(list_filter(string_split(regexp_replace(text[1:100], '\\s+', ' ', 'g'), ' '), lambda w: length(w) > 2), lambda w: w[1]), '')), 'ẞ', 'SS') as acronym from documents where lang = 'en'")
+@P.add("str_25_acronym", "select doc_id, replace(upper(array_to_string(list_transform(list_filter(string_split(regexp_replace(text, '\\s+', ' ', 'g'), ' '), lambda w: length(w) > 2), lambda w: w[1]), '')), 'ẞ', 'SS') as acronym from documents")
 def _(t):
-    return _docs(t).where("lang = 'en'").select("doc_id", T.acronym(F.substring("text", 1, 100)).alias("acronym"))
+    return _docs(t).select("doc_id", T.acronym(F.col("text")).alias("acronym"))
 
 
 @P.add("str_26_topic_codes")
@@ -148,9 +148,9 @@ def _(t):
     return t("orders").select("o_orderkey", F.concat(F.upper(F.left("o_orderpriority", F.lit(1))), F.lower(F.substring("o_orderpriority", 2, 1000))).alias("label"), F.format_string("%s → %s", "o_orderstatus", "o_orderpriority").alias("detail"))
 
 
-@P.add("str_19_repair", "select doc_id, text[1:200] as text from documents")
+@P.add("str_19_repair", "select doc_id, text from documents")
 def _(t):
-    garbled = F.decode(F.encode(F.left("text", F.lit(200)), "UTF-8"), "ISO-8859-1")
+    garbled = F.decode(F.encode("text", "UTF-8"), "ISO-8859-1")
     return _docs(t).select("doc_id", T.latin1_repair(garbled).alias("text"))
 
 
@@ -159,9 +159,9 @@ def _(t):
     return t("customer").select("c_custkey", U.signed(F.lit("key"), F.col("c_name")).alias("token"))
 
 
-@P.add("str_35_fuzzy_form", "select doc_id, regexp_replace(replace(replace(lower(text[1:200]), '-', ''), '''s', ''), '[^\\pL\\pN_\\s]', '', 'g') as form from documents where lang = 'en'")
+@P.add("str_35_fuzzy_form", "select doc_id, regexp_replace(replace(replace(lower(text), '-', ''), '''s', ''), '[^\\pL\\pN_\\s]', '', 'g') as form from documents")
 def _(t):
-    return _docs(t).where("lang = 'en'").select("doc_id", T.fuzzy_form(F.left("text", F.lit(200))).alias("form"))
+    return _docs(t).select("doc_id", T.fuzzy_form(F.col("text")).alias("form"))
 
 
 @P.add("str_40_event_number", "select event_id, try_cast(regexp_extract('evt_' || event_id, '^evt_([0-9]+)$', 1) as bigint) as n from events")
@@ -280,9 +280,9 @@ def _(t):
     return t("events").groupBy("event_type").agg(F.round(F.sum(known), 6).alias("cost"))
 
 
-@P.add("math_2_total_fallback", "select l_orderkey, l_linenumber, l_partkey, l_suppkey, coalesce(nullif(l_tax, 0), l_discount + l_quantity) as total from lineitem where l_orderkey % 10 = 0")
+@P.add("math_2_total_fallback", "select l_orderkey, l_linenumber, l_partkey, l_suppkey, coalesce(nullif(l_tax, 0), l_discount + l_quantity) as total from lineitem")
 def _(t):
-    return t("lineitem").where("l_orderkey % 10 = 0").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.coalesce(F.nullif("l_tax", F.lit(0.0)), F.col("l_discount") + F.col("l_quantity")).alias("total"))
+    return t("lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.coalesce(F.nullif("l_tax", F.lit(0.0)), F.col("l_discount") + F.col("l_quantity")).alias("total"))
 
 
 @P.add("math_3_pages", "select o_orderstatus, ceil(count(*) / 20.0)::bigint as pages from orders group by o_orderstatus")
@@ -293,15 +293,15 @@ def _(t):
 # Arrays and JSON
 
 
-@P.add("arr_1_filter_map", "select doc_id, array_to_string(list_transform(list_filter(string_split(text[1:200], ' '), lambda w: length(w) > 6), lambda w: upper(w)), ' ') as long_words from documents where lang = 'en'")
+@P.add("arr_1_filter_map", "select doc_id, replace(array_to_string(list_transform(list_filter(string_split(text, ' '), lambda w: length(w) > 6), lambda w: upper(w)), ' '), 'ẞ', 'SS') as long_words from documents")
 def _(t):
-    ws = F.filter(F.split(F.left("text", F.lit(200)), " "), lambda w: F.length(w) > 6)
-    return _docs(t).where("lang = 'en'").select("doc_id", F.array_join(F.transform(ws, F.upper), " ").alias("long_words"))
+    ws = F.filter(F.split("text", " "), lambda w: F.length(w) > 6)
+    return _docs(t).select("doc_id", F.array_join(F.transform(ws, F.upper), " ").alias("long_words"))
 
 
-@P.add("arr_2_ordered_distinct", "select doc_id, len(list_distinct(string_split(text[1:200], ' ')))::bigint as n from documents")
+@P.add("arr_2_ordered_distinct", "select doc_id, len(list_distinct(string_split(text, ' ')))::bigint as n from documents")
 def _(t):
-    return _docs(t).select("doc_id", F.size(F.array_distinct(F.split(F.left("text", F.lit(200)), " "))).cast("long").alias("n"))
+    return _docs(t).select("doc_id", F.size(F.array_distinct(F.split("text", " "))).cast("long").alias("n"))
 
 
 @P.add("arr_3_name_parts", """
@@ -324,12 +324,11 @@ def _(t):
     return _docs(t).groupBy("source").agg(F.max(F.length("text")).cast("long").alias("n"), F.min_by("doc_id", F.struct(-F.length("text"), "doc_id")).alias("doc_id"))
 
 
-@P.add("map_1_inverted_index", "select doc_id, text[1:60] as text from documents where lang = 'en' and not contains(text[1:60], '\"') and not regexp_matches(text[1:60], '\\s\\s|\\n|\\\\|^\\s|\\s$')")
+@P.add("map_1_inverted_index", r"select doc_id, nullif(trim(regexp_replace(text, '\s+', ' ', 'g')), '') as text from documents where regexp_matches(text, '\S')")
 def _(t):
-    head = F.left("text", F.lit(60))
-    plain = _docs(t).where((F.col("lang") == "en") & ~head.rlike(r'["\\\n]|\s\s|^\s|\s$')).select("doc_id", F.split(head, " ").alias("w"))
-    index = F.map_from_entries(F.transform(F.array_distinct("w"), lambda x: F.struct(x, F.filter(F.transform("w", lambda y, i: F.when(y == x, i)), lambda p: p.isNotNull()))))
-    return plain.select("doc_id", T.inverted_index_text(F.to_json(index)).alias("text"))
+    words = _docs(t).select("doc_id", F.posexplode(T.words(F.col("text"))).alias("p", "w"))
+    index = words.groupBy("doc_id", "w").agg(F.sort_array(F.collect_list("p")).alias("at")).groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("w", "at"))).alias("m"))
+    return index.select("doc_id", T.inverted_index_text(F.to_json("m")).alias("text"))
 
 
 @P.add("json_1_field", "select event_id, (props::json->>'k')::int as k from events")

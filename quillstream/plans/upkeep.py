@@ -265,9 +265,9 @@ def _(t):
     return Q.null_where(rows, "draft", F.col("same") & (F.col("draft") == F.col("url"))).select("page_id", "draft")
 
 
-@P.add("rep_18_mojibake_columns", "select doc_id, text[1:150] as head, lang from documents")
+@P.add("rep_18_mojibake_columns", "select doc_id, text as head, lang from documents")
 def _(t):
-    garbled = t("documents").select("doc_id", F.decode(F.encode(F.left("text", F.lit(150)), "UTF-8"), "ISO-8859-1").alias("head"), "lang")
+    garbled = t("documents").select("doc_id", F.decode(F.encode("text", "UTF-8"), "ISO-8859-1").alias("head"), "lang")
     return garbled.withColumns({c: T.latin1_repair(F.col(c)) for c in ("head", "lang")})
 
 

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from quillstream.plans import analytics, entities, feed, history, scalars, streams, upkeep
+from quillstream.plans import analytics, entities, extras, feed, history, scalars, streams, upkeep
 from quillstream.plans.common import Query
 
-_ALL = (feed.P, analytics.P, history.P, entities.P, scalars.P, upkeep.P, streams.P)
+_ALL = (feed.P, analytics.P, history.P, entities.P, scalars.P, upkeep.P, streams.P, extras.P)
 
 
 def queries() -> dict[str, Query]:
