@@ -67,10 +67,10 @@ def _(t):
     return t("part").join(m, F.col("l_partkey") == F.col("p_partkey"), "left").select("p_partkey", F.coalesce("m", "p_size").alias("size"))
 
 
-@P.add("dml_7_earlier_date", "select o_orderkey, least(o_orderdate, coalesce(min(l_shipdate) - interval 100 day, o_orderdate)) as at from orders left join lineitem on l_orderkey = o_orderkey group by o_orderkey, o_orderdate")
+@P.add("dml_7_earlier_date", "select o_orderkey, least(o_orderdate, coalesce(min(l_shipdate) - interval 100 day, o_orderdate)) as moved_to from orders left join lineitem on l_orderkey = o_orderkey group by o_orderkey, o_orderdate")
 def _(t):
     first = t("lineitem").groupBy("l_orderkey").agg((F.min("l_shipdate") - F.expr("interval 100 days")).alias("f"))
-    return t("orders").join(first, F.col("l_orderkey") == F.col("o_orderkey"), "left").select("o_orderkey", F.least("o_orderdate", F.coalesce("f", "o_orderdate")).alias("at"))
+    return t("orders").join(first, F.col("l_orderkey") == F.col("o_orderkey"), "left").select("o_orderkey", F.least("o_orderdate", F.coalesce("f", "o_orderdate")).alias("moved_to"))
 
 
 @P.add("dml_8_delete", "select event_id from events where not (event_type = 'view' and value < 20)")

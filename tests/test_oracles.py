@@ -39,7 +39,7 @@ def test_query(spark, duck, name):
     got = sorted(tuple(map(plain, r)) for r in rows.select(columns).collect())
     if (sql := registry.oracle_sql().get(name)) is None:
         return
-    found = duck.sql(f"select {', '.join(columns)} from ({sql})")
+    found = duck.sql(f"select {', '.join(f'\"{c}\"' for c in columns)} from ({sql})")
     assert sorted(duck.sql(sql).columns) == columns
     assert got == sorted(tuple(map(plain, r)) for r in found.fetchall())
 
