@@ -1,12 +1,14 @@
 """Numpy columns dealt among tasks by key: a shuffle of blobs in place of rows.
 
-A task splits its columns by part, sorted by key, and sends one blob for each part; the task that
-gets a part has its columns back as arrays.  A blob keeps each column's bytes as planes, which
-compress well for sorted and small numbers, and costs no work for each row.
+A task splits its columns by part and sends one blob for each part; the task that gets a part has
+its columns back as arrays.  A blob keeps each column's bytes as planes, which compress well for
+sorted and small numbers, and costs no work for each row.  Two tables may share a blob, the second
+with any number of rows for each of the first's.
 """
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -14,56 +16,76 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 BLOB = "part int, blob binary"
-_SCHEMA = pa.schema([("part", pa.int32()), ("blob", pa.binary())])
+SCHEMA = pa.schema([("part", pa.int32()), ("blob", pa.binary())])
+Columns = dict[str, np.ndarray]
 
 
-def packed(columns: dict[str, np.ndarray]) -> bytes:
+def ranges(start: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """start[0], start[0] + 1, ... (count[0] of them), start[1], ..."""
+    total = np.cumsum(count)
+    return np.repeat(start - (total - count), count) + np.arange(int(total[-1]) if len(total) else 0)
+
+
+def packed(columns: Columns) -> bytes:
     n = len(next(iter(columns.values())))
-    return b"".join(np.ascontiguousarray(c).view(np.uint8).reshape(n, c.dtype.itemsize).T.tobytes() for c in columns.values())
+    planes = [np.ascontiguousarray(c).view(np.uint8).reshape(n, c.dtype.itemsize).T.tobytes() for c in columns.values()]
+    return struct.pack("<q", n) + b"".join(planes)
 
 
-def unpacked(blob: bytes, kinds: dict[str, str]) -> dict[str, np.ndarray]:
-    width = sum(np.dtype(k).itemsize for k in kinds.values())
-    n, at, out = len(blob) // width, 0, {}
+def unpacked(blob: bytes | pa.Buffer, at: int, kinds: dict[str, str]) -> tuple[Columns, int]:
+    n, out = struct.unpack_from("<q", blob, at)[0], {}
+    at += 8
     for name, kind in kinds.items():
         size = np.dtype(kind).itemsize
         planes = np.frombuffer(blob, np.uint8, n * size, at).reshape(size, n)
         out[name] = np.ascontiguousarray(planes.T).view(kind).ravel()
         at += n * size
-    return out
+    return out, at
+
 
+def deal(columns: Columns, part: np.ndarray, order: np.ndarray, count: np.ndarray | None = None, more: Columns | None = None) -> Iterator[pa.RecordBatch]:
+    """A blob for each part; ``order`` sorts the rows by part (and may go on).
 
-def deal(columns: dict[str, np.ndarray], part: np.ndarray, key: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Blobs of the rows of each part, in order of ``key``."""
+    ``more``: a second table's columns, ``count`` rows for each row of the first, in the same order.
+    """
     if not len(part):
         return
-    order = np.lexsort((key, part))
     part = part[order]
     names, first = np.unique(part, return_index=True)
-    ends = np.append(first[1:], len(part))
+    ends = np.append(first[1:], len(part)).tolist()
     columns = {k: c[order] for k, c in columns.items()}
-    blobs = [packed({k: c[a:b] for k, c in columns.items()}) for a, b in zip(first.tolist(), ends.tolist(), strict=True)]
-    yield pa.RecordBatch.from_arrays([pa.array(names.astype(np.int32)), pa.array(blobs, pa.binary())], schema=_SCHEMA)
+    blobs = [packed({k: c[a:b] for k, c in columns.items()}) for a, b in zip(first.tolist(), ends, strict=True)]
+    if more is not None:
+        own = count[order]
+        at = ranges((np.cumsum(count) - count)[order], own)
+        more = {k: c[at] for k, c in more.items()}
+        edge = np.concatenate([[0], np.cumsum(own)])
+        blobs = [blob + packed({k: c[edge[a] : edge[b]] for k, c in more.items()}) for blob, a, b in zip(blobs, first.tolist(), ends, strict=True)]
+    yield pa.RecordBatch.from_arrays([pa.array(names.astype(np.int32)), pa.array(blobs, pa.binary())], schema=SCHEMA)
 
 
-def gathered(blobs: DataFrame, parts: int, kinds: dict[str, str], then: Callable[[dict[str, np.ndarray]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """``then`` applied to all columns of each part."""
+def gathered(blobs: DataFrame, parts: int, kinds: list[dict[str, str]], then: Callable[..., Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """``then`` applied to the tables of each part, a dict of columns for each of ``kinds``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, list[np.ndarray]] = {k: [] for k in kinds}
+        held: list[dict[str, list[np.ndarray]]] = [{k: [] for k in kind} for kind in kinds]
         name = None
 
         def done() -> Iterator[pa.RecordBatch]:
-            yield from then({k: np.concatenate(c) for k, c in held.items()})
+            yield from then(*({k: np.concatenate(c) for k, c in table.items()} for table in held))
 
         for batch in batches:
-            for own, blob in zip(batch.column("part").to_pylist(), batch.column("blob").to_pylist(), strict=True):
+            blobs_here = batch.column("blob")
+            for k, own in enumerate(batch.column("part").to_pylist()):
+                blob = blobs_here[k].as_buffer()  # no copy
                 if name is not None and own != name:
                     yield from done()
-                    held = {k: [] for k in kinds}
-                name = own
-                for k, c in unpacked(blob, kinds).items():
-                    held[k].append(c)
+                    held = [{k: [] for k in kind} for kind in kinds]
+                name, at = own, 0
+                for kind, table in zip(kinds, held, strict=True):
+                    columns, at = unpacked(blob, at, kind)
+                    for column, c in columns.items():
+                        table[column].append(c)
         if name is not None:
             yield from done()
 

@@ -12,7 +12,7 @@ is left to know is whether a class has an earlier similar one:
   each other's rarest n - ceil(percent * n / 100) + 1; those words (less the ones that occur once)
   are dealt by word.
 * Where classes meet, three exact bounds are applied: on their sizes, on the overlap that the
-  word's positions still allow, and on the difference that 64-bit signatures of the sets prove.
+  word's positions still allow, and on the difference that 128-bit signatures of the sets prove.
 * Survivors are verified on the full sets.  Each class first tries its earliest candidates; only
   classes that none of these settled, and that had more, try all of them.
 
@@ -38,7 +38,7 @@ from quillstream.llm.storage import written
 
 PERCENT, LEAST_WORDS = 80, 5
 #: Earliest candidates tried first, and the rows of a word's block.
-TRIES, BLOCK_ROWS = 2, 8192
+TRIES, BLOCK_ROWS = 4, 8192
 _LAST = (1 << 63) - 1
 
 
@@ -71,16 +71,18 @@ def _prefixes(lines: Lines, order: rare.Rarity, percent: int, least: int) -> tup
 
 def _level(size: np.ndarray) -> np.ndarray:
     """Signatures of longer lines are of every 2nd, 4th, ... word, lest all bits be set."""
-    return np.maximum(0, np.ceil(np.log2(np.maximum(size, 1) / 48))).astype(np.int64)
+    return np.maximum(0, np.floor(np.log2(np.maximum(size, 1) / 80))).astype(np.int64)
 
 
-def signatures(lines: Lines) -> np.ndarray:
-    """64 bits of each line: two lines of one level differ in as many words at least as their bits do."""
+def signatures(lines: Lines) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits of each line: two lines of one level differ in as many words at least as their bits do."""
     level = _level(lines.size)[lines.owner]
     token = lines.tokens >> np.uint64(64 - BITS)
     bit = np.uint64(1) << (token & np.uint64(63))
-    bit[((token >> np.uint64(6)).astype(np.int64) & ((1 << level) - 1)) != 0] = 0
-    return np.bitwise_or.reduceat(bit, lines.first[:-1])
+    bit[((token >> np.uint64(8)).astype(np.int64) & ((1 << level) - 1)) != 0] = 0
+    low = (token & np.uint64(64)) == 0
+    first = lines.first[:-1]
+    return np.bitwise_or.reduceat(np.where(low, bit, np.uint64(0)), first), np.bitwise_or.reduceat(np.where(low, np.uint64(0), bit), first)
 
 
 def _earliest(x: np.ndarray, y: np.ndarray, most: int | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -96,7 +98,7 @@ def _earliest(x: np.ndarray, y: np.ndarray, most: int | None) -> tuple[np.ndarra
     return x[keep], y[keep], np.repeat(count > most, count)[keep]
 
 
-def meet(grp: np.ndarray, side: np.ndarray, doc: np.ndarray, line: np.ndarray, size: np.ndarray, place: np.ndarray, sign: np.ndarray, probe: np.ndarray, percent: int, most: int | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def meet(grp: np.ndarray, side: np.ndarray, doc: np.ndarray, line: np.ndarray, size: np.ndarray, place: np.ndarray, sign: np.ndarray, sign2: np.ndarray, probe: np.ndarray, percent: int, most: int | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Pairs (later row, earlier row) of one group each that pass all bounds, and for each whether its later row had more.
 
     Rows are sorted by group and size.  Step d compares each row with the d-th after it, as long as
@@ -120,7 +122,7 @@ def meet(grp: np.ndarray, side: np.ndarray, doc: np.ndarray, line: np.ndarray, s
         total = size[i] + size[j]
         need = -(-percent * total // (100 + percent))
         good = np.minimum(size[i] - place[i], size[j] - place[j]) >= need
-        good &= (level[i] != level[j]) | (np.bitwise_count(sign[i] ^ sign[j]) <= total - 2 * need)
+        good &= (level[i] != level[j]) | (np.bitwise_count(sign[i] ^ sign[j]).astype(np.int64) + np.bitwise_count(sign2[i] ^ sign2[j]) <= total - 2 * need)
         good &= (doc[i] != doc[j]) | (line[i] != line[j])
         good &= (side[i] == 0) | (side[i] != side[j])
         if good.any():
@@ -141,8 +143,10 @@ def meet(grp: np.ndarray, side: np.ndarray, doc: np.ndarray, line: np.ndarray, s
 
 
 _PAIR = "x_doc long, x_line int, y_doc long, y_line int, more boolean"
-_LINE = {"h1": "<u8", "h2": "<u8", "doc": "<i8", "key": "<i8", "line": "<i4", "size": "<i4", "sign": "<u8", "words": "<i4"}
-_POSTING = {"grp": "<u8", "doc": "<i8", "line": "<i4", "size": "<i4", "place": "<i4", "sign": "<u8", "side": "<i1"}
+_LINE = {"h1": "<u8", "h2": "<u8", "doc": "<i8", "key": "<i8", "line": "<i4", "size": "<i4", "sign": "<u8", "sign2": "<u8", "words": "<i4"}
+_WORD = {"token": "<u8", "place": "<i4", "blocks": "<i4"}
+_POSTING = {"grp": "<u8", "doc": "<i8", "line": "<i4", "size": "<i4", "place": "<i4", "sign": "<u8", "sign2": "<u8", "side": "<i1"}
+_GROUP_BITS = rare.HEAD_BITS
 
 
 def _spread(columns: dict[str, np.ndarray], blocks: np.ndarray) -> dict[str, np.ndarray]:
@@ -158,7 +162,7 @@ def _spread(columns: dict[str, np.ndarray], blocks: np.ndarray) -> dict[str, np.
         own = (tx.mix(tx.mix(out["doc"].view(np.uint64)) + out["line"].astype(np.uint64)) % blocks[at].astype(np.uint64)).astype(np.int64)
         other = np.arange(len(at)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
         pair = tx.mix(out["grp"] + tx.mix((np.minimum(own, other) << 32 | np.maximum(own, other)).astype(np.uint64)))
-        out["grp"] = np.where(several, pair, out["grp"])
+        out["grp"] = np.where(several, pair >> np.uint64(64 - _GROUP_BITS), out["grp"])
         out["side"] = np.where(several & (own != other), np.where(own < other, 1, 2), 0).astype(np.int8)
     return out
 
@@ -169,12 +173,12 @@ def later_lines(docs: DataFrame, percent: int = PERCENT, least: int = LEAST_WORD
     Lines of rows with equal doc_id and number are equally early: neither removes the other.
     """
     spark = docs.sparkSession
-    parts = 4 * max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    parts = 2 * max(4, int(spark.conf.get("spark.sql.shuffle.partitions")))
     read = docs.where(F.col("text").isNotNull()).select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("doc_id"), F.xxhash64("text").alias("text_key"), "text")
     order = spark.sparkContext.broadcast(rare.measure(read.select("text"), _tokens(least)))
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Names of lines' sets, each followed by its prefix words as (token, place and blocks) in the columns of a line."""
+        """Lines with their sets' names, dealt by name; with each, its prefix words."""
         for batch in batches:
             for part in tx.slices(batch, "text"):
                 lines = line_sets(part.column("text"))
@@ -183,73 +187,85 @@ def later_lines(docs: DataFrame, percent: int = PERCENT, least: int = LEAST_WORD
                     continue
                 first = lines.first[:-1]
                 # a set's name: two sums over its words, in any order
-                h1 = np.add.reduceat(tx.mix(lines.tokens + np.uint64(1)), first)
-                h2 = np.add.reduceat(tx.mix(lines.tokens ^ np.uint64(0x5851F42D4C957F2D)), first)
-                sign = signatures(lines)
+                h1 = np.add.reduceat(tx.mix(lines.tokens + np.uint64(1)), first)[keep]
+                h2 = np.add.reduceat(tx.mix(lines.tokens ^ np.uint64(0x5851F42D4C957F2D)), first)[keep]
+                sign, sign2 = signatures(lines)
                 owner, token, place, frequency = _prefixes(lines, order.value, percent, least)
-                count = np.bincount(owner, minlength=len(lines.size))
-                ids, keys = (part.column(c).to_numpy()[lines.row] for c in ("doc_id", "text_key"))
-                head = {"h1": h1, "h2": h2, "doc": ids, "key": keys, "line": lines.number.astype(np.int32), "size": lines.size.astype(np.int32), "sign": sign, "words": count.astype(np.int32)}
-                blocks = np.minimum(-(-frequency // BLOCK_ROWS), 1 << 20).astype(np.int32)
-                tail = {"h1": h1[owner], "h2": h2[owner], "doc": ids[owner], "key": keys[owner], "line": lines.number[owner].astype(np.int32), "size": place.astype(np.int32), "sign": token >> np.uint64(64 - rare.HEAD_BITS), "words": -blocks}
-                # a line's row and its words' rows have one key, and go to one part
-                both = {k: np.concatenate([head[k][keep], tail[k]]) for k in _LINE}
-                yield from C.deal(both, (both["h1"] % np.uint64(parts)).astype(np.int32), both["h1"])
-
-    def classify(c: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
+                count = np.bincount(owner, minlength=len(lines.size))[keep]
+                ids, keys = (part.column(c).to_numpy()[lines.row[keep]] for c in ("doc_id", "text_key"))
+                head = {"h1": h1, "h2": h2, "doc": ids, "key": keys, "line": lines.number[keep].astype(np.int32), "size": lines.size[keep].astype(np.int32), "sign": sign[keep], "sign2": sign2[keep], "words": count.astype(np.int32)}
+                words = {"token": token >> np.uint64(64 - rare.HEAD_BITS), "place": place.astype(np.int32), "blocks": np.minimum(-(-frequency // BLOCK_ROWS), 1 << 20).astype(np.int32)}
+                to = (h1 % np.uint64(parts)).astype(np.int32)
+                yield from C.deal(head, to, np.argsort(to, kind="stable"), count, words)
+
+    def classify(line: C.Columns, words: C.Columns) -> Iterator[pa.RecordBatch]:
         """Later lines of each class (kind 0), lines at the same place as its first (1), and the first's postings (2)."""
-        word = c["words"] < 0
-        line = {k: v[~word] for k, v in c.items()}
+        start = np.cumsum(line["words"], dtype=np.int64) - line["words"]
         at = np.lexsort((line["key"], line["line"], line["doc"], line["h2"], line["h1"]))
-        line = {k: v[at] for k, v in line.items()}
+        line, start = {k: v[at] for k, v in line.items()}, start[at]
         new = np.concatenate([[True], (line["h1"][1:] != line["h1"][:-1]) | (line["h2"][1:] != line["h2"][:-1])])
-        first = np.flatnonzero(new)[np.cumsum(new) - 1]
+        lead = np.flatnonzero(new)
+        first = lead[np.cumsum(new) - 1]
         same = (line["doc"] == line["doc"][first]) & (line["line"] == line["line"][first])
         for kind, rows in ((0, ~same), (1, same & (line["key"] != line["key"][first]))):
             hit = np.flatnonzero(rows)
             if len(hit):
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(hit), kind, np.int32)), pa.array(line["doc"][hit]), pa.array(line["line"][hit]), pa.array(line["key"][hit]), pa.array(line["key"][first[hit]]), pa.nulls(len(hit), pa.int32()), pa.nulls(len(hit), pa.binary())], schema=_CLASSED)
-        # the words of first lines: found by their lines' place, of repeated rows once
-        lead = np.flatnonzero(new)
-        words = {k: v[word] for k, v in c.items()}
-        if not len(words["h1"]):
-            return
-        at = np.lexsort((words["size"], words["key"], words["line"], words["doc"], words["h2"], words["h1"]))
-        words = {k: v[at] for k, v in words.items()}
-        mark = np.concatenate([[True], np.any([words[k][1:] != words[k][:-1] for k in ("h1", "h2", "doc", "line", "key", "size")], axis=0)])
-        words = {k: v[mark] for k, v in words.items()}
-        begin = np.concatenate([[True], (words["h1"][1:] != words["h1"][:-1]) | (words["h2"][1:] != words["h2"][:-1])])
-        start = np.flatnonzero(begin)
-        # classes with words are a part of all classes, in the same order
-        names = np.searchsorted(line["h1"][lead], words["h1"][start])
-        while (off := line["h2"][lead][names] != words["h2"][start]).any():
-            names = names + off
-        of = np.repeat(lead[names], np.diff(np.append(start, len(begin))))
-        own = (words["doc"] == line["doc"][of]) & (words["line"] == line["line"][of]) & (words["key"] == line["key"][of])
-        words, of = {k: v[own] for k, v in words.items()}, of[own]
-        rows = {"grp": words["sign"], "doc": words["doc"], "line": words["line"], "size": line["size"][of], "place": words["size"], "sign": line["sign"][of], "side": np.zeros(len(of), np.int8)}
-        rows = _spread(rows, -words["words"].astype(np.int64))
-        for batch in C.deal(rows, (tx.mix(rows["grp"]) % np.uint64(parts)).astype(np.int32), rows["grp"]):
+        own = C.ranges(start[lead], line["words"][lead].astype(np.int64))
+        of = np.repeat(lead, line["words"][lead])
+        rows = {"grp": words["token"][own], "doc": line["doc"][of], "line": line["line"][of], "size": line["size"][of], "place": words["place"][own], "sign": line["sign"][of], "sign2": line["sign2"][of], "side": np.zeros(len(of), np.int8)}
+        rows = _spread(rows, words["blocks"][own].astype(np.int64))
+        to = (tx.mix(rows["grp"]) % np.uint64(parts)).astype(np.int64)
+        by = np.argsort((to << _GROUP_BITS).astype(np.uint64) | rows["grp"]) if parts < 1 << (63 - _GROUP_BITS) else np.lexsort((rows["grp"], to))
+        for batch in C.deal(rows, to, by):
             n = batch.num_rows
             yield pa.RecordBatch.from_arrays([pa.array(np.full(n, 2, np.int32)), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), batch.column("part"), batch.column("blob")], schema=_CLASSED)
 
-    classed = written(C.gathered(read.mapInArrow(describe, C.BLOB), parts, _LINE, classify, "kind int, doc_id long, line int, text_key long, first_key long, part int, blob binary"), "classes")
+    classed = written(C.gathered(read.mapInArrow(describe, C.BLOB), parts, [_LINE, _WORD], classify, "kind int, doc_id long, line int, text_key long, first_key long, part int, blob binary"), "classes")
     later = classed.where("kind = 0").select("doc_id", "text_key", "line")
     twins = classed.where("kind = 1").select("doc_id", "line", "text_key", "first_key")
 
     def pairs(probes: np.ndarray | None, most: int | None) -> DataFrame:
         """Candidates (x later, y earlier); with ``probes``, of later lines in that bitmap only."""
+        blobs = classed.where("kind = 2").select("part", "blob")
         wanted = None if probes is None else spark.sparkContext.broadcast(probes)
 
-        def run(c: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
-            at = np.lexsort((c["size"], c["grp"]))
-            grp, side, doc, line, size, place, sign = (c[k][at] for k in ("grp", "side", "doc", "line", "size", "place", "sign"))
-            probe = np.ones(len(grp), bool) if wanted is None else membership.inside(wanted.value, membership.pair_cells(doc, line))
-            x, y, more = meet(grp, side, doc, line, size.astype(np.int64), place.astype(np.int64), sign, probe, percent, most)
+        def probed(c: C.Columns) -> np.ndarray:
+            return membership.inside(wanted.value, membership.pair_cells(c["doc"], c["line"]))
+
+        if wanted is not None:  # only groups that such a line is in are dealt
+            def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                for batch in batches:
+                    for blob in batch.column("blob"):
+                        c, _ = C.unpacked(blob.as_buffer(), 0, _POSTING)
+                        own = np.unique(c["grp"][probed(c)]).astype(np.int64)
+                        if len(own):
+                            yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(np.zeros(len(own), np.int64))], names=["grp", "zero"])
+
+            live = spark.sparkContext.broadcast(membership.pair_bitmap(blobs.mapInArrow(groups, "grp long, zero long")))
+
+            def thinned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                for batch in batches:
+                    out = []
+                    for part, blob in zip(batch.column("part").to_pylist(), batch.column("blob"), strict=True):
+                        c, _ = C.unpacked(blob.as_buffer(), 0, _POSTING)
+                        keep = membership.inside(live.value, membership.pair_cells(c["grp"], np.zeros(len(c["grp"]), np.int64)))
+                        if keep.any():
+                            out.append((part, C.packed({k: v[keep] for k, v in c.items()})))
+                    if out:
+                        yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in out], pa.int32()), pa.array([b for _, b in out], pa.binary())], schema=C.SCHEMA)
+
+            blobs = blobs.mapInArrow(thinned, C.BLOB)
+
+        def run(c: C.Columns) -> Iterator[pa.RecordBatch]:
+            at = np.argsort((c["grp"] << np.uint64(23)) | np.minimum(c["size"], (1 << 23) - 1).astype(np.uint64)) if c["size"].max(initial=0) < 1 << 23 else np.lexsort((c["size"], c["grp"]))
+            c = {k: v[at] for k, v in c.items()}
+            probe = np.ones(len(at), bool) if wanted is None else probed(c)
+            x, y, more = meet(c["grp"], c["side"], c["doc"], c["line"], c["size"].astype(np.int64), c["place"].astype(np.int64), c["sign"], c["sign2"], probe, percent, most)
             if len(x):
-                yield pa.RecordBatch.from_arrays([pa.array(v) for v in (doc[x], line[x], doc[y], line[y], more)], names=["x_doc", "x_line", "y_doc", "y_line", "more"])
+                yield pa.RecordBatch.from_arrays([pa.array(v) for v in (c["doc"][x], c["line"][x], c["doc"][y], c["line"][y], more)], names=["x_doc", "x_line", "y_doc", "y_line", "more"])
 
-        met = C.gathered(classed.where("kind = 2").select("part", "blob"), parts, _POSTING, run, _PAIR)
+        met = C.gathered(blobs, parts, [_POSTING], run, _PAIR)
         return written(met.groupBy("x_doc", "x_line", "y_doc", "y_line").agg(F.max("more").alias("more")), "pairs")
 
     def verified(found: DataFrame) -> DataFrame:
@@ -266,19 +282,18 @@ def later_lines(docs: DataFrame, percent: int = PERCENT, least: int = LEAST_WORD
                     ids = part.column("doc_id").to_numpy()[own.row]
                     at = np.flatnonzero((own.size >= least) & membership.inside(flags.value, membership.pair_cells(ids, own.number)))
                     if len(at):
-                        raw, first = (own.tokens >> np.uint64(64 - BITS)).astype(np.int64), own.first
+                        raw, first = np.ascontiguousarray((own.tokens >> np.uint64(64 - BITS)).view(np.uint8).reshape(-1, 8)[:, :6]), own.first
                         words = [raw[first[k] : first[k + 1]].tobytes() for k in at.tolist()]
                         yield pa.RecordBatch.from_arrays([pa.array(ids[at]), part.column("text_key").take(pa.array(own.row[at])), pa.array(own.number[at].astype(np.int32)), pa.array(words, pa.binary())], names=["doc_id", "text_key", "line", "words"])
 
-        key = ["doc_id", "line"]
         sets = read.withColumn("cell", membership.cell("doc_id")).mapInArrow(read_sets, "doc_id long, text_key long, line int, words binary")
-        held = written(sets.dropDuplicates([*key, "text_key"]), "sets")
+        held = written(sets, "sets")
 
         def similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 hits = []
                 for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True):
-                    a, b = np.frombuffer(a, np.int64), np.frombuffer(b, np.int64)
+                    a, b = np.frombuffer(a, "S6"), np.frombuffer(b, "S6")
                     both = len(np.intersect1d(a, b, assume_unique=True))
                     hits.append(100 * both >= percent * (len(a) + len(b) - both))
                 yield batch.drop_columns(["a", "b"]).filter(pa.array(hits, pa.bool_()))

@@ -56,7 +56,7 @@ def _blob(low: np.ndarray) -> bytes:
     return np.diff(low, prepend=np.uint32(0)).astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
 
 
-def _unblob(raw: bytes) -> np.ndarray:
+def _unblob(raw: pa.Buffer) -> np.ndarray:
     planes = np.frombuffer(raw, np.uint8).reshape(4, -1)
     return np.cumsum(np.ascontiguousarray(planes.T).view("<u4").ravel(), dtype=np.uint64)
 
@@ -109,12 +109,13 @@ def measure(rows: DataFrame, tokens: Callable[[pa.RecordBatch], Iterator[np.ndar
             return pa.RecordBatch.from_arrays([pa.array([name], pa.int32()), pa.array([heads], pa.list_(pa.int64())), pa.array([times[keep].astype(np.int64)], pa.list_(pa.int64())), pa.array([np.packbits(flags, bitorder="little").tobytes()], pa.binary())], names=["range", "heads", "counts", "bitmap"])
 
         for batch in batches:
-            for own, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            blobs = batch.column(1)
+            for k, own in enumerate(batch.column(0).to_pylist()):
                 if own != name and held:
                     yield done()
                     held = []
                 name = own
-                held.append(_unblob(raw))
+                held.append(_unblob(blobs[k].as_buffer()))
         if held:
             yield done()
 
