@@ -8,7 +8,8 @@ words are left alone.
 Lines of equal sets are one class, at its first line's place; later lines of a class go.  What
 is left to know is whether a class has an earlier similar one:
 
-* Words are ordered by frequency over all lines (``rarity``).  Two similar sets share a word among
+* Short sets (up to three words at 80 percent) are similar to equal ones only, so their classes are all.
+* Words are ordered by frequency over all other lines (``rarity``).  Two similar sets share a word among
   each other's rarest n - ceil(percent * n / 100) + 1; those words (less the ones that occur once)
   are dealt by word.
 * Where classes meet, three exact bounds are applied: on their sizes, on the overlap that the
@@ -42,11 +43,16 @@ TRIES, BLOCK_ROWS = 4, 8192
 _LAST = (1 << 63) - 1
 
 
-def _tokens(least: int):
+def _meets(size: np.ndarray, percent: int, least: int) -> np.ndarray:
+    """Lines that another set may be similar to: n words have n / (n + 1) in common with n + 1 at most."""
+    return (size >= least) & (100 * size >= percent * (size + 1))
+
+
+def _tokens(percent: int, least: int):
     def run(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
         for part in tx.slices(batch, "text"):
             lines = line_sets(part.column("text"))
-            yield lines.tokens[lines.size[lines.owner] >= least]
+            yield lines.tokens[_meets(lines.size, percent, least)[lines.owner]]
 
     return run
 
@@ -63,7 +69,7 @@ def _prefixes(lines: Lines, order: rare.Rarity, percent: int, least: int) -> tup
     owner = lines.owner[at]
     place = np.arange(len(at)) - lines.first[owner]
     size = lines.size[owner]
-    keep = (place < size - (-(-percent * size // 100)) + 1) & (size >= least)
+    keep = (place < size - (-(-percent * size // 100)) + 1) & _meets(size, percent, least)
     at, owner, place = at[keep], owner[keep], place[keep]
     again = order.may_repeat(lines.tokens[at])
     return owner[again], lines.tokens[at[again]], place[again], frequency[at[again]]
@@ -175,7 +181,7 @@ def later_lines(docs: DataFrame, percent: int = PERCENT, least: int = LEAST_WORD
     spark = docs.sparkSession
     parts = 2 * max(4, int(spark.conf.get("spark.sql.shuffle.partitions")))
     read = docs.where(F.col("text").isNotNull()).select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("doc_id"), F.xxhash64("text").alias("text_key"), "text")
-    order = spark.sparkContext.broadcast(rare.measure(read.select("text"), _tokens(least)))
+    order = spark.sparkContext.broadcast(rare.measure(read.select("text"), _tokens(percent, least)))
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Lines with their sets' names, dealt by name; with each, its prefix words."""

@@ -53,7 +53,7 @@ def op5_quality_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quillstream.llm import line_dedup
 
-    return line_dedup.dedup(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_removed", "text")
+    return line_dedup.dedup(table(spark, sf_dir, "documents"), least=1).select("doc_id", "n_lines", "n_removed", "text")
 
 
 def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -71,3 +71,22 @@ def test_repeated_rows_stay(spark):
     same = "a b c d e f\ng h i j k l"
     docs = spark.createDataFrame([(1, same), (1, same), (2, same)], "doc_id long, text string")
     assert sorted((r.doc_id, r.text) for r in line_dedup.dedup(docs).collect()) == [(1, same), (1, same), (2, "")]
+
+
+@pytest.mark.parametrize("percent", [80, 60, 100])
+def test_short_lines_against_brute_force(spark, sample, percent):
+    rng = random.Random(3)
+    texts = ["\n".join(" ".join(rng.choice("abcdefg") for _ in range(rng.randrange(7))) for _ in range(4)) for _ in range(40)]
+    texts += ["All rights reserved.\n\nx y z w", "w x y z v\nall RIGHTS reserved.\n ", "a a a a a a\na", "\u6f22\u5b57\u6f22\u5b57", "\u6f22\u5b57\u6f22\u5b57"]
+    rows = [*enumerate(texts, 10_000), *sample]
+    got = line_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), percent, least=1).collect()
+    assert sorted((r.doc_id, r.text, r.n_removed) for r in got) == sorted(brute(rows, percent, 1))
+
+
+def test_query_has_no_floor(spark, tmp_path):
+    from quillstream.llm.queries import op6_line_dedup
+
+    rows = [(1, "All rights reserved.\na b c d"), (2, "all rights reserved.\nd c b a e\n\n")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = op6_line_dedup(spark, str(tmp_path)).collect()
+    assert sorted((r.doc_id, r.text, r.n_lines, r.n_removed) for r in got) == [(1, rows[0][1], 2, 0), (2, "\n", 4, 2)]
