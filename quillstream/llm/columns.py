@@ -8,6 +8,7 @@ with any number of rows for each of the first's.
 
 from __future__ import annotations
 
+import ctypes
 import struct
 from collections.abc import Callable, Iterator
 
@@ -26,6 +27,13 @@ def ranges(start: np.ndarray, count: np.ndarray) -> np.ndarray:
     return np.repeat(start - (total - count), count) + np.arange(int(total[-1]) if len(total) else 0)
 
 
+def release() -> None:
+    """Give back what freed arrays leave behind in the worker, which lives on for later stages."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+        libc.malloc_trim(0)
+
+
 def packed(columns: Columns) -> bytes:
     n = len(next(iter(columns.values())))
     planes = [np.ascontiguousarray(c).view(np.uint8).reshape(n, c.dtype.itemsize).T.tobytes() for c in columns.values()]
@@ -88,5 +96,7 @@ def gathered(blobs: DataFrame, parts: int, kinds: list[dict[str, str]], then: Ca
                         table[column].append(c)
         if name is not None:
             yield from done()
+        held = []
+        release()
 
     return blobs.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(run, schema)

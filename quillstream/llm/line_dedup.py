@@ -53,6 +53,7 @@ def _tokens(percent: int, least: int):
         for part in tx.slices(batch, "text"):
             lines = line_sets(part.column("text"))
             yield lines.tokens[_meets(lines.size, percent, least)[lines.owner]]
+        C.release()
 
     return run
 
@@ -203,6 +204,7 @@ def later_lines(docs: DataFrame, percent: int = PERCENT, least: int = LEAST_WORD
                 words = {"token": token >> np.uint64(64 - rare.HEAD_BITS), "place": place.astype(np.int32), "blocks": np.minimum(-(-frequency // BLOCK_ROWS), 1 << 20).astype(np.int32)}
                 to = (h1 % np.uint64(parts)).astype(np.int32)
                 yield from C.deal(head, to, np.argsort(to, kind="stable"), count, words)
+            C.release()
 
     def classify(line: C.Columns, words: C.Columns) -> Iterator[pa.RecordBatch]:
         """Later lines of each class (kind 0), lines at the same place as its first (1), and the first's postings (2)."""
@@ -274,8 +276,8 @@ def later_lines(docs: DataFrame, percent: int = PERCENT, least: int = LEAST_WORD
         met = C.gathered(blobs, parts, [_POSTING], run, _PAIR)
         return written(met.groupBy("x_doc", "x_line", "y_doc", "y_line").agg(F.max("more").alias("more")), "pairs")
 
-    def verified(found: DataFrame) -> DataFrame:
-        """The later lines of pairs whose sets are similar (x_doc, x_line, text_key)."""
+    def verified(found: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """The later lines of pairs whose sets are similar (x_doc, x_line, text_key); and the sets of both lines."""
         ends = found.select(F.col("x_doc").alias("doc"), F.col("x_line").alias("line")).unionAll(found.select("y_doc", "y_line"))
         flags = spark.sparkContext.broadcast(membership.pair_bitmap(ends))
         texts = spark.sparkContext.broadcast(membership.bitmap(ends.select("doc").withColumnRenamed("doc", "doc_id"), "doc_id"))
@@ -291,6 +293,7 @@ def later_lines(docs: DataFrame, percent: int = PERCENT, least: int = LEAST_WORD
                         raw, first = np.ascontiguousarray((own.tokens >> np.uint64(64 - BITS)).view(np.uint8).reshape(-1, 8)[:, :6]), own.first
                         words = [raw[first[k] : first[k + 1]].tobytes() for k in at.tolist()]
                         yield pa.RecordBatch.from_arrays([pa.array(ids[at]), part.column("text_key").take(pa.array(own.row[at])), pa.array(own.number[at].astype(np.int32)), pa.array(words, pa.binary())], names=["doc_id", "text_key", "line", "words"])
+                C.release()
 
         sets = read.withColumn("cell", membership.cell("doc_id")).mapInArrow(read_sets, "doc_id long, text_key long, line int, words binary")
         held = written(sets, "sets")
@@ -306,14 +309,17 @@ def later_lines(docs: DataFrame, percent: int = PERCENT, least: int = LEAST_WORD
 
         left, right = (held.select(F.col("doc_id").alias(f"{s}_doc"), F.col("line").alias(f"{s}_line"), *more) for s, more in (("x", ("text_key", F.col("words").alias("a"))), ("y", (F.col("words").alias("b"),))))
         both = found.drop("more").join(left, ["x_doc", "x_line"]).join(right, ["y_doc", "y_line"]).select("x_doc", "x_line", "text_key", "a", "b")
-        return both.mapInArrow(similar, "x_doc long, x_line int, text_key long").distinct()
+        return both.mapInArrow(similar, "x_doc long, x_line int, text_key long").distinct(), held
 
     early = pairs(None, TRIES)
-    settled = written(verified(early), "settled")
+    found, sets = verified(early)
+    settled = written(found, "settled")
     x = ["x_doc", "x_line"]
-    rest = written(early.where("more").select(x).distinct().join(settled.select(x), x, "left_anti"), "rest")
+    # texts of one id share a place: it is settled if all of them are
+    at = sets.select(F.col("doc_id").alias("x_doc"), F.col("line").alias("x_line"), "text_key")
+    rest = written(early.where("more").select(x).distinct().join(at, x).join(settled, [*x, "text_key"], "left_anti").select(x).distinct(), "rest")
     if rest.head(1):
-        settled = settled.unionAll(written(verified(pairs(membership.pair_bitmap(rest), None)), "settled"))
+        settled = settled.unionAll(written(verified(pairs(membership.pair_bitmap(rest), None))[0], "settled"))
     going = settled.select(F.col("x_doc").alias("doc_id"), "text_key", F.col("x_line").alias("line")).distinct()
     beside = twins.join(going.withColumnRenamed("text_key", "first_key"), ["doc_id", "line", "first_key"]).select("doc_id", "text_key", "line")
     return later.unionByName(going).unionByName(beside)

@@ -90,3 +90,26 @@ def test_query_has_no_floor(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = op6_line_dedup(spark, str(tmp_path)).collect()
     assert sorted((r.doc_id, r.text, r.n_lines, r.n_removed) for r in got) == [(1, rows[0][1], 2, 0), (2, "\n", 4, 2)]
+
+
+@pytest.mark.parametrize("ids", [[1, 2, 3, 4, 5, None], [None]])
+def test_texts_of_one_id_are_settled_apart(spark, monkeypatch, ids):
+    monkeypatch.setattr(line_dedup, "TRIES", 1)
+    rng = random.Random(4)
+    base = [[f"w{n}_{k}" for k in range(70)] for n in range(3)]
+
+    def near():
+        words = list(rng.choice(base))
+        for at in rng.sample(range(70), rng.randrange(2, 9)):
+            words[at] = f"x{rng.randrange(10_000)}"
+        return " ".join(words)
+
+    rows = [(rng.choice(ids), "\n".join(near() for _ in range(4))) for _ in range(60)]
+    got = line_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), least=1).collect()
+    key = lambda r: (r[0] is None, r[0] or 0, r[1], r[2])
+    lines = [((d is None, d or 0, k), set(line.split())) for d, t in rows for k, line in enumerate(t.split("\n"))]
+    want = []
+    for d, t in rows:
+        kept = [line for k, line in enumerate(t.split("\n")) if not any(at < (d is None, d or 0, k) and 100 * len(own & set(line.split())) >= 80 * len(own | set(line.split())) for at, own in lines)]
+        want.append((d, "\n".join(kept), 4 - len(kept)))
+    assert sorted(((r.doc_id, r.text, r.n_removed) for r in got), key=key) == sorted(want, key=key)
