@@ -245,14 +245,14 @@ def listed(found: dict[str, list[Span]]) -> str:
 
 
 def redacted(text: str | None) -> str | None:
-    """The text with each identifier replaced by its kind in brackets; of overlapping ones, the first and then longest."""
+    """The text with each identifier replaced by its kind in brackets; overlapping ones as a whole by that of the first and then longest."""
     if not text:
         return text
     out, at = [], 0
     for a, b, kind in sorted(((a, b, k) for k, found in spans(text).items() for a, b in found), key=lambda s: (s[0], -s[1])):
         if a >= at:
             out += [text[at:a], f"[{kind.upper()}]"]
-            at = b
+        at = max(at, b)
     return "".join([*out, text[at:]]) if at else text
 
 

@@ -102,3 +102,11 @@ def test_toxicity_rows(spark, odd):
         got = toxicity.verdicts(docs, known).collect()
         assert len(got) == len(odd) and all(0 <= r.score <= 1 and r.held_out is not None for r in got)
     assert toxicity.verdicts(docs.limit(0), labels).count() == 0
+
+
+def test_overlapping_identifiers_are_covered():
+    text = "ring +1 504 555 2652 99bob@x.org now"
+    found = pii.spans(text)
+    assert found["phone"][0][1] > found["email"][0][0]
+    assert pii.redacted(text) == "ring [PHONE] now"
+    assert pii.redacted("a@b.co +1 (504) 555-2652") == "[EMAIL] [PHONE]"
