@@ -2,8 +2,7 @@
 
 A task splits its columns by part and sends one blob for each part; the task that gets a part has
 its columns back as arrays.  A blob keeps each column's bytes as planes, which compress well for
-sorted and small numbers, and costs no work for each row.  Two tables may share a blob, the second
-with any number of rows for each of the first's.
+sorted and small numbers, and costs no work for each row.  Several tables may share a blob.
 """
 
 from __future__ import annotations
@@ -51,13 +50,13 @@ def unpacked(blob: bytes | pa.Buffer, at: int, kinds: dict[str, str]) -> tuple[C
     return out, at
 
 
-def deal(columns: Columns, part: np.ndarray, order: np.ndarray, count: np.ndarray | None = None, more: Columns | None = None) -> Iterator[pa.RecordBatch]:
+def deal(columns: Columns, part: np.ndarray, order: np.ndarray, count: np.ndarray | None = None, more: Columns | None = None) -> dict[int, bytes]:
     """A blob for each part; ``order`` sorts the rows by part (and may go on).
 
     ``more``: a second table's columns, ``count`` rows for each row of the first, in the same order.
     """
     if not len(part):
-        return
+        return {}
     part = part[order]
     names, first = np.unique(part, return_index=True)
     ends = np.append(first[1:], len(part)).tolist()
@@ -69,7 +68,25 @@ def deal(columns: Columns, part: np.ndarray, order: np.ndarray, count: np.ndarra
         more = {k: c[at] for k, c in more.items()}
         edge = np.concatenate([[0], np.cumsum(own)])
         blobs = [blob + packed({k: c[edge[a] : edge[b]] for k, c in more.items()}) for blob, a, b in zip(blobs, first.tolist(), ends, strict=True)]
-    yield pa.RecordBatch.from_arrays([pa.array(names.astype(np.int32)), pa.array(blobs, pa.binary())], schema=SCHEMA)
+    return dict(zip(names.tolist(), blobs, strict=True))
+
+
+def beside(*tables: tuple[dict[int, bytes], list[dict[str, str]]]) -> dict[int, bytes]:
+    """Blobs of several deals (each with its tables' kinds) as one for each part."""
+    none = [packed({k: np.zeros(0, kind) for k, kind in kinds[0].items()}) + b"".join(packed({k: np.zeros(0, x) for k, x in kind.items()}) for kind in kinds[1:]) for _, kinds in tables]
+    return {name: b"".join(blobs.get(name, empty) for (blobs, _), empty in zip(tables, none, strict=True)) for name in sorted(set().union(*(blobs for blobs, _ in tables)))}
+
+
+def rows(blobs: dict[int, bytes]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(list(blobs), pa.int32()), pa.array(list(blobs.values()), pa.binary())], schema=SCHEMA)
+
+
+def unused(name: str, taken: list[str]) -> str:
+    """A column name like ``name`` that none of ``taken`` has, in any case."""
+    taken = {c.lower() for c in taken}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def gathered(blobs: DataFrame, parts: int, kinds: list[dict[str, str]], then: Callable[..., Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
@@ -99,4 +116,4 @@ def gathered(blobs: DataFrame, parts: int, kinds: list[dict[str, str]], then: Ca
         held = []
         release()
 
-    return blobs.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(run, schema)
+    return blobs.repartitionById(parts, "part").sortWithinPartitions("part").mapInArrow(run, schema)

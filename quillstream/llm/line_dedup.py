@@ -2,14 +2,13 @@
 
 A line is the set of its words.  Of two lines with 100 * intersection >= percent * union, the
 later one in the order of doc_id and line number goes; so a line stays exactly if no earlier
-line is that similar, whether that one stays or not.  Lines of fewer than ``least`` distinct
-words are left alone.
+line is that similar, whether that one stays or not.  Lines without a word are left alone.
 
 Lines of equal sets are one class, at its first line's place; later lines of a class go.  What
 is left to know is whether a class has an earlier similar one:
 
 * Short sets (up to three words at 80 percent) are similar to equal ones only, so their classes are all.
-* Words are ordered by frequency over all other lines (``rarity``).  Two similar sets share a word among
+* Words are ordered by frequency over all texts (``rarity``).  Two similar sets share a word among
   each other's rarest n - ceil(percent * n / 100) + 1; those words (less the ones that occur once)
   are dealt by word.
 * Where classes meet, three exact bounds are applied: on their sizes, on the overlap that the
@@ -17,7 +16,9 @@ is left to know is whether a class has an earlier similar one:
 * Survivors are verified on the full sets.  Each class first tries its earliest candidates; only
   classes that none of these settled, and that had more, try all of them.
 
-A word met by very many lines is dealt in blocks, each pair of which meets in one task.
+Of a class's lines in one slice of texts only the first is dealt on, so a line that a third of the
+corpus repeats makes a row a slice.  A word met by very many lines is dealt in blocks, each pair of
+which meets in one task.
 """
 
 from __future__ import annotations
@@ -26,18 +27,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, StructField, StructType
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from quillstream.llm import columns as C
 from quillstream.llm import membership
 from quillstream.llm import rarity as rare
 from quillstream.llm import text as tx
-from quillstream.llm.line_sets import BITS, Lines, line_sets
+from quillstream.llm.line_sets import BITS, Lines, bounds, line_sets, of_buffers
 from quillstream.llm.storage import written
 
-PERCENT, LEAST_WORDS = 80, 5
+PERCENT, LEAST_WORDS = 80, 1
 #: Earliest candidates tried first, and the rows of a word's block.
 TRIES, BLOCK_ROWS = 4, 8192
 _LAST = (1 << 63) - 1
@@ -48,32 +49,33 @@ def _meets(size: np.ndarray, percent: int, least: int) -> np.ndarray:
     return (size >= least) & (100 * size >= percent * (size + 1))
 
 
-def _tokens(percent: int, least: int):
-    def run(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
-        for part in tx.slices(batch, "text"):
-            lines = line_sets(part.column("text"))
-            yield lines.tokens[_meets(lines.size, percent, least)[lines.owner]]
-        C.release()
-
-    return run
+def _words(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+    for part in tx.slices(batch, "text"):
+        data, offsets = tx.buffers(part.column("text"))
+        yield tx.word_hashes(data, *tx.word_bounds(data, offsets)[:2])
 
 
 def _prefixes(lines: Lines, order: rare.Rarity, percent: int, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Owner, token, place in the line's order and frequency of all prefix words that may occur in a second line.
-
-    The order is by the logarithm of the frequency in quarters of an octave, then by hash.
-    """
-    frequency = order.frequency(lines.tokens)
-    rank = np.minimum(63, (4 * np.log2(frequency)).astype(np.int64))
+    """Owner, token, place in the line's order and rank of all prefix words that may occur in a second line."""
+    rank = order.rank(lines.tokens)
     inside = np.arange(len(lines.tokens)) - lines.first[lines.owner]
-    at = np.argsort((lines.owner << 40) | (rank << 34) | inside) if lines.size.max(initial=0) < 1 << 34 and len(lines.size) < 1 << 23 else np.lexsort((inside, rank, lines.owner))
-    owner = lines.owner[at]
+    if lines.size.max(initial=0) < 1 << 24 and len(lines.size) < 1 << 32:  # all three in one number
+        key = np.sort((lines.owner << 32) | (rank.astype(np.int64) << 24) | inside)
+        owner = key >> 32
+        at = lines.first[owner] + (key & ((1 << 24) - 1))
+    else:
+        at = np.lexsort((inside, rank, lines.owner))
+        owner = lines.owner[at]
     place = np.arange(len(at)) - lines.first[owner]
     size = lines.size[owner]
-    keep = (place < size - (-(-percent * size // 100)) + 1) & _meets(size, percent, least)
-    at, owner, place = at[keep], owner[keep], place[keep]
-    again = order.may_repeat(lines.tokens[at])
-    return owner[again], lines.tokens[at[again]], place[again], frequency[at[again]]
+    keep = (place < size - (-(-percent * size // 100)) + 1) & _meets(size, percent, least) & (rank[at] > 0)
+    at = at[keep]
+    return owner[keep], lines.tokens[at], place[keep], rank[at]
+
+
+def _postings(token: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A token's group and its number of blocks."""
+    return token >> np.uint64(64 - rare.HEAD_BITS), np.minimum(-(-rare.frequency(rank) // BLOCK_ROWS), 1 << 20)
 
 
 def _level(size: np.ndarray) -> np.ndarray:
@@ -152,10 +154,21 @@ def meet(grp: np.ndarray, side: np.ndarray, doc: np.ndarray, line: np.ndarray, s
 _PAIR = "x_doc long, x_line int, y_doc long, y_line int, more boolean"
 _LINE = {"h1": "<u8", "h2": "<u8", "doc": "<i8", "key": "<i8", "line": "<i4", "size": "<i4", "sign": "<u8", "sign2": "<u8", "words": "<i4"}
 _WORD = {"token": "<u8", "place": "<i4", "blocks": "<i4"}
+_LATER = {"doc": "<i8", "line": "<i4", "key": "<i8"}
 _POSTING = {"grp": "<u8", "doc": "<i8", "line": "<i4", "size": "<i4", "place": "<i4", "sign": "<u8", "sign2": "<u8", "side": "<i1"}
 _GROUP_BITS = rare.HEAD_BITS
 
 
+def _repeats(h1: np.ndarray, h2: np.ndarray, doc: np.ndarray, line: np.ndarray) -> np.ndarray:
+    """Which lines have one of the same name at an earlier place here."""
+    at = np.lexsort((line, doc, h2, h1))
+    new = np.concatenate([[True], (h1[at[1:]] != h1[at[:-1]]) | (h2[at[1:]] != h2[at[:-1]])])
+    first = at[np.flatnonzero(new)[np.cumsum(new) - 1]]
+    out = np.zeros(len(at), dtype=bool)
+    out[at] = (doc[at] != doc[first]) | (line[at] != line[first])
+    return out
+
+
 def _spread(columns: dict[str, np.ndarray], blocks: np.ndarray) -> dict[str, np.ndarray]:
     """Postings by group: the token, or for a token of several blocks each pair of them.
 
@@ -182,32 +195,46 @@ def later_lines(docs: DataFrame, percent: int = PERCENT, least: int = LEAST_WORD
     spark = docs.sparkSession
     parts = 2 * max(4, int(spark.conf.get("spark.sql.shuffle.partitions")))
     read = docs.where(F.col("text").isNotNull()).select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("doc_id"), F.xxhash64("text").alias("text_key"), "text")
-    order = spark.sparkContext.broadcast(rare.measure(read.select("text"), _tokens(percent, least)))
+    order = spark.sparkContext.broadcast(rare.measure(read.select("text"), _words, per_token=32))
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Lines with their sets' names, dealt by name; with each, its prefix words."""
+        """Lines with their sets' names, dealt by name; with each, its prefix words.  Repeats go by document."""
         for batch in batches:
             for part in tx.slices(batch, "text"):
                 lines = line_sets(part.column("text"))
-                keep = np.flatnonzero(lines.size >= least)
-                if not len(keep):
-                    continue
                 first = lines.first[:-1]
+                if not len(first):
+                    continue
                 # a set's name: two sums over its words, in any order
-                h1 = np.add.reduceat(tx.mix(lines.tokens + np.uint64(1)), first)[keep]
-                h2 = np.add.reduceat(tx.mix(lines.tokens ^ np.uint64(0x5851F42D4C957F2D)), first)[keep]
+                h1 = np.add.reduceat(tx.mix(lines.tokens + np.uint64(1)), first)
+                h2 = np.add.reduceat(tx.mix(lines.tokens ^ np.uint64(0x5851F42D4C957F2D)), first)
+                ids, keys = (part.column(c).to_numpy()[lines.row] for c in ("doc_id", "text_key"))
+                again = _repeats(h1, h2, ids, lines.number)
+                long = lines.size >= least
+                keep, repeat = np.flatnonzero(long & ~again), np.flatnonzero(long & again)
                 sign, sign2 = signatures(lines)
-                owner, token, place, frequency = _prefixes(lines, order.value, percent, least)
+                owner, token, place, rank = _prefixes(lines, order.value, percent, least)
+                own = ~again[owner]
+                owner, token, place, rank = owner[own], token[own], place[own], rank[own]
                 count = np.bincount(owner, minlength=len(lines.size))[keep]
-                ids, keys = (part.column(c).to_numpy()[lines.row[keep]] for c in ("doc_id", "text_key"))
-                head = {"h1": h1, "h2": h2, "doc": ids, "key": keys, "line": lines.number[keep].astype(np.int32), "size": lines.size[keep].astype(np.int32), "sign": sign[keep], "sign2": sign2[keep], "words": count.astype(np.int32)}
-                words = {"token": token >> np.uint64(64 - rare.HEAD_BITS), "place": place.astype(np.int32), "blocks": np.minimum(-(-frequency // BLOCK_ROWS), 1 << 20).astype(np.int32)}
-                to = (h1 % np.uint64(parts)).astype(np.int32)
-                yield from C.deal(head, to, np.argsort(to, kind="stable"), count, words)
+                head = {"h1": h1[keep], "h2": h2[keep], "doc": ids[keep], "key": keys[keep], "line": lines.number[keep].astype(np.int32), "size": lines.size[keep].astype(np.int32), "sign": sign[keep], "sign2": sign2[keep], "words": count.astype(np.int32)}
+                group, blocks = _postings(token, rank)
+                to = (head["h1"] % np.uint64(parts)).astype(np.int32)
+                dealt = C.deal(head, to, np.argsort(to, kind="stable"), count, {"token": group, "place": place.astype(np.int32), "blocks": blocks.astype(np.int32)})
+                gone = {"doc": ids[repeat], "line": lines.number[repeat].astype(np.int32), "key": keys[repeat]}
+                to = (tx.mix(tx.mix(gone["doc"].view(np.uint64)) + gone["line"].astype(np.uint64)) % np.uint64(parts)).astype(np.int32)
+                both = C.beside((dealt, [_LINE, _WORD]), (C.deal(gone, to, np.argsort(to, kind="stable")), [_LATER]))
+                if both:
+                    yield C.rows(both)
             C.release()
 
-    def classify(line: C.Columns, words: C.Columns) -> Iterator[pa.RecordBatch]:
+    def classify(line: C.Columns, words: C.Columns, gone: C.Columns) -> Iterator[pa.RecordBatch]:
         """Later lines of each class (kind 0), lines at the same place as its first (1), and the first's postings (2)."""
+        n = len(gone["doc"])
+        if n:
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(n, np.int32)), pa.array(gone["doc"]), pa.array(gone["line"]), pa.array(gone["key"]), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], schema=_CLASSED)
+        if not len(line["doc"]):
+            return
         start = np.cumsum(line["words"], dtype=np.int64) - line["words"]
         at = np.lexsort((line["key"], line["line"], line["doc"], line["h2"], line["h1"]))
         line, start = {k: v[at] for k, v in line.items()}, start[at]
@@ -225,50 +252,49 @@ def later_lines(docs: DataFrame, percent: int = PERCENT, least: int = LEAST_WORD
         rows = _spread(rows, words["blocks"][own].astype(np.int64))
         to = (tx.mix(rows["grp"]) % np.uint64(parts)).astype(np.int64)
         by = np.argsort((to << _GROUP_BITS).astype(np.uint64) | rows["grp"]) if parts < 1 << (63 - _GROUP_BITS) else np.lexsort((rows["grp"], to))
-        for batch in C.deal(rows, to, by):
-            n = batch.num_rows
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, 2, np.int32)), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), batch.column("part"), batch.column("blob")], schema=_CLASSED)
+        blobs = C.deal(rows, to, by)
+        n = len(blobs)
+        if n:
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, 2, np.int32)), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.array(list(blobs), pa.int32()), pa.array(list(blobs.values()), pa.binary())], schema=_CLASSED)
 
-    classed = written(C.gathered(read.mapInArrow(describe, C.BLOB), parts, [_LINE, _WORD], classify, "kind int, doc_id long, line int, text_key long, first_key long, part int, blob binary"), "classes")
+    classed = written(C.gathered(read.mapInArrow(describe, C.BLOB), parts, [_LINE, _WORD, _LATER], classify, "kind int, doc_id long, line int, text_key long, first_key long, part int, blob binary"), "classes")
     later = classed.where("kind = 0").select("doc_id", "text_key", "line")
     twins = classed.where("kind = 1").select("doc_id", "line", "text_key", "first_key")
 
-    def pairs(probes: np.ndarray | None, most: int | None) -> DataFrame:
-        """Candidates (x later, y earlier); with ``probes``, of later lines in that bitmap only."""
-        blobs = classed.where("kind = 2").select("part", "blob")
-        wanted = None if probes is None else spark.sparkContext.broadcast(probes)
+    def pairs(most: int | None, probes: DataFrame | None = None) -> DataFrame:
+        """Candidates (x later, y earlier); with ``probes`` (their sets), of these later lines only."""
+        blobs, wanted = classed.where("kind = 2").select("part", "blob"), None
+        if probes is not None:  # only groups that such a line is in are dealt
+            wanted = spark.sparkContext.broadcast(membership.pair_bitmap(probes.select("doc_id", "line")))
 
-        def probed(c: C.Columns) -> np.ndarray:
-            return membership.inside(wanted.value, membership.pair_cells(c["doc"], c["line"]))
-
-        if wanted is not None:  # only groups that such a line is in are dealt
             def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 for batch in batches:
-                    for blob in batch.column("blob"):
-                        c, _ = C.unpacked(blob.as_buffer(), 0, _POSTING)
-                        own = np.unique(c["grp"][probed(c)]).astype(np.int64)
-                        if len(own):
-                            yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(np.zeros(len(own), np.int64))], names=["grp", "zero"])
+                    if batch.num_rows:
+                        lines = _unpacked(batch.column("words"))
+                        owner, token, _, rank = _prefixes(lines, order.value, percent, least)
+                        grp, blocks = _postings(token, rank)
+                        own = np.unique(_spread({"grp": grp, "doc": batch.column("doc_id").to_numpy()[owner], "line": batch.column("line").to_numpy()[owner]}, blocks)["grp"]).astype(np.int64)
+                        yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(np.zeros(len(own), np.int64))], names=["grp", "zero"])
 
-            live = spark.sparkContext.broadcast(membership.pair_bitmap(blobs.mapInArrow(groups, "grp long, zero long")))
+            live = spark.sparkContext.broadcast(membership.pair_bitmap(written(probes.mapInArrow(groups, "grp long, zero long"), "groups")))
 
             def thinned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 for batch in batches:
-                    out = []
+                    out = {}
                     for part, blob in zip(batch.column("part").to_pylist(), batch.column("blob"), strict=True):
                         c, _ = C.unpacked(blob.as_buffer(), 0, _POSTING)
-                        keep = membership.inside(live.value, membership.pair_cells(c["grp"], np.zeros(len(c["grp"]), np.int64)))
+                        keep = live.value.inside(membership.pair_cells(c["grp"], np.zeros(len(c["grp"]), np.int64)))
                         if keep.any():
-                            out.append((part, C.packed({k: v[keep] for k, v in c.items()})))
+                            out.setdefault(part, []).append({k: v[keep] for k, v in c.items()})
                     if out:
-                        yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in out], pa.int32()), pa.array([b for _, b in out], pa.binary())], schema=C.SCHEMA)
+                        yield C.rows({part: C.packed({k: np.concatenate([c[k] for c in several]) for k in _POSTING}) for part, several in out.items()})
 
             blobs = blobs.mapInArrow(thinned, C.BLOB)
 
         def run(c: C.Columns) -> Iterator[pa.RecordBatch]:
             at = np.argsort((c["grp"] << np.uint64(23)) | np.minimum(c["size"], (1 << 23) - 1).astype(np.uint64)) if c["size"].max(initial=0) < 1 << 23 else np.lexsort((c["size"], c["grp"]))
             c = {k: v[at] for k, v in c.items()}
-            probe = np.ones(len(at), bool) if wanted is None else probed(c)
+            probe = np.ones(len(at), bool) if wanted is None else wanted.value.inside(membership.pair_cells(c["doc"], c["line"]))
             x, y, more = meet(c["grp"], c["side"], c["doc"], c["line"], c["size"].astype(np.int64), c["place"].astype(np.int64), c["sign"], c["sign2"], probe, percent, most)
             if len(x):
                 yield pa.RecordBatch.from_arrays([pa.array(v) for v in (c["doc"][x], c["line"][x], c["doc"][y], c["line"][y], more)], names=["x_doc", "x_line", "y_doc", "y_line", "more"])
@@ -280,19 +306,23 @@ def later_lines(docs: DataFrame, percent: int = PERCENT, least: int = LEAST_WORD
         """The later lines of pairs whose sets are similar (x_doc, x_line, text_key); and the sets of both lines."""
         ends = found.select(F.col("x_doc").alias("doc"), F.col("x_line").alias("line")).unionAll(found.select("y_doc", "y_line"))
         flags = spark.sparkContext.broadcast(membership.pair_bitmap(ends))
-        texts = spark.sparkContext.broadcast(membership.bitmap(ends.select("doc").withColumnRenamed("doc", "doc_id"), "doc_id"))
+        texts = spark.sparkContext.broadcast(membership.bitmap(ends.select(F.col("doc").alias("doc_id")), "doc_id"))
 
         def read_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                batch = batch.filter(pa.array(membership.inside(texts.value, batch.column("cell").to_numpy())))
+                batch = batch.filter(pa.array(texts.value.inside(batch.column("cell").to_numpy())))
                 for part in tx.slices(batch, "text"):
-                    own = line_sets(part.column("text"))
-                    ids = part.column("doc_id").to_numpy()[own.row]
-                    at = np.flatnonzero((own.size >= least) & membership.inside(flags.value, membership.pair_cells(ids, own.number)))
-                    if len(at):
-                        raw, first = np.ascontiguousarray((own.tokens >> np.uint64(64 - BITS)).view(np.uint8).reshape(-1, 8)[:, :6]), own.first
-                        words = [raw[first[k] : first[k + 1]].tobytes() for k in at.tolist()]
-                        yield pa.RecordBatch.from_arrays([pa.array(ids[at]), part.column("text_key").take(pa.array(own.row[at])), pa.array(own.number[at].astype(np.int32)), pa.array(words, pa.binary())], names=["doc_id", "text_key", "line", "words"])
+                    data, offsets = tx.buffers(part.column("text"))
+                    start, end, row, number = bounds(data, offsets)
+                    ids = part.column("doc_id").to_numpy()[row]
+                    # only lines that are an end of a pair are parsed
+                    at = np.flatnonzero(flags.value.inside(membership.pair_cells(ids, number)))
+                    size = end[at] - start[at]
+                    own = of_buffers(data[C.ranges(start[at], size)], np.concatenate([[0], np.cumsum(size)]))
+                    own = own.where(own.size >= least)
+                    if len(own.size):
+                        at = at[own.row]
+                        yield pa.RecordBatch.from_arrays([pa.array(ids[at]), part.column("text_key").take(pa.array(row[at])), pa.array(number[at].astype(np.int32)), _packed(own)], names=["doc_id", "text_key", "line", "words"])
                 C.release()
 
         sets = read.withColumn("cell", membership.cell("doc_id")).mapInArrow(read_sets, "doc_id long, text_key long, line int, words binary")
@@ -300,26 +330,25 @@ def later_lines(docs: DataFrame, percent: int = PERCENT, least: int = LEAST_WORD
 
         def similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                hits = []
-                for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True):
-                    a, b = np.frombuffer(a, "S6"), np.frombuffer(b, "S6")
-                    both = len(np.intersect1d(a, b, assume_unique=True))
-                    hits.append(100 * both >= percent * (len(a) + len(b) - both))
-                yield batch.drop_columns(["a", "b"]).filter(pa.array(hits, pa.bool_()))
+                if batch.num_rows:
+                    a, b = _unpacked(batch.column("a")), _unpacked(batch.column("b"))
+                    both = _common(a, b)
+                    hits = 100 * both >= percent * (a.size + b.size - both)
+                    yield batch.drop_columns(["a", "b"]).filter(pa.array(hits))
 
         left, right = (held.select(F.col("doc_id").alias(f"{s}_doc"), F.col("line").alias(f"{s}_line"), *more) for s, more in (("x", ("text_key", F.col("words").alias("a"))), ("y", (F.col("words").alias("b"),))))
         both = found.drop("more").join(left, ["x_doc", "x_line"]).join(right, ["y_doc", "y_line"]).select("x_doc", "x_line", "text_key", "a", "b")
         return both.mapInArrow(similar, "x_doc long, x_line int, text_key long").distinct(), held
 
-    early = pairs(None, TRIES)
+    early = pairs(TRIES)
     found, sets = verified(early)
     settled = written(found, "settled")
     x = ["x_doc", "x_line"]
     # texts of one id share a place: it is settled if all of them are
-    at = sets.select(F.col("doc_id").alias("x_doc"), F.col("line").alias("x_line"), "text_key")
-    rest = written(early.where("more").select(x).distinct().join(at, x).join(settled, [*x, "text_key"], "left_anti").select(x).distinct(), "rest")
+    at = sets.withColumnsRenamed({"doc_id": "x_doc", "line": "x_line"})
+    rest = written(early.where("more").select(x).distinct().join(at, x).join(settled, [*x, "text_key"], "left_anti").select(F.col("x_doc").alias("doc_id"), F.col("x_line").alias("line"), "words"), "rest")
     if rest.head(1):
-        settled = settled.unionAll(written(verified(pairs(membership.pair_bitmap(rest), None))[0], "settled"))
+        settled = settled.unionAll(written(verified(pairs(None, rest))[0], "settled"))
     going = settled.select(F.col("x_doc").alias("doc_id"), "text_key", F.col("x_line").alias("line")).distinct()
     beside = twins.join(going.withColumnRenamed("text_key", "first_key"), ["doc_id", "line", "first_key"]).select("doc_id", "text_key", "line")
     return later.unionByName(going).unionByName(beside)
@@ -328,34 +357,101 @@ def later_lines(docs: DataFrame, percent: int = PERCENT, least: int = LEAST_WORD
 _CLASSED = pa.schema([("kind", pa.int32()), ("doc_id", pa.int64()), ("line", pa.int32()), ("text_key", pa.int64()), ("first_key", pa.int64()), ("part", pa.int32()), ("blob", pa.binary())])
 
 
-def without(lines: Column, gone: Column) -> Column:
-    """The lines whose number isn't in ``gone``."""
-    return F.filter(lines, lambda _, i: ~F.array_contains(gone, i))
+def _packed(lines: Lines) -> pa.Array:
+    """Each line's words, six bytes a word."""
+    raw = (lines.tokens >> np.uint64(64 - BITS)).view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+    return pa.Array.from_buffers(pa.binary(), len(lines.size), [None, pa.py_buffer((6 * lines.first).astype(np.int32)), pa.py_buffer(raw)])
+
 
+def _unpacked(words: pa.Array) -> Lines:
+    data, offsets = tx.buffers(words)
+    wide = np.zeros((len(data) // 6, 8), np.uint8)
+    wide[:, :6] = data.reshape(-1, 6)
+    size = np.diff(offsets) // 6
+    row = np.arange(len(size))
+    return Lines(row, row, size, wide.view("<u8").ravel() << np.uint64(64 - BITS), np.repeat(row, size))
 
-def dedup(docs: DataFrame, percent: int = PERCENT, least: int = LEAST_WORDS) -> DataFrame:
-    """``docs`` without later similar lines in ``text``, plus ``n_lines`` and ``n_removed``.
+
+def _common(a: Lines, b: Lines) -> np.ndarray:
+    """How many words the k-th line of one has in common with the k-th of the other."""
+    out = np.zeros(len(a.size), np.int64)
+    step = 1 << (64 - BITS)  # so many pairs' numbers fit beside a word
+    for k in range(0, len(out), step):
+        parts = [s.where((s.row >= k) & (s.row < k + step)) for s in (a, b)]
+        key = np.sort(np.concatenate([((p.row - k)[p.owner].astype(np.uint64) << np.uint64(BITS)) | (p.tokens >> np.uint64(64 - BITS)) for p in parts]))
+        twice = key[1:][key[1:] == key[:-1]] >> np.uint64(BITS)
+        out += np.bincount(twice.astype(np.int64) + k, minlength=len(out))
+    return out
+
+
+def dedup(docs: DataFrame, percent: int = PERCENT, least: int = LEAST_WORDS, counts: bool = True) -> DataFrame:
+    """``docs`` without later similar lines in ``text``; with ``counts``, plus ``n_lines`` and ``n_removed``.
 
     Rows stay, if need be with an empty text; n_chars, where there is one, is counted anew.  A null
-    text stays null (0 lines); columns named n_lines or n_removed are replaced; no rows give none.
+    text stays null (0 lines); no rows give none.  With ``counts``, columns of the two names are
+    replaced; other columns stay as they are, whatever their names.  ``least``: lines of fewer distinct
+    words stay, and take part in nothing (1: none does).
     """
     gone = later_lines(docs, percent, least).groupBy("doc_id", "text_key").agg(F.collect_set("line").alias("gone"))
-    gone = written(gone.select(F.col("doc_id").alias("__gone_doc"), F.col("text_key").alias("__gone_key"), F.col("gone").alias("__gone")), "gone")
-    flags = docs.sparkSession.sparkContext.broadcast(membership.bitmap(gone, "__gone_doc", "__gone_key"))
-
-    def may_lose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    taken = [*docs.columns, "n_lines", "n_removed"]
+    doc, key, cell, lost, removed, lines = (C.unused(c, taken) for c in ("_doc", "_key", "_cell", "_gone", "_removed", "_lines"))
+    gone = written(gone.select(F.col("doc_id").alias(C.unused("_doc2", taken)), F.col("text_key").alias(C.unused("_key2", taken)), F.col("gone").alias(lost)), "gone")
+    flags = docs.sparkSession.sparkContext.broadcast(membership.bitmap(gone, *gone.columns[:2]))
+
+    # only the cells go to Python; texts stay
+    @F.arrow_udf("boolean")
+    def may_lose(cells: pa.Array) -> pa.Array:
+        return pa.array(flags.value.inside(cells.to_numpy()))
+
+    columns = [c for c in docs.columns if not counts or c.lower() not in ("n_lines", "n_removed")]
+    kept = docs.select(*columns, F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias(doc), F.xxhash64("text").alias(key)).withColumn(cell, membership.cell(doc, key))
+    losing = kept.where(may_lose(cell)).join(gone, (F.col(doc) == F.col(gone.columns[0])) & (F.col(key) == F.col(gone.columns[1])), "left").select(*columns, lost)
+    schema = StructType([*docs.select(columns).schema.fields, StructField(lines, IntegerType()), StructField(removed, IntegerType())])
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.append_column("__may", pa.array(membership.inside(flags.value, batch.column("__cell").to_numpy())))
-
-    kept = docs.drop("n_lines", "n_removed").withColumn("__doc", F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST))).withColumn("__key", F.xxhash64("text")).withColumn("__cell", membership.cell("__doc", "__key"))
-    flagged = kept.mapInArrow(may_lose, StructType([*kept.schema.fields, StructField("__may", BooleanType())]))
-    lines = F.split("text", "\n")
-    n_lines = F.coalesce(F.regexp_count("text", F.lit("\n")) + 1, F.lit(0))
-    losing = flagged.where("__may").join(gone, (F.col("__doc") == F.col("__gone_doc")) & (F.col("__key") == F.col("__gone_key")), "left")
-    text = F.when(F.col("__gone").isNull(), F.col("text")).otherwise(F.array_join(without(lines, F.col("__gone")), "\n"))
-    changed = losing.withColumn("n_lines", n_lines).withColumn("n_removed", F.coalesce(F.array_size("__gone"), F.lit(0))).withColumn("text", text)
-    if "n_chars" in docs.columns:
-        changed = changed.withColumn("n_chars", F.when(F.col("__gone").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
-    columns = [*(c for c in docs.columns if c not in ("n_lines", "n_removed")), "n_lines", "n_removed"]
-    same = flagged.where("not __may").withColumn("n_lines", n_lines).withColumn("n_removed", F.lit(0))
-    return changed.select(columns).unionByName(same.select(columns))
+            for part in tx.slices(batch, "text"):
+                at = part.schema.get_field_index("text")
+                text, *numbers = without(part.column("text"), part.column(lost))
+                out = part.set_column(at, part.schema.field(at), text.cast(part.schema.field(at).type)).drop_columns([lost])
+                for name, values in zip((lines, removed), numbers, strict=True):
+                    out = out.append_column(name, pa.array(values, pa.int32()))
+                yield out
+            C.release()
+
+    changed = losing.mapInArrow(cut, schema)
+    if "n_chars" in columns:
+        changed = changed.withColumn("n_chars", F.when(F.col(removed) == 0, F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
+    breaks = F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n")))
+    same = kept.where(~may_lose(cell)).select(*columns, F.coalesce(breaks + 1, F.lit(0)).alias(lines), F.lit(0).alias(removed))
+    out = changed.unionByName(same)
+    return out.select(*columns, F.col(lines).alias("n_lines"), F.col(removed).alias("n_removed")) if counts else out.select(docs.columns)
+
+
+def without(column: pa.Array, gone: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """Texts without the lines whose numbers ``gone`` lists (null: none), how many lines each had, and how many it lost.
+
+    A null text stays null, without lines.
+    """
+    data, offsets = tx.buffers(column)
+    start, end, row, _ = bounds(data, offsets)
+    n = len(column)
+    first = np.searchsorted(row, np.arange(n))
+    of = np.repeat(np.arange(n), gone.value_lengths().fill_null(0).to_numpy())
+    lost = np.zeros(len(start), dtype=bool)
+    lost[first[of] + gone.flatten().to_numpy().astype(np.int64)] = True
+    keep = np.ones(len(data), dtype=bool)
+    keep[C.ranges(start[lost], (end - start)[lost])] = False
+    # of the line feeds, those after lines that stay are kept, but for that after a text's last such line
+    breaks = np.flatnonzero(data == 10)
+    of_break = np.searchsorted(offsets, breaks, "right") - 1
+    line = np.arange(len(breaks)) + of_break
+    left = np.bincount(row[~lost], minlength=n)
+    place = np.cumsum(~lost)
+    place -= (place - ~lost)[first][row]
+    keep[breaks[lost[line] | (place[line] >= left[of_break])]] = False
+    total = np.concatenate([[0], np.cumsum(keep)])
+    null = column.is_null().to_numpy(zero_copy_only=False)
+    valid = pa.py_buffer(np.packbits(~null, bitorder="little").tobytes()) if null.any() else None
+    out = pa.Array.from_buffers(pa.large_string(), n, [valid, pa.py_buffer(total[offsets].astype(np.int64)), pa.py_buffer(data[keep].tobytes())])
+    return out, np.where(null, 0, np.bincount(row, minlength=n)), np.bincount(of, minlength=n)

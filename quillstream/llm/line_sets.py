@@ -28,10 +28,30 @@ class Lines:
     def first(self) -> np.ndarray:
         return np.concatenate([[0], np.cumsum(self.size)])
 
+    def where(self, keep: np.ndarray) -> Lines:
+        """The lines for which ``keep`` holds."""
+        if keep.all():
+            return self
+        tokens = keep[self.owner]
+        return Lines(self.row[keep], self.number[keep], self.size[keep], self.tokens[tokens], (np.cumsum(keep) - 1)[self.owner[tokens]])
+
+
+def bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end, text's row and number (from 0) of all lines of texts; lines are split at line feeds."""
+    breaks = np.flatnonzero(data == 10)
+    before = np.searchsorted(breaks, offsets)
+    count = 1 + np.diff(before)
+    row = np.repeat(np.arange(len(count)), count)
+    number = np.arange(len(row)) - (np.cumsum(count) - count)[row]
+    return np.sort(np.concatenate([offsets[:-1], breaks + 1])), np.sort(np.concatenate([breaks, offsets[1:]])), row, number
+
 
 def line_sets(column: pa.Array) -> Lines:
-    """Lines are split at line feeds and numbered from 0; those without a word are left out."""
-    data, offsets = tx.buffers(column)
+    """Lines without a word are left out."""
+    return of_buffers(*tx.buffers(column))
+
+
+def of_buffers(data: np.ndarray, offsets: np.ndarray) -> Lines:
     starts, ends, _ = tx.word_bounds(data, offsets)
     if not len(starts):
         none = np.zeros(0, np.int64)

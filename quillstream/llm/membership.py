@@ -1,8 +1,9 @@
-"""A bounded bitmap of a table's hashes, to skip rows early before an exact join."""
+"""A bitmap of a table's hashes, sized by the table, to skip rows early before an exact join."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -11,40 +12,55 @@ from pyspark.sql import functions as F
 
 from quillstream.llm.text import mix
 
-BITS, RANGE_BITS = 26, 8
+#: A row's cell has so many bits; a bitmap uses the upper ones, as many as its table needs.  Beyond
+#: some 2^26 keys it is full size (64 MB) and lets ever more rows through, which costs only time.
+CELL_BITS, LEAST_BITS, RANGE_BITS = 29, 16, 8
+
+
+@dataclass
+class Flags:
+    """The flags of cells in which a row lies."""
+
+    bits: int
+    flags: np.ndarray
+
+    def inside(self, cells: np.ndarray) -> np.ndarray:
+        cells = cells >> (CELL_BITS - self.bits)
+        return (self.flags[cells >> 3] >> (cells & 7).astype(np.uint8)) & 1 == 1
 
 
 def cell(*columns: str) -> Column:
     """A row's cell, from the hash of its key."""
-    return F.shiftrightunsigned(F.xxhash64(*columns), 64 - BITS).cast("int")
+    return F.shiftrightunsigned(F.xxhash64(*columns), 64 - CELL_BITS).cast("int")
 
 
-def bitmap(rows: DataFrame, *columns: str) -> np.ndarray:
-    """2**BITS flags: those of cells in which a row lies.  Eight MB come to the driver, whatever the table's size."""
+def bitmap(rows: DataFrame, *columns: str) -> Flags:
+    """Of the keys in ``columns``."""
     return _collected(rows.select(cell(*columns).alias("cell")), lambda batch: batch.column(0).to_numpy())
 
 
 def pair_cells(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Cells of pairs of integers, for keys that tasks make themselves."""
     mixed = mix(mix(a.astype(np.int64).view(np.uint64)) + b.astype(np.int64).view(np.uint64))
-    return (mixed >> np.uint64(64 - BITS)).astype(np.int64)
+    return (mixed >> np.uint64(64 - CELL_BITS)).astype(np.int64)
 
 
-def pair_bitmap(rows: DataFrame) -> np.ndarray:
+def pair_bitmap(rows: DataFrame) -> Flags:
     """The flags of a table of two integer columns, by ``pair_cells``."""
     return _collected(rows, lambda batch: pair_cells(batch.column(0).to_numpy(), batch.column(1).to_numpy()))
 
 
-def _collected(rows: DataFrame, cells_of) -> np.ndarray:
-    size = 1 << (BITS - RANGE_BITS)
+def _collected(rows: DataFrame, cells_of) -> Flags:
+    bits = min(CELL_BITS, max(LEAST_BITS, (16 * rows.count()).bit_length()))
+    size, shift = 1 << (bits - RANGE_BITS), CELL_BITS - bits
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         flags: dict[int, np.ndarray] = {}
         for batch in batches:
-            cells = cells_of(batch)
-            for name in np.unique(cells >> (BITS - RANGE_BITS)).tolist():
+            cells = np.unique(cells_of(batch) >> shift)
+            names, first = np.unique(cells >> (bits - RANGE_BITS), return_index=True)
+            for name, inner in zip(names.tolist(), np.split(cells & (size - 1), first[1:]), strict=True):
                 own = flags.setdefault(name, np.zeros(size >> 3, np.uint8))
-                inner = np.unique(cells[cells >> (BITS - RANGE_BITS) == name] & (size - 1))
                 np.bitwise_or.at(own, inner >> 3, (1 << (inner & 7)).astype(np.uint8))
         if flags:
             yield pa.RecordBatch.from_arrays([pa.array(list(flags), pa.int32()), pa.array([f.tobytes() for f in flags.values()], pa.binary())], names=["range", "flags"])
@@ -59,12 +75,8 @@ def _collected(rows: DataFrame, cells_of) -> np.ndarray:
 
     kind = "range int, flags binary"
     shuffles = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    out = np.zeros(1 << (BITS - 3), dtype=np.uint8)
-    for r in rows.mapInArrow(pack, kind).repartition(min(1 << RANGE_BITS, shuffles), "range").mapInArrow(merge, kind).collect():
+    out = np.zeros(1 << (bits - 3), dtype=np.uint8)
+    for r in rows.mapInArrow(pack, kind).repartitionById(min(1 << RANGE_BITS, shuffles), "range").mapInArrow(merge, kind).collect():
         part = np.frombuffer(r["flags"], np.uint8)
         out[r["range"] * len(part) : (r["range"] + 1) * len(part)] |= part
-    return out
-
-
-def inside(flags: np.ndarray, cells: np.ndarray) -> np.ndarray:
-    return (flags[cells >> 3] >> (cells & 7).astype(np.uint8)) & 1 == 1
+    return Flags(bits, out)

@@ -240,7 +240,7 @@ def link_components(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            batch = batch.filter(pa.array(membership.inside(flags.value, batch.column("cell").to_numpy())))
+            batch = batch.filter(pa.array(flags.value.inside(batch.column("cell").to_numpy())))
             for part in tx.slices(batch, "text"):
                 raw = [own.tobytes() for own in sets(part.column("text"), n)]
                 yield pa.RecordBatch.from_arrays([pa.array([hashlib.blake2b(r, digest_size=16).digest() for r in raw], pa.binary()), pa.array(raw, pa.binary())], names=["cls", "tokens"])

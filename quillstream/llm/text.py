@@ -1,8 +1,7 @@
 """Vectorised word and shingle hashing over Arrow string batches.
 
 A batch of texts is one UTF-8 byte buffer with offsets.  Everything here works on that
-buffer with numpy, a bounded block at a time, so that a text of any length costs a few
-machine words per byte of one block and no Python object per word.
+buffer with numpy, so that a word costs a few machine words and no Python object.
 
 Words are the runs matched by ``[^\\x20\\x09-\\x0D]+``; letters A-Z are lower-cased first.
 Hashes are 64 bits wide.  Two different words or shingles share one with a probability
@@ -19,24 +18,16 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 U64 = np.uint64
-BLOCK = 1 << 19
-_BASE = 0x9E3779B97F4A7C15 | 1
 _STEP = U64(0xD1342543DE82EF95)
+#: Words of more bytes are hashed one by one.
+LONG_WORD = 1024
 
 IS_SPACE = np.zeros(256, dtype=bool)
 IS_SPACE[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[ord("A") : ord("Z") + 1] += 32
-_tables: dict[str, np.ndarray] = {}
-
-
-def _powers() -> tuple[np.ndarray, np.ndarray]:
-    if not _tables:
-        for name, base in (("up", _BASE), ("down", pow(_BASE, -1, 1 << 64))):
-            row = np.full(BLOCK + 1, base, dtype=U64)
-            row[0] = 1
-            _tables[name] = np.multiply.accumulate(row)
-    return _tables["up"], _tables["down"]
+#: The lowest k bytes of a number.
+_LOWEST = np.array([(1 << 8 * k) - 1 for k in range(9)], dtype=U64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -50,12 +41,13 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Bytes and offsets (n + 1, from 0) of a string array; a null counts as empty."""
+    """Bytes and offsets (n + 1, from 0) of a string or binary array; a null counts as empty."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
+    raw = pa.types.is_binary(column.type) or pa.types.is_large_binary(column.type)
     if column.null_count:
-        column = pc.fill_null(column, "")
-    column = column.cast(pa.large_string())
+        column = pc.fill_null(column, b"" if raw else "")
+    column = column.cast(pa.large_binary() if raw else pa.large_string())
     n = len(column)
     if n == 0:
         return np.zeros(0, np.uint8), np.zeros(1, np.int64)
@@ -65,7 +57,7 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def slices(batch: pa.RecordBatch, column: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, column: str, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """The batch in runs of rows of about ``most`` bytes of text (one row at least)."""
     n, first = batch.num_rows, 0
     if not n:
@@ -82,42 +74,45 @@ def word_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     """Byte starts and ends of all words, and each text's first word (n + 1 entries)."""
     if not len(data):
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(offsets), np.int64)
-    word = ~IS_SPACE[data]
-    edge = np.zeros(len(data) + 1, dtype=bool)
-    edge[offsets] = True
-    first = word.copy()
-    first[1:] &= ~word[:-1] | edge[1:-1]
-    last = word.copy()
-    last[:-1] &= ~word[1:] | edge[1:-1]
-    starts = np.flatnonzero(first)
-    return starts, np.flatnonzero(last) + 1, np.searchsorted(starts, offsets)
+    word = (data != 0x20) & (data - np.uint8(9) > 4)
+    edge = np.flatnonzero(word[1:] != word[:-1]) + 1
+    # changes from white space to word and back take turns
+    if word[0]:
+        edge = np.concatenate([[0], edge])
+    if word[-1]:
+        edge = np.append(edge, len(data))
+    starts, ends = np.ascontiguousarray(edge[0::2]), np.ascontiguousarray(edge[1::2])
+    inner = np.unique(offsets[(offsets > 0) & (offsets < len(data))])
+    inner = inner[word[inner - 1] & word[inner]]
+    if len(inner):  # one text ends and the next begins without white space
+        starts, ends = np.sort(np.concatenate([starts, inner])), np.sort(np.concatenate([ends, inner]))
+    return starts, ends, np.searchsorted(starts, offsets)
 
 
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: bool = True) -> np.ndarray:
-    """A 64-bit hash of each word; with ``fold``, of its A-Z lower-cased form."""
-    up, down = _powers()
-    out = np.empty(len(starts), dtype=U64)
-    at = 0
-    while at < len(starts):
-        base = int(starts[at])
-        to = int(np.searchsorted(ends, base + BLOCK, "right"))
-        if to <= at:  # one word longer than a block
-            raw = data[base : ends[at]]
-            raw = (LOWER[raw] if fold else raw).tobytes()
-            out[at] = int.from_bytes(hashlib.blake2b(raw, digest_size=8).digest(), "little")
-            at += 1
-            continue
-        raw = data[base : ends[to - 1]]
-        wide = (LOWER[raw] if fold else raw).astype(U64)
-        wide += U64(1)
-        wide *= up[: len(wide)]
-        total = np.empty(len(wide) + 1, dtype=U64)
-        total[0] = 0
-        np.cumsum(wide, out=total[1:])
-        a, b = starts[at:to] - base, ends[at:to] - base
-        out[at:to] = (total[b] - total[a]) * down[a] + (b - a).astype(U64) * _STEP
-        at = to
-    return mix(out)
+    """A 64-bit hash of each word; with ``fold``, of its A-Z lower-cased form.  Eight bytes of all words at a time."""
+    if not len(starts):
+        return np.zeros(0, U64)
+    padded = np.empty(len(data) + 8, np.uint8)
+    padded[len(data) :] = 0
+    if fold:
+        np.take(LOWER, data, out=padded[: len(data)])
+    else:
+        padded[: len(data)] = data
+    eight = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
+    size = ends - starts
+    out = size.astype(U64) * _STEP
+    out ^= eight[starts] & _LOWEST[np.minimum(size, 8)]
+    out = mix(out)
+    live = np.flatnonzero((size > 8) & (size <= LONG_WORD))
+    k = 8
+    while len(live):
+        out[live] = mix((out[live] * _STEP) ^ (eight[starts[live] + k] & _LOWEST[np.minimum(size[live] - k, 8)]))
+        k += 8
+        live = live[size[live] > k]
+    for at in np.flatnonzero(size > LONG_WORD).tolist():
+        out[at] = int.from_bytes(hashlib.blake2b(padded[starts[at] : ends[at]].tobytes(), digest_size=8).digest(), "little")
+    return out
 
 
 def shingle_hashes(words: np.ndarray, first: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:

@@ -73,7 +73,9 @@ def test_forest_finds_every_component_at_every_level(monkeypatch):
             own[swap] = rng.integers(0, 2**63, int(swap.sum()), dtype=np.uint64)
             sets.append(np.unique(own))
         tokens, counts = np.unique(np.concatenate(sets), return_counts=True)
-        order = rarity.Rarity(np.unique(tokens >> np.uint64(24)), counts[: len(np.unique(tokens >> np.uint64(24)))], np.full(1 << 24, 255, np.uint8))
+        ranks = np.zeros(1 << rarity.RANK_BITS, np.uint8)
+        np.maximum.at(ranks, (tokens >> np.uint64(64 - rarity.RANK_BITS)).astype(np.int64), np.ceil(4 * np.log2(counts)).astype(np.uint8))
+        order = rarity.Rarity(ranks, np.full(1 << 24, 255, np.uint8))
         monkeypatch.setattr(ngram_join, "level", lambda f, n, p: int(rng.choice([m for m in (1, 2, 4, 8) if m <= ngram_join.least_overlap(n, p)])))
         group = np.arange(len(sets))
         for i in range(len(sets)):

@@ -1,6 +1,7 @@
 import random
 import re
 
+import pyarrow as pa
 import pytest
 
 from quillstream.llm import line_dedup
@@ -54,7 +55,7 @@ def test_lines_against_brute_force(spark, odd, monkeypatch, tries, block):
     random.Random(2).shuffle(ids)
     rows = [*zip(ids, texts, strict=True), (None, texts[-1])]
     docs = spark.createDataFrame([(d, t, None if t is None else len(t), "n") for d, t in rows], "doc_id long, text string, n_chars int, n_lines string")
-    got = line_dedup.dedup(docs.repartition(4)).collect()
+    got = line_dedup.dedup(docs.repartition(4), least=5).collect()
     key = lambda r: (r[0] is None, r[0] or 0)
     assert sorted(((r.doc_id, r.text, r.n_removed) for r in got), key=key) == sorted(brute(rows, 80, 5), key=key)
     assert all(r.n_chars == (None if r.text is None else len(r.text)) for r in got)
@@ -63,7 +64,7 @@ def test_lines_against_brute_force(spark, odd, monkeypatch, tries, block):
 def test_sample_and_no_rows(spark, sample):
     docs = spark.createDataFrame(sample, "doc_id long, text string")
     got = line_dedup.dedup(docs).collect()
-    assert sorted((r.doc_id, r.text, r.n_removed) for r in got) == sorted(brute(sample, 80, 5))
+    assert sorted((r.doc_id, r.text, r.n_removed) for r in got) == sorted(brute(sample, 80, 1))
     assert line_dedup.dedup(docs.limit(0)).count() == 0
 
 
@@ -113,3 +114,27 @@ def test_texts_of_one_id_are_settled_apart(spark, monkeypatch, ids):
         kept = [line for k, line in enumerate(t.split("\n")) if not any(at < (d is None, d or 0, k) and 100 * len(own & set(line.split())) >= 80 * len(own | set(line.split())) for at, own in lines)]
         want.append((d, "\n".join(kept), 4 - len(kept)))
     assert sorted(((r.doc_id, r.text, r.n_removed) for r in got), key=key) == sorted(want, key=key)
+
+
+def test_lines_cut_from_arrow_texts():
+    rng = random.Random(9)
+    texts = [None, "", "\n", "a", "a\n", "\na", "é\n\n漢", *("".join(rng.choice("ab\n\né") for _ in range(rng.randrange(12))) for _ in range(300))]
+    gone = [None if t is None or rng.random() < 0.2 else [k for k in range(t.count("\n") + 1) if rng.random() < rng.choice([0.1, 0.6, 1.0])] for t in texts]
+    out, lines, lost = line_dedup.without(pa.array(texts, pa.string())[2:], pa.array(gone, pa.list_(pa.int32()))[2:])
+    want = [None if t is None else "\n".join(x for k, x in enumerate(t.split("\n")) if k not in (g or [])) for t, g in zip(texts, gone, strict=True)]
+    assert out.to_pylist() == want[2:]
+    assert line_dedup.without(pa.array(texts, pa.string()), pa.array(gone, pa.list_(pa.int32())))[0].to_pylist() == want
+    assert lines.tolist() == [t.count("\n") + 1 for t in texts[2:]] and lost.tolist() == [len(g or []) for g in gone[2:]]
+
+
+def test_columns_of_clashing_names_stay(spark):
+    docs = spark.createDataFrame([(1, "a b\na b", "x", 7, 8), (2, None, None, 9, 10)], "doc_id long, text string, _gone string, n_lines int, _DOC int")
+    got = sorted(line_dedup.dedup(docs, counts=False).collect())
+    assert got == [(1, "a b", "x", 7, 8), (2, None, None, 9, 10)]
+
+
+def test_a_line_that_many_texts_repeat(spark):
+    rows = [(k, "the same line\nand k%d of its own" % (k % 40)) for k in range(3000)] + [(None, "the same line")] * 50
+    got = line_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(6)).collect()
+    assert {(r.doc_id, r.text) for r in got if r.text} == {(0, rows[0][1])} | {(k, rows[k][1].split("\n")[1]) for k in range(1, 40)}
+    assert len(got) == len(rows)
