@@ -89,8 +89,11 @@ def unused(name: str, taken: list[str]) -> str:
     return name
 
 
-def gathered(blobs: DataFrame, parts: int, kinds: list[dict[str, str]], then: Callable[..., Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """``then`` applied to the tables of each part, a dict of columns for each of ``kinds``."""
+def gathered(blobs: DataFrame, parts: int | None, kinds: list[dict[str, str]], then: Callable[..., Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """``then`` applied to the tables of each part, a dict of columns for each of ``kinds``.
+
+    ``parts``: as many tasks; None if there may be so little that Spark had better choose.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[dict[str, list[np.ndarray]]] = [{k: [] for k in kind} for kind in kinds]
@@ -116,4 +119,4 @@ def gathered(blobs: DataFrame, parts: int, kinds: list[dict[str, str]], then: Ca
         held = []
         release()
 
-    return blobs.repartitionById(parts, "part").sortWithinPartitions("part").mapInArrow(run, schema)
+    return (blobs.repartitionById(parts, "part") if parts else blobs.repartition("part")).sortWithinPartitions("part").mapInArrow(run, schema)

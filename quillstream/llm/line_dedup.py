@@ -16,8 +16,8 @@ is left to know is whether a class has an earlier similar one:
 * Survivors are verified on the full sets.  Each class first tries its earliest candidates; only
   classes that none of these settled, and that had more, try all of them.
 
-Of a class's lines in one slice of texts only the first is dealt on, so a line that a third of the
-corpus repeats makes a row a slice.  A word met by very many lines is dealt in blocks, each pair of
+Of a class's lines that a task holds at a time only the first is dealt on, so a line that a third
+of the corpus repeats makes a row for some megabytes of text.  A word met by very many lines is dealt in blocks, each pair of
 which meets in one task.
 """
 
@@ -41,6 +41,8 @@ from quillstream.llm.storage import written
 PERCENT, LEAST_WORDS = 80, 1
 #: Earliest candidates tried first, and the rows of a word's block.
 TRIES, BLOCK_ROWS = 4, 8192
+#: Lines and prefix words that a task holds before it deals them.
+DEAL_ROWS = 1 << 18
 _LAST = (1 << 63) - 1
 
 
@@ -199,6 +201,20 @@ def later_lines(docs: DataFrame, percent: int = PERCENT, least: int = LEAST_WORD
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Lines with their sets' names, dealt by name; with each, its prefix words.  Repeats go by document."""
+        held: list[tuple[C.Columns, C.Columns, C.Columns]] = []
+        n = 0
+
+        def dealt() -> pa.RecordBatch:
+            head, words, gone = ({k: np.concatenate([c[k] for c in several]) for k in several[0]} for several in zip(*held, strict=True))
+            again = _repeats(head["h1"], head["h2"], head["doc"], head["line"])
+            gone = {k: np.concatenate([gone[k], head[k][again]]) for k in gone}
+            words = {k: c[np.repeat(~again, head["words"])] for k, c in words.items()}
+            head = {k: c[~again] for k, c in head.items()}
+            to = (head["h1"] % np.uint64(parts)).astype(np.int32)
+            lines = C.deal(head, to, np.argsort(to, kind="stable"), head["words"], words)
+            to = (tx.mix(tx.mix(gone["doc"].view(np.uint64)) + gone["line"].astype(np.uint64)) % np.uint64(parts)).astype(np.int32)
+            return C.rows(C.beside((lines, [_LINE, _WORD]), (C.deal(gone, to, np.argsort(to, kind="stable")), [_LATER])))
+
         for batch in batches:
             for part in tx.slices(batch, "text"):
                 lines = line_sets(part.column("text"))
@@ -217,16 +233,19 @@ def later_lines(docs: DataFrame, percent: int = PERCENT, least: int = LEAST_WORD
                 own = ~again[owner]
                 owner, token, place, rank = owner[own], token[own], place[own], rank[own]
                 count = np.bincount(owner, minlength=len(lines.size))[keep]
-                head = {"h1": h1[keep], "h2": h2[keep], "doc": ids[keep], "key": keys[keep], "line": lines.number[keep].astype(np.int32), "size": lines.size[keep].astype(np.int32), "sign": sign[keep], "sign2": sign2[keep], "words": count.astype(np.int32)}
                 group, blocks = _postings(token, rank)
-                to = (head["h1"] % np.uint64(parts)).astype(np.int32)
-                dealt = C.deal(head, to, np.argsort(to, kind="stable"), count, {"token": group, "place": place.astype(np.int32), "blocks": blocks.astype(np.int32)})
-                gone = {"doc": ids[repeat], "line": lines.number[repeat].astype(np.int32), "key": keys[repeat]}
-                to = (tx.mix(tx.mix(gone["doc"].view(np.uint64)) + gone["line"].astype(np.uint64)) % np.uint64(parts)).astype(np.int32)
-                both = C.beside((dealt, [_LINE, _WORD]), (C.deal(gone, to, np.argsort(to, kind="stable")), [_LATER]))
-                if both:
-                    yield C.rows(both)
-            C.release()
+                held.append((
+                    {"h1": h1[keep], "h2": h2[keep], "doc": ids[keep], "key": keys[keep], "line": lines.number[keep].astype(np.int32), "size": lines.size[keep].astype(np.int32), "sign": sign[keep], "sign2": sign2[keep], "words": count.astype(np.int32)},
+                    {"token": group, "place": place.astype(np.int32), "blocks": blocks.astype(np.int32)},
+                    {"doc": ids[repeat], "line": lines.number[repeat].astype(np.int32), "key": keys[repeat]},
+                ))
+                n += len(token) + len(ids)
+                if n >= DEAL_ROWS:
+                    yield dealt()
+                    held, n = [], 0
+        if held:
+            yield dealt()
+        C.release()
 
     def classify(line: C.Columns, words: C.Columns, gone: C.Columns) -> Iterator[pa.RecordBatch]:
         """Later lines of each class (kind 0), lines at the same place as its first (1), and the first's postings (2)."""
@@ -299,7 +318,7 @@ def later_lines(docs: DataFrame, percent: int = PERCENT, least: int = LEAST_WORD
             if len(x):
                 yield pa.RecordBatch.from_arrays([pa.array(v) for v in (c["doc"][x], c["line"][x], c["doc"][y], c["line"][y], more)], names=["x_doc", "x_line", "y_doc", "y_line", "more"])
 
-        met = C.gathered(blobs, parts, [_POSTING], run, _PAIR)
+        met = C.gathered(blobs, parts if probes is None else None, [_POSTING], run, _PAIR)
         return written(met.groupBy("x_doc", "x_line", "y_doc", "y_line").agg(F.max("more").alias("more")), "pairs")
 
     def verified(found: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -57,12 +57,11 @@ def of_buffers(data: np.ndarray, offsets: np.ndarray) -> Lines:
         none = np.zeros(0, np.int64)
         return Lines(none, none, none, np.zeros(0, np.uint64), none)
     words = tx.word_hashes(data, starts, ends)
-    row = np.searchsorted(offsets, starts, "right") - 1
-    newlines = np.flatnonzero(data == 10)
-    number = np.searchsorted(newlines, starts) - np.searchsorted(newlines, offsets[:-1])[row]
-    new = np.ones(len(starts), dtype=bool)
-    new[1:] = (row[1:] != row[:-1]) | (number[1:] != number[:-1])
-    line = np.cumsum(new) - 1
+    begin, _, row, number = bounds(data, offsets)
+    count = np.diff(np.append(np.searchsorted(starts, begin), len(starts)))
+    has = count > 0
+    row, number = row[has], number[has]
+    line = np.repeat(np.arange(len(row)), count[has])
     if line[-1] < 1 << (64 - BITS):  # line and token in one number, which sorts several times faster
         key = np.sort((line.astype(np.uint64) << np.uint64(BITS)) | (words >> np.uint64(64 - BITS)))
         key = key[np.concatenate([[True], key[1:] != key[:-1]])]
@@ -73,5 +72,4 @@ def of_buffers(data: np.ndarray, offsets: np.ndarray) -> Lines:
         words, owner = words[order], line[order]
         keep = np.concatenate([[True], (owner[1:] != owner[:-1]) | (words[1:] != words[:-1])])
         words, owner = words[keep], owner[keep]
-    at = np.flatnonzero(new)
-    return Lines(row[at], number[at], np.bincount(owner, minlength=len(at)), words, owner)
+    return Lines(row, number, np.bincount(owner, minlength=len(row)), words, owner)
