@@ -14,16 +14,14 @@ from __future__ import annotations
 import math
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-LONGEST, BUCKETS, BUDGET, SHARD_ROWS = 4096, 16, 65_536, 200_000
-WORD = r"[^\x20\x09-\x0D]+"
-
+from quillstream.llm import bpe
+from quillstream.llm.storage import written
 
-def words(text: Column) -> Column:
-    """The number of words; 0 for a null."""
-    return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+LONGEST, BUCKETS, BUDGET, SHARD_ROWS = 4096, 16, 65_536, 200_000
+SHAPE = "doc_id long, piece long, first_token long, n_tokens long, bucket_length long, batch string, slot int, tokens array<int>"
 
 
 def limits(lengths: np.ndarray, counts: np.ndarray, buckets: int) -> list[int]:
@@ -74,47 +72,47 @@ def limits(lengths: np.ndarray, counts: np.ndarray, buckets: int) -> list[int]:
     return sorted(out)
 
 
-def pieces(docs: DataFrame, length: Column, longest: int = LONGEST) -> DataFrame:
-    """doc_id, piece, first_token and n_tokens: each document in pieces of ``longest`` tokens at most.
-
-    An empty document has no piece.
-    """
-    sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), length.cast("long").alias("all")).where("all > 0")
-    cut = sized.withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(all - 1) div {longest}"))))
-    first = F.col("piece") * longest
-    return cut.select("doc_id", "piece", first.alias("first_token"), F.least(F.col("all") - first, F.lit(longest)).alias("n_tokens"))
+def tokenised(docs: DataFrame, path: str) -> DataFrame:
+    """doc_id, ids and their number of every text, as a written table: the tokeniser runs once."""
+    return written(bpe.tokenise(docs, path).withColumn("n_ids", F.size("ids").cast("long")), "tokens")
 
 
-def histogram(docs: DataFrame, length: Column, longest: int = LONGEST) -> tuple[np.ndarray, np.ndarray]:
+def histogram(tokens: DataFrame, longest: int = LONGEST) -> tuple[np.ndarray, np.ndarray]:
     """Lengths of pieces and how many have each: ``longest`` numbers at most."""
-    rows = pieces(docs, length, longest).groupBy("n_tokens").count().orderBy("n_tokens").collect()
+    whole = F.expr(f"n_ids div {longest}")
+    each = tokens.where("n_ids > 0").groupBy("n_ids").count()
+    lengths = each.select(F.expr(f"n_ids % {longest}").alias("n"), "count").unionAll(each.select(F.lit(longest).cast("long").alias("n"), (whole * F.col("count")).alias("count")))
+    rows = lengths.where("n > 0 and count > 0").groupBy("n").agg(F.sum("count")).collect()
     return np.array([r[0] for r in rows], dtype=np.int64), np.array([r[1] for r in rows], dtype=np.int64)
 
 
-def pack(docs: DataFrame, length: Column | None = None, longest: int = LONGEST, buckets: int = BUCKETS, budget: int = BUDGET, shard_rows: int = SHARD_ROWS) -> DataFrame:
-    """One row for each piece: doc_id, piece, first_token, n_tokens, bucket_length, batch and slot.
+def pack(tokens: DataFrame, longest: int = LONGEST, buckets: int = BUCKETS, budget: int = BUDGET, shard_rows: int = SHARD_ROWS) -> DataFrame:
+    """One row for each piece of ``tokens`` (doc_id, ids, n_ids; see ``tokenised``): SHAPE.
 
-    ``length`` counts a document's tokens (by default its words).  ``batch`` names bucket, shard and
-    number; it has max(1, budget // bucket_length) slots, all full but in a shard's last.  Order in a
-    shard is by doc_id (nulls first), piece and length; a shard is a hash of both ids, so copies of one
-    doc_id share no shard only by chance.  Documents without tokens aren't packed; no rows give none.
+    A document of more than ``longest`` tokens has several pieces, in order; joined, a document's pieces
+    are its ids.  ``batch`` names bucket, shard and number; it has max(1, budget // bucket_length) slots,
+    all full but in a shard's last.  Order in a shard is by doc_id (nulls first), piece, length and a hash
+    of the ids; shards are hashes of all of these, so texts of one doc_id or of null ids spread.  Documents
+    without tokens aren't packed; repeated rows are packed each; no rows give none.
     """
-    length = words(F.col("text")) if length is None else length
-    lengths, counts = histogram(docs, length, longest)
+    lengths, counts = histogram(tokens, longest)
     ends = limits(lengths, counts, buckets)
     if not ends:
-        shape = "doc_id long, piece long, first_token long, n_tokens long, bucket_length long, batch string, slot int"
-        return docs.sparkSession.createDataFrame([], shape)
+        return tokens.sparkSession.createDataFrame([], SHAPE)
     bucket, shards = F.lit(ends[-1]), F.lit(1)
     for low, end in sorted(zip([0, *ends], ends, strict=False), reverse=True):
         inside = F.col("n_tokens") <= end
         bucket = F.when(inside, F.lit(end)).otherwise(bucket)
         own = int(counts[(lengths > low) & (lengths <= end)].sum())
         shards = F.when(inside, F.lit(max(1, math.ceil(own / shard_rows)))).otherwise(shards)
-    placed = pieces(docs, length, longest).withColumn("bucket_length", bucket.cast("long")).withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece"), shards).cast("int"))
-    from pyspark.sql import Window
-
-    place = F.row_number().over(Window.partitionBy("bucket_length", "shard").orderBy("doc_id", "piece", "n_tokens")) - 1
+    number = F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(n_ids - 1) div {longest}")))
+    cut = tokens.where("n_ids > 0").select("doc_id", "ids", "n_ids", number.alias("piece")).withColumn("first_token", F.col("piece") * longest)
+    cut = cut.withColumn("n_tokens", F.least(F.col("n_ids") - F.col("first_token"), F.lit(longest)))
+    cut = cut.withColumn("tokens", F.slice("ids", (F.col("first_token") + 1).cast("int"), F.col("n_tokens").cast("int"))).withColumn("tie", F.xxhash64("tokens"))
+    placed = cut.withColumn("bucket_length", bucket.cast("long")).withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", "tie"), shards).cast("int"))
+    place = F.row_number().over(Window.partitionBy("bucket_length", "shard").orderBy("doc_id", "piece", "n_tokens", "tie")) - 1
     slots = F.greatest(F.lit(1).cast("long"), F.expr(f"{budget} div bucket_length"))
-    numbered = placed.withColumn("place", place.cast("long")).withColumn("slots", slots)
-    return numbered.select("doc_id", "piece", "first_token", "n_tokens", "bucket_length", F.concat_ws("-", "bucket_length", "shard", F.expr("place div slots")).alias("batch"), F.expr("cast(place % slots as int)").alias("slot"))
+    kept = placed.select("doc_id", "piece", "first_token", "n_tokens", "bucket_length", "shard", "tie", "tokens")
+    numbered = kept.withColumn("place", place.cast("long")).withColumn("slots", slots)
+    batch = F.concat_ws("-", "bucket_length", "shard", F.expr("place div slots"))
+    return numbered.select("doc_id", "piece", "first_token", "n_tokens", "bucket_length", batch.alias("batch"), F.expr("cast(place % slots as int)").alias("slot"), "tokens")

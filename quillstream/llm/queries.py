@@ -21,7 +21,7 @@ def op2_bpe_forced_boundaries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     from quillstream.llm import bpe
 
-    return bpe.encode_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return bpe.encode_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def op9_bottom_k(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,9 +32,13 @@ def op9_bottom_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_length_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
     from quillstream.llm import packing
 
-    return packing.pack(table(spark, sf_dir, "documents"))
+    tokens = packing.tokenised(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    # rows of at most 4,096 tokens, batches of 65,536: 16 at least
+    return packing.pack(tokens, longest=4096, buckets=16, budget=65_536)
 
 
 def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -236,19 +236,19 @@ def learn(docs: DataFrame, labels: DataFrame, most: int = LABELLED_ROWS, excepti
     return lexicon
 
 
-def score(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
-    """All columns of ``docs`` plus ``toxicity`` (0 to 1); a null or empty text has no match.
+def score(docs: DataFrame, lexicon: Lexicon, name: str = "toxicity") -> DataFrame:
+    """All columns of ``docs`` plus the score ``name`` (0 to 1); a null or empty text has no match.
 
-    A column of that name is replaced.
+    A column of that name is replaced; repeated rows are scored each; no rows give none.
     """
-    schema = StructType([*docs.drop("toxicity").schema.fields, StructField("toxicity", DoubleType())])
+    schema = StructType([*docs.drop(name).schema.fields, StructField(name, DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in tx.slices(batch, "text"):
-                yield part.append_column("toxicity", pa.array([lexicon.score(t) for t in part.column("text").to_pylist()], pa.float64()))
+                yield part.append_column(name, pa.array([lexicon.score(t) for t in part.column("text").to_pylist()], pa.float64()))
 
-    return docs.drop("toxicity").mapInArrow(run, schema)
+    return docs.drop(name).mapInArrow(run, schema)
 
 
 def held_out(doc_id):

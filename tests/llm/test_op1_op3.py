@@ -7,7 +7,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from quillstream.llm import packing, storage, warc
+from quillstream.llm import bpe, packing, storage, text, warc
 
 
 class Bytes:
@@ -89,16 +89,29 @@ def test_limits_are_optimal():
     assert packing.limits(np.array([], int), np.array([], int), 4) == []
 
 
+def vocabulary():
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
 def test_pack(spark, sample, odd):
-    rows = [*sample, *((10_000 + (i or 0), t) for i, t in odd)]
+    rows = [*sample, *((10_000 + (i or 0), t) for i, t in odd), (None, "one two three"), (None, "four five")]
     docs = spark.createDataFrame([(i, t, 9, "b") for i, t in rows], "doc_id long, text string, piece int, batch string")
-    got = packing.pack(docs, longest=300, buckets=5, budget=1500, shard_rows=40).collect()
-    pieces = {}
+    got = packing.pack(packing.tokenised(docs, vocabulary()), longest=300, buckets=5, budget=1500, shard_rows=40).collect()
+    code, texts, pieces = bpe.encoder(vocabulary()), {}, {}
     for i, t in rows:
-        n = len([w for w in __import__("re").findall(r"[^\x20\x09-\x0D]+", t or "")])
+        texts.setdefault(i, []).append(t or "")
+        n = len(code.encode(np.frombuffer((t or "").encode(), np.uint8)))
         for k in range(0, n, 300):
             pieces[(i, k // 300)] = pieces.get((i, k // 300), []) + [(k, min(300, n - k))]
-    assert sorted((r.doc_id, r.piece, r.first_token, r.n_tokens) for r in got) == sorted((*k, *v) for k, vs in pieces.items() for v in vs)
+    key = lambda r: (r[0] is None, r[0] or 0, *r[1:])
+    assert sorted(((r.doc_id, r.piece, r.first_token, r.n_tokens) for r in got), key=key) == sorted(((*k, *v) for k, vs in pieces.items() for v in vs), key=key)
+    assert all(len(r.tokens) == r.n_tokens for r in got)
+    for i, own in texts.items():  # slices decode back to the text
+        if len(own) == 1:
+            ids = [t for r in sorted((r for r in got if r.doc_id == i), key=lambda r: r.piece) for t in r.tokens]
+            assert code.decode(np.array(ids, int)) == own[0]
     lengths = np.array([r.n_tokens for r in got])
     values, counts = np.unique(lengths, return_counts=True)
     ends = packing.limits(values, counts, 5)
@@ -114,38 +127,47 @@ def test_pack(spark, sample, odd):
         if len(own) < slots:
             short[name.rsplit("-", 1)[0]] = short.get(name.rsplit("-", 1)[0], 0) + 1
     assert all(n == 1 for n in short.values())
-    assert packing.pack(docs.limit(0)).count() == 0
+    assert packing.pack(packing.tokenised(docs.limit(0), vocabulary())).count() == 0
 
 
 def test_byte_pair_encoding_equals_the_library(sample, odd):
-    import public_tokenizers as vocab
     from tokenizers import Tokenizer
 
-    from quillstream.llm import bpe, text
-
-    library = Tokenizer.from_file(vocab.path("byte_bpe_50k.json"))
+    library = Tokenizer.from_file(vocabulary())
     rng = random.Random(2)
-    alphabet = [*"abcXYZ019 \n\t.,!?'’-_é漢字ßñ 　 \U0001f600́٣Ⅷ²\x85\x1c", "'s", "'re", "  ", "\n\n", "<|endoftext|>", "<|", "!'", "''", "s'", "http://", "\r\n", "‍"]
+    alphabet = [*"abcXYZ019 \n\t.,!?'’-_é漢字ßñ 　 \U0001f600́٣Ⅷ²\x85\x1c", "'s", "'re", "  ", "\n\n", "<|endoftext|>", "<|", "!'", "''", "s'", "http://", "\r\n", "‍", "×", "÷", "ԯ", "Ա", "\u0558", "\ua7d2"]
     texts = [t or "" for _, t in [*sample, *odd]]
     texts += ["".join(rng.choice(alphabet) for _ in range(rng.randrange(60))) for _ in range(6000)]
     texts += ["".join(chr(rng.choice([rng.randrange(32, 0x3000), rng.randrange(0x10000, 0x1FFFF)])) for _ in range(30)) for _ in range(2000)]
     want = [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
-    for target in (1, 7, 4096):
-        code = bpe.encoder(vocab.path("byte_bpe_50k.tiktoken"), vocab.PATTERN, target)
-        data, offsets = text.buffers(pa.array(texts))
-        for k, t in enumerate(texts):
-            ids = code.encode(data[offsets[k] : offsets[k + 1]])
-            assert ids.tolist() == want[k], (target, t)
-            if target == 7:
-                assert code.decode(ids) == library.decode(want[k], skip_special_tokens=False)
+    for kept in (bpe.KEPT, 50):  # also when what was met before is forgotten
+        code = bpe.Encoder(vocabulary())
+        bpe.KEPT, kept = kept, bpe.KEPT
+        got = [ids for k in range(0, len(texts), 500) for ids in code.encode_all(*text.buffers(pa.array(texts[k : k + 500])))]
+        bpe.KEPT = kept
+        for t, ids, w in zip(texts, got, want, strict=True):
+            assert ids.tolist() == w, t
+            assert code.decode(ids) == library.decode(w, skip_special_tokens=False)
+
+
+@pytest.mark.parametrize("long", [" " * 1_000_000 + "a", "\n" * 1_000_000, "a" * 1_000_000, "ab" * 300_000, "é" * 200_000, " \n" * 200_000 + "x", "aab" * 70_000])
+def test_long_runs(long):
+    from tokenizers import Tokenizer
 
+    ids = bpe.encoder(vocabulary()).encode(np.frombuffer(long.encode(), np.uint8))
+    assert ids.tolist() == Tokenizer.from_file(vocabulary()).encode(long, add_special_tokens=False).ids
 
-def test_byte_pair_rows(spark, odd):
-    import public_tokenizers as vocab
 
-    from quillstream.llm import bpe
+def test_every_certain_cut_is_taken(sample):
+    code = bpe.encoder(vocabulary())
+    for _, t in sample[:50]:
+        data = np.frombuffer((t or "").encode(), np.uint8)
+        apart = [code.encode(part) for part in np.split(data, code.cuts(data))]
+        assert np.concatenate(apart).tolist() == code.encode(data).tolist()
 
+
+def test_byte_pair_rows(spark, odd):
     docs = spark.createDataFrame([(i, t, 1) for i, t in odd], "doc_id long, text string, n_tokens int")
-    got = bpe.encode_digests(docs, vocab.path("byte_bpe_50k.tiktoken"), vocab.PATTERN).collect()
+    got = bpe.encode_digests(docs, vocabulary()).collect()
     assert len(got) == len(odd) and {r.n_tokens for r in got if r.doc_id in (0, 1)} == {0}
-    assert bpe.tokenise(docs.limit(0), vocab.path("byte_bpe_50k.tiktoken"), vocab.PATTERN).count() == 0
+    assert bpe.tokenise(docs.limit(0), vocabulary()).count() == 0
