@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstream.llm import line_dedup, ngram_join, packing, pii, storage
+from quillstream.llm import columns, line_dedup, ngram_join, packing, pii, storage
 from quillstream.llm import toxicity as tox
 
 
@@ -17,7 +17,8 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the lexicon scores 0.5 or more go; texts that are null or empty stay."""
     labels = storage.table(spark, sf_dir, "labels")
     lexicon = tox.learn(docs, labels.where(~tox.held_out(F.col("doc_id"))))
-    return tox.score(docs, lexicon).where("toxicity < 0.5").select(docs.columns)
+    name = columns.unused("_toxicity", docs.columns)
+    return tox.score(docs, lexicon, name).where(F.col(name) < 0.5).select(docs.columns)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,8 +37,10 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents in batches of length buckets; documents without words have none."""
-    return packing.pack(docs)
+    """Token slices of documents in batches of length buckets; empty documents have none."""
+    import public_tokenizers
+
+    return packing.pack(packing.tokenised(docs, public_tokenizers.path("byte_bpe_50k.json")))
 
 
 STAGES = [("toxicity", toxicity), ("line_dedup", lines), ("ngram_join", near_duplicates), ("pii", personal_data), ("packing", pack)]
