@@ -14,6 +14,7 @@ from __future__ import annotations
 import hashlib
 import re
 import unicodedata
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -27,7 +28,8 @@ Span = tuple[int, int]
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-_DOTTED = re.compile(r"[0-9]+(?:\.[0-9]+){3,}")
+# begins where a run of digits does, so that each run is tried once
+_DOTTED = re.compile(r"(?<![0-9])[0-9]+(?:\.[0-9]+){3,}")
 _DIGITS = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
@@ -210,7 +212,10 @@ def windows(text: str) -> list[Span]:
     joined: list[Span] = []
     for a, b in sorted(marks):
         a, b = max(0, a - REACH), min(len(text), b + REACH)
-        while a > 0 and not text[a - 1].isspace():
+        done = joined[-1][1] if joined else 0
+        if b <= done:
+            continue
+        while a > done and not text[a - 1].isspace():
             a -= 1
         while b < len(text) and not text[b].isspace():
             b += 1
@@ -227,7 +232,7 @@ _PLAIN_NUMBERS = re.compile(r"[\s,0-9-]*")
 def spans(text: str, base: dict[str, list[Span]] | None = None) -> dict[str, list[Span]]:
     """Plain spans and those found behind disguises, by kind, in order."""
     base = plain(text) if base is None else base
-    added: dict[str, list[Span]] = {}
+    added: list[tuple[int, int, str]] = []
     for a, b in windows(text):
         tape = normalised(text[a:b], a)
         if tape.text == text[a:b]:
@@ -235,9 +240,17 @@ def spans(text: str, base: dict[str, list[Span]] | None = None) -> dict[str, lis
         for kind, found in plain(tape.text).items():
             for span in found:
                 x, y = tape.source(span)
-                if text[x:y] != tape.text[span[0] : span[1]] and not any(p < y and x < q for other in base.values() for p, q in other):
-                    added.setdefault(kind, []).append((x, y))
-    return {k: sorted({*base[k], *added[k]}) if k in added else base[k] for k in base}
+                if text[x:y] != tape.text[span[0] : span[1]]:
+                    added.append((x, y, kind))
+    if not added:
+        return base
+    # plain spans of one kind don't overlap, so of each kind only the last one that begins before an end can touch
+    begins = {k: [p for p, _ in found] for k, found in base.items()}
+    merged = {k: set(found) for k, found in base.items()}
+    for x, y, kind in added:
+        if not any((k := bisect_left(begins[other], y)) and base[other][k - 1][1] > x for other in base):
+            merged[kind].add((x, y))
+    return {kind: sorted(found) for kind, found in merged.items()}
 
 
 def listed(found: dict[str, list[Span]]) -> str:
@@ -281,7 +294,11 @@ def find(docs: DataFrame) -> DataFrame:
 
 
 def redact(docs: DataFrame) -> DataFrame:
-    """``docs`` with identifiers in ``text`` replaced, and n_chars, where there is one, counted anew."""
+    """``docs`` with identifiers in ``text`` replaced, and n_chars, where there is one, counted anew.
+
+    Null texts stay null and null counts stay so; repeated rows are treated each; all other columns stay; no
+    rows give none.
+    """
     schema = docs.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

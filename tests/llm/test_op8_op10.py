@@ -1,3 +1,4 @@
+import time
 import random
 import re
 
@@ -110,3 +111,26 @@ def test_overlapping_identifiers_are_covered():
     assert found["phone"][0][1] > found["email"][0][0]
     assert pii.redacted(text) == "ring [PHONE] now"
     assert pii.redacted("a@b.co +1 (504) 555-2652") == "[EMAIL] [PHONE]"
+
+
+@pytest.mark.parametrize("text", ["1" * 10**6, "1." * 300_000, "+1(" * 200_000, "@" * 10**6, "a[at]b" * 100_000, "0 1-" * 200_000, "one two three " * 30_000, "a" * 10**6 + "@" + "b" * 10**6])
+def test_long_runs_take_time_in_proportion(text):
+    began = time.process_time()
+    pii.spans(text)
+    assert time.process_time() - began < 30
+
+
+def test_many_plain_and_added_spans():
+    text = " ".join(f"u{k}@x{k}.org and v{k} [at] y{k} [dot] com" for k in range(6000))
+    found = pii.spans(text)
+    assert len(found["email"]) == 12_000
+    assert {text[a:b] for a, b in found["email"]} >= {"u5999@x5999.org", "v5999 [at] y5999 [dot] com"}
+
+
+def test_dotted_numbers_against_the_rule():
+    rng = random.Random(6)
+    rule = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+    for _ in range(3000):
+        text = "".join(rng.choice(["1", "25", "300", ".", ".", ".", "a", "0"]) for _ in range(rng.randrange(30)))
+        want = [m.span() for m in rule.finditer(text) if all(int(p) <= 255 for p in m[0].split("."))]
+        assert pii.ips(text) == want, text
