@@ -7,12 +7,12 @@ reference and the number of tokens it will stand for.
 
 Escaping: in texts and roles every ``<``, any number of backslashes, ``|`` gets one more
 backslash before the bar.  No escaped text holds ``<|``, so none holds a control string, and
-taking one backslash away gives the text back.  In roles, backslashes are doubled and line
-feeds written ``\\n`` before that.
+taking one backslash away gives the text back.  In roles, percent signs are written ``%25`` and
+line feeds ``%0A`` before that.
 
 The loss mask is kept as the list of the output's segments, in order, each with a flag: an
 assistant's texts are under the mask, one segment each; marks, placeholders and other turns
-aren't.  The segments joined are the formatted string.
+aren't.  The segments joined are the formatted string; both are the output.
 """
 
 from __future__ import annotations
@@ -36,13 +36,12 @@ def unescape(c: Column) -> Column:
 
 
 def escape_role(c: Column) -> Column:
-    return escape(F.replace(F.replace(c, F.lit("\\"), F.lit("\\\\")), F.lit("\n"), F.lit("\\n")))
+    return escape(F.replace(F.replace(c, F.lit("%"), F.lit("%25")), F.lit("\n"), F.lit("%0A")))
 
 
 def unescape_role(c: Column) -> Column:
-    # A doubled backslash is set aside while \n is read.
-    aside = F.replace(unescape(c), F.lit("\\\\"), F.lit("\x00"))
-    return F.replace(F.replace(aside, F.lit("\\n"), F.lit("\n")), F.lit("\x00"), F.lit("\\"))
+    # each percent sign is followed by its own two digits, so no other text reads as a code
+    return F.replace(F.replace(unescape(c), F.lit("%0A"), F.lit("\n")), F.lit("%25"), F.lit("%"))
 
 
 def visit_part(part: Column) -> Column:
@@ -124,4 +123,5 @@ def digests(chats: DataFrame) -> DataFrame:
         F.length("loss").cast("long").alias("loss_chars"),
         F.sha2("loss", 256).alias("loss_sha256"),
         "formatted_chars",
+        "attachment_tokens",
     )
