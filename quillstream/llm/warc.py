@@ -188,20 +188,30 @@ class Writer:
 def write(pages: DataFrame, folder: str) -> DataFrame:
     """Archive all pages below ``folder``; returns the manifest (archive, records, bytes).
 
-    Of pages with equal payloads (the html as UTF-8; null: empty), those with the least page_id become
-    responses and the others revisits of it.  A null page_id is no candidate for the least one, so such
-    a page revisits any numbered one and else is a response.  Columns besides page_id, url (may be
-    missing) and html are left out.
+    Of pages with equal payloads (the html as UTF-8; null: empty), one with the least page_id becomes the
+    response and the others revisits of it; of several rows with that page_id, one with the least url
+    (nulls last).  A null page_id is no candidate for the least one, so such a page revisits any numbered
+    one and else is a response.  Columns besides page_id, url (may be missing) and html are left out; no
+    pages give no archive.
     """
     url = F.col("url").cast("string") if "url" in pages.columns else F.lit(None).cast("string")
-    # a row number of the table's own isn't needed: equal ids with equal payloads have equal answers
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), url.alias("url"), F.coalesce("html", F.lit("")).alias("html"))
-    keyed = rows.select("page_id", F.sha1(F.encode("html", "UTF-8")).alias("sha"))
-    firsts = keyed.groupBy("sha").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1 and first is not null").select("sha", "first")
+    sha = F.sha1(F.encode("html", "UTF-8"))
+    keyed = rows.select("page_id", sha.alias("sha"))
+    # counted by page first: a payload that a third of all pages have is a row a page_id at most, and written, so that Spark can split it
+    each = storage.written(keyed.groupBy("page_id", "sha").agg(F.count("*").alias("n")), "payloads")
+    firsts = storage.written(each.groupBy("sha").agg(F.min("page_id").alias("first"), F.sum("n").alias("copies")).where("copies > 1 and first is not null"), "firsts")
     # Only the few ids of copies meet the payloads again, so these are shuffled by page_id at most.
-    copies = keyed.join(firsts, "sha").where("page_id is null or page_id > first").select(F.col("page_id").alias("id"), "sha", "first").distinct()
-    told = rows.withColumn("sha", F.sha1(F.encode("html", "UTF-8"))).join(copies.withColumnRenamed("sha", "copy_sha"), F.col("page_id").eqNullSafe(F.col("id")) & (F.col("sha") == F.col("copy_sha")), "left")
-    chosen = told.select("page_id", "url", "html", F.col("first").alias("refers_to"))
+    copies = each.join(firsts, "sha").where("page_id is null or page_id > first or n > 1").select(F.col("page_id").alias("id"), F.col("sha").alias("copy_sha"), "first")
+    told = rows.withColumn("sha", sha).join(copies, F.col("page_id").eqNullSafe(F.col("id")) & (F.col("sha") == F.col("copy_sha")), "left")
+    tied = F.coalesce(F.col("page_id") == F.col("first"), F.lit(False))
+    chosen = told.where(~tied).select("page_id", "url", "html", F.col("first").alias("refers_to"))
+    # rows of the least page_id several times over: equal ones are counted, and one of them all is the response
+    equal = told.where(tied).groupBy("page_id", "sha", "url").agg(F.first("html").alias("html"), F.count("*").alias("n"))
+    least = equal.groupBy("page_id", "sha").agg(F.min(F.struct(F.col("url").isNull(), "url")).alias("least"))
+    led = equal.join(least, ["page_id", "sha"]).withColumn("leads", F.struct(F.col("url").isNull(), "url") == F.col("least"))
+    numbered = led.select("page_id", "url", "html", "leads", F.explode(F.sequence(F.lit(1).cast("long"), "n")).alias("k"))
+    chosen = chosen.unionByName(numbered.select("page_id", "url", "html", F.when(~(F.col("leads") & (F.col("k") == 1)), F.col("page_id")).alias("refers_to")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         writer = Writer(folder)
@@ -231,7 +241,8 @@ def read(manifest: DataFrame, payloads: bool = False) -> DataFrame:
     """A row for each record of the manifest's archives, read by range through their indexes.
 
     A response's digest and size are taken from its payload and held against its headers; a revisit's
-    are those of its headers.  ``payloads`` adds the html (null for revisits).
+    are those of its headers.  ``payloads`` adds the html (null for revisits).  Rows of equal or null
+    page_id stay apart; an empty manifest gives no rows.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

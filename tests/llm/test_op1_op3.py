@@ -54,20 +54,27 @@ def test_directory_of_zip_and_zip64(far, monkeypatch):
 
 
 def test_archives_round_trip(spark, monkeypatch):
-    rows = [(1, "http://a", "<p>é</p>"), (2, "http://b", "<p>é</p>"), (5, "u", None), (3, "u\r\nx", ""), (3, "u", ""), (None, "n", "<p>é</p>"), (None, None, "alone"), (9, "z", "WARC/1.1\r\n\r\nHTTP/1.1"), (10, "z", "x" * 200_000), (2, "http://b", "<p>é</p>")]
+    rows = [(1, "http://a", "<p>é</p>"), (2, "http://b", "<p>é</p>"), (5, "u", None), (3, "u\r\nx", ""), (3, "u", ""), (None, "n", "<p>é</p>"), (None, None, "alone"), (9, "z", "WARC/1.1\r\n\r\nHTTP/1.1"), (10, "z", "x" * 200_000), (2, "http://b", "<p>é</p>"), (1, "http://a", "<p>é</p>"), (1, "http://0", "<p>é</p>"), (1, None, "<p>é</p>")]
     pages = spark.createDataFrame([(*r, 1) for r in rows], "page_id long, url string, html string, refers_to int")
     manifest = warc.write(pages.repartition(3), f"{storage.shared_dir(spark)}/archives")
     assert sum(r.records for r in manifest.collect()) == len(rows)
     got = warc.read(manifest, payloads=True).collect()
-    key = lambda r: (r[0] is None, r[0] or 0, r[1] or "")
-    first = {"<p>é</p>": 1, "": 3}
-    want = []
-    for page, url, html in rows:
+    # one response a payload: of the least page_id, then of the least url
+    numbered = sorted((r for r in rows if r[0] is not None), key=lambda r: (r[0], r[1] is None, r[1] or ""))
+    leads = {}
+    for r in numbered:
+        leads.setdefault(r[2] or "", r)
+    want, led = [], set()
+    for page, url, html in sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, r[1] or "")):
         html = html or ""
-        least = first.get(html)
-        revisit = least is not None and page != least
-        want.append((page, (url or "").replace("\r", "%0D").replace("\n", "%0A"), len(html.encode()), warc.digest(html.encode()), "revisit" if revisit else "response", least if revisit else None, None if revisit else html))
+        lead = leads.get(html)
+        revisit = lead is not None and (html in led or (page, url) != lead[:2])
+        if lead is not None and not revisit:
+            led.add(html)
+        want.append((page, (url or "").replace("\r", "%0D").replace("\n", "%0A"), len(html.encode()), warc.digest(html.encode()), "revisit" if revisit else "response", lead[0] if revisit else None, None if revisit else html))
+    key = lambda r: (r[0] is None, r[0] or 0, r[1] or "", r[4])
     assert sorted(((r.page_id, r.url, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to, r.html) for r in got), key=key) == sorted(want, key=key)
+    assert [r.record_type for r in got if r.page_id == 1 and r.html] == ["response"]
     assert warc.read(warc.write(pages.limit(0), f"{storage.shared_dir(spark)}/none")).count() == 0
 
 
