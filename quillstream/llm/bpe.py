@@ -34,7 +34,7 @@ from quillstream.llm import text as tx
 from quillstream.llm.columns import ranges
 
 #: Bytes of a fragment that is kept for the next time, and the number of these; bytes of a piece that is merged beside others.
-SHORT, KEPT, FEW = 64, 300_000, 64
+SHORT, KEPT, FEW = 64, 150_000, 64
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 #: Fixed value: the pieces that byte-level vocabularies of this kind are merged in.
 PIECE = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -75,12 +75,11 @@ class Encoder:
         for raw, i in self.added.items():
             self.token[i] = raw
         pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in spec["model"]["merges"]]
-        #: (left id, right id) -> (rank, merged id), and the same as arrays
-        self.merges = {(vocab[a], vocab[b]): (rank, vocab[a + b]) for rank, (a, b) in enumerate(pairs)}
-        keys = np.array([(a << 32) | b for a, b in self.merges], dtype=np.int64)
+        # merges by rank, and their pairs in order
+        keys = np.array([(vocab[a] << 32) | vocab[b] for a, b in pairs], dtype=np.int64)
+        self.merged = np.array([vocab[a + b] for a, b in pairs], dtype=np.int64)
         order = np.argsort(keys)
         self.pair_keys, self.pair_ranks = keys[order], order
-        self.merged = np.array([m for _, m in self.merges.values()], dtype=np.int64)
         self.of_byte = np.zeros(256, dtype=np.int64)
         for c, b in letters.items():
             self.of_byte[b] = vocab[c]

@@ -7,7 +7,6 @@ sorted and small numbers, and costs no work for each row.  Several tables may sh
 
 from __future__ import annotations
 
-import ctypes
 import struct
 from collections.abc import Callable, Iterator
 
@@ -15,6 +14,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from quillstream.llm import text as tx
+
 BLOB = "part int, blob binary"
 SCHEMA = pa.schema([("part", pa.int32()), ("blob", pa.binary())])
 Columns = dict[str, np.ndarray]
@@ -26,13 +27,6 @@ def ranges(start: np.ndarray, count: np.ndarray) -> np.ndarray:
     return np.repeat(start - (total - count), count) + np.arange(int(total[-1]) if len(total) else 0)
 
 
-def release() -> None:
-    """Give back what freed arrays leave behind in the worker, which lives on for later stages."""
-    pa.default_memory_pool().release_unused()
-    if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
-        libc.malloc_trim(0)
-
-
 def packed(columns: Columns) -> bytes:
     n = len(next(iter(columns.values())))
     planes = [np.ascontiguousarray(c).view(np.uint8).reshape(n, c.dtype.itemsize).T.tobytes() for c in columns.values()]
@@ -117,6 +111,6 @@ def gathered(blobs: DataFrame, parts: int | None, kinds: list[dict[str, str]], t
         if name is not None:
             yield from done()
         held = []
-        release()
+        tx.release()
 
     return (blobs.repartitionById(parts, "part") if parts else blobs.repartition("part")).sortWithinPartitions("part").mapInArrow(run, schema)

@@ -245,7 +245,6 @@ def later_lines(docs: DataFrame, percent: int = PERCENT, least: int = LEAST_WORD
                     held, n = [], 0
         if held:
             yield dealt()
-        C.release()
 
     def classify(line: C.Columns, words: C.Columns, gone: C.Columns) -> Iterator[pa.RecordBatch]:
         """Later lines of each class (kind 0), lines at the same place as its first (1), and the first's postings (2)."""
@@ -342,7 +341,6 @@ def later_lines(docs: DataFrame, percent: int = PERCENT, least: int = LEAST_WORD
                     if len(own.size):
                         at = at[own.row]
                         yield pa.RecordBatch.from_arrays([pa.array(ids[at]), part.column("text_key").take(pa.array(row[at])), pa.array(number[at].astype(np.int32)), _packed(own)], names=["doc_id", "text_key", "line", "words"])
-                C.release()
 
         sets = read.withColumn("cell", membership.cell("doc_id")).mapInArrow(read_sets, "doc_id long, text_key long, line int, words binary")
         held = written(sets, "sets")
@@ -436,7 +434,6 @@ def dedup(docs: DataFrame, percent: int = PERCENT, least: int = LEAST_WORDS, cou
                 for name, values in zip((lines, removed), numbers, strict=True):
                     out = out.append_column(name, pa.array(values, pa.int32()))
                 yield out
-            C.release()
 
     changed = losing.mapInArrow(cut, schema)
     if "n_chars" in columns:
