@@ -112,6 +112,25 @@ def strip_prefix(c: Column, prefix: str) -> Column:
     return F.nullif(F.regexp_replace(c, f"^{prefix}", ""), F.lit(""))
 
 
+def common_start(a: Column, b: Column) -> Column:
+    """How many first elements two arrays have in common."""
+    same = F.zip_with(a, b, lambda x, y: F.coalesce(x == y, F.lit(False)))
+    at = F.array_position(same, False)
+    return F.when(at > 0, at - 1).otherwise(F.size(a))
+
+
+def title_renamed(old: Column, new: Column) -> Column:
+    """Whether two titles differ by more than an artefact: a bracketed prefix, a subtitle, one word more or less, blanks."""
+    a, b = normalize_title(old), normalize_title(new)
+    bare = [normalize_title(F.regexp_replace(text(c), r"^\[.*?\]\s*", "")) for c in (old, new)]
+    x, y = words(a), words(b)
+    # one word was put in: what is before and what is after it make up the shorter title
+    covered = common_start(x, y) + common_start(F.reverse(x), F.reverse(y)) >= F.least(F.size(x), F.size(y))
+    one_word = (F.abs(F.size(x) - F.size(y)) == 1) & covered
+    same = (a == b) | (bare[0] == bare[1]) | (F.replace(a, F.lit(" ")) == F.replace(b, F.lit(" ")))
+    return ~(same | one_word | F.startswith(a, b) | F.startswith(b, a))
+
+
 def initial(c: Column) -> Column:
     """The letter of a lone initial, lower case, else null."""
     bare = F.trim(c)

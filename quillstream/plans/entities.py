@@ -13,36 +13,6 @@ from quillstream.plans.common import Plans, total
 
 P = Plans()
 
-_GROUPS = """with recursive n as (select s_suppkey as id, s_nationkey % 9 as x, cast(floor(s_acctbal) as int) % 40 as y from supplier),
-    e as (select a.id as a, b.id as b from n a join n b on a.y = b.y and a.id <> b.id),
-    reach as (select id as a, id as b from n union select r.a, e.b from reach r join e on r.b = e.a),
-    g as (select a as id, min(b) as root from reach group by a)
-"""
-
-
-def _nodes(t):
-    return t("supplier").select(F.col("s_suppkey").alias("id"), F.expr("s_nationkey % 9").alias("x"), F.expr("cast(floor(s_acctbal) as int) % 40").alias("y"), "s_acctbal")
-
-
-def _rooted(t):
-    n = _nodes(t)
-    found = G.connected(G.star_pairs(n, "y", "id"))
-    return n.join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
-
-
-@P.add("set_2_transitive_groups")
-def _(t):
-    n = t("part").select(F.col("p_partkey").alias("id"), "p_name", "p_brand")
-    found = G.connected(G.star_pairs(n, "p_name", "id").unionAll(G.star_pairs(n, "p_brand", "id")))
-    return n.select("id").join(found.withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("root", "id").alias("root"))
-
-
-@P.add("er_4_identifier_groups", _GROUPS + "select root, string_agg(id::varchar, ',' order by id) as ids from g group by root having count(*) > 1")
-def _(t):
-    g = R.nested(_rooted(t), ["root"], "id").where(F.size("items") > 1)
-    return g.select("root", F.array_join(F.transform("items", lambda x: x["id"].cast("string")), ",").alias("ids"))
-
-
 @P.add("er_6_merge_into_earliest", """
     select p_name, min(p_partkey) as canonical, first(p_brand order by p_partkey) filter (where p_brand <> 'Brand#11') as brand, first(p_type order by p_partkey) filter (where p_size > 25) as type from part group by p_name
 """)
@@ -51,24 +21,6 @@ def _(t):
     return t("part").groupBy("p_name").agg(F.min("p_partkey").alias("canonical"), pick("p_brand", F.col("p_brand") != "Brand#11").alias("brand"), pick("p_type", F.col("p_size") > 25).alias("type"))
 
 
-@P.add("er_5_fuzzy_titles")
-def _(t):
-    """Pairs of titles within one brand and type; similarity by word order and overlap."""
-    p = t("part").select("p_partkey", "p_name", "p_brand", "p_type").dropDuplicates(["p_brand", "p_type", "p_name"])
-    other = p.select(F.col("p_partkey").alias("b"), F.col("p_name").alias("y"), "p_brand", "p_type")
-    pairs = p.select(F.col("p_partkey").alias("a"), F.col("p_name").alias("x"), "p_brand", "p_type").join(other, ["p_brand", "p_type"]).where("a < b")
-    ratio = U.sequence_ratio(T.words(T.fuzzy_form(F.col("x"))), T.words(T.fuzzy_form(F.col("y"))))
-    scored = pairs.withColumn("seq", ratio).withColumn("over", T.overlap(T.content_words(F.col("x")), T.content_words(F.col("y"))))
-    return scored.withColumn("score", F.when((F.col("over") > F.col("seq")) & (F.col("seq") < 0.5), F.col("seq")).otherwise(F.greatest("seq", "over"))).where("score >= 0.5").select("a", "b", "score")
-
-
-@P.add("er_2_within_key_dedup", """
-    select l_orderkey, min(l_linenumber) as kept, count(*) as n from lineitem group by l_orderkey, l_suppkey % 3
-""")
-def _(t):
-    return t("lineitem").groupBy("l_orderkey", F.expr("l_suppkey % 3")).agg(F.min("l_linenumber").alias("kept"), F.count("*").alias("n")).select("l_orderkey", "kept", "n")
-
-
 @P.add("er_9_exact_name_merge", """
     select p_partkey as dup, c as canonical from (select p_partkey, first_value(p_partkey) over (partition by lower(p_name), p_brand order by p_retailprice desc, p_partkey) as c from part) where p_partkey <> c
 """)
@@ -87,13 +39,6 @@ def _(t):
     return pairs.join(known, ["owner", "paper"], "left_anti")
 
 
-@P.add("er_11_last_name_in_tokens", "select c_custkey, s_suppkey from customer join supplier on c_custkey % 100 = s_suppkey % 100 where list_contains(string_split(lower(s_name), '#'), lower(string_split(c_name, '#')[2]))")
-def _(t):
-    c = t("customer").select("c_custkey", F.lower(F.element_at(F.split("c_name", "#"), 2)).alias("last"), F.expr("c_custkey % 100").alias("k"))
-    s = t("supplier").select("s_suppkey", F.split(F.lower("s_name"), "#").alias("tokens"), F.expr("s_suppkey % 100").alias("k"))
-    return c.join(s, "k").where(F.array_contains("tokens", F.col("last"))).select("c_custkey", "s_suppkey")
-
-
 @P.add("er_8_sorted_neighbours")
 def _(t):
     """Neighbours in order of their normal form, of one beginning and nearly one word order."""
@@ -188,11 +133,6 @@ def _(t):
     return sides.where("was <> is").select("k", F.when(F.col("was"), "gone").otherwise("new").alias("way"))
 
 
-@P.add("set_3_no_conflict", "select l_orderkey, count(distinct l_returnflag) = 1 as clear from lineitem group by l_orderkey")
-def _(t):
-    return t("lineitem").groupBy("l_orderkey").agg((F.countDistinct("l_returnflag") == 1).alias("clear"))
-
-
 @P.add("set_4_symmetric_difference", r"""
     with w as (select doc_id, list_distinct(string_split(text, ' ')) as a, list_distinct(string_split(text[41:], ' ')) as b from documents)
     select doc_id, (len(a) + len(b) - 2 * len(list_intersect(a, b)))::bigint as n from w

@@ -152,35 +152,6 @@ def _(t):
     return links.select("page_id", head.alias("title")).where("title <> ''")
 
 
-@P.add("er_1_save_by_hash", """
-    select title_hash, min(p_partkey) as id, count(*) as seen, max(p_retailprice) as price from (select p_partkey, p_retailprice, sha256(lower(p_name)) as title_hash from part) group by title_hash
-""")
-def _(t):
-    return t("part").select("p_partkey", "p_retailprice", T.title_hash(F.col("p_name")).alias("title_hash")).groupBy("title_hash").agg(F.min("p_partkey").alias("id"), F.count("*").alias("seen"), F.max("p_retailprice").alias("price"))
-
-
-@P.add("er_3_shared_work_pairs", """
-    select a.l_suppkey as a, b.l_suppkey as b from lineitem a join lineitem b on a.l_orderkey = b.l_orderkey and a.l_suppkey < b.l_suppkey
-    join supplier x on x.s_suppkey = a.l_suppkey join supplier y on y.s_suppkey = b.l_suppkey and y.s_nationkey = x.s_nationkey group by all having count(distinct a.l_orderkey) >= 2
-""")
-def _(t):
-    w = t("lineitem").select("l_suppkey", "l_orderkey").distinct().join(t("supplier").select(F.col("s_suppkey").alias("l_suppkey"), "s_nationkey"), "l_suppkey")
-    other = w.withColumnRenamed("l_suppkey", "b")
-    return w.withColumnRenamed("l_suppkey", "a").join(other, ["l_orderkey", "s_nationkey"]).where("a < b").groupBy("a", "b").agg(F.count("*").alias("n")).where("n >= 2").select("a", "b")
-
-
-@P.add("er_7_renames", """
-    with o as (select p_brand as g, p_partkey as a, p_name as x from part where p_partkey % 2 = 0), n as (select p_brand as g, p_partkey as b, p_name as y from part where p_partkey % 2 = 1),
-    s as (select a, b, len(list_intersect(string_split(lower(x), ' '), string_split(lower(y), ' '))) / len(list_distinct(list_concat(string_split(lower(x), ' '), string_split(lower(y), ' ')))) as score from o join n using (g) where x <> y)
-    select a, b, round(score, 9) as score from s where score >= 0.3 qualify row_number() over (partition by a order by score desc, b) = 1
-""")
-def _(t):
-    old = t("part").where("p_partkey % 2 = 0").select(F.col("p_brand").alias("g"), F.col("p_partkey").alias("a"), F.col("p_name").alias("x"))
-    new = t("part").where("p_partkey % 2 = 1").select(F.col("p_brand").alias("g"), F.col("p_partkey").alias("b"), F.col("p_name").alias("y"))
-    scored = old.join(new, "g").where("x <> y").withColumn("score", T.title_jaccard(F.col("x"), F.col("y"))).where("score >= 0.3")
-    return R.top(scored, ["a"], 1, F.desc("score"), F.col("b")).select("a", "b", F.round("score", 9).alias("score"))
-
-
 @P.add("evt_2_status_events", """
     with h as (select l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate, list_position(['A', 'N', 'R'], l_returnflag) as r from lineitem),
     m as (select *, max(r) over (partition by l_orderkey order by l_shipdate, l_linenumber, l_partkey, l_suppkey rows between unbounded preceding and 1 preceding) as b from h)
@@ -204,17 +175,6 @@ def _(t):
     return d.where(U.title_on_page("title", "page")).select("page_id")
 
 
-@P.add("enr_3_link_tiers", """
-    select p_partkey, case when p_size % 3 = 0 then 'doi' when p_size % 3 = 1 then 'title' else 'none' end as tier from part
-""")
-def _(t):
-    p = t("part").select("p_partkey", "p_size")
-    doi = p.where("p_size % 3 = 0").select("p_partkey", F.lit("doi").alias("tier"))
-    rest = p.join(doi, "p_partkey", "left_anti")
-    title = rest.where("p_size % 3 = 1").select("p_partkey", F.lit("title").alias("tier"))
-    return doi.unionByName(title).unionByName(rest.join(title, "p_partkey", "left_anti").select("p_partkey", F.lit("none").alias("tier")))
-
-
 @P.add("enr_7_nested_affiliation", "select s_suppkey, case when s_suppkey % 2 = 0 then n_name else 'legacy' end as affiliation from supplier join nation on n_nationkey = s_nationkey")
 def _(t):
     payload = F.when(F.col("s_suppkey") % 2 == 0, F.format_string('{"institutions":[{"name":"%s"},{"name":"x"}],"old":"legacy"}', "n_name")).otherwise(F.lit('{"institutions":[],"old":"legacy"}'))

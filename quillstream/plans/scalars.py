@@ -101,17 +101,6 @@ def _(t):
     return t("part").select("p_partkey", U.sequence_ratio(T.words(F.lower("p_name")), T.words(F.lower("p_type"))).alias("ratio"))
 
 
-@P.add("str_12_name_compatible")
-def _(t):
-    a, b = F.col("p_name"), F.concat(F.left("p_type", F.lit(1)), F.lit("."))
-    return t("part").select("p_partkey", T.compatible_names(a, b).alias("ok"), T.initial_match(b, a).alias("initial"), T.longer_name(a, b).alias("longer"), T.abbreviation(a, b).alias("short"))
-
-
-@P.add("str_16_title_renamed")
-def _(t):
-    return t("part").select("p_partkey", U.title_renamed(T.normalize_title(F.col("p_name")), T.normalize_title(F.col("p_type"))).alias("renamed"))
-
-
 @P.add("str_17_title_on_page")
 def _(t):
     title = T.match_form(F.regexp_extract("html", "(?s)<title>(.*?)</title>", 1))

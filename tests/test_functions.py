@@ -95,9 +95,9 @@ def test_title_on_page(spark, title, page, ok):
     assert one(spark, U.title_on_page(F.col("a"), F.col("b")), a=title, b=page) is ok
 
 
-@pytest.mark.parametrize(("old", "new", "ok"), [("a theory of money", "a theory of the money", False), ("a theory of money", "a theory of trade", True), ("money and trade", "wages in the long run", True), ("money", "money and trade today", False), ("co operation games", "cooperation games", False)])
+@pytest.mark.parametrize(("old", "new", "ok"), [("a theory of money", "a theory of the money", False), ("a theory of money", "a theory of trade", True), ("money and trade", "wages in the long run", True), ("money", "money and trade today", False), ("co operation games", "cooperation games", False), ("[R&R at AER] A theory", "A theory", False), ("a b c d", "a x c d", True), ("a b c", "x a b c", False), ("a b c d e", "a c d", True), ("", "money", False), (None, "money", False)])
 def test_title_renamed(spark, old, new, ok):
-    assert one(spark, U.title_renamed(F.col("a"), F.col("b")), a=old, b=new) is ok
+    assert one(spark, T.title_renamed(F.col("a"), F.col("b")), a=old, b=new) is ok
 
 
 def test_components_and_survivors(spark):
