@@ -2,22 +2,15 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillstream.session import shared_folder
+
 
 def _written(df: DataFrame) -> DataFrame:
-    """Cut lineage through a table in the cluster's checkpoint folder; without one, checkpoint where the session can."""
-    spark = df.sparkSession
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
-    if not base:
-        import tempfile
-
-        base = "file://" + tempfile.mkdtemp(prefix="checkpoints-")
-        spark.sparkContext.setCheckpointDir(base)
-    path = f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+    """Cut lineage through a table in the cluster's shared folder."""
+    spark, path = df.sparkSession, shared_folder(df.sparkSession)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -26,6 +19,8 @@ def connected(pairs: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, root) for all nodes of the pairs, root the least of its component.
 
     Large and small stars in turn: the number of rounds is logarithmic, each is one shuffle of edges.
+    What the edges are joined with is dealt anew first, so both sides of a join are plain shuffles and
+    Spark can split the one key that a large component's root is.
     """
     now = _written(pairs.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct())
     mark = None
@@ -35,9 +30,9 @@ def connected(pairs: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
             break
         mark = state
         both = now.unionAll(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        m = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        m = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")).hint("rebalance")
         large = both.join(m, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        low = large.groupBy("u").agg(F.min("v").alias("m")).hint("rebalance")
         small = large.join(low, "u").select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         now = _written(small)
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionAll(now.select(F.col("v").alias("node"), F.col("v").alias("root"))).distinct()

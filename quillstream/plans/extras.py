@@ -139,12 +139,6 @@ def _(t):
     return R.top(links.withColumn("kind", kind), ["page_id", "kind"], 1, F.col("k")).select("page_id", "kind", "url")
 
 
-@P.add("html_5_title_on_old_page")
-def _(t):
-    title = T.match_form(F.regexp_extract("html", "(?s)<title>(.*?)</title>", 1))
-    return t("pages").select("page_id", F.contains(U.match_html("html"), title).alias("there"))
-
-
 @P.add("html_6_block_titles")
 def _(t):
     links = t("pages").select("page_id", F.explode(U.page_links("html")).alias("l"))

@@ -176,11 +176,6 @@ def _(t):
     return told.where("event_type not in ('view', 'purchase') and value > 10 and before >= 2 and ts = first").select("event_id")
 
 
-@P.add("evt_4_routing", "select case when event_type = 'view' then null else event_type end as route, count(*) as n from events where event_type <> 'view' group by all")
-def _(t):
-    return t("events").where("event_type <> 'view'").groupBy(F.col("event_type").alias("route")).agg(F.count("*").alias("n"))
-
-
 @P.add("evt_5_best_status", f"""
     select user_id, (['view', 'click', 'signup', 'logout', 'purchase'])[nullif(max({_RANK}), 0)] as best from events group by user_id
 """)

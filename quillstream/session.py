@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -23,3 +24,18 @@ def ship(spark: SparkSession) -> None:
             out.write(file, f"{root.name}/{file.relative_to(root)}")
     spark.sparkContext.addPyFile(str(path))
     _shipped.add(app)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder below ``spark.checkpoint.dir``, for intermediate tables.
+
+    Where that is unset, one machine may use a temporary folder of its own; a cluster may not.
+    """
+    context = spark.sparkContext
+    base = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
+    if not base:
+        if context.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="shared-")
+        context.setCheckpointDir(base)
+    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"

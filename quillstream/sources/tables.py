@@ -21,9 +21,9 @@ def read_people_csv(spark: SparkSession, path: str) -> DataFrame:
     return rows.where(F.col("_corrupt").isNull()).select(*(F.trim(F.regexp_replace(c, "﻿", "")).alias(c) for c in names))
 
 
-def read_person_files(spark: SparkSession, path: str) -> DataFrame:
+def read_person_files(spark: SparkSession, path: str, pattern: str = "*.rdf") -> DataFrame:
     """One row for each person file (``Key: value`` lines) below ``path``; those without names or a homepage are left out."""
-    files = spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.rdf")
+    files = spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter=pattern)
 
     def field(key: str):
         return F.nullif(F.trim(F.regexp_extract("value", rf"(?m)^{key}:[ \t]*(.*)$", 1)), F.lit(""))

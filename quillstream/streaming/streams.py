@@ -6,8 +6,6 @@ cluster's checkpoint folder; state is kept per key, so each micro-batch costs wh
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -15,15 +13,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-STRIKES = 3
-
+from quillstream.session import shared_folder
 
-def _folder(spark: SparkSession) -> str:
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="streams-")
-        spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+STRIKES = 3
 
 
 def read(spark: SparkSession, sf_dir: str, table: str, files_per_batch: int = 1) -> DataFrame:
@@ -36,7 +28,7 @@ def read(spark: SparkSession, sf_dir: str, table: str, files_per_batch: int = 1)
 
 def run(stream: DataFrame, mode: str = "append") -> DataFrame:
     """All that is there now, through the stream, as a table."""
-    spark, folder = stream.sparkSession, _folder(stream.sparkSession)
+    spark, folder = stream.sparkSession, shared_folder(stream.sparkSession)
     query = stream.writeStream.format("parquet").outputMode(mode).option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{folder}/out")
@@ -44,7 +36,7 @@ def run(stream: DataFrame, mode: str = "append") -> DataFrame:
 
 def run_batches(stream: DataFrame, each: Callable[[DataFrame, int], None]) -> None:
     """STRM-1: a work queue in micro-batches."""
-    query = stream.writeStream.foreachBatch(each).option("checkpointLocation", f"{_folder(stream.sparkSession)}/state").trigger(availableNow=True).start()
+    query = stream.writeStream.foreachBatch(each).option("checkpointLocation", f"{shared_folder(stream.sparkSession)}/state").trigger(availableNow=True).start()
     query.awaitTermination()
 
 
