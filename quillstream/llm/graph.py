@@ -17,7 +17,9 @@ def components(edges: DataFrame) -> DataFrame:
 
     Each round points all of a node's larger neighbours at its least one, then all its smaller
     ones, until nothing changes: about the logarithm of the largest component's size in rounds.
-    Rounds are written tables, so a lost executor costs one round's work at most.
+    Rounds are written tables, so a lost executor costs one round's work at most.  What the edges are
+    joined with is dealt anew first: both sides of a join are then plain shuffles, of which Spark can
+    split the one key that a large component's root is.
     """
     now = written(edges.select("a", "b").where("a <> b").distinct(), "edges")
     state = _state(now)
@@ -25,10 +27,10 @@ def components(edges: DataFrame) -> DataFrame:
         return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
     while True:
         both = now.unionAll(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")).hint("rebalance")
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        lowest = down.groupBy("a").agg(F.min("b").alias("m"))
+        lowest = down.groupBy("a").agg(F.min("b").alias("m")).hint("rebalance")
         small = down.join(lowest, "a").select(F.explode(F.array("a", "b")).alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         after = written(small, "edges")
         new = _state(after)

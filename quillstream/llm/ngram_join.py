@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 from quillstream.llm import membership
 from quillstream.llm import rarity as rare
 from quillstream.llm import text as tx
+from quillstream.llm.columns import unused
 from quillstream.llm.graph import components
 from quillstream.llm.storage import written
 
@@ -233,7 +234,7 @@ def link_components(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame
     members = named.join(blocks.withColumnRenamed("node", "short"), "short").select("cls", "n", "least", F.col("root").alias("block"))
     total = members.groupBy("block").agg(F.count("*").alias("k"), F.sum("n").alias("tokens"))
     chunks = F.greatest(F.ceil(F.col("k") / CHUNK), F.ceil(F.col("tokens") / CHUNK_TOKENS))
-    members = written(members.join(total, "block").select("cls", "least", "block", chunks.cast("int").alias("chunks")), "members")
+    members = written(members.join(total.hint("rebalance"), "block").select("cls", "least", "block", chunks.cast("int").alias("chunks")), "members")
 
     # 2. their sets, from one text of each class
     flags = spark.sparkContext.broadcast(membership.bitmap(members.select(F.col("least").alias("doc_id")), "doc_id"))
@@ -271,7 +272,7 @@ def link_components(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame
     roots = components(edges)
     rooted = named.join(roots.withColumnRenamed("node", "cls"), "cls", "left").select("cls", "least", F.coalesce("root", "cls").alias("root"))
     lowest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    placed = rooted.join(lowest, "root").select("cls", "root", "component_id")
+    placed = rooted.join(lowest.hint("rebalance"), "root").select("cls", "root", "component_id")
     out = described.select("doc_id", "text_key", "n_shingles", "cls").join(placed, "cls", "left")
     return out.select("doc_id", "n_shingles", F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "text_key", "root")
 
@@ -279,14 +280,15 @@ def link_components(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame
 def one_of_each(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """``docs`` with one row of each component: the least doc_id (nulls last), then the least text_key.
 
-    Rows without words stay, repeated ones too.
+    Rows without words stay, repeated ones too; columns of any names stay; no rows give none.
     """
     linked = link_components(docs, n, percent).where("root is not null")
     last = F.coalesce("doc_id", F.lit((1 << 63) - 1))
     stays = linked.groupBy("root").agg(F.min(F.struct(last.alias("d"), F.col("text_key").alias("k"))).alias("at")).select("at.*").distinct()
     wordy = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
-    keyed = docs.where(wordy).withColumn("__d", F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1))).withColumn("__k", F.xxhash64("text"))
-    kept = keyed.join(stays, (keyed["__d"] == stays["d"]) & (keyed["__k"] == stays["k"]), "left_semi").dropDuplicates(["__d", "__k"]).drop("__d", "__k")
+    doc, key = (unused(c, docs.columns) for c in ("_doc", "_key"))
+    keyed = docs.where(wordy).withColumn(doc, F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1))).withColumn(key, F.xxhash64("text"))
+    kept = keyed.join(stays, (keyed[doc] == stays["d"]) & (keyed[key] == stays["k"]), "left_semi").dropDuplicates([doc, key]).drop(doc, key)
     return kept.unionByName(docs.where(~wordy))
 
 
@@ -296,7 +298,7 @@ def _across(large: DataFrame, edges: DataFrame, percent: int, order, parts: int)
     roots = components(edges)
     known = large.select("cls", "block", "chunks", "tokens").join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     size = known.groupBy("block", "root").agg(F.count("*").alias("size"))
-    own = known.join(size, ["block", "root"])
+    own = known.join(size.hint("rebalance"), ["block", "root"])
     pure = F.col("size") >= CHUNK
     chunk = F.when(pure, F.xxhash64("root", F.pmod(F.xxhash64("cls"), F.ceil(F.col("size") / CHUNK)))).otherwise(F.xxhash64("block", F.pmod(F.xxhash64("cls"), "chunks")))
     dealt = written(own.select("cls", "block", "root", "tokens", chunk.alias("chunk"), F.when(pure, F.col("root")).alias("whole")), "dealt")

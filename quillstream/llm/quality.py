@@ -200,7 +200,9 @@ def grow(x: np.ndarray, y: np.ndarray, names: tuple[str, ...] = FEATURES, monoto
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int = LABELLED_ROWS) -> Trees:
     """Trees for ``label`` on at most ``most`` labelled rows.
 
-    The sample is bounded, so it may be broadcast and its statistics (a few numbers a row) collected.
+    The sample is bounded, so it may be broadcast and its statistics (a few numbers a row) collected; of
+    several texts of one id, one (that of least hash) is read.  Null texts count as empty, null ids and
+    labels other than 0 and 1 as none; without labels the model is a constant.
     """
     sample = labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1)).groupBy("doc_id").agg(F.max(label).cast("int").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
 
@@ -210,7 +212,9 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int
                 x = features(statistics(part.column("text")))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("label"), pa.array(list(x), pa.list_(pa.float64()))], names=["doc_id", "label", "x"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(sample), "doc_id").select("doc_id", "label", "text").mapInArrow(run, "doc_id long, label int, x array<double>").toArrow()
+    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(sample), "doc_id")
+    one = found.groupBy("doc_id", "label").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("t")).select("doc_id", "label", "t.text")
+    rows = one.mapInArrow(run, "doc_id long, label int, x array<double>").toArrow()
     x = np.array(rows.column("x").to_pylist(), dtype=float).reshape(-1, len(FEATURES))
     y, ids = rows.column("label").to_numpy().astype(float), rows.column("doc_id").to_numpy()
     order = np.lexsort((*x.T, y, ids))  # rows arrive in any order; sums of floats then differ

@@ -7,7 +7,9 @@ the text as it was written: a match starts where a word does, and ends where one
 its entry is a stem.  A match inside an exception phrase doesn't count.
 
 Entries and weights are learnt: words and word beginnings that labelled toxic documents hold
-far more often than clean ones, weighted by the log ratio of their rates.  A text's score is a
+far more often than clean ones, weighted by the log ratio of their rates.  So are exceptions: a
+listed word with the word before or after it, where several clean documents have both and no
+toxic one does.  A text's score is a
 logistic function of its matches' total weight and of that weight over the text's length, the
 three coefficients fitted on the same labelled rows.
 """
@@ -28,14 +30,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from quillstream.llm import text as tx
+from quillstream.llm.storage import written
 
-#: The most labelled rows that are learnt from (those with the least hash of their id), the most
-#: candidate entries that are counted, and the most entries of a lexicon.
-LABELLED_ROWS, CANDIDATES, ENTRIES = 20_000, 50_000, 2_000
+#: The most labelled documents that are learnt from, those with the least hash of their id.
+LABELLED_ROWS = 20_000
 STEMS = range(4, 9)
-LEAST_WEIGHT = 1.2
+#: The least log ratio of rates of an entry, and the clean documents that a learnt exception is in (and no toxic one).
+LEAST_WEIGHT, LEAST_CLEAN = 1.2, 5
 
-#: Phrases in which a listed word means no harm.
+#: Phrases in which a listed word means no harm, besides those that are learnt.
 EXCEPTIONS = ("clown fish", "clownfish", "trash can", "trash bin", "sore loser rule", "pathetic fallacy")
 
 #: Letters of other scripts by the Latin letter they look like.
@@ -76,6 +79,7 @@ def fold(text: str) -> str:
 
 
 _WORD = re.compile(r"[^\W_]+")
+_BEFORE, _AFTER = re.compile(r"(?<![^\W_])[^\W_]{1,32} $"), re.compile(r" [^\W_]{1,32}(?![^\W_])")
 
 
 def terms(text: str) -> set[str]:
@@ -133,7 +137,27 @@ class Lexicon:
                     spared.append((a, b))
                 elif a not in best or best[a][0] < weight:
                     best[a] = (weight, b)
-        return [(a, b, w) for a, (w, b) in sorted(best.items()) if not any(x <= a and b <= y for x, y in spared)]
+        # the furthest end of the phrases that begin up to a match tells whether one holds it
+        out, reach, k = [], 0, 0
+        spared.sort()
+        for a, (w, b) in sorted(best.items()):
+            while k < len(spared) and spared[k][0] <= a:
+                reach = max(reach, spared[k][1])
+                k += 1
+            if b > reach:
+                out.append((a, b, w))
+        return out
+
+    def contexts(self, text: str) -> set[str]:
+        """Each matched word, folded, with the word before it and with the one after it, where only a blank lies between."""
+        text = visible(text)
+        low, found = fold(text), set()
+        for a, b, _ in self.matches(text):
+            while b < len(text) and text[b].isalnum():
+                b += 1
+            before, after = _BEFORE.search(low, max(0, a - 40), a), _AFTER.match(low, b)
+            found |= {low[x.start() if x is before else a : b if x is before else x.end()] for x in (before, after) if x}
+        return found
 
     def measures(self, text: str) -> tuple[float, float]:
         """log(1 + total weight), and total weight over the root of the number of words."""
@@ -170,49 +194,45 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.02) -> tuple[float,
 def learn(docs: DataFrame, labels: DataFrame, most: int = LABELLED_ROWS, exceptions: tuple[str, ...] = EXCEPTIONS) -> Lexicon:
     """A lexicon from the documents that ``labels`` (doc_id, toxic) marks.
 
-    At most ``most`` labelled rows are read, so they may be broadcast.  Without any, or without toxic
-    ones, the lexicon is empty and every score low.  A document labelled twice counts as toxic if it
-    is so once.
+    At most ``most`` labelled documents are read, one text of each id (that of least hash), so their ids may
+    be broadcast and their measures collected.  Entries are all that pass the test, however many.  Without
+    labels, or without toxic ones, the lexicon is empty and every score low.  A document labelled twice
+    counts as toxic if it is so once; null ids, texts and labels aren't learnt from.
     """
     sample = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.col("text").isNotNull())
-    texts = read.join(F.broadcast(sample.withColumnRenamed("doc_id", "labelled")), F.col("doc_id") == F.col("labelled")).select("doc_id", "toxic", "text")
+    found = read.join(F.broadcast(sample.withColumnRenamed("doc_id", "labelled")), F.col("doc_id") == F.col("labelled"))
+    one = found.groupBy("doc_id", "toxic").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("t")).select("doc_id", "toxic", "t.text")
+    texts = written(one, "labelled")
+
+    def counts(names_of) -> DataFrame:
+        """In how many toxic (bad) and clean (good) documents each of their names is; under "" all documents."""
 
-    def count(known: set[str] | None):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            found: Counter[str] = Counter()
-            n = 0
+            seen: dict[int, Counter[str]] = {0: Counter(), 1: Counter()}
             for batch in batches:
-                for text in batch.column("text").to_pylist():
-                    n += 1
-                    found.update(terms(text) if known is None else terms(text) & known)
-            yield pa.RecordBatch.from_arrays([pa.array(["", *found], pa.string()), pa.array([n, *found.values()], pa.int64())], names=["term", "n"])
-
-        return run
-
-    def counted(toxic: int, known: set[str] | None, least: int) -> dict[str, int]:
-        rows = texts.where(F.col("toxic") == toxic).select("text").mapInArrow(count(known), "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
-        rows = rows.where((F.col("n") >= least) | (F.col("term") == "")).orderBy(F.col("term") != "", F.desc("n"), "term").limit(CANDIDATES + 1)
-        return {r["term"]: r["n"] for r in rows.collect()}
-
-    bad = counted(1, None, 3)
-    n_bad = bad.pop("", 0)
-    if not n_bad or not bad:
+                for toxic, text in zip(batch.column("toxic").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                    seen[toxic].update({"", *names_of(text)})
+            for toxic, found in seen.items():
+                yield pa.RecordBatch.from_arrays([pa.array([toxic] * len(found), pa.int32()), pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], names=["toxic", "term", "n"])
+
+        rows = texts.select("toxic", "text").mapInArrow(run, "toxic int, term string, n long")
+        times = lambda toxic: F.coalesce(F.sum(F.when(F.col("toxic") == toxic, F.col("n"))), F.lit(0))
+        return rows.groupBy("term").agg(times(1).alias("bad"), times(0).alias("good"))
+
+    each = written(counts(terms), "terms")
+    whole = each.where("term = ''").head()
+    candidates = each.where("term <> '' and bad >= 3")
+    n_bad, n_good = (whole["bad"], whole["good"]) if whole else (0, 0)
+    if not n_bad:
         return Lexicon({}, exceptions)
-    good = counted(0, set(bad), 1)
-    n_good = good.pop("", 0)
-    weights: dict[str, float] = {}
-    bar = 2 * math.log(len(bad) + 1) + 4
-    ranked = []
-    for term, n in bad.items():
-        m = good.get(term, 0)
-        weight = math.log((n + 0.5) / (n_bad + 1)) - math.log((m + 0.5) / (n_good + 1))
-        expected = (n + m) * n_bad / (n_bad + n_good)
-        ratio = 2 * (n * math.log(n / expected) + (m * math.log(m / (n + m - expected)) if m else 0.0))
-        if weight >= LEAST_WEIGHT and ratio >= bar:
-            ranked.append((ratio, term, weight))
-    for _, term, weight in sorted(ranked, key=lambda r: (-r[0], r[1]))[:ENTRIES]:
-        weights[term] = weight
+    bar = 2 * math.log(candidates.count() + 1) + 4
+    n, m = F.col("bad"), F.col("good")
+    expected = (n + m) * (n_bad / (n_bad + n_good))
+    ratio = 2 * (n * F.log(n / expected) + F.when(m > 0, m * F.log(m / (n + m - expected))).otherwise(0.0))
+    weight = F.log((n + 0.5) / (n_bad + 1)) - F.log((m + 0.5) / (n_good + 1))
+    passed = candidates.select("term", "bad", weight.alias("weight")).where((weight >= LEAST_WEIGHT) & (ratio >= bar)).collect()
+    weights, bad = {r["term"]: r["weight"] for r in sorted(passed)}, {r["term"]: r["bad"] for r in passed}
     # A beginning that is nearly always this one word goes, as does a longer entry that says no more than one of its beginnings.
     for term in [t for t in weights if not t.endswith("*")]:
         for stem in (term[:k] + "*" for k in STEMS if k < len(term)):
@@ -222,7 +242,9 @@ def learn(docs: DataFrame, labels: DataFrame, most: int = LABELLED_ROWS, excepti
         stem = term.rstrip("*")
         if any((up := weights.get(stem[:k] + "*")) is not None and up >= weights[term] - 0.3 for k in STEMS if k < len(stem)):
             del weights[term]
-    lexicon = Lexicon(weights, exceptions)
+    plain = Lexicon(weights, exceptions)
+    spared = counts(plain.contexts).where((F.col("term") != "") & (F.col("good") >= LEAST_CLEAN) & (F.col("bad") == 0)).collect()
+    lexicon = Lexicon(weights, tuple(sorted({*exceptions, *(r["term"] for r in spared)})))
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -1,3 +1,4 @@
+import math
 import time
 import random
 import re
@@ -134,3 +135,49 @@ def test_dotted_numbers_against_the_rule():
         text = "".join(rng.choice(["1", "25", "300", ".", ".", ".", "a", "0"]) for _ in range(rng.randrange(30)))
         want = [m.span() for m in rule.finditer(text) if all(int(p) <= 255 for p in m[0].split("."))]
         assert pii.ips(text) == want, text
+
+
+def naive(lexicon, text):
+    """Matches and score by trying every entry at every place."""
+    text = toxicity.visible(text)
+    low, best = toxicity.fold(text), {}
+    starts = [k for k in range(len(text)) if not (k and text[k - 1].isalnum())]
+
+    def held(k, key, whole):
+        b = k + len(key)
+        return low[k:b] in (key, key.replace("l", "i")) and b <= len(text) and not (whole and b < len(text) and text[b].isalnum())
+
+    spared = [(k, k + len(p)) for k in starts for p in map(toxicity.fold, lexicon.exceptions) if low[k : k + len(p)] == p and not (k + len(p) < len(text) and text[k + len(p)].isalnum())]
+    for k in starts:
+        for entry, weight in lexicon.weights.items():
+            key = entry.rstrip("*")
+            if held(k, key, not entry.endswith("*")) and (k not in best or weight > best[k][0]):
+                best[k] = (weight, k + len(key))
+    found = [(k, b, w) for k, (w, b) in sorted(best.items()) if not any(x <= k and b <= y for x, y in spared)]
+    total = sum(w for *_, w in found)
+    a, x, y = lexicon.coefficients
+    z = a + x * math.log1p(total) + y * total / math.sqrt(text.count(" ") + text.count("\n") + 1)
+    return found, 1 / (1 + math.exp(-max(-40.0, min(40.0, z))))
+
+
+def test_scores_against_brute_force(sample):
+    rng = random.Random(8)
+    words = sorted({w for _, t in sample[:60] for w in re.findall(r"[^\W_]{4,}", toxicity.fold(t or ""))})
+    picked = rng.sample(words, 40)
+    weights = {w if rng.random() < 0.5 else w[:4] + "*": 1 + rng.random() for w in picked}
+    lexicon = toxicity.Lexicon(weights, tuple(f"{a} {b}" for a, b in zip(picked[:10], picked[10:20], strict=True)) + toxicity.EXCEPTIONS, (-3.0, 1.1, 0.7))
+    texts = [t or "" for _, t in sample[:60]] + [" ".join(rng.choice([*picked, "clown fish", "x1", "é", "id­iot"]) for _ in range(30)).upper() for _ in range(60)]
+    for text in texts:
+        want, score = naive(lexicon, text)
+        got = lexicon.matches(text)
+        assert [(a, round(w, 9)) for a, _, w in got] == [(a, round(w, 9)) for a, _, w in want], text
+        assert lexicon.score(text) == pytest.approx(score)
+
+
+def test_exceptions_are_learnt(spark):
+    bad = [(k, f"you grumble{k % 3} are a total zorp and more of it", 1) for k in range(60)]
+    good = [(100 + k, f"the zorp lamp of house {k} is on", 0) for k in range(20)] + [(200 + k, f"a clean text of house {k}", 0) for k in range(200)]
+    docs = spark.createDataFrame([r[:2] for r in bad + good] + [(5, "another text of the same id")] * 30, "doc_id long, text string")
+    lexicon = toxicity.learn(docs, spark.createDataFrame([(r[0], r[2]) for r in bad + good], "doc_id long, toxic int"))
+    assert "zorp" in lexicon.weights and "zorp lamp" in lexicon.exceptions and "total zorp" not in lexicon.exceptions
+    assert lexicon.score("a zorp lamp here") < lexicon.score("you zorp")
