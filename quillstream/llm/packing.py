@@ -5,8 +5,8 @@ are cut into pieces of ``longest`` tokens.  Dynamic programming over it finds th
 limits for which padding every piece to its bucket's limit adds the fewest tokens.  Inside a
 bucket, batches hold as many rows as the budget allows at that length.
 
-Batches form inside shards of a bucket of about ``shard_rows`` rows, so no task ever holds a
-bucket; one batch of a shard, its last, may be short.
+Batches form inside shards of a bucket of about ``shard_rows`` rows or ``SHARD_TOKENS`` tokens, so no
+task ever holds a bucket; one batch of a shard, its last, may be short.
 """
 
 from __future__ import annotations
@@ -21,6 +21,8 @@ from quillstream.llm import bpe
 from quillstream.llm.storage import written
 
 LONGEST, BUCKETS, BUDGET, SHARD_ROWS = 4096, 16, 65_536, 200_000
+#: Tokens of a shard at its bucket's length, 64 MB: what one task sorts.
+SHARD_TOKENS = 1 << 24
 SHAPE = "doc_id long, piece long, first_token long, n_tokens long, bucket_length long, batch string, slot int, tokens array<int>"
 
 
@@ -104,7 +106,7 @@ def pack(tokens: DataFrame, longest: int = LONGEST, buckets: int = BUCKETS, budg
         inside = F.col("n_tokens") <= end
         bucket = F.when(inside, F.lit(end)).otherwise(bucket)
         own = int(counts[(lengths > low) & (lengths <= end)].sum())
-        shards = F.when(inside, F.lit(max(1, math.ceil(own / shard_rows)))).otherwise(shards)
+        shards = F.when(inside, F.lit(max(1, math.ceil(own / shard_rows), math.ceil(own * end / SHARD_TOKENS)))).otherwise(shards)
     number = F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(n_ids - 1) div {longest}")))
     cut = tokens.where("n_ids > 0").select("doc_id", "ids", "n_ids", number.alias("piece")).withColumn("first_token", F.col("piece") * longest)
     cut = cut.withColumn("n_tokens", F.least(F.col("n_ids") - F.col("first_token"), F.lit(longest)))
