@@ -1,21 +1,26 @@
 """Incremental counterparts on Structured Streaming.
 
 A stream over a table's files is run to its end (``availableNow``) into a folder below the
-cluster's checkpoint folder; state is kept per key, so each micro-batch costs what it brings.
+cluster's checkpoint folder.  Rows of a key are taken in order of (ts, event_id) whatever batch
+brings them: a key's state holds those that the watermark hasn't passed.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from quillstream.operators.rows import status_rank
 from quillstream.session import shared_folder
 
 STRIKES = 3
+#: Later than any row, and within pandas' nanoseconds: with it, a replay moves the watermark past all of them.
+END = "2261-01-01 00:00:00"
 
 
 def read(spark: SparkSession, sf_dir: str, table: str, files_per_batch: int = 1) -> DataFrame:
@@ -26,12 +31,24 @@ def read(spark: SparkSession, sf_dir: str, table: str, files_per_batch: int = 1)
     return stream.parquet(f"{sf_dir}/{table}.parquet") if found else stream.option("pathGlobFilter", f"{table}.parquet").parquet(sf_dir)
 
 
-def run(stream: DataFrame, mode: str = "append") -> DataFrame:
-    """All that is there now, through the stream, as a table."""
-    spark, folder = stream.sparkSession, shared_folder(stream.sparkSession)
-    query = stream.writeStream.format("parquet").outputMode(mode).option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
-    query.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{folder}/out")
+def replay(source: DataFrame, operator: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """All that is in ``source`` now, through the operator and to its end, as a table.
+
+    The stream runs to the end of its files.  Then one row of time ``END`` and nulls comes on a second
+    source, and the same query goes on from its checkpoint: what was held or open is given out.
+    """
+    spark, folder = source.sparkSession, shared_folder(source.sparkSession)
+    spark.createDataFrame([], source.schema).write.parquet(f"{folder}/end")
+    out = operator(source.unionByName(spark.readStream.schema(source.schema).parquet(f"{folder}/end")))
+
+    def run() -> None:
+        out.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+
+    run()
+    last = [F.lit(END if f.name == "ts" else None).cast(f.dataType).alias(f.name) for f in source.schema]
+    spark.range(1).select(last).write.mode("append").parquet(f"{folder}/end")
+    run()
+    return spark.read.schema(out.schema).parquet(f"{folder}/out")
 
 
 def run_batches(stream: DataFrame, each: Callable[[DataFrame, int], None]) -> None:
@@ -40,60 +57,69 @@ def run_batches(stream: DataFrame, each: Callable[[DataFrame, int], None]) -> No
     query.awaitTermination()
 
 
-def _keyed(stream: DataFrame, key: str, out: str, state: str, step) -> DataFrame:
-    return stream.groupBy(key).applyInPandasWithState(step, out, state, "append", GroupStateTimeout.NoTimeout)
+def _in_order(stream: DataFrame, value: Column, kind: str, carried: str, more: tuple[str, ...], late: str, step) -> DataFrame:
+    """``step(rows, carried)`` on each user's rows in order, as far as the watermark has come.
+
+    It gives the rows to put out and what to carry on (null at first).  Rows that come more than ``late``
+    after a later one are lost, as the watermark says.
+    """
+    names = ["us", "event_id", "value"]
+    shown = ["user_id", "event_id", *(c.split()[0] for c in more)]
+    timed = stream.select("user_id", "event_id", value.alias("value"), F.col("ts").cast("timestamp").alias("at")).withWatermark("at", late).withColumn("us", F.unix_micros("at"))
 
+    def user(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        before, *held = state.get if state.exists else (None, [], [], [])
+        rows = pd.concat([pd.DataFrame(dict(zip(names, held, strict=True)), dtype=object), *(b[names].astype(object) for b in batches)])
+        rows = rows.sort_values(["us", "event_id"], kind="stable", ignore_index=True)
+        passed = int((rows["us"] <= 1000 * state.getCurrentWatermarkMs()).sum())
+        found, now = step(rows[:passed], before)
+        kept = rows[passed:]
+        state.update((now, *(kept[c].tolist() for c in names)))
+        if len(kept):
+            state.setTimeoutTimestamp(int(kept["us"].iloc[0]) // 1000 + 1)
+        yield found.assign(user_id=key[0])[shown]
 
-def _rows(batches: Iterator[pd.DataFrame], *order: str) -> pd.DataFrame:
-    return pd.concat(list(batches)).sort_values(list(order), kind="stable")
+    shape = f"carried {carried}, us array<bigint>, ids array<bigint>, vals array<{kind}>"
+    return timed.groupBy("user_id").applyInPandasWithState(user, ", ".join(("user_id long", "event_id long", *more)), shape, "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def changes(stream: DataFrame) -> DataFrame:
+def changes(stream: DataFrame, late: str) -> DataFrame:
     """STRM-2: events whose type differs from the user's last one (A, B, A gives three)."""
 
-    def step(key, batches, state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = _rows(batches, "ts", "event_id")
-        before = state.get[0] if state.exists else None
-        keep = rows["event_type"] != rows["event_type"].shift(fill_value=before)
-        state.update((rows["event_type"].iloc[-1],))
-        yield pd.DataFrame({"user_id": key[0], "event_id": rows["event_id"][keep], "event_type": rows["event_type"][keep]})
+    def step(rows: pd.DataFrame, last: str | None) -> tuple[pd.DataFrame, str | None]:
+        before = [last, *rows["value"]]
+        found = rows[np.array([a != b for a, b in zip(rows["value"], before[:-1], strict=True)], dtype=bool)]
+        return found.rename(columns={"value": "event_type"}), before[-1]
 
-    return _keyed(stream.select("user_id", "event_id", "event_type", "ts"), "user_id", "user_id long, event_id long, event_type string", "last string", step)
+    return _in_order(stream, F.col("event_type"), "string", "string", ("event_type string",), late, step)
 
 
-def advances(stream: DataFrame, ranks: tuple[str, ...]) -> DataFrame:
+def advances(stream: DataFrame, ranks: tuple[str, ...], late: str) -> DataFrame:
     """STRM-3: events that outrank all of the user's earlier ones."""
-    rank_of = {name: k for k, name in enumerate(ranks, 1)}
 
-    def step(key, batches, state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = _rows(batches, "ts", "event_id")
-        best = state.get[0] if state.exists else 0
-        rank = rows["event_type"].map(rank_of).fillna(0).astype(int)
-        before = rank.cummax().shift(fill_value=0).clip(lower=best)
-        keep = rank > before
-        state.update((int(max(best, rank.max())),))
-        yield pd.DataFrame({"user_id": key[0], "event_id": rows["event_id"][keep], "rank": rank[keep]})
+    def step(rows: pd.DataFrame, best: int | None) -> tuple[pd.DataFrame, int]:
+        so_far = rows["value"].astype(int).cummax().clip(lower=best or 0)
+        found = rows[so_far > so_far.shift(fill_value=best or 0)]
+        return found.rename(columns={"value": "rank"}), int(so_far.iloc[-1]) if len(rows) else best or 0
 
-    return _keyed(stream.select("user_id", "event_id", "event_type", "ts"), "user_id", "user_id long, event_id long, rank int", "best int", step)
+    return _in_order(stream, status_rank(F.col("event_type"), ranks), "int", "int", ("rank int",), late, step)
 
 
-def strikes(stream: DataFrame, failed: str, most: int = STRIKES) -> DataFrame:
+def strikes(stream: DataFrame, failed: str, late: str, most: int = STRIKES) -> DataFrame:
     """STRM-5: for each user the event with which ``most`` failures in a row were reached, once until a success."""
 
-    def step(key, batches, state: GroupState) -> Iterator[pd.DataFrame]:
-        count = state.get[0] if state.exists else 0
-        hits = []
-        for r in _rows(batches, "ts", "event_id").itertuples(index=False):
-            count = count + 1 if r.failed else 0
-            if count == most:
-                hits.append(r.event_id)
-        state.update((count,))
-        yield pd.DataFrame({"user_id": [key[0]] * len(hits), "event_id": hits})
+    def step(rows: pd.DataFrame, count: int | None) -> tuple[pd.DataFrame, int]:
+        fails = rows["value"].astype(bool)
+        run = fails.groupby((~fails).cumsum()).cumsum().astype(int)
+        # failures before the first success go on from those carried
+        run += (count or 0) * (~fails).cumsum().eq(0)
+        return rows[fails & (run == most)], int(run.iloc[-1]) if len(rows) else count or 0
 
-    return _keyed(stream.select("user_id", "event_id", "ts", F.expr(failed).alias("failed")), "user_id", "user_id long, event_id long", "n int", step)
+    return _in_order(stream, F.coalesce(F.expr(failed), F.lit(False)), "boolean", "int", (), late, step)
 
 
 def hourly(stream: DataFrame, late: str = "2 hours") -> DataFrame:
     """STRM-4, STRM-8: counts by hour and type; a window closes once the watermark has passed it."""
     timed = stream.withColumn("at", F.col("ts").cast("timestamp")).withWatermark("at", late)
-    return timed.groupBy(F.window("at", "1 hour"), "event_type").agg(F.count("*").alias("n")).select(F.col("window.start").alias("hour"), "event_type", "n")
+    counted = timed.groupBy(F.window("at", "1 hour"), "event_type").agg(F.count("*").alias("n"))
+    return counted.select(F.col("window.start").cast("timestamp_ntz").alias("hour"), "event_type", "n")
