@@ -99,7 +99,7 @@ def contains_any(c: Column, keywords: tuple[str, ...]) -> Column:
 def topic_codes(c: Column) -> Column:
     """Codes of all keywords in a topic, in the table's order, each once."""
     low = F.lower(c)
-    hits = [F.when(F.contains(low, F.lit(k)), F.split(F.lit(codes), " ")).otherwise(F.array().cast("array<string>")) for k, codes in V.TOPIC_CODES]
+    hits = [F.when(F.contains(low, F.lit(k)), F.array(*map(F.lit, codes))).otherwise(F.array().cast("array<string>")) for k, codes in V.TOPIC_CODES]
     return F.array_distinct(F.flatten(F.array(*hits)))
 
 

@@ -58,20 +58,20 @@ GENERIC_ANCHOR = (
 
 #: Topic keywords, more specific ones first, with the codes of the classification they stand for.
 TOPIC_CODES = (
-    ("labor market", "J"), ("labour market", "J"), ("wage", "J"), ("employment effect", "J"), ("unemployment", "J"), ("immigration", "J"), ("demographic", "J"), ("fertility", "J"), ("pension", "J H"), ("human capital", "J I"),
-    ("international trade", "F"), ("trade and", "F"), ("trade flow", "F"), ("exchange rate", "F"), ("globalization", "F"), ("migration", "J F"), ("foreign direct investment", "F"),
-    ("monetary policy", "E"), ("inflation", "E"), ("central bank", "E"), ("macroeconomic", "E"), ("business cycle", "E"), ("interest rate", "E"),
-    ("financial market", "G"), ("banking", "G"), ("stock market", "G"), ("asset pricing", "G"), ("corporate finance", "G"), ("credit risk", "G"), ("insurance market", "G"), ("portfolio", "G"),
-    ("tax", "H"), ("public finance", "H"), ("public good", "H"), ("government spending", "H"), ("fiscal policy", "E H"), ("public debt", "H E"),
-    ("health economics", "I"), ("education", "I"), ("welfare", "I"), ("poverty", "I O"), ("health care", "I"), ("schooling", "I"),
-    ("economic development", "O"), ("economic growth", "O"), ("innovation", "O"), ("technological change", "O"), ("technology adoption", "O"), ("entrepreneurship", "L O"),
-    ("behavioral economics", "D"), ("consumer", "D"), ("household decision", "D"), ("auction", "D"), ("inequality", "D I"), ("game theory", "C D"),
-    ("industrial organization", "L"), ("firm", "L"), ("market structure", "L"), ("competition", "L"), ("antitrust", "L K"), ("market power", "L"),
-    ("econometric", "C"), ("experimental economics", "C"), ("statistical", "C"), ("causal inference", "C"),
-    ("environmental", "Q"), ("agricultural", "Q"), ("natural resource", "Q"), ("climate", "Q"), ("energy", "Q"),
-    ("urban", "R"), ("housing", "R"), ("regional", "R"), ("transportation", "R"), ("real estate", "R"),
-    ("law and economics", "K"), ("crime", "K"), ("regulation", "K L"), ("legal", "K"), ("economic history", "N"), ("historical", "N"),
-    ("political economy", "P H"), ("economic system", "P"), ("marketing", "M"), ("accounting", "M"), ("management", "M"),
+    ("labor market", ("J",)), ("labour market", ("J",)), ("wage", ("J",)), ("employment effect", ("J",)), ("unemployment", ("J",)), ("immigration", ("J",)), ("demographic", ("J",)), ("fertility", ("J",)), ("pension", ("J", "H")), ("human capital", ("J", "I")),
+    ("international trade", ("F",)), ("trade and", ("F",)), ("trade flow", ("F",)), ("exchange rate", ("F",)), ("globalization", ("F",)), ("migration", ("J", "F")), ("foreign direct investment", ("F",)),
+    ("monetary policy", ("E",)), ("inflation", ("E",)), ("central bank", ("E",)), ("macroeconomic", ("E",)), ("business cycle", ("E",)), ("interest rate", ("E",)),
+    ("financial market", ("G",)), ("banking", ("G",)), ("stock market", ("G",)), ("asset pricing", ("G",)), ("corporate finance", ("G",)), ("credit risk", ("G",)), ("insurance market", ("G",)), ("portfolio", ("G",)),
+    ("tax", ("H",)), ("public finance", ("H",)), ("public good", ("H",)), ("government spending", ("H",)), ("fiscal policy", ("E", "H")), ("public debt", ("H", "E")),
+    ("health economics", ("I",)), ("education", ("I",)), ("welfare", ("I",)), ("poverty", ("I", "O")), ("health care", ("I",)), ("schooling", ("I",)),
+    ("economic development", ("O",)), ("economic growth", ("O",)), ("innovation", ("O",)), ("technological change", ("O",)), ("technology adoption", ("O",)), ("entrepreneurship", ("L", "O")),
+    ("behavioral economics", ("D",)), ("consumer", ("D",)), ("household decision", ("D",)), ("auction", ("D",)), ("inequality", ("D", "I")), ("game theory", ("C", "D")),
+    ("industrial organization", ("L",)), ("firm", ("L",)), ("market structure", ("L",)), ("competition", ("L",)), ("antitrust", ("L", "K")), ("market power", ("L",)),
+    ("econometric", ("C",)), ("experimental economics", ("C",)), ("statistical", ("C",)), ("causal inference", ("C",)),
+    ("environmental", ("Q",)), ("agricultural", ("Q",)), ("natural resource", ("Q",)), ("climate", ("Q",)), ("energy", ("Q",)),
+    ("urban", ("R",)), ("housing", ("R",)), ("regional", ("R",)), ("transportation", ("R",)), ("real estate", ("R",)),
+    ("law and economics", ("K",)), ("crime", ("K",)), ("regulation", ("K", "L")), ("legal", ("K",)), ("economic history", ("N",)), ("historical", ("N",)),
+    ("political economy", ("P", "H")), ("economic system", ("P",)), ("marketing", ("M",)), ("accounting", ("M",)), ("management", ("M",)),
 )
 
 #: Venue texts that are a state and no venue.
