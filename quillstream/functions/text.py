@@ -72,7 +72,9 @@ def jaccard(a: Column, b: Column) -> Column:
 
 
 def title_jaccard(a: Column, b: Column) -> Column:
-    return jaccard(words(normalize_title(a)), words(normalize_title(b)))
+    # bound as fields of one struct, each text is normalised once and not at every use
+    pair = F.struct(words(normalize_title(a)).alias("a"), words(normalize_title(b)).alias("b"))
+    return F.transform(F.array(pair), lambda p: jaccard(p["a"], p["b"]))[0]
 
 
 def fuzzy_form(c: Column) -> Column:
