@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from quillstream.llm.storage import table
 
@@ -81,7 +82,41 @@ def op10_toxicity_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.verdicts(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_warc_zip, op2_bpe_forced_boundaries, op3_length_buckets, op4_ngram_jaccard, op5_quality_trees, op6_line_dedup, op7_chat_format, op8_pii_spans, op9_bottom_k, op10_toxicity_lexicon)}
+def op12_filter_interaction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillstream.llm import interaction
+
+    return interaction.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillstream.llm import periodic
+
+    found = periodic.periodic_runs(with_loops(table(spark, sf_dir, "documents")))
+    best = periodic.strongest("runs")
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), *(best[c].alias(c) for c in ("start", "length", "period")), F.floor(F.lit(1000) * best["length"] / best["period"]).alias("exponent_milli"),
+        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def with_loops(docs: DataFrame) -> DataFrame:
+    """doc_id and text; in a tenth of the documents, by their ids' checksum, the words from a certain one on go in a circle.
+
+    A null doc_id has no checksum: its text stays.
+    """
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    words = F.regexp_extract_all("text", F.lit(r"([^\x20\x09-\x0D]+)"))
+    turned = docs.where(h % 10 == 0).select("doc_id", words.alias("w"), F.expr("cast(floor(crc32(cast(cast(doc_id as string) as binary)) / 10) as bigint)").alias("g"))
+    turned = turned.where(F.size("w") > 0).withColumn("n", F.size("w").cast("long")).withColumn("a", F.col("g") % F.col("n"))
+    turned = turned.withColumn("p", F.expr("1 + (n - a) div (3 + g % 8)"))
+    looped = turned.select("doc_id", F.expr("array_join(transform(w, (x, i) -> case when i < a then x else get(w, cast(a + (i - a) % p as int)) end), ' ')").alias("text"))
+    same = F.coalesce(h % 10 != 0, F.lit(True)) | ~F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    return looped.unionByName(docs.where(same).select("doc_id", "text"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_warc_zip, op2_bpe_forced_boundaries, op3_length_buckets, op4_ngram_jaccard, op5_quality_trees, op6_line_dedup, op7_chat_format, op8_pii_spans, op9_bottom_k, op10_toxicity_lexicon, op12_filter_interaction, op13_periodic_runs)}
+
 
 def _base32(hex_digits: str) -> str:
     """SQL for bare upper-case base32: every five hexadecimal digits are four characters of five bits."""
@@ -136,4 +171,33 @@ ORACLE_SQL: dict[str, str] = {
             sum(n)::bigint as formatted_chars, 0::bigint as attachment_tokens
         from sized group by conv_id
     """,
+    "op12_filter_interaction": r"""
+        with d as (
+            select doc_id, coalesce(source, '') as part, coalesce(text, '') as text from documents
+        ), w as (
+            select *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') as w, min(coalesce(doc_id, 9223372036854775807)) over (partition by text) as first from d
+        ), marks as (
+            select doc_id, max((quality = 1)::int) as good, max((toxic = 1)::int) as toxic from labels group by doc_id
+        ), m as (
+            select part, coalesce(good, 0) as good, coalesce(toxic, 0) as toxic,
+                (len(w) < 200)::int + 2 * (100 * len(list_distinct(w)) < 50 * len(w))::int + 4 * (100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 2 * length(text))::int
+                + 8 * regexp_matches(text, '[#$%&*|]')::int + 16 * (first < coalesce(w.doc_id, 9223372036854775807))::int as mask
+            from w left join marks on marks.doc_id = w.doc_id
+        ), c as (
+            select part, mask, count(*) as n, sum(good) as good, sum(toxic) as toxic from m group by part, mask
+        ), f as (
+            select unnest(['A', 'B', 'C', 'D', 'E']) as x, unnest([1, 2, 4, 8, 16]) as bit
+        ), o as (
+            select a.x || b.x || c.x || d.x || e.x as filter_order, [a.bit, b.bit, c.bit, d.bit, e.bit] as bits from f a, f b, f c, f d, f e where len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5
+        ), s as (
+            select filter_order, step, bits[step] as bit, coalesce(list_sum(bits[:step - 1]), 0)::int as before from o, (select unnest([1, 2, 3, 4, 5]) as step)
+        ), r as (
+            select part, filter_order, step, bit,
+                coalesce(sum(n) filter (mask & (before | bit) = 0), 0)::bigint as kept, coalesce(sum(n) filter (mask & bit > 0 and mask & before = 0), 0)::bigint as removed,
+                coalesce(sum(n) filter (mask & bit > 0 and mask & before > 0), 0)::bigint as redundant, coalesce(sum(n) filter (mask = bit), 0)::bigint as unique_fails,
+                coalesce(sum(good) filter (mask & bit > 0 and mask & before = 0), 0)::bigint as good_lost, coalesce(sum(toxic) filter (mask & bit > 0 and mask & before = 0), 0)::bigint as toxic_lost
+            from c, s group by part, filter_order, step, bit
+        )
+        select part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, sum(removed) over (partition by part, bit)::bigint as shapley from r
+    """,
 }
