@@ -82,6 +82,14 @@ def op10_toxicity_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.verdicts(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillstream.llm import suffix_dedup
+
+    left = suffix_dedup.without_repeats(table(spark, sf_dir, "documents"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return left.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op12_filter_interaction(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quillstream.llm import interaction
 
@@ -115,7 +123,7 @@ def with_loops(docs: DataFrame) -> DataFrame:
     return looped.unionByName(docs.where(same).select("doc_id", "text"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_warc_zip, op2_bpe_forced_boundaries, op3_length_buckets, op4_ngram_jaccard, op5_quality_trees, op6_line_dedup, op7_chat_format, op8_pii_spans, op9_bottom_k, op10_toxicity_lexicon, op12_filter_interaction, op13_periodic_runs)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_warc_zip, op2_bpe_forced_boundaries, op3_length_buckets, op4_ngram_jaccard, op5_quality_trees, op6_line_dedup, op7_chat_format, op8_pii_spans, op9_bottom_k, op10_toxicity_lexicon, op11_suffix_dedup, op12_filter_interaction, op13_periodic_runs)}
 
 
 def _base32(hex_digits: str) -> str:
