@@ -56,6 +56,15 @@ GENERIC_ANCHOR = (
     r"accepted\s*version|online\s*appendix|appendix|code|replication|data|slides|presentation|abstract|bibtex|citation)$"
 )
 
+#: Elements inside a line, elements that are a block of text, and those that are page furniture.
+INLINE_TAGS = ("span", "em", "strong", "b", "i", "u", "small", "sub", "sup", "img", "br", "wbr", "mark", "abbr", "code")
+BLOCK_TAGS = ("p", "li", "dd", "td", "th", "blockquote", "figcaption")
+FURNITURE_TAGS = ("script", "style", "nav", "header", "footer", "aside")
+#: What follows a title in its block, in the order in which it is looked for.
+LABEL_MARKERS = (
+    "[ Abstract", "[Abstract", "[ Draft", "[Draft", "[ PDF", "[PDF", "[ SSRN", "[SSRN", "[ NBER", "[NBER", "[ Link", "[Link", "[ Working Paper", "[Working Paper",
+)
+
 #: Topic keywords, more specific ones first, with the codes of the classification they stand for.
 TOPIC_CODES = (
     ("labor market", ("J",)), ("labour market", ("J",)), ("wage", ("J",)), ("employment effect", ("J",)), ("unemployment", ("J",)), ("immigration", ("J",)), ("demographic", ("J",)), ("fertility", ("J",)), ("pension", ("J", "H")), ("human capital", ("J", "I")),
@@ -75,4 +84,4 @@ TOPIC_CODES = (
 )
 
 #: Venue texts that are a state and no venue.
-STATE_VENUES = ("working paper", "work in progress", "under review", "submitted", "forthcoming", "accepted", "in progress", "draft", "r&r", "revise and resubmit")
+STATE_VENUES = ("working paper", "draft", "under review", "submitted", "r&r", "revise and resubmit", "reject and resubmit", "work in progress", "job market paper", "jmp")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quillstream.session import shared_folder
 
 
-def _written(df: DataFrame) -> DataFrame:
+def written(df: DataFrame) -> DataFrame:
     """Cut lineage through a table in the cluster's shared folder."""
     spark, path = df.sparkSession, shared_folder(df.sparkSession)
     df.write.parquet(path)
@@ -22,7 +22,7 @@ def connected(pairs: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     What the edges are joined with is dealt anew first, so both sides of a join are plain shuffles and
     Spark can split the one key that a large component's root is.
     """
-    now = _written(pairs.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct())
+    now = written(pairs.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct())
     mark = None
     while True:
         state = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).head()
@@ -34,7 +34,7 @@ def connected(pairs: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         large = both.join(m, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         low = large.groupBy("u").agg(F.min("v").alias("m")).hint("rebalance")
         small = large.join(low, "u").select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        now = _written(small)
+        now = written(small)
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionAll(now.select(F.col("v").alias("node"), F.col("v").alias("root"))).distinct()
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quillstream.functions import text as T
 from quillstream.operators import groups as G
+from quillstream.operators.links import titled
 
 #: Shared papers that two people of compatible names need, and those of whom one name shortens the other.
 SHARED, SHARED_WEAK = 2, 5
@@ -105,7 +106,5 @@ def link_tiers(links: DataFrame, papers: DataFrame, least: float = 0.75) -> Data
     dois = papers.where("doi is not null").groupBy("doi").agg(F.min("paper").alias("paper"))
     two = rest.join(dois, "doi").select("link", "paper", F.lit("doi").alias("tier"))
     rest = rest.join(two, "link", "left_anti")
-    own = papers.select("owner", "paper", F.col("title"))
-    scored = rest.select("link", "owner", "anchor").join(own, "owner").withColumn("score", T.link_score(F.col("anchor"), F.col("title"))).where(F.col("score") >= least)
-    best = scored.groupBy("link").agg(F.max_by("paper", F.struct("score", -F.col("paper"))).alias("paper"))
+    best = titled(rest.select("link", "owner", "anchor"), papers, least)
     return one.unionByName(two).unionByName(best.select("link", "paper", F.lit("anchor").alias("tier")))

@@ -139,13 +139,6 @@ def _(t):
     return R.top(links.withColumn("kind", kind), ["page_id", "kind"], 1, F.col("k")).select("page_id", "kind", "url")
 
 
-@P.add("html_6_block_titles")
-def _(t):
-    links = t("pages").select("page_id", F.explode(U.page_links("html")).alias("l"))
-    head = F.regexp_replace(F.regexp_replace("l.block", r"(?i)\s*\(?with .*$", ""), r"[\s.,;:]+$", "")
-    return links.select("page_id", head.alias("title")).where("title <> ''")
-
-
 @P.add("evt_2_status_events", """
     with h as (select l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate, list_position(['A', 'N', 'R'], l_returnflag) as r from lineitem),
     m as (select *, max(r) over (partition by l_orderkey order by l_shipdate, l_linenumber, l_partkey, l_suppkey rows between unbounded preceding and 1 preceding) as b from h)

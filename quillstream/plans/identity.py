@@ -207,24 +207,6 @@ def _(t):
     return c.join(s, F.col("token") == F.col("last")).select("c_custkey", "s_suppkey")
 
 
-@P.add("enr_3_link_tiers", """
-    with papers as (select p_partkey as paper, p_brand as owner, p_name || ' ' || lower(p_type) as title, case when p_partkey % 4 = 1 then '10.1000/' || p_partkey end as doi from part),
-    links as (select p_partkey as link, p_brand as owner, case p_partkey % 4 when 0 then upper(p_name || ' ' || p_type) when 1 then 'PDF' when 2 then p_name || ' ' || lower(p_type) || 's' else 'slides of talks' end as anchor, case when p_partkey % 8 = 1 then '10.1000/' || p_partkey end as doi from part),
-    one as (select link, min(paper) as paper, 'title' as tier from links join papers on lower(anchor) = title group by link),
-    two as (select link, min(paper) as paper, 'doi' as tier from links join papers on links.doi = papers.doi where link not in (select link from one) group by link),
-    near as (select link, paper, regexp_replace(lower(anchor), '[^a-z0-9]', '', 'g') as a, regexp_replace(title, '[^a-z0-9]', '', 'g') as b from links join papers using (owner) where link not in (select link from one) and link not in (select link from two)),
-    s as (select link, paper, case when (contains(a, b) or contains(b, a)) and least(length(a), length(b)) / greatest(length(a), length(b)) > 0.75 then 1.0 else 0.0 end as score from near)
-    select * from one union all select * from two union all select link, paper, 'anchor' from (select link, min(paper) as paper from s where score = 1.0 group by link)
-""")
-def _(t):
-    title, k = F.concat_ws(" ", "p_name", F.lower("p_type")), F.col("p_partkey")
-    doi = F.concat(F.lit("10.1000/"), k)
-    papers = t("part").select(k.alias("paper"), F.col("p_brand").alias("owner"), title.alias("title"), F.when(k % 4 == 1, doi).alias("doi"))
-    anchor = F.when(k % 4 == 0, F.upper(title)).when(k % 4 == 1, "PDF").when(k % 4 == 2, F.concat(title, F.lit("s"))).otherwise("slides of talks")
-    links = t("part").select(k.alias("link"), F.col("p_brand").alias("owner"), anchor.alias("anchor"), F.when(k % 8 == 1, doi).alias("doi"))
-    return I.link_tiers(links, papers, 1.0)
-
-
 @P.add("rep_11_clean_titles", f"""
     with raw as (select p_partkey as id, p_name || ' ' || lower(p_type) || case p_partkey % 5 when 0 then ' (forthcoming)' when 1 then '...' else '' end as title, p_brand as brand from part),
     fixed as (select id, brand, trim(regexp_replace(regexp_replace(title, '(?i)\\s*[\\[\\(]\\s*(?:{V.TITLE_STATES.replace("'", "''")})\\s*[\\]\\)]\\s*$', ''), '\\s*(\\.\\.\\.|…)\\s*$', '')) as title from raw)

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from quillstream.plans import analytics, entities, extras, feed, history, identity, outside, scalars, streams, upkeep
+from quillstream.plans import analytics, entities, extras, feed, history, identity, naming, outside, scalars, streams, upkeep
 from quillstream.plans.common import Query
 
-_ALL = (feed.P, analytics.P, history.P, entities.P, identity.P, outside.P, scalars.P, upkeep.P, streams.P, extras.P)
+_ALL = (feed.P, analytics.P, history.P, entities.P, identity.P, naming.P, outside.P, scalars.P, upkeep.P, streams.P, extras.P)
 
 
 def queries() -> dict[str, Query]:
