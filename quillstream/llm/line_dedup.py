@@ -35,7 +35,7 @@ from quillstream.llm import columns as C
 from quillstream.llm import membership
 from quillstream.llm import rarity as rare
 from quillstream.llm import text as tx
-from quillstream.llm.line_sets import BITS, Lines, bounds, line_sets, of_buffers
+from quillstream.llm.line_sets import Lines, bounds, by_owner, line_sets, of_buffers
 from quillstream.llm.storage import written
 
 PERCENT, LEAST_WORDS = 80, 1
@@ -88,7 +88,7 @@ def _level(size: np.ndarray) -> np.ndarray:
 def signatures(lines: Lines) -> tuple[np.ndarray, np.ndarray]:
     """128 bits of each line: two lines of one level differ in as many words at least as their bits do."""
     level = _level(lines.size)[lines.owner]
-    token = lines.tokens >> np.uint64(64 - BITS)
+    token = lines.tokens >> np.uint64(22)
     bit = np.uint64(1) << (token & np.uint64(63))
     bit[((token >> np.uint64(8)).astype(np.int64) & ((1 << level) - 1)) != 0] = 0
     low = (token & np.uint64(64)) == 0
@@ -375,30 +375,24 @@ _CLASSED = pa.schema([("kind", pa.int32()), ("doc_id", pa.int64()), ("line", pa.
 
 
 def _packed(lines: Lines) -> pa.Array:
-    """Each line's words, six bytes a word."""
-    raw = (lines.tokens >> np.uint64(64 - BITS)).view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
-    return pa.Array.from_buffers(pa.binary(), len(lines.size), [None, pa.py_buffer((6 * lines.first).astype(np.int32)), pa.py_buffer(raw)])
+    """Each line's words, eight bytes a word."""
+    return pa.Array.from_buffers(pa.binary(), len(lines.size), [None, pa.py_buffer((8 * lines.first).astype(np.int32)), pa.py_buffer(lines.tokens.tobytes())])
 
 
 def _unpacked(words: pa.Array) -> Lines:
     data, offsets = tx.buffers(words)
-    wide = np.zeros((len(data) // 6, 8), np.uint8)
-    wide[:, :6] = data.reshape(-1, 6)
-    size = np.diff(offsets) // 6
+    size = np.diff(offsets) // 8
     row = np.arange(len(size))
-    return Lines(row, row, size, wide.view("<u8").ravel() << np.uint64(64 - BITS), np.repeat(row, size))
+    return Lines(row, row, size, np.frombuffer(data.tobytes(), "<u8"), np.repeat(row, size))
 
 
 def _common(a: Lines, b: Lines) -> np.ndarray:
     """How many words the k-th line of one has in common with the k-th of the other."""
-    out = np.zeros(len(a.size), np.int64)
-    step = 1 << (64 - BITS)  # so many pairs' numbers fit beside a word
-    for k in range(0, len(out), step):
-        parts = [s.where((s.row >= k) & (s.row < k + step)) for s in (a, b)]
-        key = np.sort(np.concatenate([((p.row - k)[p.owner].astype(np.uint64) << np.uint64(BITS)) | (p.tokens >> np.uint64(64 - BITS)) for p in parts]))
-        twice = key[1:][key[1:] == key[:-1]] >> np.uint64(BITS)
-        out += np.bincount(twice.astype(np.int64) + k, minlength=len(out))
-    return out
+    owner, words = np.concatenate([a.owner, b.owner]), np.concatenate([a.tokens, b.tokens])
+    order = by_owner(owner, words)
+    owner, words = owner[order], words[order]
+    twice = (owner[1:] == owner[:-1]) & (words[1:] == words[:-1])
+    return np.bincount(owner[1:][twice], minlength=len(a.size))
 
 
 def dedup(docs: DataFrame, percent: int = PERCENT, least: int = LEAST_WORDS, counts: bool = True) -> DataFrame:

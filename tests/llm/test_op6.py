@@ -1,10 +1,12 @@
 import random
 import re
 
+import numpy as np
 import pyarrow as pa
 import pytest
 
 from quillstream.llm import line_dedup
+from quillstream.llm.line_sets import Lines, by_owner
 
 
 def brute(rows, percent, least):
@@ -138,3 +140,27 @@ def test_a_line_that_many_texts_repeat(spark):
     got = line_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(6)).collect()
     assert {(r.doc_id, r.text) for r in got if r.text} == {(0, rows[0][1])} | {(k, rows[k][1].split("\n")[1]) for k in range(1, 40)}
     assert len(got) == len(rows)
+
+
+def test_words_that_agree_in_many_bits_are_told_apart(spark):
+    # these two have the same upper 42 bits of their hashes
+    docs = spark.createDataFrame([(1, "w1336586"), (2, "w2584058"), (3, "w2584058")], "doc_id long, text string")
+    got = sorted((r.doc_id, r.text, r.n_removed) for r in line_dedup.dedup(docs).collect())
+    assert got == [(1, "w1336586", 0), (2, "w2584058", 0), (3, "", 1)]
+
+
+def test_words_whose_upper_bits_clash():
+    rng = random.Random(8)
+    words = np.array([(7 << 40) + rng.randrange(6) for _ in range(400)], np.uint64)
+    owner = np.sort(np.array([rng.randrange(30) for _ in range(400)]))
+    order = by_owner(owner, words)
+    assert list(zip(owner[order].tolist(), words[order].tolist(), strict=True)) == sorted(zip(owner.tolist(), words.tolist(), strict=True))
+    sets = [sorted({rng.randrange(9) for _ in range(rng.randrange(1, 8))}) for _ in range(200)]
+    sides = []
+    for part in (sets[:100], sets[100:]):
+        size = np.array([len(s) for s in part])
+        row = np.arange(len(part))
+        sides.append(Lines(row, row, size, np.concatenate(part).astype(np.uint64), np.repeat(row, size)))
+    assert line_dedup._common(*sides).tolist() == [len(set(a) & set(b)) for a, b in zip(sets[:100], sets[100:], strict=True)]
+    back = line_dedup._unpacked(line_dedup._packed(sides[0]))
+    assert back.tokens.tolist() == sides[0].tokens.tolist() and back.owner.tolist() == sides[0].owner.tolist()
