@@ -78,7 +78,10 @@ def from_text(s: str) -> np.ndarray:
 
 
 def fingerprint(docs: DataFrame, n: int = WORDS, k: int = K) -> DataFrame:
-    """doc_id, ``fingerprint`` and estimated ``n_distinct`` shingles of every text (null: empty)."""
+    """doc_id, ``fingerprint`` and estimated ``n_distinct`` shingles of every text.
+
+    A null text is empty; a null doc_id stays null; each of repeated rows has a row; no rows give none.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -89,49 +92,71 @@ def fingerprint(docs: DataFrame, n: int = WORDS, k: int = K) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, fingerprint string, n_distinct double")
 
 
-def with_next(docs: DataFrame, places: int) -> DataFrame:
-    """Rows (doc_id, no_id, text, tie, place, ghost) such that each place, sorted by ghost, descending
-    doc_id, tie and text, lists documents in order and ends with the one that follows them.
+#: Sampled rows for each range of ids.
+SAMPLED = 16
+_LEAST = -(1 << 63)
 
-    Ids are cut at approximate quantiles into ``places`` ranges; the first document of a range
-    also goes, as a ghost, to the end of the range before, and the very first to the last.  The
-    driver holds two numbers for each range.  Equal doc_ids are ordered by their texts' hashes; a
-    null doc_id counts as the least possible.
-    """
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("doc_id"), F.col("doc_id").isNull().alias("no_id"), F.coalesce("text", F.lit("")).alias("text"))
-    ids = rows.select("doc_id")
-    cuts = ids.agg(F.percentile_approx("doc_id", [i / places for i in range(1, places)], 100 * places).alias("q")).head()["q"]
-    bounds = np.unique(np.array(cuts or [], dtype=np.int64))
 
-    def of(ids: np.ndarray) -> np.ndarray:
-        return len(bounds) - np.searchsorted(bounds, ids, "right")
+def _places(k: np.ndarray, tie: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """How many of the bounds (rows k, tie, ascending) aren't above each (k, tie)."""
+    low, high = (np.searchsorted(bounds[:, 0], k, side) for side in ("left", "right"))
+    for own in np.unique(k[low < high]).tolist():
+        at = np.flatnonzero(k == own)
+        a, b = low[at[0]], high[at[0]]
+        low[at] = a + np.searchsorted(bounds[a:b, 1], tie[at], "right")
+    return low
+
+
+def with_next(docs: DataFrame, places: int) -> DataFrame:
+    """Rows (k, no_id, text, tie, place, ghost, times) such that each place, sorted by ghost, k and tie, lists
+    documents in order and ends with the one that follows them.
+
+    The order is by descending doc_id (k: its bits turned over; null: as the least possible), then by the text's
+    hash.  Places are ranges of that order of about equal size, whose bounds come from SAMPLED random rows a
+    range; a frequent doc_id (or null) has many.  The first document of a range also goes, as a ghost, to the
+    end of the range before, and the very first to the last.  Rows of one doc_id and text are one row of
+    several ``times``, once a batch.  The driver holds some numbers for each range.
+    """
+    no_id = F.col("doc_id").isNull()
+    rows = docs.select(F.bitwise_not(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LEAST))).alias("k"), no_id.alias("no_id"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = rows.withColumn("tie", F.xxhash64("no_id", "text"))
+    sample = sorted((r.k, r.tie) for r in rows.select("k", "tie").orderBy(F.rand(7)).limit(SAMPLED * places).collect())
+    bounds = np.array(sorted(set(sample[len(sample) * i // places] for i in range(1, places) if sample)), dtype=np.int64).reshape(-1, 2)
 
     def firsts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[int, int] = {}
+        seen: dict[int, tuple[int, int]] = {}
         for batch in batches:
-            own = batch.column(0).to_numpy()
-            place = of(own)
-            for k in np.unique(place).tolist():
-                seen[k] = max(seen.get(k, -(1 << 63)), int(own[place == k].max()))
-        yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.int32()), pa.array(list(seen.values()), pa.int64())], names=["place", "doc_id"])
-
-    found = ids.mapInArrow(firsts, "place int, doc_id long").groupBy("place").agg(F.max("doc_id").alias("doc_id")).collect()
-    heads = dict(sorted((r["place"], r["doc_id"]) for r in found))
+            k, tie = batch.column("k").to_numpy(), batch.column("tie").to_numpy()
+            place = _places(k, tie, bounds)
+            at = np.lexsort((tie, k, place))
+            at = at[np.concatenate([[True], place[at[1:]] != place[at[:-1]]])] if len(at) else at
+            for p, own in zip(place[at].tolist(), zip(k[at].tolist(), tie[at].tolist(), strict=True), strict=True):
+                seen[p] = min(seen.get(p, own), own)
+        yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.int32()), *(pa.array([v[i] for v in seen.values()], pa.int64()) for i in (0, 1))], names=["place", "k", "tie"])
+
+    found = rows.select("k", "tie").mapInArrow(firsts, "place int, k long, tie long").groupBy("place").agg(F.min(F.struct("k", "tie")).alias("at")).collect()
+    heads = {r.place: (r["at"].k, r["at"].tie) for r in sorted(found)}
     before = dict(zip(heads, [list(heads)[-1], *heads], strict=False)) if heads else {}
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        head_ids = np.array(sorted(heads.values()), dtype=np.int64)
+        sent: set[int] = set()
         for batch in batches:
-            own = batch.column("doc_id").to_numpy()
-            place = of(own).astype(np.int32)
-            ghosts = np.flatnonzero(np.isin(own, head_ids))
-            yield batch.append_column("place", pa.array(place)).append_column("ghost", pa.array(np.zeros(len(own), bool)))
-            if len(ghosts):
+            k, tie = batch.column("k").to_numpy(), batch.column("tie").to_numpy()
+            at = np.lexsort((tie, k))
+            new = np.flatnonzero(np.concatenate([[True], (k[at[1:]] != k[at[:-1]]) | (tie[at[1:]] != tie[at[:-1]])])) if len(at) else at
+            times = np.diff(np.append(new, len(at)))
+            at = at[new]
+            place = _places(k[at], tie[at], bounds).astype(np.int32)
+            own = batch.take(pa.array(at))
+            yield own.append_column("place", pa.array(place)).append_column("ghost", pa.array(np.zeros(len(at), bool))).append_column("times", pa.array(times.astype(np.int32)))
+            ghosts = [i for i, p in enumerate(place.tolist()) if p not in sent and heads[p] == (int(k[at[i]]), int(tie[at[i]]))]
+            if ghosts:
+                sent.update(place[ghosts].tolist())
                 to = np.array([before[p] for p in place[ghosts].tolist()], dtype=np.int32)
-                yield batch.take(pa.array(ghosts)).append_column("place", pa.array(to)).append_column("ghost", pa.array(np.ones(len(to), bool)))
+                yield own.take(pa.array(ghosts)).append_column("place", pa.array(to)).append_column("ghost", pa.array(np.ones(len(to), bool))).append_column("times", pa.array(np.ones(len(to), np.int32)))
 
-    routed = rows.withColumn("tie", F.xxhash64("text")).mapInArrow(route, "doc_id long, no_id boolean, text string, tie long, place int, ghost boolean")
-    return routed.repartition(max(1, places // 2), "place").sortWithinPartitions("place", "ghost", F.desc("doc_id"), "tie", "text")
+    routed = rows.mapInArrow(route, "k long, no_id boolean, text string, tie long, place int, ghost boolean, times int")
+    return routed.repartition(max(1, places // 2), "place").sortWithinPartitions("place", "ghost", "k", "tie")
 
 
 def edited_pairs(docs: DataFrame, places: int, n: int = WORDS, k: int = K) -> DataFrame:
@@ -140,7 +165,8 @@ def edited_pairs(docs: DataFrame, places: int, n: int = WORDS, k: int = K) -> Da
     The edited text has the last floor(n_chars / 2) code points replaced by the first as many
     (or all) of the next document in descending doc_id; after the last comes the first.  One row
     for each row of ``docs`` (doc_id and text are read); a null text counts as empty, a null
-    doc_id comes last and stays null; an only document is its own next; no rows give none.
+    doc_id comes last and stays null; equal doc_ids go by their texts' hashes, and rows equal in both follow
+    each other; an only document is its own next; no rows give none.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -148,22 +174,28 @@ def edited_pairs(docs: DataFrame, places: int, n: int = WORDS, k: int = K) -> Da
         for batch in batches:
             for part in tx.slices(batch, "text"):
                 own = sketches(part.column("text"), n, k)
-                ids, no_id, place, ghost = (part.column(c).to_pylist() for c in ("doc_id", "no_id", "place", "ghost"))
+                ids, no_id, place, ghost, times = (part.column(c).to_pylist() for c in ("k", "no_id", "place", "ghost", "times"))
                 texts = part.column("text").to_pylist()
                 done, edits = [], []
+
+                def pair(before: tuple, text: str, sketch: np.ndarray, count: int, done=done, edits=edits) -> None:
+                    half = len(before[2]) // 2
+                    done.append((before[0], len(before[2]), before[3], sketch, count))
+                    edits.append(before[2][: len(before[2]) - half] + text[:half])
+
                 for i in range(len(texts)):
                     if held is not None and held[1] == place[i]:
-                        text = held[2]
-                        half = len(text) // 2
-                        done.append((held[0], len(text), held[3], own[i]))
-                        edits.append(text[: len(text) - half] + texts[i][:half])
-                    held = None if ghost[i] else (None if no_id[i] else ids[i], place[i], texts[i], own[i])
+                        pair(held, texts[i], own[i], 1)
+                    held = None if ghost[i] else (None if no_id[i] else ~ids[i], place[i], texts[i], own[i])
+                    if held is not None and times[i] > 1:
+                        pair(held, texts[i], own[i], times[i] - 1)
                 if done:
                     altered = sketches(pa.array(edits, pa.large_string()), n, k)
-                    yield pa.RecordBatch.from_pylist([
+                    rows = [
                         {"doc_id": doc, "n_chars": size, "edited_sha256": hashlib.sha256(e.encode()).hexdigest(), "fingerprint": to_text(a), "edited_fingerprint": to_text(b), "near_edited": resemblance(a, b, k), "near_next": resemblance(a, c, k)}
-                        for (doc, size, a, c), e, b in zip(done, edits, altered, strict=True)
-                    ], schema=_ARROW)
+                        for (doc, size, a, c, _), e, b in zip(done, edits, altered, strict=True)
+                    ]
+                    yield pa.RecordBatch.from_pylist(rows, schema=_ARROW).take(pa.array(np.repeat(np.arange(len(rows)), [d[4] for d in done])))
 
     return with_next(docs, places).mapInArrow(run, SCHEMA)
 

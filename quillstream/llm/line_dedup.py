@@ -195,8 +195,8 @@ def later_lines(docs: DataFrame, percent: int = PERCENT, least: int = LEAST_WORD
     Lines of rows with equal doc_id and number are equally early: neither removes the other.
     """
     spark = docs.sparkSession
-    parts = 2 * max(4, int(spark.conf.get("spark.sql.shuffle.partitions")))
     read = docs.where(F.col("text").isNotNull()).select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("doc_id"), F.xxhash64("text").alias("text_key"), "text")
+    parts = 2 * rare.n_parts(read.select("text"), 4)
     order = spark.sparkContext.broadcast(rare.measure(read.select("text"), _words, per_token=32))
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -5,7 +5,7 @@ is on classes.  Two classes link when 100 * intersection >= percent * union.
 
 1. Frequencies of all n-grams (``rarity``) give one global order: rare first.
 2. Linked sets share an n-gram among each other's rarest n - ceil(percent * n / 100) + 1.  These
-   prefixes, less the n-grams that no second document has, are dealt by n-gram and sorted by size.
+   prefixes, less the n-grams that no second document has, are range-sorted by n-gram and size.
    Neighbours there whose sizes still allow a link are joined, which joins all pairs whose sizes do;
    components of these chains are blocks.  No link crosses blocks.
 3. Inside a block each class lengthens its prefix by m - 1, where m minimises the estimated cost of
@@ -181,6 +181,45 @@ def _dealt(rows: DataFrame, run, parts: int) -> DataFrame:
     return rows.repartition(parts, "grp").sortWithinPartitions("grp").mapInArrow(run, "a binary, b binary")
 
 
+_CHAIN = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("range", pa.int32()), ("token", pa.int64()), ("n", pa.int64())])
+
+
+def _chains(postings: DataFrame, percent: int) -> DataFrame:
+    """(a, b): of each token's sets, sorted by size, the neighbours whose sizes allow a link.
+
+    ``postings``: token, n (the set's size), b (its name).  They are range-sorted, so a frequent token has as many
+    tasks as it needs; neighbours in two ranges are found from the ranges' first and last rows.
+    """
+    spark = postings.sparkSession
+
+    def chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        first = last = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            token, n, b = (batch.column(c).to_numpy() for c in ("token", "n", "b"))
+            first = first or (int(token[0]), int(n[0]), int(b[0]))
+            if last is not None:
+                token, n, b = (np.concatenate([[x], c]) for x, c in zip(last, (token, n, b), strict=True))
+            last = (int(token[-1]), int(n[-1]), int(b[-1]))
+            hit = np.flatnonzero((token[1:] == token[:-1]) & (b[1:] != b[:-1]) & (100 * n[:-1] >= percent * n[1:]))
+            none = pa.nulls(len(hit), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(b[hit]), pa.array(b[hit + 1]), pa.nulls(len(hit), pa.int32()), none, none], schema=_CHAIN)
+        if first is not None:
+            own = TaskContext.get().partitionId()
+            for k, (token, n, b) in enumerate((first, last)):
+                yield pa.RecordBatch.from_pylist([{"a": k, "b": b, "range": own, "token": token, "n": n}], schema=_CHAIN)
+
+    by = ["token", "n", "b"]
+    found = written(postings.repartitionByRange(*by).sortWithinPartitions(*by).mapInArrow(chain, "a long, b long, range int, token long, n long"), "chains")
+    edges = sorted((r.range, r.a, r.token, r.n, r.b) for r in found.where("range is not null").collect())  # two rows a range
+    over = [(x[4], y[4]) for x, y in zip(edges, edges[1:], strict=False) if x[0] != y[0] and x[2] == y[2] and x[4] != y[4] and 100 * x[3] >= percent * y[3]]
+    inside = found.where("range is null").select("a", "b")
+    return inside.unionAll(spark.createDataFrame(over, "a long, b long")) if over else inside
+
+
 def link_components(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
     """doc_id, n_shingles and component_id (the least doc_id reachable by links) of every row, with the
     text's xxhash64 as text_key and the component's name as root (null without n-grams).
@@ -191,9 +230,10 @@ def link_components(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame
     Columns besides doc_id and text are left out; no rows give none.
     """
     spark = docs.sparkSession
-    parts = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
     read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), "text")
 
+    parts = rare.n_parts(read.select("text"), 8)
+
     def all_tokens(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
         for part in tx.slices(batch, "text"):
             yield from sets(part.column("text"), n)
@@ -222,39 +262,41 @@ def link_components(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame
     described = written(read.mapInArrow(describe, "doc_id long, text_key long, n_shingles long, cls binary, prefix array<bigint>"), "described")
     # 1. classes, and blocks of classes that meet in a prefix.  Short names only group candidates.
     short = F.xxhash64("cls")
-    classes = described.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("least"), F.max("n_shingles").alias("n"))
-    from pyspark.sql import Window
-
-    met = Window.partitionBy("token").orderBy("n_shingles", "b")
-    postings = described.where(F.size("prefix") > 0).select(F.explode("prefix").alias("token"), short.alias("b"), "n_shingles")
-    before = F.lag(F.struct("b", "n_shingles")).over(met)
-    chains = postings.select("b", "n_shingles", before.alias("before")).where(f"before.b <> b and 100 * before.n_shingles >= {percent} * n_shingles")
-    blocks = components(chains.select(F.col("before.b").alias("a"), "b"))
+    place = F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("d"), F.col("text_key").alias("k"))
+    classes = described.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("least"), F.min(place).alias("at"), F.max("n_shingles").alias("n"))
+    blocks = components(_chains(described.where(F.size("prefix") > 0).select(F.explode("prefix").alias("token"), F.col("n_shingles").alias("n"), short.alias("b")), percent))
     named = written(classes.withColumn("short", short), "classes")
-    members = named.join(blocks.withColumnRenamed("node", "short"), "short").select("cls", "n", "least", F.col("root").alias("block"))
+    members = named.join(blocks.withColumnRenamed("node", "short"), "short").select("cls", "n", "at", F.col("root").alias("block"))
     total = members.groupBy("block").agg(F.count("*").alias("k"), F.sum("n").alias("tokens"))
     chunks = F.greatest(F.ceil(F.col("k") / CHUNK), F.ceil(F.col("tokens") / CHUNK_TOKENS))
-    members = written(members.join(total.hint("rebalance"), "block").select("cls", "least", "block", chunks.cast("int").alias("chunks")), "members")
+    members = written(members.join(total.hint("rebalance"), "block").select("cls", "at", "block", chunks.cast("int").alias("chunks")), "members")
 
-    # 2. their sets, from one text of each class
-    flags = spark.sparkContext.broadcast(membership.bitmap(members.select(F.col("least").alias("doc_id")), "doc_id"))
+    # 2. their sets, from one text of each class; of rows of one id and text, each task gives one
+    flags = spark.sparkContext.broadcast(membership.bitmap(members.select("at.d", "at.k"), "d", "k"))
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[bytes] = set()
         for batch in batches:
             batch = batch.filter(pa.array(flags.value.inside(batch.column("cell").to_numpy())))
             for part in tx.slices(batch, "text"):
-                raw = [own.tobytes() for own in sets(part.column("text"), n)]
-                yield pa.RecordBatch.from_arrays([pa.array([hashlib.blake2b(r, digest_size=16).digest() for r in raw], pa.binary()), pa.array(raw, pa.binary())], names=["cls", "tokens"])
-
-    fetched = read.select(membership.cell("doc_id").alias("cell"), "text").mapInArrow(fetch, "cls binary, tokens binary").join(members.select("cls", "block", "chunks"), "cls")
-    # repeated rows of one id bring a class twice
-    held = written(fetched.withColumn("grp", F.xxhash64("block", F.pmod(F.xxhash64("cls"), "chunks"))), "sets")
+                new = {}
+                for own in sets(part.column("text"), n):
+                    raw = own.tobytes()
+                    name = hashlib.blake2b(raw, digest_size=16).digest()
+                    if name not in seen:
+                        new[name] = raw
+                if len(seen) >= 200_000:
+                    seen.clear()
+                seen.update(new)
+                yield pa.RecordBatch.from_arrays([pa.array(list(new), pa.binary()), pa.array(list(new.values()), pa.binary())], names=["cls", "tokens"])
+
+    keyed = read.select(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("d"), F.col("text_key").alias("k"), "text")
+    fetched = keyed.select(membership.cell("d", "k").alias("cell"), "text").mapInArrow(fetch, "cls binary, tokens binary").join(members.select("cls", "block", "chunks"), "cls")
+    held = written(fetched.dropDuplicates(["cls"]).withColumn("grp", F.xxhash64("block", F.pmod(F.xxhash64("cls"), "chunks"))), "sets")
 
     def within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in grouped(batches, "grp"):
             names = table.column("cls").to_pylist()
-            firsts = {c: k for k, c in enumerate(names)}
-            table, names = table.take(list(firsts.values())), list(firsts)
             if len(names) > 1:
                 pairs = forest(_arrays(table), percent, order.value)
                 if pairs:
@@ -311,9 +353,6 @@ def _across(large: DataFrame, edges: DataFrame, percent: int, order, parts: int)
     def between(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in grouped(batches, "grp"):
             cls, side = table.column("cls").to_pylist(), table.column("side").to_numpy()
-            firsts = {c: k for k, c in enumerate(cls)}
-            at = list(firsts.values())
-            table, cls, side = table.take(at), list(firsts), side[at]
             roots_here = {r: k for k, r in enumerate(dict.fromkeys(table.column("root").to_pylist()))}
             group = np.array([roots_here[r] for r in table.column("root").to_pylist()])
             pairs = forest(_arrays(table), percent, order.value, group, side if len(set(side.tolist())) > 1 else None)

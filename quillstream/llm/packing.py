@@ -94,8 +94,8 @@ def pack(tokens: DataFrame, longest: int = LONGEST, buckets: int = BUCKETS, budg
     A document of more than ``longest`` tokens has several pieces, in order; joined, a document's pieces
     are its ids.  ``batch`` names bucket, shard and number; it has max(1, budget // bucket_length) slots,
     all full but in a shard's last.  Order in a shard is by doc_id (nulls first), piece, length and a hash
-    of the ids; shards are hashes of all of these, so texts of one doc_id or of null ids spread.  Documents
-    without tokens aren't packed; repeated rows are packed each; no rows give none.
+    of the ids; shards are hashes of all of these and of the row's place in ``tokens``, a written table, so copies of
+    one row spread, too.  Documents without tokens aren't packed; repeated rows are packed each; no rows give none.
     """
     lengths, counts = histogram(tokens, longest)
     ends = limits(lengths, counts, buckets)
@@ -108,10 +108,11 @@ def pack(tokens: DataFrame, longest: int = LONGEST, buckets: int = BUCKETS, budg
         own = int(counts[(lengths > low) & (lengths <= end)].sum())
         shards = F.when(inside, F.lit(max(1, math.ceil(own / shard_rows), math.ceil(own * end / SHARD_TOKENS)))).otherwise(shards)
     number = F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(n_ids - 1) div {longest}")))
-    cut = tokens.where("n_ids > 0").select("doc_id", "ids", "n_ids", number.alias("piece")).withColumn("first_token", F.col("piece") * longest)
+    spotted = tokens.where("n_ids > 0").withColumn("spot", F.monotonically_increasing_id())
+    cut = spotted.select("doc_id", "ids", "n_ids", "spot", number.alias("piece")).withColumn("first_token", F.col("piece") * longest)
     cut = cut.withColumn("n_tokens", F.least(F.col("n_ids") - F.col("first_token"), F.lit(longest)))
     cut = cut.withColumn("tokens", F.slice("ids", (F.col("first_token") + 1).cast("int"), F.col("n_tokens").cast("int"))).withColumn("tie", F.xxhash64("tokens"))
-    placed = cut.withColumn("bucket_length", bucket.cast("long")).withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", "tie"), shards).cast("int"))
+    placed = cut.withColumn("bucket_length", bucket.cast("long")).withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", "tie", "spot"), shards).cast("int"))
     place = F.row_number().over(Window.partitionBy("bucket_length", "shard").orderBy("doc_id", "piece", "n_tokens", "tie")) - 1
     slots = F.greatest(F.lit(1).cast("long"), F.expr(f"{budget} div bucket_length"))
     kept = placed.select("doc_id", "piece", "first_token", "n_tokens", "bucket_length", "shard", "tie", "tokens")

@@ -13,6 +13,8 @@ that share a cell, or a bitmap that fills up, only cost time.
 
 from __future__ import annotations
 
+import re
+import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -84,19 +86,38 @@ def added(heads: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return heads[first], np.add.reduceat(counts, first)
 
 
-def _bytes(rows: DataFrame) -> int:
-    """About how many bytes the rows have, by the plan's statistics; where these say nothing, by a scan."""
-    size = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+_UNITS = {"": 0, "Ki": 10, "Mi": 20, "Gi": 30, "Ti": 40, "Pi": 50, "Ei": 60}
+
+
+def n_bytes(rows: DataFrame) -> int:
+    """About how many bytes the rows have, by the plan's statistics; where these say nothing, by a scan of ``text``."""
+    view = f"rows_{uuid.uuid4().hex}"
+    rows.createTempView(view)
+    try:
+        plan = rows.sparkSession.sql(f"explain cost select * from {view}").head()[0]
+    finally:
+        rows.sparkSession.catalog.dropTempView(view)
+    found = re.search(r"sizeInBytes=([0-9.E+]+) ([KMGTPE]i)?B", plan)
+    size = int(float(found[1]) * (1 << _UNITS[found[2] or ""])) if found else 1 << 60
     return size if size < 1 << 44 else int(rows.agg(F.sum(F.octet_length("text"))).head()[0] or 0)
 
 
+#: Bytes of text for each part that a task holds at once.
+PART_BYTES = 1 << 26
+
+
+def n_parts(rows: DataFrame, least: int) -> int:
+    """How many parts to deal the rows' words into: the session's number of shuffle partitions, ``least``, or more for large texts."""
+    return max(least, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n_bytes(rows) // PART_BYTES))
+
+
 def measure(rows: DataFrame, tokens: Callable[[pa.RecordBatch], Iterator[np.ndarray]], per_token: int = 4, least: int = 3, most: int = MOST) -> Rarity:
     """Frequencies of what ``tokens`` yields for each batch of ``rows`` (64-bit hashes).
 
     ``per_token``: about how many bytes of the corpus there are for each distinct token.  Heads below the
     frequency ``least`` have no rank of their own.  No rows give empty tables.
     """
-    size = max(1, _bytes(rows))
+    size = max(1, n_bytes(rows))
     bits = min(16, max(8, (size >> 21).bit_length()))  # of the number of ranges: heads' upper bits
     map_bits = min(MOST_BITS, max(LEAST_BITS, (size // per_token).bit_length()))
     wide, low_bits = np.uint64(64 - HEAD_BITS), np.uint64(HEAD_BITS - bits)

@@ -6,14 +6,20 @@ from pyspark.sql import DataFrame, SparkSession
 
 from quillstream.session import shared_folder as shared_dir
 
+#: Spark's setting to drop a query's shuffle files as soon as the query has ended.
+CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def written(df: DataFrame, name: str = "table") -> DataFrame:
-    """The frame as a table in the shared folder, read again: later plans start from its files."""
+    """The frame as a table in the shared folder, read again: later plans start from its files, and its shuffles are gone."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}"
-    # Shuffle files of finished steps go once their plans are collected; until the driver needs memory that can take hours.
-    spark.sparkContext._jvm.System.gc()
-    df.write.parquet(path)
+    before = spark.conf.get(CLEAN, "false")
+    spark.conf.set(CLEAN, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEAN, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

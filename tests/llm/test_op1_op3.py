@@ -1,6 +1,7 @@
 import io
 import itertools
 import random
+from collections import Counter
 import zipfile
 
 import numpy as np
@@ -137,6 +138,13 @@ def test_pack(spark, sample, odd):
     assert packing.pack(packing.tokenised(docs.limit(0), vocabulary())).count() == 0
 
 
+def test_copies_of_one_row_fill_many_shards(spark):
+    docs = spark.createDataFrame([(None, "one two three")] * 500, "doc_id long, text string")
+    got = packing.pack(packing.tokenised(docs, vocabulary()), buckets=2, shard_rows=50).collect()
+    shards = Counter(r.batch.rsplit("-", 1)[0] for r in got)
+    assert len(got) == 500 and len(shards) == 10 and max(shards.values()) < 90
+
+
 def test_byte_pair_encoding_equals_the_library(sample, odd):
     from tokenizers import Tokenizer
 

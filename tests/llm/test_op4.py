@@ -105,3 +105,39 @@ def test_graph_components(spark):
         root[max(x, y)] = min(x, y)
     got = {r.node: r.root for r in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {i: find(i) for a, b in edges if a != b for i in (a, b)}
+
+
+def test_very_many_rows_of_null_ids(spark, monkeypatch):
+    """3,000 rows of null doc_id and two texts are two classes, whose sets are written once."""
+    base = [f"w{k}" for k in range(60)]
+    texts = [" ".join(base), " ".join([*base[:-1], "changed"])]
+    docs = spark.createDataFrame([(None, texts[k % 2]) for k in range(3000)] + [(7, "something else of other words entirely")], "doc_id long, text string").repartition(6)
+    tables = {}
+    keep = ngram_join.written
+
+    def spied(df, name="table"):
+        tables[name] = keep(df, name)
+        return tables[name]
+
+    monkeypatch.setattr(ngram_join, "written", spied)
+    rows = ngram_join.link_components(docs).collect()
+    assert tables["sets"].count() == 2
+    assert len(rows) == 3001 and len({r.root for r in rows}) == 2
+    assert [r.doc_id for r in ngram_join.one_of_each(docs.withColumn("d", docs.doc_id)).orderBy("doc_id").collect()] == [None, 7]
+
+
+@pytest.mark.parametrize("parts", [1, 7, 40])
+def test_chains_over_ranges(spark, parts):
+    """A frequent token's sets are chained whatever ranges they fall in."""
+    rng = random.Random(4)
+    rows = [(0 if k % 3 else rng.randrange(20), rng.choice([10, 11, 20, 21, 40]), k % 97) for k in range(600)]
+    before = spark.conf.get("spark.sql.shuffle.partitions"), spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = {tuple(r) for r in ngram_join._chains(spark.createDataFrame(rows, "token long, n long, b long"), 85).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before[0])
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before[1])
+    rows.sort()
+    assert got == {(x[2], y[2]) for x, y in zip(rows, rows[1:]) if x[0] == y[0] and x[2] != y[2] and 100 * x[1] >= 85 * y[1]}

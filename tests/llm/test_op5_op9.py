@@ -6,6 +6,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from quillstream.llm import fingerprint, quality
 
@@ -88,15 +89,32 @@ def test_edited_pairs(spark, sample):
 
 
 def test_edited_pairs_ties_nulls_and_empty(spark, odd):
+    """Ties by the text's hash, so each text of an id with another one's is followed by one of the two."""
     docs = spark.createDataFrame(odd, "doc_id long, text string")
     got = fingerprint.edited_pairs(docs, 8).collect()
-    assert len(got) == len(odd)
-    assert sorted(r.n_chars for r in got) == sorted(len(t or "") for _, t in odd)
+    keyed = docs.selectExpr("doc_id", "coalesce(text, '') as text", "xxhash64(doc_id is null, coalesce(text, '')) as tie").collect()
+    order = sorted(keyed, key=lambda r: (r.doc_id is None, -(r.doc_id or 0), r.tie))
+    wanted = []
+    for a, b in zip(order, [*order[1:], order[0]], strict=True):
+        half = len(a.text) // 2
+        wanted.append((a.doc_id, len(a.text), hashlib.sha256((a.text[: len(a.text) - half] + b.text[:half]).encode()).hexdigest()))
+    key = lambda r: (r[0] is None, r[0] or 0, r[1], r[2])
+    assert sorted(((r.doc_id, r.n_chars, r.edited_sha256) for r in got), key=key) == sorted(wanted, key=key)
     assert fingerprint.edited_pairs(docs.limit(0), 8).count() == 0
     one = fingerprint.edited_pairs(spark.createDataFrame([(1, "a b c d e f g h")], "doc_id long, text string"), 8).collect()
     assert len(one) == 1 and one[0].near_next == 1.0
 
 
+def test_edited_pairs_of_one_frequent_id_spread(spark):
+    rows = [(None, f"text {k} of none") for k in range(300)] + [(5, "the same text " * 9)] * 400 + [(k, f"other {k}") for k in range(100)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    routed = fingerprint.with_next(docs, 16).where("not ghost")
+    shares = routed.groupBy("place").agg(F.count("*").alias("n"), F.sum("times").alias("times")).collect()
+    assert sum(r["times"] for r in shares) == 800 and max(r["n"] for r in shares) < 150
+    got = fingerprint.edited_pairs(docs, 16).collect()
+    assert len(got) == 800 and sum(r.doc_id == 5 and r.near_next == 1.0 for r in got) == 399
+
+
 def test_sketches_merge_and_estimate():
     rng = random.Random(3)
     words = [f"w{rng.randrange(10**6)}" for _ in range(4000)]
