@@ -72,7 +72,7 @@ class InOrder(StatefulProcessor):
     The clock is ``late`` behind the latest row of the batches before.  State, typed and in the state store: what
     is carried on from row to row (a value), and the rows that the clock hasn't passed (a list); a timer goes off when
     it passes the first of them.  A row that the clock had passed when it came is given out at once, marked as late.
-    The watermark is ``late`` behind the clock: rows beyond that never get here, Spark counts them.
+    The watermark is ``late`` behind the clock: rows that it had passed a batch ago never get here, Spark counts them.
     """
 
     def __init__(self, step: Callable, kind: str, carried: str, late_ms: int):
