@@ -209,8 +209,21 @@ def fenced_json(c: Column) -> Column:
 
 
 def first_object(c: Column) -> Column:
-    """The first brace to its first closing one."""
-    return F.nullif(F.regexp_extract(c, r"(?s)\{.*?\}", 0), F.lit(""))
+    """The first whole JSON object in a text: from its first brace to the one that closes it; null if none does.
+
+    The text from there on is cut into strings (with their escapes), braces and the rest, and the pieces are folded
+    with the depth so far; a string that doesn't end ends the search.
+    """
+    tail = F.when(F.contains(c, F.lit("{")), F.substr(c, F.instr(c, "{")))
+    pieces = F.regexp_extract_all(tail, F.lit(r'(?s)("[^"\\]*+(?:\\.[^"\\]*+)*+"|"|[{}]|[^"{}]++)'), 1)
+    begin = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("read"), F.lit(None).cast("int").alias("end"))
+
+    def step(at, piece):
+        depth = at["depth"] + F.when(piece == "{", 1).when(piece == "}", -1).when(piece == '"', 1 << 30).otherwise(0)
+        read = at["read"] + F.length(piece)
+        return F.struct(depth.alias("depth"), read.alias("read"), F.coalesce(at["end"], F.when(depth == 0, read)).alias("end"))
+
+    return F.left(tail, F.aggregate(pieces, begin, step)["end"])
 
 
 def meaningful_words(c: Column) -> Column:

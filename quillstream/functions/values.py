@@ -42,6 +42,12 @@ LINK_STOPWORDS = (
     "do", "does", "did", "not", "no", "but", "if", "so", "can", "how",
 )
 
+#: Words that a full-text index leaves out.
+INDEX_STOPWORDS = (
+    "a", "about", "an", "are", "as", "at", "be", "by", "com", "de", "en", "for", "from", "how", "i", "in", "is", "it", "la", "of", "on", "or", "that", "the", "this", "to",
+    "was", "what", "when", "where", "who", "will", "with", "und", "www",
+)
+
 #: Hosts whose links may be papers.
 TRUSTED_DOMAINS = (
     "ssrn.com", "nber.org", "arxiv.org", "doi.org", "ideas.repec.org", "econpapers.repec.org", "econstor.eu", "cepr.org", "drive.google.com", "docs.google.com", "dropbox.com",
@@ -49,6 +55,10 @@ TRUSTED_DOMAINS = (
     "tandfonline.com", "taylorfrancis.com", "jstor.org", "cambridge.org", "degruyterbrill.com", "degruyter.com", "annualreviews.org", "journals.sagepub.com", "mohrsiebeck.com",
     "muse.jhu.edu", "izajoels.com", "direct.mit.edu", "econometricsociety.org", "restud.com", "iza.org", "diw.de", "ifo.de", "cesifo-group.de",
 )
+#: Hosts on which each page has an owner of its own.
+SHARED_HOSTS = (
+    "sites.google.com", "github.io", "wordpress.com", "weebly.com", "wixsite.com", "blogspot.com", "squarespace.com", "netlify.app", "vercel.app", "github.com",
+)
 NON_ARTICLE_PATHS = ("/topics/", "/about/", "/help/", "/search", "/browse/", "/login", "/register", "/cart", "/account")
 REPOSITORY_HOSTS = ("repec.org", "econstor.eu", "cepr.org", "iza.org", "diw.de", "ifo.de", "cesifo-group.de")
 GENERIC_ANCHOR = (

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quillstream.functions import text as T
 from quillstream.functions import udfs as U
 from quillstream.operators import groups as G
+from quillstream.operators import matching as M
 from quillstream.operators import rows as R
 from quillstream.plans.common import Plans, total
 
@@ -51,9 +52,7 @@ def _(t):
 
 @P.add("win_3_greedy_best_match")
 def _(t):
-    """Each old title of a page used once, best pairs first; greedy within a page of a few titles."""
-    import pandas as pd
-
+    """Each old title of a page used once, best pairs first."""
     titles = t("pages").select("page_id", F.posexplode(F.slice(F.split("html", "<p>"), 2, 1 << 30)).alias("k", "piece"))
     # words once a title, before titles meet
     sets = titles.select("page_id", "k", F.array_distinct(T.words(T.normalize_title(F.col("piece")))).alias("w")).where(F.size("w") > 0)
@@ -62,16 +61,7 @@ def _(t):
     both = able.select("page_id", "i", "j", F.size(F.array_intersect("x", "y")).alias("both"), (F.size("x") + F.size("y")).alias("all"))
     scored = both.select("page_id", "i", "j", (F.col("both") / (F.col("all") - F.col("both"))).alias("score")).where("score >= 0.2")
 
-    def greedy(rows: pd.DataFrame) -> pd.DataFrame:
-        left, right, keep = set(), set(), []
-        for r in rows.sort_values(["score", "i", "j"], ascending=[False, True, True]).itertuples(index=False):
-            if r.i not in left and r.j not in right:
-                left.add(r.i)
-                right.add(r.j)
-                keep.append(r)
-        return pd.DataFrame(keep, columns=rows.columns)
-
-    return scored.groupBy("page_id").applyInPandas(greedy, "page_id long, i int, j int, score double")
+    return M.greedy(scored, "page_id", "i", "j", "score")
 
 
 @P.add("enr_1_queue", """

@@ -277,32 +277,6 @@ def _(t):
     return items.select("o_custkey", F.array_join(F.transform("items", lambda x: x["o_orderkey"].cast("string")), ",").alias("orders"), F.size("items").cast("long").alias("n"))
 
 
-@P.add("join_18_linkage_tiers", """
-    with one as (select c_custkey, s_suppkey, 'key' as tier from customer join supplier on c_custkey = s_suppkey and c_nationkey = s_nationkey),
-    rest as (select * from customer where c_custkey not in (select c_custkey from one)),
-    two as (select c_custkey, s_suppkey, count(*) over (partition by c_custkey) as n from rest join supplier on c_nationkey = s_nationkey and c_custkey % 10 = s_suppkey % 10)
-    select * from one union all select c_custkey, case when n = 1 then s_suppkey end, case when n = 1 then 'unique' else 'ambiguous' end from two group by all
-""")
-def _(t):
-    c, s = t("customer").select("c_custkey", "c_nationkey"), t("supplier").select("s_suppkey", "s_nationkey")
-    one = c.join(s, (F.col("c_custkey") == F.col("s_suppkey")) & (F.col("c_nationkey") == F.col("s_nationkey"))).select("c_custkey", "s_suppkey", F.lit("key").alias("tier"))
-    rest = c.join(one, "c_custkey", "left_anti")
-    two = rest.join(s, (F.col("c_nationkey") == F.col("s_nationkey")) & (F.expr("c_custkey % 10 = s_suppkey % 10"))).withColumn("n", F.count("*").over(Window.partitionBy("c_custkey")))
-    told = two.select("c_custkey", F.when(F.col("n") == 1, F.col("s_suppkey")).alias("s_suppkey"), F.when(F.col("n") == 1, "unique").otherwise("ambiguous").alias("tier")).distinct()
-    return one.unionByName(told)
-
-
-@P.add("join_19_lookup_cascade", """
-    select c_custkey, coalesce(a.s_suppkey, b.k, -1) as found from customer left join supplier a on a.s_name = c_name left join (
-        select s_nationkey, min(s_suppkey) as k from supplier group by s_nationkey having count(*) = 1) b on b.s_nationkey = c_nationkey
-""")
-def _(t):
-    s = t("supplier")
-    lone = s.groupBy("s_nationkey").agg(F.min("s_suppkey").alias("k"), F.count("*").alias("n")).where("n = 1").select("s_nationkey", "k")
-    exact = t("customer").select("c_custkey", "c_name", "c_nationkey").join(s.select("s_suppkey", "s_name"), F.col("s_name") == F.col("c_name"), "left")
-    return exact.join(lone, F.col("s_nationkey") == F.col("c_nationkey"), "left").select("c_custkey", F.coalesce("s_suppkey", "k", F.lit(-1)).alias("found"))
-
-
 # Order and pages
 
 

@@ -10,6 +10,7 @@ from quillstream.functions import udfs as U
 from quillstream.functions import values as V
 from quillstream.operators import groups as G
 from quillstream.operators import identity as I
+from quillstream.operators import matching as M
 from quillstream.operators import rows as R
 from quillstream.plans.common import Plans
 
@@ -177,24 +178,12 @@ def _page_titles(t):
 @P.add("er_7_renames")
 def _(t):
     """Titles that went and came on one page: the best pairs of half their words, each title once, artefacts left out."""
-    import pandas as pd
-
     old, new = _page_titles(t)
     word = lambda c: F.explode(F.array_distinct(T.words(T.normalize_title(F.col(c))))).alias("word")
     met = old.select("page", "old", word("old")).join(new.select("page", "new", word("new")), ["page", "word"]).select("page", "old", "new").distinct()
     scored = met.withColumn("score", T.title_jaccard(F.col("old"), F.col("new"))).where("score >= 0.5").where(T.title_renamed(F.col("old"), F.col("new")))
 
-    def greedy(rows: pd.DataFrame) -> pd.DataFrame:
-        rows, keep = rows.sort_values(["score", "old", "new"], ascending=[False, True, True]), []
-        left, right = set(), set()
-        for r in rows.itertuples(index=False):
-            if r.old not in left and r.new not in right:
-                left.add(r.old)
-                right.add(r.new)
-                keep.append(r)
-        return pd.DataFrame(keep, columns=rows.columns)
-
-    return scored.groupBy("page").applyInPandas(greedy, "page long, old string, new string, score double")
+    return M.greedy(scored, "page", "old", "new", "score")
 
 
 @P.add("er_11_last_name_in_tokens", """

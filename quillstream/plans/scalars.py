@@ -336,9 +336,17 @@ def _(t):
     return t("events").select("event_id", F.from_json(T.fenced_json(fenced), "struct<k:int>")["k"].alias("k"))
 
 
-@P.add("json_4_first_object", "select event_id, (props::json->>'k')::int as k from events")
+@P.add("json_4_first_object", """
+    select event_id, case when event_id % 4 <> 3 then (props::json->>'k')::int end as k, case when event_id % 4 in (1, 2) then event_type end as kind from events
+""")
 def _(t):
-    return t("events").select("event_id", F.from_json(T.first_object(F.concat(F.lit("Sure! "), "props", F.lit(" {"))), "struct<k:int>")["k"].alias("k"))
+    """Objects in prose: flat, nested, with braces and quotes in strings, cut off."""
+    kind = F.concat(F.lit('"kind": "'), "event_type", F.lit('"'))
+    wrapped = F.when(F.col("event_id") % 4 == 0, F.concat(F.lit('{"a": '), "props", F.lit("}")))
+    wrapped = wrapped.when(F.col("event_id") % 4 == 1, F.concat(F.lit('{"b": {"c": [{"d": {}}]}, "a": '), "props", F.lit(", "), kind, F.lit("}")))
+    wrapped = wrapped.when(F.col("event_id") % 4 == 2, F.concat(F.lit(r'{"x": "} \" { \\\\", "a": '), "props", F.lit(", "), kind, F.lit("}"))).otherwise(F.concat(F.lit('{"a": '), "props"))
+    found = F.from_json(T.first_object(F.concat(F.lit("Sure! "), wrapped, F.lit(" and {so on"))), "struct<a:struct<k:int>,kind:string>")
+    return t("events").select("event_id", found["a"]["k"].alias("k"), found["kind"].alias("kind"))
 
 
 @P.add("json_7_actions", "select event_type, count(*) as n from events where (props::json->>'k')::int >= 50 group by event_type")
