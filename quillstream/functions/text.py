@@ -133,6 +133,12 @@ def title_renamed(old: Column, new: Column) -> Column:
     return ~(same | one_word | F.startswith(a, b) | F.startswith(b, a))
 
 
+def distinct_markers(a: Column, b: Column) -> Column:
+    """Whether a word that only one of two normalised titles has is a number or marks a paper of its own."""
+    x, y = words(a), words(b)
+    return F.exists(F.array_union(F.array_except(x, y), F.array_except(y, x)), lambda w: w.rlike(V.DISTINCT_MARKERS))
+
+
 def initial(c: Column) -> Column:
     """The letter of a lone initial, lower case, else null."""
     bare = F.trim(c)

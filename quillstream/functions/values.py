@@ -75,6 +75,9 @@ LABEL_MARKERS = (
     "[ Abstract", "[Abstract", "[ Draft", "[Draft", "[ PDF", "[PDF", "[ SSRN", "[SSRN", "[ NBER", "[NBER", "[ Link", "[Link", "[ Working Paper", "[Working Paper",
 )
 
+#: Words in which only one of two titles of distinct papers may differ.
+DISTINCT_MARKERS = r"[0-9]|^(i|ii|iii|iv|v|comment|reply|rejoinder|appendix|corrigendum|erratum|part|revisited|extension|update|updated)$"
+
 #: Topic keywords, more specific ones first, with the codes of the classification they stand for.
 TOPIC_CODES = (
     ("labor market", ("J",)), ("labour market", ("J",)), ("wage", ("J",)), ("employment effect", ("J",)), ("unemployment", ("J",)), ("immigration", ("J",)), ("demographic", ("J",)), ("fertility", ("J",)), ("pension", ("J", "H")), ("human capital", ("J", "I")),

@@ -75,18 +75,51 @@ def identifier_groups(rows: DataFrame, id: str, keys: list[str]) -> DataFrame:
     return found.select(F.col("node").alias(id), "root")
 
 
+def _ranked(each: DataFrame, prefix: str) -> DataFrame:
+    """Of each title's (authors, id, n, word) rows, its rarest words in its author set, as many as ``prefix`` of n says;
+    those that no other title has take their places, and are left out as they meet nothing."""
+    often = each.groupBy("authors", "word").agg(F.count("*").alias("often"))
+    listed = each.join(often, ["authors", "word"]).groupBy("authors", "id", "n").agg(F.sort_array(F.collect_list(F.struct("often", "word"))).alias("w"))
+    return listed.select("authors", "id", "n", F.explode(F.expr(f"slice(w, 1, {prefix})")).alias("x")).where("x.often > 1").select("authors", "id", "n", "x.word")
+
+
+def likely_pairs(titles: DataFrame, least: float, floor: float = 0.5) -> DataFrame:
+    """(a, b) of titles of one author set that may be ``least`` similar by ``fuzzy_pairs``; the bounds lose none.
+
+    ``titles``: authors, id, w (words), c (content words).  A ratio of r over n and m words needs r * (n + m) / 2 words
+    in common, counted as often as they occur, so r / (2 - r) of either's.  An overlap of r needs r of the smaller
+    set's content words; it counts only with a ratio of ``floor``, so neither has over (2 - floor) / floor as many words.
+    """
+    share = least / (2 - least)
+    numbered = F.transform("w", lambda x, i: F.concat_ws("#", x, F.size(F.filter(F.slice("w", F.lit(1), i), lambda y: y == x))))
+    rows = titles.select("authors", "id", numbered.alias("m"), F.array_distinct("c").alias("c"))
+    words = rows.select("authors", "id", F.size("m").alias("n"), F.explode("m").alias("word"))
+    heads = _ranked(words, f"n - cast(ceil({share} * n - 1e-9) as int) + 1")
+    x, y = (heads.select("authors", "word", F.col("id").alias(s), F.col("n").alias(f"n_{s}")) for s in "ab")
+    one = x.join(y, ["authors", "word"]).where((F.col("a") < F.col("b")) & (F.least("n_a", "n_b") >= share * F.greatest("n_a", "n_b") - 1e-9)).select("authors", "a", "b")
+    content = rows.select("authors", "id", F.size("c").alias("n"), F.explode("c").alias("word"))
+    probe = _ranked(content, f"n - cast(ceil({least} * n - 1e-9) as int) + 1")
+    met = probe.join(content.select("authors", "word", F.col("id").alias("other"), F.col("n").alias("m")), ["authors", "word"]).where("id <> other and n <= m")
+    two = met.select("authors", F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b"))
+    pairs = one.unionByName(two).distinct()
+    sides = [rows.select("authors", F.col("id").alias(s), F.col("m").alias(f"m_{s}"), F.col("c").alias(f"c_{s}")) for s in "ab"]
+    both = pairs.join(sides[0], ["authors", "a"]).join(sides[1], ["authors", "b"])
+    most = 2 * F.size(F.array_intersect("m_a", "m_b")) / (F.size("m_a") + F.size("m_b"))
+    over = F.size(F.array_intersect("c_a", "c_b")) / F.least(F.size("c_a"), F.size("c_b"))
+    return both.where((most >= least - 1e-9) | ((most >= floor - 1e-9) & (over >= least - 1e-9))).select("a", "b")
+
+
 def fuzzy_pairs(papers: DataFrame, ratio, least: float) -> DataFrame:
     """Pairs (a, b, score) of titles of one author set that are ``least`` similar and share no identifier.
 
     ``papers``: id, title, authors (one value a set), doi.  Equal titles of a set are one row, under their
-    least id, and pair with it at 1.  Others meet where they share a word, which similar ones do.
+    least id, and pair with it at 1.  Others are compared in full only where ``likely_pairs`` lets them.
     """
     w = Window.partitionBy("authors", "title", "doi")
     lead = papers.withColumn("lead", F.min("id").over(w))
     equal = lead.where("id <> lead and doi is null").select(F.col("lead").alias("a"), F.col("id").alias("b"), F.lit(1.0).alias("score"))
     leads = lead.where("id = lead").drop("lead")
-    each = leads.select("authors", "id", F.explode(F.array_distinct(T.words(T.fuzzy_form(F.col("title"))))).alias("word"))
-    met = each.withColumnRenamed("id", "a").join(each.withColumnRenamed("id", "b"), ["authors", "word"]).where("a < b").select("a", "b").distinct()
+    met = likely_pairs(leads.select("authors", "id", T.words(T.fuzzy_form(F.col("title"))).alias("w"), T.content_words(F.col("title")).alias("c")), least)
     left, right = (leads.select(F.col("id").alias(s), F.col("title").alias(f"title_{s}"), F.col("doi").alias(f"doi_{s}")) for s in "ab")
     pairs = met.join(left, "a").join(right, "b").where("not coalesce(doi_a = doi_b, false)")
     scored = pairs.withColumn("seq", ratio(T.words(T.fuzzy_form(F.col("title_a"))), T.words(T.fuzzy_form(F.col("title_b")))))

@@ -42,12 +42,13 @@ def _(t):
 
 @P.add("er_8_sorted_neighbours")
 def _(t):
-    """Neighbours in order of their normal form, of one beginning and nearly one word order."""
+    """Neighbours in order of their normal form, of one beginning and nearly one word order, that differ in no mark of another paper."""
     w = Window.partitionBy("p_brand").orderBy("form", "p_partkey")
-    forms = t("part").select("p_partkey", "p_brand", T.normalize_title(F.concat_ws(" ", "p_name", "p_type")).alias("form"))
+    marks = F.when(F.col("p_partkey") % 5 == 1, " Part").when(F.col("p_partkey") % 5 == 2, " 2").when(F.col("p_partkey") % 5 == 3, " abroad").otherwise("")
+    forms = t("part").select("p_partkey", "p_brand", T.normalize_title(F.concat(F.concat_ws(" ", "p_name", "p_type", F.lit("in long run models of trade and of growth in open areas")), marks)).alias("form"))
     pairs = forms.select(F.col("p_partkey").alias("b"), F.lag("p_partkey").over(w).alias("a"), F.col("form").alias("y"), F.lag("form").over(w).alias("x"))
     near = pairs.where(F.left("x", F.lit(20)) == F.left("y", F.lit(20))).withColumn("score", U.sequence_ratio(T.words(F.col("x")), T.words(F.col("y"))))
-    return near.where("score >= 0.92").select("a", "b", "score")
+    return near.where("score >= 0.92").where(~T.distinct_markers(F.col("x"), F.col("y"))).select("a", "b", "score")
 
 
 @P.add("win_3_greedy_best_match")

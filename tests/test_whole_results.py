@@ -166,14 +166,16 @@ def test_title_similarity(spark):
 
 def test_sorted_neighbours(spark):
     brands, want = {}, []
+    marks = ["", " Part", " 2", " abroad", ""]
     for p in table("part"):
-        brands.setdefault(p["p_brand"], []).append((" ".join(words_of_title(f"{p['p_name']} {p['p_type']}")), p["p_partkey"]))
+        title = f"{p['p_name']} {p['p_type']} in long run models of trade and of growth in open areas{marks[p['p_partkey'] % 5]}"
+        brands.setdefault(p["p_brand"], []).append((" ".join(words_of_title(title)), p["p_partkey"]))
     for forms in brands.values():
         forms.sort()
         for (x, a), (y, b) in zip(forms, forms[1:], strict=False):
-            if x[:20] == y[:20] and ratio(x.split(), y.split()) >= 0.92:
+            if x[:20] == y[:20] and ratio(x.split(), y.split()) >= 0.92 and not {"part", "2"} & (set(x.split()) ^ set(y.split())):
                 want.append((a, b, ratio(x.split(), y.split())))
-    assert result(spark, "er_8_sorted_neighbours", "a", "b", "score") == sorted(want)
+    assert want and result(spark, "er_8_sorted_neighbours", "a", "b", "score") == sorted(want)
 
 
 def test_segments(spark):
