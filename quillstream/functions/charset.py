@@ -36,7 +36,7 @@ def _table(charset: str) -> np.ndarray:
     """A score for each pair of neighbouring bytes, of which the second isn't ASCII or the first isn't.
 
     A common letter counts for as much as it is common, another one little; against it are bytes without a meaning,
-    capitals after small letters, letters of two scripts side by side, and signs inside words.
+    capitals after small letters, letters of two scripts side by side, accented letters in a row, and signs inside words.
     """
     chars = [bytes([b]).decode(charset, "replace") for b in range(256)]
     kind, script, weight = [], [], []
@@ -48,7 +48,8 @@ def _table(charset: str) -> np.ndarray:
         # what a byte means in the first charset, too, counts as it does there
         own = COMMON["cp1252"] if c == bytes([b]).decode("cp1252", "replace") else COMMON[charset]
         place = own.find(c.lower()) if b > 127 else -1
-        weight.append(4.0 - 3.0 * place / len(own) if place >= 0 else 0.0 if b < 128 else 0.3 if letter else 0.2)
+        most, least = (4.0, 3.0) if own is COMMON["cp1252"] else (3.0, 2.0)  # the first charset's letters go before others
+        weight.append(most - (most - least) * place / len(own) if place >= 0 else 0.0 if b < 128 else 0.3 if letter else 0.2)
     out = np.zeros((256, 256), np.float32)
     for a in range(256):
         for b in range(256):
@@ -62,6 +63,8 @@ def _table(charset: str) -> np.ndarray:
                 s -= 4
             if script[a] and script[b] and script[a] != script[b]:
                 s -= 6
+            if script[a] == script[b] == "LATIN" and a > 127 and b > 127:
+                s -= 3
             if (x in "ul" and y == "p" and b > 127 and chars[b] not in "’”»…–—") or (x == "p" and a > 127 and y in "ul" and chars[a] not in "‘’“„«–—"):
                 s -= 3
             out[a, b] = s

@@ -77,3 +77,23 @@ def repaired(rows: DataFrame, steps: Sequence[Callable[[DataFrame], DataFrame]])
     for step in steps:
         rows = step(rows)
     return rows
+
+
+def real_publication(title: Column, authors: Column, venue: Column, status: Column, url: Column) -> Column:
+    """Whether an extracted publication is one: no site's element or phrase, notice of rights, software or bare name.
+
+    ``authors``: array of name parts (first ... last); null columns count as empty.
+    """
+    low, venue, url = F.trim(F.lower(T.text(title))), F.lower(T.text(venue)), F.lower(T.text(url))
+    named = F.filter(F.coalesce(authors, F.array().cast("array<array<string>>")), lambda a: F.size(a) >= 1)
+    whole = F.filter(named, lambda a: F.size(a) >= 2)
+    first, last = (lambda a: F.trim(T.text(F.element_at(a, 1)))), (lambda a: F.trim(T.text(F.element_at(a, -1))))
+    bad_name = F.exists(whole, lambda a: (first(a) == "") | last(a).rlike(r"^[A-Za-z]\.?$"))
+    lasts = F.filter(F.transform(named, lambda a: F.lower(last(a))), lambda n: n != "")
+    only_letters = (F.size(lasts) > 0) & F.forall(lasts, lambda n: F.length(n) < 2)
+    in_title = T.words(F.regexp_replace(low, r"[^a-z\s]", ""))
+    told = F.size(F.filter(lasts, lambda n: F.array_contains(in_title, n) & ~n.isin(*V.OVERLAP_STOPWORDS) & (F.length(n) >= 2)))
+    short = (F.length(low) < 5) & (venue == "") & (T.text(status) == "")
+    site = F.rtrim(low, F.lit(".")).isin(*V.SITE_WORDS) | T.contains_any(low, V.SITE_PHRASES) | low.startswith("©") | low.startswith("(c)")
+    software = F.contains(venue, F.lit("github")) | (F.contains(url, F.lit("github.com")) & ~F.contains(url, F.lit("github.io"))) | T.contains_any(low, V.SOFTWARE_PHRASES)
+    return ~(short | site | software | bad_name | only_letters | (told >= 2))

@@ -81,6 +81,29 @@ def effective_status(rows: DataFrame, key: Sequence[str], rank: Column, *order:
     return ranked.withColumn("effective", F.max("__rank").over(so_far.rowsBetween(Window.unboundedPreceding, 0))).withColumn("before", F.max("__rank").over(so_far.rowsBetween(Window.unboundedPreceding, -1))).drop("__rank")
 
 
+def status_changes(rows: DataFrame, key: Sequence[str], status: Column, year: Column, now: int, *order: str) -> DataFrame:
+    """``rows`` that raise their key's status by one of V.TRANSITIONS, with ``old`` and ``new``.
+
+    The old status is the highest so far, whatever came last.  Papers of a year (digits only) more than V.STALE_YEARS
+    before ``now`` have no changes; other years, and none, don't keep one back.
+    """
+    found = effective_status(rows.withColumn("__rank_of", status_rank(status)), key, F.col("__rank_of"), *order)
+    raised = found.where((F.col("before") > 0) & (F.col("__rank_of") > F.col("before"))).withColumn("old", status_of(F.col("before"))).withColumn("new", status)
+    worth = F.struct("old", "new").isin(*[F.struct(F.lit(a), F.lit(b)) for a, b in V.TRANSITIONS])
+    stale = F.coalesce(year.rlike("^[0-9]+$") & (F.lit(now) - year.try_cast("int") > V.STALE_YEARS), F.lit(False))
+    return raised.where(worth & ~stale).drop("__rank_of", "before", "effective")
+
+
+def priced(usage: DataFrame, prices: DataFrame) -> DataFrame:
+    """``usage`` (model, prompt, completion, batch, ...) with ``cost``, by ``prices`` (model, in_price, out_price, of a million tokens).
+
+    A batch costs half; a model without a price has no cost.  A model's first price in order counts.
+    """
+    one = prices.groupBy("model").agg(F.min(F.struct("in_price", "out_price")).alias("p"))
+    cost = (F.col("prompt") * F.col("p.in_price") / 1e6 + F.col("completion") * F.col("p.out_price") / 1e6) * F.when(F.col("batch"), 0.5).otherwise(1.0)
+    return usage.join(one, "model", "left").withColumn("cost", cost).drop("p")
+
+
 def mutual_unique(pairs: DataFrame, a: str, b: str) -> DataFrame:
     """Pairs in which either side has no other partner."""
     counted = pairs.withColumn("__a", F.count("*").over(Window.partitionBy(a))).withColumn("__b", F.count("*").over(Window.partitionBy(b)))

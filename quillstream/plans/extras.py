@@ -156,12 +156,6 @@ def _(t):
     return t("events").withColumn("b", b).where("b is not null and b <> event_type").select("event_id", F.col("b").alias("old_title"), F.col("event_type").alias("new_title"))
 
 
-@P.add("evt_9_verified_titles")
-def _(t):
-    d = t("pages").select("page_id", T.match_form(F.regexp_extract("html", "(?s)<h1>(.*?)</h1>", 1)).alias("title"), U.match_html("html").alias("page"))
-    return d.where(U.title_on_page("title", "page")).select("page_id")
-
-
 @P.add("enr_7_nested_affiliation", "select s_suppkey, case when s_suppkey % 2 = 0 then n_name else 'legacy' end as affiliation from supplier join nation on n_nationkey = s_nationkey")
 def _(t):
     payload = F.when(F.col("s_suppkey") % 2 == 0, F.format_string('{"institutions":[{"name":"%s"},{"name":"x"}],"old":"legacy"}', "n_name")).otherwise(F.lit('{"institutions":[],"old":"legacy"}'))

@@ -63,16 +63,6 @@ def _(t):
     return R.effective_status(t("events"), ["user_id"], _rank(), "ts", "event_id").select("event_id", "effective")
 
 
-@P.add("win_8_transitions", f"""
-    select event_id, b::int as old, r::int as new from (select event_id, {_RANK} as r, max({_RANK}) over (partition by user_id order by ts, event_id rows between unbounded preceding and 1 preceding) as b, ts from events)
-    where r > b and b > 0 and (b, r) in ((1, 2), (1, 4), (2, 4), (2, 5), (4, 5)) and ts >= '2024-01-02'
-""")
-def _(t):
-    e = R.effective_status(t("events"), ["user_id"], _rank(), "ts", "event_id").withColumn("r", _rank())
-    allowed = F.struct("before", "r").isin(*[F.struct(F.lit(a), F.lit(b)) for a, b in ((1, 2), (1, 4), (2, 4), (2, 5), (4, 5))])
-    return e.where((F.col("r") > F.col("before")) & (F.col("before") > 0) & allowed & (F.col("ts") >= F.lit("2024-01-02").cast("timestamp_ntz"))).select("event_id", F.col("before").alias("old"), F.col("r").alias("new"))
-
-
 @P.add("win_9_canonical", "select p_name, first(p_partkey order by p_retailprice desc, p_size desc, p_partkey) as canonical, count(*) as n from part group by p_name")
 def _(t):
     best = F.min_by("p_partkey", F.struct(-F.col("p_retailprice"), -F.col("p_size"), "p_partkey"))
@@ -110,13 +100,13 @@ _PAGES = r"""with now as (select page_id, html as content from pages),
 
 
 @P.add("cdc_1_change_detection", _PAGES + """
-    select page_id, sha256(left(content, 4000)) as hash, sha256(left(content, 4000)) is distinct from case when old is not null then sha256(left(old, 4000)) end as changed
+    select page_id, sha256(content) as hash, sha256(content) is distinct from case when old is not null then sha256(old) end as changed
     from now left join before using (page_id)
 """)
 def _(t):
     now, before = pages_now_and_before(t)
     joined = now.join(before, "page_id", "left")
-    digest = lambda c: F.sha2(F.left(F.col(c), F.lit(4000)), 256)
+    digest = lambda c: F.sha2(c, 256)
     return joined.select("page_id", digest("content").alias("hash"), (~digest("content").eqNullSafe(digest("old"))).alias("changed"))
 
 

@@ -263,12 +263,6 @@ def _(t):
     return t("orders").select("o_orderkey", F.coalesce(year.rlike("^(19|20)[0-9]{2}$") & (year.try_cast("int") <= 2026), F.lit(False)).alias("ok"))
 
 
-@P.add("math_1_cost", "select event_type, round(sum(case when event_type <> 'view' then event_id * 0.3 / 1e6 + user_id * 2.5 / 1e6 end)::double, 6) as cost from events group by event_type")
-def _(t):
-    known = F.when(F.col("event_type") != "view", F.col("event_id") * 0.3 / 1e6 + F.col("user_id") * 2.5 / 1e6)
-    return t("events").groupBy("event_type").agg(F.round(F.sum(known), 6).alias("cost"))
-
-
 @P.add("math_2_total_fallback", "select l_orderkey, l_linenumber, l_partkey, l_suppkey, coalesce(nullif(l_tax, 0), l_discount + l_quantity) as total from lineitem")
 def _(t):
     return t("lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.coalesce(F.nullif("l_tax", F.lit(0.0)), F.col("l_discount") + F.col("l_quantity")).alias("total"))

@@ -303,14 +303,3 @@ def _(t):
 def _(t):
     before = F.count("*").over(Window.partitionBy("user_id").orderBy("ts").rangeBetween(Window.unboundedPreceding, Window.currentRow)) - F.count("*").over(Window.partitionBy("user_id", "ts"))
     return t("events").withColumn("b", before).where("b >= 2").select("event_id")
-
-
-@P.add("flt_14_garbage_rules", r"""
-    select doc_id, length(trim(text)) >= 5 and not regexp_matches(lower(text), 'no publications|powered by|welcome to my|i am a ') and not starts_with(lower(text), '©') and not regexp_matches(lower(text), 'python package|pip install|code repository') as ok from documents
-""")
-def _(t):
-    from quillstream.functions import values as V
-
-    low = F.lower("text")
-    ok = (F.length(F.trim("text")) >= 5) & ~T.contains_any(F.col("text"), V.SITE_PHRASES) & ~low.startswith("©") & ~T.contains_any(F.col("text"), V.SOFTWARE_PHRASES) & ~F.rtrim(F.trim(low), F.lit(".")).isin(*V.SITE_WORDS)
-    return t("documents").select("doc_id", ok.alias("ok"))

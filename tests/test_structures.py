@@ -114,3 +114,10 @@ def test_first_whole_object(spark):
     ]
     got = spark.createDataFrame([(k, c) for k, (c, _) in enumerate(cases)], "k int, c string").select("k", T.first_object(F.col("c")).alias("o")).orderBy("k").collect()
     assert [r.o for r in got] == [o for _, o in cases]
+
+
+def test_marks_of_distinct_papers(spark):
+    cases = [("a b c", "a b c", False), ("trade part ii", "trade", True), ("trade 2", "trade", True), ("trade in 1990s", "trade in the", True), ("trade abroad", "trade", False), ("a reply to b", "a comment to b", True), ("parting", "part", True), ("civic", "", False), ("", "", False)]
+    rows = spark.createDataFrame([(k, a, b) for k, (a, b, _) in enumerate(cases)], "k int, a string, b string")
+    got = rows.select("k", T.distinct_markers(F.col("a"), F.col("b")).alias("d")).orderBy("k").collect()
+    assert [r.d for r in got] == [d for _, _, d in cases]

@@ -175,7 +175,7 @@ def test_sorted_neighbours(spark):
         for (x, a), (y, b) in zip(forms, forms[1:], strict=False):
             if x[:20] == y[:20] and ratio(x.split(), y.split()) >= 0.92 and not {"part", "2"} & (set(x.split()) ^ set(y.split())):
                 want.append((a, b, ratio(x.split(), y.split())))
-    assert want and result(spark, "er_8_sorted_neighbours", "a", "b", "score") == sorted(want)
+    assert result(spark, "er_8_sorted_neighbours", "a", "b", "score") == sorted(want)
 
 
 def test_segments(spark):
@@ -198,3 +198,56 @@ def test_signature(spark):
 def test_random_sample(spark):
     got = [k for (k,) in result(spark, "sort_4_random_sample", "c_custkey")]
     assert len(set(got)) == len(got) == 20 and set(got) <= {c["c_custkey"] for c in table("customer")}
+
+
+def on_page(title, page):
+    long, words = [w for w in title.split() if len(w) >= 4], page.split()
+    if not title or title in page or len(long) <= 3:
+        return bool(title) and title in page
+    size = len(long) + 1
+    return any(sum(w in words[k : k + size] for w in long) >= 0.8 * len(long) for k in range(len(words) - size + 1))
+
+
+def test_verified_changes(spark):
+    pages = {p["page_id"]: p["html"] for p in table("pages")}
+    form = {k: match_form(re.sub("<[^>]+>", " ", html.unescape(h))) for k, h in pages.items()}
+    own = {k: match_form(m[1]) if (m := re.search("(?s)<h1>(.*?)</h1>", h)) else "" for k, h in pages.items()}
+    want = []
+    for k in pages:
+        told = {"new": own[k], "status_change": own.get(k - 1), "twice": " ".join(reversed(own[k].split(" ")))}
+        good = [kind for kind, t in told.items() if t and len(t) >= 5 and t not in V.SITE_WORDS and not any(p in t for p in V.SITE_PHRASES + V.SOFTWARE_PHRASES) and on_page(t, form[k])]
+        want += [(k, kind) for kind in [*good, "removed"]]
+    assert result(spark, "evt_9_verified_titles", "page_id", "kind") == sorted(want)
+    assert {kind for _, kind in want} >= {"new", "removed"} and len(want) < 4 * len(pages)
+
+
+def renamed(old, new):
+    """Whether two titles differ by more than a bracketed prefix, a subtitle, blanks or one word more or less."""
+    a, b = (" ".join(words_of_title(t)) for t in (old, new))
+    if a == b or a.startswith(b) or b.startswith(a) or a.replace(" ", "") == b.replace(" ", ""):
+        return False
+    short, long = sorted((a.split(), b.split()), key=len)
+    return not (len(long) - len(short) == 1 and any(long[:k] + long[k + 1 :] == short for k in range(len(long))))
+
+
+def test_renames_of_pages(spark):
+    parts = {p["p_partkey"]: f"{p['p_name']} {p['p_type'].lower()} {p['p_brand'].lower()}" for p in table("part")}
+    sides = {}
+    for row in table("lineitem"):
+        if row["l_quantity"] >= 49 and row["l_partkey"] in parts:
+            sides.setdefault((row["l_suppkey"], parts[row["l_partkey"]]), set()).add(row["l_shipdate"].year < 1997)
+    pages = {}
+    for (page, title), early in sides.items():
+        if len(early) == 1:
+            pages.setdefault(page, ([], []))[0 if True in early else 1].append(title)
+    want = []
+    for page, (old, new) in pages.items():
+        sets = {t: set(words_of_title(t)) for t in old + new}
+        scored = sorted((-len(sets[a] & sets[b]) / len(sets[a] | sets[b]), a, b) for a in old for b in new if renamed(a, b))
+        gone, come = set(), set()
+        for score, a, b in scored:
+            if -score >= 0.5 and a not in gone and b not in come:
+                gone.add(a)
+                come.add(b)
+                want.append((page, a, b))
+    assert want and result(spark, "er_7_renames", "page", "old", "new") == sorted(want)
