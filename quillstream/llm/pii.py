@@ -144,10 +144,40 @@ _NUMERAL = rf"(?:{'|'.join(NUMERALS)})"
 _SPELLED = re.compile(rf"(?i)(?<![^\W_])(?:plus[\s-]+)?(?:(?:{_NUMERAL}|[0-9]+)[\s,-]+){{2,}}(?:{_NUMERAL}|[0-9]+)(?![^\W_])")
 _BRACKETED = re.compile(r"(?i)[\[({<]\s*(?:at|@|dot|\.|punkt|arroba)\s*[\])}>]")
 _LOOSE_AT = re.compile(r"\s@|@\s")
-#: Last labels that a bare "at ... dot ..." must end with, as both are words of their own.
+#: Last labels that need no test where an address is written out in bare words.
 TOP_LEVEL = ("com", "net", "org", "edu", "gov", "mil", "int", "info", "biz", "io", "co", "dev", "app", "ai", "me", "tv", "eu", "uk", "us", "ca", "au", "nz", "de", "fr", "es", "it", "nl", "be", "ch", "at", "se", "no", "dk", "fi", "pl", "cz", "pt", "ie", "in", "cn", "jp", "kr", "br", "mx", "ru", "example", "test")
-_TOP = "|".join(TOP_LEVEL)
-_AT = re.compile(rf"(?i)(?<=[\w%+.-])\s*(?:[\[({{<]\s*(?:at|@|arroba)\s*[\])}}>]|\s@|@(?=\s)|\sat(?=(?:\s+[\w-]+\s+dot)+\s+(?:{_TOP})(?![^\W_])))\s*(?=\w)")
+#: Words of prose, which are no name, host or last label beside a bare "at" or "dot".
+PROSE = frozenset("a an the this that these those each every any some one its his her my your our their and or of on in at to by for with from as is are was were be been it he she we they you i us me him them more info look looks looked looking see visit arrive meet met aim available live stay work works worked sold hosted found held here there over up down out".split())
+_AT = re.compile(r"""(?i)(?<=[\w%+.-])\s*(?:[\[({<]\s*(?:at|@|arroba)\s*[\])}>]|\s@|@(?=\s)|\s(?P<bare>at)(?=(?P<host>(?:\s+[\w-]+\s+dot)+)\s+(?P<top>[^\W\d_]{2,24})(?![^\W_]))|\s(?P<plain>at)(?=\s+(?:[a-z0-9-]+\.)+[a-z]{2,24}(?![\w@-])))\s*(?=\w)""")
+_HOSTED = re.compile(r"(?i)at\s+((?:[a-z0-9-]+\.)+[a-z]{2,24})(?![\w@-])")
+_NAME = re.compile(r"(?:^|[\s:<(\[\"',;])([\w.%+-]+)$")
+_ASKS = re.compile(r"(?i)\b(?:e-?mails?|mail|contact|write|reach|address|kontakt|correo|courriel)\b")
+
+
+def _at_sign(m: re.Match) -> str | None:
+    """Whether a match of ``_AT`` stands for the sign: brackets always; bare words where what is around them is no prose.
+
+    "name at host dot label": the host is no word of prose, and the label is a listed one or neither it nor the name is.
+    "name at host.label": the name isn't one, and either nothing else is on the line or before it something asks for an address.
+    """
+    if m["bare"] is None and m["plain"] is None:
+        return "@"
+    name = _NAME.search(m.string, max(0, m.start() - 128), m.start())
+    if name is None:
+        return None
+    if m["bare"]:
+        host = m["host"].split()[0].lower()
+        good = host not in PROSE and (m["top"].lower() in TOP_LEVEL or not PROSE & {name[1].lower(), m["top"].lower()})
+        return "@" if good else None
+    if name[1].lower() in PROSE:
+        return None
+    line = m.string.rfind("\n", 0, name.start(1)) + 1
+    end = _HOSTED.search(m.string, m.start("plain")).end()
+    rest = m.string.find("\n", end)
+    alone = not m.string[line : name.start(1)].strip(" \t:<([\"',;-") and not m.string[end : rest if rest >= 0 else None].strip(" \t>)]\"',;.")
+    return "@" if alone or _ASKS.search(m.string, max(0, name.start(1) - 60), name.start(1)) else None
+
+
 _DOT = re.compile(r"(?i)(?<=[\w-])\s*(?:[\[({<]\s*(?:dot|\.|punkt)\s*[\])}>]|\sdot(?=\s))\s*(?=\w)")
 _DOT_BLANK = re.compile(r"(?<=@)([\w-]+(?:\.[\w-]+)*)\s+\.\s*(?=\w)")
 
@@ -174,7 +204,7 @@ def normalised(window: str, offset: int = 0) -> Tape:
     # one character at a time, so that each keeps its own source
     tape.rewrite(_FOREIGN, _unfold)
     tape.rewrite(_SPELLED, _figures)
-    tape.rewrite(_AT, lambda _: "@")
+    tape.rewrite(_AT, _at_sign)
     if "@" in tape.text or _DIGIT.search(tape.text):
         tape.rewrite(_DOT, lambda _: ".")
         tape.rewrite(_DOT_BLANK, lambda m: m[1] + ".")
@@ -191,7 +221,8 @@ def _word_starts(word: str, low: str) -> Iterator[int]:
 
 
 def windows(text: str) -> list[Span]:
-    """Stretches around disguises, REACH characters each way and on to white space, joined where they meet."""
+    """Stretches around disguises, joined where they meet: REACH characters each way, on to white space, and on through
+    digits and what may be between them, so that no number is cut."""
     marks = [m.span() for m in _FOREIGN_RUN.finditer(text)] if not text.isascii() else []
     low = text.lower()
     if len(low) != len(text):
@@ -201,13 +232,20 @@ def windows(text: str) -> list[Span]:
     if "@" in text:
         marks += [m.span() for m in _LOOSE_AT.finditer(text)]
     marks += [(at, at + 3) for at in _word_starts("dot", low)]
+    if "." in text:
+        marks += [m.span() for at in _word_starts("at", low) if (m := _HOSTED.match(text, at))]
     near: list[Span] = []
     for at in sorted(at for word in NUMERALS for at in _word_starts(word, low)):
-        if near and at <= near[-1][1] + REACH:
+        if near and (at <= near[-1][1] + REACH or _BETWEEN.match(text, near[-1][1]).end() >= at):
             near[-1] = (near[-1][0], at)
         else:
             near.append((at, at))
+    done = 0
     for a, b in near:
+        # digits and what may be between them belong to a spelled number, however far they go
+        while a > done and text[a - 1] in _LOOSE:
+            a -= 1
+        b = done = max(b, _BETWEEN.match(text, b).end())
         marks += [m.span() for m in _SPELLED.finditer(text, max(0, a - REACH), b + REACH) if not _PLAIN_NUMBERS.fullmatch(m[0])]
     joined: list[Span] = []
     for a, b in sorted(marks):
@@ -215,9 +253,9 @@ def windows(text: str) -> list[Span]:
         done = joined[-1][1] if joined else 0
         if b <= done:
             continue
-        while a > done and not text[a - 1].isspace():
+        while a > done and (not text[a - 1].isspace() or text[a - 1] in _LOOSE and text[a] in _LOOSE):
             a -= 1
-        while b < len(text) and not text[b].isspace():
+        while b < len(text) and (not text[b].isspace() or text[b] in _LOOSE and text[b - 1] in _LOOSE):
             b += 1
         if joined and a <= joined[-1][1]:
             joined[-1] = (joined[-1][0], max(b, joined[-1][1]))
@@ -227,6 +265,9 @@ def windows(text: str) -> list[Span]:
 
 
 _PLAIN_NUMBERS = re.compile(r"[\s,0-9-]*")
+#: A spelled digit's letters and all that may be between it and the next one; characters of numbers.
+_BETWEEN = re.compile(r"[A-Za-z]*[\s,0-9-]*")
+_LOOSE = frozenset(" \t\n\r\f\v,.()+-0123456789")
 
 
 def spans(text: str, base: dict[str, list[Span]] | None = None) -> dict[str, list[Span]]:
