@@ -70,3 +70,86 @@ def same_site(a: Column, b: Column) -> Column:
     """Hosts equal but for a leading www."""
     cut = lambda h: F.regexp_replace(h, "^www[.]", "")
     return cut(host(a)) == cut(host(b))
+
+
+_PARTS = r"^(?s)(?:([A-Za-z][A-Za-z0-9+.-]*):)?(?://([^/?#]*))?([^?#]*)(\?[^#]*)?(#.*)?$"
+
+
+def _parts(c: Column) -> Column:
+    """A reference's scheme, whether it has an authority, authority, path, query and fragment; empty ones without their mark."""
+    scheme, host, path_, query, fragment = (F.regexp_extract(c, _PARTS, k) for k in range(1, 6))
+    return F.struct(
+        c.alias("whole"), F.lower(scheme).alias("scheme"), c.rlike(r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//").alias("has_host"), host.alias("host"), path_.alias("path"),
+        F.when(query == "?", "").otherwise(query).alias("query"), F.when(fragment == "#", "").otherwise(fragment).alias("fragment"),
+    )
+
+
+def without_dots(segments: Column) -> Column:
+    """A path's segments, resolved: a dot is left out, two dots take the one before away."""
+
+    def step(done, s):
+        return F.when(s == "..", F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0)))).when(s == ".", done).otherwise(F.concat(done, F.array(s)))
+
+    out = F.aggregate(segments, F.array().cast("array<string>"), step)
+    return F.when(F.element_at(segments, -1).isin(".", ".."), F.concat(out, F.array(F.lit("")))).otherwise(out)
+
+
+def absolute(base: Column, ref: Column) -> Column:
+    """A reference as it is meant on the page at ``base``; those of another scheme stay, an empty one is the page."""
+    pair = F.array(F.struct(_parts(base).alias("b"), _parts(ref).alias("r")))
+
+    def joined(p):
+        b, r = p["b"], p["r"]
+        up = F.split(b["path"], "/")
+        up = F.when(F.element_at(up, -1) != "", F.slice(up, F.lit(1), F.size(up) - 1)).otherwise(up)
+        here = F.split(r["path"], "/")
+        both = F.concat(up, here)
+        # blank steps inside are left out, as are those that joining would double
+        inner = F.filter(F.slice(both, F.lit(2), F.greatest(F.size(both) - 2, F.lit(0))), lambda s: s != "")
+        merged = F.when(F.size(both) > 2, F.concat(F.slice(both, 1, 1), inner, F.slice(both, -1, 1))).otherwise(both)
+        resolved = F.array_join(without_dots(F.when(r["path"].startswith("/"), here).otherwise(merged)), "/")
+        path_ = F.when(r["has_host"], r["path"]).when(r["path"] == "", b["path"]).otherwise(F.when(resolved == "", "/").otherwise(resolved))
+        path_ = F.when((path_ != "") & ~path_.startswith("/"), F.concat(F.lit("/"), path_)).otherwise(path_)
+        query = F.when((r["path"] == "") & ~r["has_host"] & (r["query"] == ""), b["query"]).otherwise(r["query"])
+        host_ = F.when(r["has_host"], r["host"]).otherwise(b["host"])
+        own = F.concat(b["scheme"], F.lit("://"), host_, path_, query, r["fragment"])
+        return F.when(r["whole"] == "", b["whole"]).when((r["scheme"] != "") & (r["scheme"] != b["scheme"]), r["whole"]).otherwise(own)
+
+    return F.transform(pair, joined)[0]
+
+
+def steps(url: Column) -> Column:
+    """The parts of a path that aren't blank."""
+    return F.filter(F.split(path(url), "/"), lambda s: s != "")
+
+
+def site(url: Column) -> Column:
+    """(host, prefix): the host without www; on hosts of many sites also the two steps that name the site, if there are two."""
+    h = F.regexp_replace(F.coalesce(host(url), F.lit("")), "^www[.]", "")
+    many, s = h.isin(*V.TENANT_HOSTS), steps(url)
+    return F.struct(h.alias("host"), F.when(many & (F.size(s) >= 2), F.concat(F.lit("/"), F.array_join(F.slice(s, 1, 2), "/"))).otherwise("").alias("prefix"))
+
+
+def on_site(base: Column, url: Column) -> Column:
+    """Whether a URL is on the site of ``base``."""
+    a, b, p = site(base), site(url), F.lower(path(url))
+    prefix = F.lower(a["prefix"])
+    inside = p.startswith(F.concat(prefix, F.lit("/"))) | (F.rtrim(p, F.lit("/")) == prefix)
+    same = F.when((a["prefix"] != "") & (b["prefix"] != ""), prefix == F.lower(b["prefix"])).when(a["prefix"] != "", inside).otherwise(b["prefix"] == "")
+    return (a["host"] == b["host"]) & same
+
+
+def near_page(base: Column, url: Column) -> Column:
+    """Whether a URL is in the context of ``base``: anywhere on a person's own site, else below it or beside it."""
+    h, s, c = F.regexp_replace(F.coalesce(host(base), F.lit("")), "^www[.]", ""), steps(base), steps(url)
+    institution = reduce(lambda x, y: x | y, (F.contains(h, F.lit(m)) for m in V.INSTITUTION_MARKS))
+    own = F.when(institution, F.contains(path(base), F.lit("/~"))).otherwise(F.size(s) <= 1)
+    b, p = F.rtrim(path(base), F.lit("/")), F.rtrim(path(url), F.lit("/"))
+    beside = (F.size(s) > 1) & (F.slice(c, F.lit(1), F.greatest(F.size(s) - 1, F.lit(1))) == F.slice(s, F.lit(1), F.greatest(F.size(s) - 1, F.lit(1))))
+    return own | ((F.size(s) > 0) & (p.startswith(F.concat(b, F.lit("/"))) | (p == b) | beside))
+
+
+def research_page(url: Column, anchor: Column) -> Column:
+    """Whether a link leads to a page that lists papers: by its last step, or on a short path by its text; never to a file."""
+    p = path(url)
+    return ~p.rlike(V.FILE_ENDINGS) & (p.rlike(V.RESEARCH_LEAF) | ((F.size(steps(url)) <= 4) & F.trim(anchor).rlike(V.RESEARCH_ANCHOR)))

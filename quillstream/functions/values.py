@@ -59,6 +59,15 @@ TRUSTED_DOMAINS = (
 SHARED_HOSTS = (
     "sites.google.com", "github.io", "wordpress.com", "weebly.com", "wixsite.com", "blogspot.com", "squarespace.com", "netlify.app", "vercel.app", "github.com",
 )
+#: Hosts of many people's sites, and marks of an institution's host.
+TENANT_HOSTS = ("sites.google.com", "github.io", "wixsite.com", "wordpress.com", "weebly.com", "squarespace.com", "netlify.app", "vercel.app", "web.mit.edu", "campuspress.yale.edu")
+INSTITUTION_MARKS = (
+    ".edu", ".ac.uk", ".ac.at", ".ac.jp", ".ac.nz", ".ac.za", "university", "univ.", "uni-", ".uni.", "bundesbank", "ecb.europa", "bankofcanada", "newyorkfed", "chicagofed", "repec.org", "tse-fr.", "nber.org",
+)
+#: Pages that list papers, by the last step of their path or the text of a link; endings of files.
+RESEARCH_LEAF = r"(?i)/(?:research(?:[-_]?papers?)?|publications?|papers?|working[-_]?papers?|work[-_]?in[-_]?progress|selected[-_]?papers?|writings?)(?:\.html?)?/*$"
+RESEARCH_ANCHOR = r"(?i)^(?:research|publications?|papers?|working\s+papers?|work\s+in\s+progress|selected\s+papers?|my\s+(?:research|papers?|publications?)|research\s+(?:papers?|output|page)|published\s+(?:papers?|work))$"
+FILE_ENDINGS = r"(?i)\.(?:pdf|zip|gz|doc|docx|ps|bib|tex|csv|xlsx?|pptx?|png|jpg|jpeg|gif|svg)$"
 NON_ARTICLE_PATHS = ("/topics/", "/about/", "/help/", "/search", "/browse/", "/login", "/register", "/cart", "/account")
 REPOSITORY_HOSTS = ("repec.org", "econstor.eu", "cepr.org", "iza.org", "diw.de", "ifo.de", "cesifo-group.de")
 GENERIC_ANCHOR = (

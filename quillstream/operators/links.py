@@ -95,8 +95,8 @@ def _may_be_generic(text: str) -> bool:
     return len(" ".join(text.split())) <= 40 or text.lower().endswith(".pdf")
 
 
-def page_anchors(pages: DataFrame) -> DataFrame:
-    """(page, k, url, own, before, after, block): the web links of each page in order.
+def page_anchors(pages: DataFrame, web: bool = True) -> DataFrame:
+    """(page, k, url, own, before, after, block): the links of each page in order, with ``web`` those of full web addresses.
 
     own: the link's text; before, after: those of its neighbours among its siblings, null if there is none or
     if anything but text and inline elements is between; block: the text of the paragraph, list item or cell
@@ -112,7 +112,7 @@ def page_anchors(pages: DataFrame) -> DataFrame:
                 anchors = walk.finished()
                 text = lambda k, all=anchors: None if k is None else all[k]["own"]
                 for k, a in enumerate(anchors):
-                    if a["url"] and a["url"].startswith(("http://", "https://")):
+                    if a["url"] and (not web or a["url"].startswith(("http://", "https://"))):
                         out.append({"page": page, "k": k, "url": a["url"], "own": a["own"], "before": text(a["before"]), "after": text(a["after"]), "block": a["block"] if _may_be_generic(a["own"]) else None})
             yield pa.RecordBatch.from_pylist(out, schema=_ANCHORS)
 
@@ -162,6 +162,18 @@ def best_anchors(anchors: DataFrame, keys: list[str], order: str) -> DataFrame:
     return best.select(*keys, "b.title", "b.type")
 
 
+def research_links(pages: DataFrame) -> DataFrame:
+    """(page, to): the pages of a page's own site, in its context, that list papers, but for the page itself.
+
+    ``pages``: page, url, html.  Addresses go without query, fragment and closing slashes, each once a page.
+    """
+    found = page_anchors(pages, web=False).join(pages.select(F.col("page").cast("long").alias("page"), F.col("url").alias("base")), "page")
+    href = F.trim(F.col("url"))
+    links = found.where(~href.rlike("^(#|mailto:|tel:|javascript:)") & (href != "")).select("page", "base", "own", U.absolute(F.col("base"), href).alias("to"))
+    kept = links.where(U.on_site(F.col("base"), F.col("to")) & U.research_page(F.col("to"), F.col("own")) & U.near_page(F.col("base"), F.col("to")))
+    return kept.where(U.bare(F.col("to")) != U.bare(F.col("base"))).select("page", U.bare(F.col("to")).alias("to")).distinct()
+
+
 def shared_words(links: DataFrame, titles: DataFrame, least: float) -> DataFrame:
     """(link, paper, score): pairs of one owner by the words' rule of ``text.link_score``, of ``least`` or more.
 

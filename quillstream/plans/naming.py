@@ -127,3 +127,28 @@ def _(t):
     papers = t("part").select(k.alias("paper"), F.col("p_brand").alias("owner"), F.expr(TIER_TITLE_SQL).alias("title"), F.when(k % 4 == 1, doi).alias("doi"))
     links = t("part").select(k.alias("link"), F.col("p_brand").alias("owner"), F.expr(ANCHORS_SQL).alias("anchor"), F.when(k % 8 == 1, doi).alias("doi"))
     return I.link_tiers(links, papers)
+
+
+#: A page's address by its number's rest, with the marks of the links below that are its research pages.
+BASES = (("https://www.jane-doe.com/", "abdek"), ("https://econ.uni.edu/people/jd", "bde"), ("https://sites.google.com/view/jd/home", "bh"), ("https://econ.uni.edu/~jd/", "abdek"))
+#: Links, their texts, and where they lead from each of the addresses.
+TARGETS = {
+    "a": ("/research", "x", ("https://www.jane-doe.com/research", None, None, "https://econ.uni.edu/research")),
+    "b": ("papers.html", "x", ("https://www.jane-doe.com/papers.html", "https://econ.uni.edu/people/papers.html", "https://sites.google.com/view/jd/papers.html", "https://econ.uni.edu/~jd/papers.html")),
+    "c": ("https://other.org/research", "Research", ()),
+    "d": ("/people/jd/working-papers/", "wp", ("https://www.jane-doe.com/people/jd/working-papers", "https://econ.uni.edu/people/jd/working-papers", None, "https://econ.uni.edu/people/jd/working-papers")),
+    "e": ("/people/other/./research", "x", ("https://www.jane-doe.com/people/other/research", "https://econ.uni.edu/people/other/research", None, "https://econ.uni.edu/people/other/research")),
+    "f": ("#research", "Research", ()), "g": ("/research/paper.pdf", "Papers", ()), "h": ("https://sites.google.com/view/jd/publications", "x", (None, None, "https://sites.google.com/view/jd/publications", None)),
+    "i": ("https://sites.google.com/view/other/publications", "x", ()), "j": ("/a/b/c/d/e", "Papers", ()), "k": ("/cv", " My  Papers ", ("https://www.jane-doe.com/cv", None, None, "https://econ.uni.edu/cv")),
+    "l": ("/research?x=1#y", "Research", ()), "m": ("mailto:research@x.org", "Research", ()), "n": ("/news", "the news", ()), "o": ("", "Research", ()),
+}
+_TO_SQL = ", ".join("[" + ", ".join(f"'{TARGETS[m][2][k]}'" for m in marks) + "]" for k, (_, marks) in enumerate(BASES))
+
+
+@P.add("url_15_research_links", f"select page_id as page, unnest([{_TO_SQL}][page_id % {len(BASES)} + 1]) as to from pages")
+def _(t):
+    """Each page of the table at an address of its own kind, with the same links after its own html."""
+    k = (F.col("page_id") % len(BASES)).cast("int")
+    base = F.get(F.array(*(F.lit(b) for b, _ in BASES)), k)
+    own = F.concat(F.lit("<p><a href='"), base, F.lit("'>Research</a>"), *(F.lit(f'<li><a href="{href}">{text}</a></li>') for href, text, _ in TARGETS.values()))
+    return L.research_links(t("pages").select(F.col("page_id").alias("page"), base.alias("url"), own.alias("html")))

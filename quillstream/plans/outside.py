@@ -105,15 +105,6 @@ def _(t):
     return t("pages").select("page_id", F.sha2(T.normalize_text(U.page_text("html")), 256).alias("hash"))
 
 
-@P.add("url_15_research_links")
-def _(t):
-    """Links of a page to its own site whose last step or anchor speaks of research, each address once."""
-    links = t("pages").select("page_id", "url", F.explode(U.page_links("html")).alias("l")).withColumn("to", U.absolute_url("url", "l.url"))
-    own = links.where(W.host(F.col("to")) == W.host(F.col("url")))
-    speaks = F.lower(F.concat_ws(" ", F.element_at(F.split(W.path(F.col("to")), "/"), -1), "l.anchor")).rlike("research|paper|publication|work|the")
-    return own.where(speaks).select("page_id", F.lower(F.regexp_replace(F.regexp_replace("to", "[?#].*$", ""), "/+$", "")).alias("to")).distinct()
-
-
 @P.add("evt_4_routed_changes", """
     with c as (select *, ['new', 'status_change', 'title_change', 'removed'][event_id % 4 + 1] as kind from events)
     select event_id, case kind when 'new' then 'save' when 'status_change' then 'status' when 'title_change' then 'rename' end as route, case when kind = 'title_change' then event_type else null end as old_title from c where kind <> 'removed'

@@ -192,7 +192,7 @@ def _(t):
 @P.add("url_7_absolute")
 def _(t):
     links = t("pages").select("page_id", "url", F.explode(U.page_links("html")).alias("l"))
-    return links.select("page_id", U.absolute_url("url", "l.url").alias("url"))
+    return links.select("page_id", W.absolute(F.col("url"), F.col("l.url")).alias("url"))
 
 
 @P.add("url_8_bare", "select page_id, rtrim(regexp_replace(url, '[?#].*$', ''), '/') as url from pages")

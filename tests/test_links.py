@@ -4,7 +4,9 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
+from quillstream.functions import urls as W
 from quillstream.functions import values as V
 from quillstream.operators import links as L
 
@@ -97,3 +99,16 @@ def test_backfill_leaves_saved_pages_alone(spark):
     papers = spark.createDataFrame([(7, "a", LONG + " now", None), (8, "b", "Something else entirely here", "10.2139/ssrn.99")], "paper long, owner string, title string, doi string")
     got = sorted((r.page, r.paper, r.tier, r.type) for r in L.backfill(pages, saved, papers).collect())
     assert got == [(1, 7, "anchor", "ssrn"), (3, 8, "doi", "ssrn")]
+
+
+def test_references_are_resolved_as_the_library_does(spark):
+    from urllib.parse import urljoin
+
+    rng = random.Random(5)
+    bases = ["http://a.org", "http://a.org/", "https://a.org/b/c/d?q=1#f", "http://a.org/b/", "http://a.org/x//y/z", "HTTP://A.org/b"]
+    refs = ["", "x", "/x/y", "../x", "../../../../x", "./", ".", "..", "a/./b/../c", "?r=2", "#g", "//h.net/p", "//h.net", "https://k.de/x?y#z", "mailto:a@b.c", "x?", "y#", "/", "a//b", "../", "x/..", "javascript:void(0)"]
+    refs += ["/".join(rng.choice(["..", ".", "a", "b", ""]) for _ in range(rng.randrange(1, 6))) for _ in range(60)]
+    pairs = [(k, b, r) for k, (b, r) in enumerate((b, r) for b in bases for r in refs)]
+    rows = spark.createDataFrame(pairs, "k int, b string, r string")
+    got = {r.k: r.u for r in rows.select("k", W.absolute(F.col("b"), F.col("r")).alias("u")).collect()}
+    assert {k: got[k] for k, _, _ in pairs} == {k: urljoin(b, r) for k, b, r in pairs}

@@ -17,7 +17,7 @@ IN_PYTHON = {
     "str_17_title_on_page", "str_22_segments", "str_26_topic_codes", "str_32_signature", "str_34_visible_hash", "url_14_first_subpages", "url_7_absolute", "win_3_greedy_best_match",
 }
 #: and those that only run here; their functions have tests of their own
-RUN_ONLY = {"cdc_1_from_bytes", "cdc_1_page_text_hash", "er_5_fuzzy_titles", "html_5_title_on_old_page", "str_18_link_match", "str_23_compact_diff", "url_15_research_links"}
+RUN_ONLY = {"cdc_1_from_bytes", "cdc_1_page_text_hash", "er_5_fuzzy_titles", "html_5_title_on_old_page", "str_18_link_match", "str_23_compact_diff"}
 
 
 @pytest.fixture(scope="module")
