@@ -97,3 +97,39 @@ def real_publication(title: Column, authors: Column, venue: Column, status: Colu
     site = F.rtrim(low, F.lit(".")).isin(*V.SITE_WORDS) | T.contains_any(low, V.SITE_PHRASES) | low.startswith("©") | low.startswith("(c)")
     software = F.contains(venue, F.lit("github")) | (F.contains(url, F.lit("github.com")) & ~F.contains(url, F.lit("github.io"))) | T.contains_any(low, V.SOFTWARE_PHRASES)
     return ~(short | site | software | bad_name | only_letters | (told >= 2))
+
+
+def link_faults(links: DataFrame, papers: DataFrame) -> DataFrame:
+    """(id, rule) of saved links (id, paper, url, doi) against their papers (paper, doi): DOIs in another form, with steps of
+    a path after them or after the paper's own, addresses that aren't of the web, and a paper's repeated ones."""
+    own = links.join(papers.select("paper", F.col("doi").alias("own")), "paper", "left").withColumn("times", F.count("*").over(Window.partitionBy("paper", "url")))
+    doi = F.col("doi")
+    return violations(own, "id", {
+        "doi_form": ~doi.startswith("10."), "doi_address": doi.rlike("(?i)^https?:"), "doi_path": doi.rlike("/(html|abstract|pdf|epdf|fulltext)$"), "doi_beyond_own": F.lower(doi).startswith(F.concat(F.lower("own"), F.lit("/"))),
+        "scheme": ~F.col("url").rlike("(?i)^https?://"), "repeated": F.col("times") > 1,
+    })
+
+
+def snapshot_faults(snapshots: DataFrame, addresses: DataFrame, now: Column, most: int = 20_500) -> DataFrame:
+    """(id, rule) of stored pages (id, address, at, content, hash, done_hash, done_at) and their addresses (address, active,
+    stopped_at): of the future, hashes without what they stand for, texts over the limit, pages of unknown addresses, and
+    ones fetched more than an hour after their address was stopped."""
+    known = snapshots.join(addresses.withColumn("known", F.lit(True)), "address", "left")
+    return violations(known, "id", {
+        "future": F.col("at") > now, "done_without_time": F.col("done_hash").isNotNull() & F.col("done_at").isNull(), "hash_without_content": F.col("hash").isNotNull() & (T.text(F.col("content")) == ""),
+        "too_long": F.length("content") > most, "unknown_address": F.col("known").isNull(), "after_stop": ~F.col("active") & (F.col("at") > F.col("stopped_at") + F.expr("interval 1 hour")),
+    })
+
+
+def health_faults(runs: DataFrame, calls: DataFrame, waiting: DataFrame, now: Column) -> DataFrame:
+    """(rule, n) of a pipeline's liveness: runs (status, started_at, ended_at) that hang for over a day, no run ended in 48
+    hours, and no call (called_at) for over six hours while pages wait (any row of ``waiting``)."""
+    hours = lambda a: (F.unix_seconds(now.cast("timestamp")) - F.unix_seconds(a.cast("timestamp"))) / 3600
+    told = runs.agg(F.count_if((F.col("status") == "running") & (hours(F.col("started_at")) > 24)).alias("hung"), F.max(F.when(F.col("status") == "completed", F.col("ended_at"))).alias("last_run"))
+    told = told.join(calls.agg(F.max("called_at").alias("last_call"))).join(waiting.agg(F.count("*").alias("waiting")))  # three single rows
+    late = lambda c, most: F.coalesce(hours(F.col(c)) > most, F.lit(True))
+    rows = told.select(F.explode(F.array(
+        F.struct(F.lit("hung_runs").alias("rule"), F.col("hung").cast("long").alias("n")), F.struct(F.lit("no_recent_run").alias("rule"), late("last_run", 48).cast("long").alias("n")),
+        F.struct(F.lit("stalled").alias("rule"), F.when((F.col("waiting") > 0) & late("last_call", 6), F.col("waiting")).otherwise(0).cast("long").alias("n")),
+    )).alias("r"))
+    return rows.select("r.rule", "r.n")

@@ -207,9 +207,3 @@ def _(t):
     """Shares of rows without a value, each against its bound."""
     rate = lambda rows, name, cond, bound: rows.agg((F.count_if(cond) / F.count("*")).alias("rate")).select(F.lit(name).alias("name"), "rate", (F.col("rate") > bound).alias("broken"))
     return rate(t("part"), "p_brand", F.col("p_size") % 3 == 0, 0.35).unionAll(rate(t("orders"), "o_year", F.year("o_orderdate") < 1995, 0.5)).unionAll(rate(t("events"), "e_value", F.col("value") < 10, 0.1))
-
-
-@P.add("dq_schema", "select column_name as name, column_type in ('BIGINT', 'DOUBLE', 'VARCHAR', 'TIMESTAMP') as expected from (describe select * from events)")
-def _(t):
-    e = t("events")
-    return e.sparkSession.createDataFrame([(f.name, f.dataType.simpleString() in ("bigint", "double", "string", "timestamp", "timestamp_ntz")) for f in e.schema.fields], "name string, expected boolean")

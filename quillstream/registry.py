@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from quillstream.plans import analytics, entities, extras, feed, history, identity, linkage, naming, outer, outside, rules, scalars, streams, upkeep
+from quillstream.plans import analytics, entities, extras, feed, health, history, identity, linkage, naming, outer, outside, rules, scalars, streams, upkeep
 from quillstream.plans.common import Query
 
-_ALL = (feed.P, analytics.P, history.P, entities.P, identity.P, linkage.P, naming.P, outer.P, outside.P, rules.P, scalars.P, upkeep.P, streams.P, extras.P)
+_ALL = (feed.P, analytics.P, history.P, entities.P, identity.P, linkage.P, naming.P, outer.P, outside.P, rules.P, scalars.P, health.P, upkeep.P, streams.P, extras.P)
 
 
 def queries() -> dict[str, Query]:
