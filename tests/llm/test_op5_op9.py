@@ -124,3 +124,64 @@ def test_sketches_merge_and_estimate():
     assert fingerprint.resemblance(sa, sb) == pytest.approx(0.5, abs=0.15)
     assert fingerprint.containment(sa, sb) == pytest.approx(2 / 3, abs=0.2)
     assert fingerprint.distinct(fingerprint.merge(sa, sb)) == pytest.approx(3996, rel=0.3)
+
+
+def plain_trees(x, y, way, trees, depth, rate, bins, least, ridge):
+    """The boosted trees' sums for each row, from the rules: every split of every node is tried, row by row."""
+    n, m = len(x), len(x[0])
+    share = (sum(y) + 0.5) / (n + 1)
+    total = [float(np.log(share / (1 - share)))] * n
+    edges = [sorted(set(np.quantile([r[j] for r in x], [k / bins for k in range(1, bins)]).tolist())) for j in range(m)]
+    for _ in range(trees):
+        p = [1 / (1 + np.exp(-t)) for t in total]
+        g, h = [a - b for a, b in zip(p, y, strict=True)], [a * (1 - a) for a in p]
+        nodes, values = [(list(range(n)), -np.inf, np.inf)], {}
+        for level in range(depth):
+            below = []
+            for own, low, high in nodes:
+                cut = lambda v, low=low, high=high: min(max(v, low), high)
+                G, H = sum(g[i] for i in own), sum(h[i] for i in own)
+                best = (1e-6, None)
+                for j in range(m):
+                    for e in edges[j]:
+                        left = [i for i in own if x[i][j] <= e]
+                        gl, hl = sum(g[i] for i in left), sum(h[i] for i in left)
+                        a, b = cut(-gl / (hl + ridge)), cut(-(G - gl) / (H - hl + ridge))
+                        gain = -(gl * a + (hl + ridge) * a * a / 2) - ((G - gl) * b + (H - hl + ridge) * b * b / 2) - G * G / (H + ridge) / 2
+                        if hl >= least and H - hl >= least and (b - a) * way[j] >= 0 and gain > best[0] + 1e-12:
+                            best = (gain, (j, e, a, b))
+                if best[1] is None:
+                    below += [(own, low, high), ([], low, high)]
+                    continue
+                j, e, a, b = best[1]
+                sides = [(low, high), (low, high)]
+                if way[j]:
+                    mid = (a + b) / 2
+                    sides = [(low, min(high, mid)), (max(low, mid), high)] if way[j] > 0 else [(max(low, mid), high), (low, min(high, mid))]
+                below += [([i for i in own if x[i][j] <= e], *sides[0]), ([i for i in own if x[i][j] > e], *sides[1])]
+            nodes = below
+        for own, low, high in nodes:
+            v = rate * min(max(-sum(g[i] for i in own) / (sum(h[i] for i in own) + ridge), low), high)
+            values |= dict.fromkeys(own, v)
+        total = [t + values[i] for i, t in enumerate(total)]
+    return total
+
+
+def test_trees_are_those_of_the_rules():
+    rng = np.random.default_rng(4)
+    x = np.round(rng.normal(size=(90, 3)), 2)
+    y = ((x[:, 0] - 0.8 * x[:, 1] + rng.normal(size=90)) > 0).astype(float)
+    for monotone in ({}, {"a": 1, "b": -1}, {"a": -1}):
+        model = quality.grow(x, y, ("a", "b", "c"), monotone, trees=4, depth=2, rate=0.3, bins=7, least=2.0, ridge=1.0)
+        wanted = plain_trees(x.tolist(), y.tolist(), [monotone.get(f, 0) for f in "abc"], 4, 2, 0.3, 7, 2.0, 1.0)
+        assert np.allclose(model.raw(x), wanted)
+
+
+def test_kept_is_the_rule_and_the_score(spark, sample, odd):
+    docs = spark.createDataFrame([*sample, *odd], "doc_id long, text string")
+    marks = spark.createDataFrame([(d, d % 2) for d, _ in sample], "doc_id long, quality int")
+    model = quality.train(docs, marks)
+    rows = quality.judge(docs, model).collect()
+    scores = model.score(quality.features(quality.statistics(pa.array([t for _, t in [*sample, *odd]]))))
+    texts = sorted((d is None, d or 0, t or "", bool(len(WORD.findall(t or "")) >= 50 and 2 * brute_counts(t)[4] <= len(WORD.findall(t or "")) and s >= 0.5)) for (d, t), s in zip([*sample, *odd], scores, strict=True))
+    assert sorted((r.doc_id is None, r.doc_id or 0, r.kept) for r in rows) == sorted((a, b, k) for a, b, _, k in texts)

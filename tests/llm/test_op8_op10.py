@@ -3,6 +3,7 @@ import time
 import random
 import re
 
+import numpy as np
 import pytest
 
 from quillstream.llm import pii, toxicity
@@ -185,3 +186,44 @@ def test_exceptions_are_learnt(spark):
     lexicon = toxicity.learn(docs, spark.createDataFrame([(r[0], r[2]) for r in bad + good], "doc_id long, toxic int"))
     assert "zorp" in lexicon.weights and "zorp lamp" in lexicon.exceptions and "total zorp" not in lexicon.exceptions
     assert lexicon.score("a zorp lamp here") < lexicon.score("you zorp")
+
+
+def test_weights_are_those_of_the_counts(spark):
+    """Every entry recomputed from how many toxic and clean documents have it."""
+    rng = random.Random(9)
+    clean = [f"word{chr(97 + k)}" for k in range(26)]
+    rows = []
+    for k in range(600):
+        bad = k % 3 == 0
+        words = [rng.choice(clean) for _ in range(20)] + (rng.sample(["grumblot", "grumblots", "zorkish", "vexo"], 2) if bad else []) + (["grumbling"] if not bad and rng.random() < 0.2 else [])
+        rng.shuffle(words)
+        rows.append((k, " ".join(words), int(bad)))
+    docs = spark.createDataFrame([(k, t) for k, t, _ in rows], "doc_id long, text string")
+    lexicon = toxicity.learn(docs, spark.createDataFrame([(k, b) for k, _, b in rows], "doc_id long, toxic int"))
+    counts = {}
+    for _, text, bad in rows:
+        own = {w for w in text.split() if len(w) > 2}
+        for term in own | {w[:k] + "*" for w in own for k in toxicity.STEMS if len(w) > k}:
+            counts.setdefault(term, [0, 0])[bad] += 1
+    n_bad, n_good = (sum(b == x for *_, b in rows) for x in (1, 0))
+    candidates = {t: c for t, c in counts.items() if c[1] >= 3}
+    bar, weights = 2 * math.log(len(candidates) + 1) + 4, {}
+    for term, (m, n) in candidates.items():
+        expected = (n + m) * n_bad / (n_bad + n_good)
+        ratio = 2 * (n * math.log(n / expected) + (m * math.log(m / (n + m - expected)) if m else 0))
+        weight = math.log((n + 0.5) / (n_bad + 1)) - math.log((m + 0.5) / (n_good + 1))
+        if weight >= toxicity.LEAST_WEIGHT and ratio >= bar:
+            weights[term] = weight
+    assert set(lexicon.weights) <= set(weights) and {"vexo", "zork*"} & set(lexicon.weights)
+    assert all(lexicon.weights[t] == pytest.approx(weights[t]) for t in lexicon.weights)
+    for term in set(weights) - set(lexicon.weights):  # what went is said by one that stayed
+        bare = term.rstrip("*")
+        stems = [bare[:k] + "*" for k in toxicity.STEMS if k < len(bare)]
+        longer = [t for t in lexicon.weights if not t.endswith("*") and t.startswith(bare)]
+        assert any(s in weights and (weights[s] >= weights[term] - 0.3) for s in stems) or longer
+    # the coefficients leave the loss where it is flat
+    x = np.array([[1, *lexicon.measures(t)] for _, t, _ in rows])
+    y = np.array([b for *_, b in rows])
+    p = 1 / (1 + np.exp(-x @ np.array(lexicon.coefficients)))
+    slope = x.T @ (p - y) + np.array([1e-9, 0.02, 0.02]) * np.array(lexicon.coefficients)
+    assert all(abs(g) < 1e-3 or (c == 0 and g > 0) for g, c in zip(slope, lexicon.coefficients, strict=True))
