@@ -26,8 +26,8 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(app)
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """A new folder below ``spark.checkpoint.dir``, for intermediate tables.
+def run_folder(spark: SparkSession) -> str:
+    """The application's folder below ``spark.checkpoint.dir``, for intermediate tables.
 
     Where that is unset, one machine may use a temporary folder of its own; a cluster may not.
     """
@@ -38,4 +38,20 @@ def shared_folder(spark: SparkSession) -> str:
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="shared-")
         context.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+    return f"{base.rstrip('/')}/quillstream-{context.applicationId}"
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder below the application's own."""
+    return f"{run_folder(spark)}/{uuid.uuid4().hex}"
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete all intermediate tables of the application; to be called when its results have been read.
+
+    Results that are still to be read need them: a frame is planned on the tables that its query has written.
+    """
+    name = f"quillstream_{uuid.uuid4().hex}"
+    folder = run_folder(spark).replace("'", "\\'")
+    spark.sql(f"create database {name} location '{folder}'")  # a database that is dropped takes its folder along
+    spark.sql(f"drop database {name} cascade")
