@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from functools import reduce
 
 from pyspark.sql import Column
@@ -29,6 +30,13 @@ def content_hash(*columns: Column) -> Column:
     return F.sha2(F.concat_ws("||", *(text(c) for c in columns)), 256)
 
 
+def signature(key: str, message: Column) -> Column:
+    """HMAC-SHA-256 of a text, in hexadecimal digits; a null text has none."""
+    raw = key.encode() if len(key.encode()) <= 64 else hashlib.sha256(key.encode()).digest()
+    inner, outer = (F.lit(bytes(b ^ pad for b in raw.ljust(64, bytes(1)))) for pad in (0x36, 0x5C))
+    return F.sha2(F.concat(outer, F.unhex(F.sha2(F.concat(inner, F.encode(message, "UTF-8")), 256))), 256)
+
+
 def match_form(c: Column) -> Column:
     """Lower-case alphanumeric words with single blanks."""
     return F.trim(F.regexp_replace(F.lower(c), "[^a-z0-9]+", " "))

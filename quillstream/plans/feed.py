@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from quillstream.functions import text as T
 from quillstream.operators import rows as R
-from quillstream.plans.common import Plans, total
+from quillstream.plans.common import Plans, money, total
 
 P = Plans()
 _FEED = "event_id, user_id, event_type, ts, value"
@@ -230,18 +230,17 @@ def _(t):
     return t("events").withColumn("best", before).where("best >= value").select("event_id")
 
 
-@P.add("join_11_prefix", """
-    select distinct d.doc_id, b.item_id from documents d join benchmark b on split_part(lower(d.text), ' ', 1) = split_part(lower(b.text), ' ', 1) and starts_with(lower(d.text), split_part(lower(b.text), ' ', 1) || ' ' || split_part(lower(b.text), ' ', 2)[1:2])
+@P.add("join_12_first_match", """
+    select o_orderkey as paper, min(c_custkey) as owner from (select o_orderkey, 'http://site' || (o_custkey % 300) || '.org' as source from orders)
+    join (select c_custkey, 'http://site' || (c_custkey % 200) || '.org' as url from customer where c_custkey % 3 > 0) on source = url group by o_orderkey
 """)
 def _(t):
-    word = lambda n: F.split_part(F.lower("text"), F.lit(" "), F.lit(n))
-    b = t("benchmark").select("item_id", word(1).alias("k"), F.concat(word(1), F.lit(" "), F.left(word(2), F.lit(2))).alias("head"))
-    return t("documents").withColumn("k", word(1)).join(b, "k").where(F.startswith(F.lower("text"), F.col("head"))).select("doc_id", "item_id").distinct()
-
-
-@P.add("join_12_first_match", "select url_key, min(page_id) as page_id from (select page_id, lower(regexp_extract(url, '^https?://([^/?#]+)', 1)) as url_key from pages) group by url_key")
-def _(t):
-    return t("pages").select("page_id", F.lower(F.regexp_extract("url", "^https?://([^/?#]+)", 1)).alias("url_key")).groupBy("url_key").agg(F.min("page_id").alias("page_id"))
+    """The first owner of the page that a paper was found on; an address has several owners, or none."""
+    papers = t("orders").select(F.col("o_orderkey").alias("paper"), F.concat(F.lit("http://site"), F.col("o_custkey") % 300, F.lit(".org")).alias("url"))
+    pages = t("customer").where("c_custkey % 3 > 0").select("c_custkey", F.concat(F.lit("http://site"), F.col("c_custkey") % 200, F.lit(".org")).alias("url"))
+    # one row an address before the join, so it doesn't fan out
+    owners = pages.groupBy("url").agg(F.min("c_custkey").alias("owner"))
+    return papers.join(owners, "url").select("paper", "owner")
 
 
 @P.add("join_13_as_of", """
@@ -335,13 +334,22 @@ def _(t):
 
 
 @P.add("srv_3_people_list", """
-    select s_suppkey, s_name, coalesce(n, 0) as papers, coalesce(v, 0) as revenue from supplier left join (
-        select l_suppkey, count(distinct l_partkey) as n, sum(l_extendedprice::decimal(18,4))::double as v from lineitem group by l_suppkey) on l_suppkey = s_suppkey
+    with w as (select l_suppkey, count(distinct l_partkey) as n, sum(l_extendedprice::decimal(18,4))::double as v from lineitem group by l_suppkey),
+    f as (select l_suppkey, string_agg(distinct p_type, ',' order by p_type) as fields, string_agg(distinct p_brand, ',' order by p_brand) as codes from lineitem join part on p_partkey = l_partkey group by l_suppkey),
+    u as (select page_id % 120 as k, string_agg(url, ' ' order by page_id) as urls from pages group by k)
+    select s_suppkey, s_name, coalesce(n, 0) as papers, coalesce(v, 0) as revenue, coalesce(fields, '') as fields, coalesce(codes, '') as codes, coalesce(urls, '') as urls
+    from supplier left join w on w.l_suppkey = s_suppkey left join f on f.l_suppkey = s_suppkey left join u on u.k = s_suppkey
 """)
 def _(t):
-    # one shuffle by supplier and part, one by supplier
-    per = t("lineitem").groupBy("l_suppkey").agg(F.countDistinct("l_partkey").alias("n"), total("l_extendedprice").alias("v"))
-    return t("supplier").join(per, F.col("l_suppkey") == F.col("s_suppkey"), "left").select("s_suppkey", "s_name", F.coalesce("n", F.lit(0)).alias("papers"), F.coalesce("v", F.lit(0.0)).alias("revenue"))
+    """People with their papers, fields by name, codes by code and addresses; each nested part is aggregated before it is joined."""
+    work = t("lineitem").groupBy("l_suppkey", "l_partkey").agg(F.sum(money("l_extendedprice")).alias("v"))
+    named = work.join(t("part").select(F.col("p_partkey").alias("l_partkey"), "p_type", "p_brand"), "l_partkey", "left")
+    listed = lambda c: F.array_join(F.sort_array(F.collect_set(c)), ",")
+    per = named.groupBy("l_suppkey").agg(F.count("*").alias("n"), F.sum("v").cast("double").alias("v"), listed("p_type").alias("fields"), listed("p_brand").alias("codes"))
+    urls = t("pages").groupBy((F.col("page_id") % 120).alias("k")).agg(F.sort_array(F.collect_list(F.struct("page_id", "url"))).alias("u"))
+    people = t("supplier").join(per, F.col("l_suppkey") == F.col("s_suppkey"), "left").join(urls, F.col("k") == F.col("s_suppkey"), "left")
+    text = lambda c: F.coalesce(c, F.lit(""))
+    return people.select("s_suppkey", "s_name", F.coalesce("n", F.lit(0)).alias("papers"), F.coalesce("v", F.lit(0.0)).alias("revenue"), text(F.col("fields")).alias("fields"), text(F.col("codes")).alias("codes"), text(F.array_join(F.transform("u", lambda x: x["url"]), " ")).alias("urls"))
 
 
 @P.add("srv_5_filter_options", """

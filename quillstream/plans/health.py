@@ -28,6 +28,16 @@ def _(t):
     return Q.link_faults(_sql(t, "orders", LINKS_SQL), _sql(t, "customer", OWN_SQL))
 
 
+@P.add("join_11_prefix", f"""
+    with l as ({LINKS_SQL}), o as ({OWN_SQL}) select l.id, o.doi as own from l join o using (paper) where starts_with(lower(l.doi), lower(o.doi) || '/')
+""")
+def _(t):
+    """Links whose DOI goes on where their paper's ends; a paper's links meet its own DOI only."""
+    own = _sql(t, "customer", OWN_SQL).withColumnRenamed("doi", "own")
+    links = _sql(t, "orders", LINKS_SQL).join(own, "paper")
+    return links.where(F.startswith(F.lower("doi"), F.concat(F.lower("own"), F.lit("/")))).select("id", "own")
+
+
 PAGES_SQL = """select page_id as id, page_id % 40 as address, html as content, page_id % 9 as k from pages"""
 
 

@@ -145,7 +145,7 @@ def _(t):
 
 @P.add("str_32_signature")
 def _(t):
-    return t("customer").select("c_custkey", U.signed(F.lit("key"), F.col("c_name")).alias("token"))
+    return t("customer").select("c_custkey", T.signature("key", F.col("c_name")).alias("token"))
 
 
 @P.add("str_35_fuzzy_form", "select doc_id, regexp_replace(replace(replace(lower(text), '-', ''), '''s', ''), '[^\\pL\\pN_\\s]', '', 'g') as form from documents")
