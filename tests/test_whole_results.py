@@ -251,3 +251,90 @@ def test_renames_of_pages(spark):
                 come.add(b)
                 want.append((page, a, b))
     assert want and result(spark, "er_7_renames", "page", "old", "new") == sorted(want)
+
+
+def normal(text):
+    """Page text for change detection, step by step."""
+    for a, b in zip("‘’“”", "''\"\"", strict=True):
+        text = text.replace(a, b)
+    text = re.sub(r"\s+", " ", text)
+    text = re.sub(r" ([)\],;])", r"\1", text)
+    text = re.sub(r"(\d) (\d)", r"\1\2", text, flags=re.ASCII)
+    for phrase in V.BOILERPLATE:
+        text = re.sub(re.escape(phrase), "", text, flags=re.IGNORECASE | re.ASCII)
+    return re.sub(r"\s+", " ", text, flags=re.ASCII).strip(" ")
+
+
+def test_change_hashes(spark):
+    texts = {p["page_id"]: "".join(visible(p["html"])) for p in table("pages")}
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    assert result(spark, "cdc_1_page_text_hash", "page_id", "hash") == sorted((k, sha(normal(t[:20_000]))) for k, t in texts.items())
+
+    def sent(k, page):
+        """What a page's bytes still say: astral characters and, in one byte a letter, all but Latin-1 are question marks."""
+        if k % 5 in (2, 3):
+            return "".join("?" if ord(c) > 0xFFFF else c for c in page)
+        return "".join(c if ord(c) < 0x80 or 0xA0 <= ord(c) <= 0xFF else "?" for c in page) if k % 5 == 4 else page
+
+    want = [(p["page_id"], sha(normal("".join(visible(sent(p["page_id"], p["html"])))))) for p in table("pages")]
+    assert result(spark, "cdc_1_from_bytes", "page_id", "hash") == sorted(want)
+
+
+def test_titles_on_old_pages(spark):
+    want, before = [], {}
+    form = lambda page: match_form(re.sub("<[^>]+>", " ", html.unescape(page)))
+    for p in sorted(table("pages"), key=lambda p: p["page_id"]):
+        site = re.match(r"https?://(?:[^/@]*@)?([^/:?#]+)", p["url"])[1].lower()
+        title = match_form(m[1]) if (m := re.search("(?s)<h1>(.*?)</h1>", p["html"])) else ""
+        want.append((p["page_id"], site in before and title in form(before[site])))
+        before[site] = p["html"]
+    assert result(spark, "html_5_title_on_old_page", "page_id", "there") == sorted(want)
+
+
+def test_link_scores(spark):
+    want = []
+    for p in table("part"):
+        anchor, title = f"{p['p_name']} {p['p_brand']}", p["p_name"]
+        a, t = (re.sub("[^a-z0-9]", "", s.lower()) for s in (anchor, title))
+        x, y = ({w for w in re.findall("[a-z0-9_]+", s.lower()) if len(w) > 1 and w not in V.LINK_STOPWORDS} for s in (anchor, title))
+        held = (t in a or a in t) and min(len(a), len(t)) / max(len(a), len(t)) > 0.75
+        want.append((p["p_partkey"], 1.0 if held else min(len(x & y) / len(x), len(x & y) / len(y)) if len(x) >= 2 and len(y) >= 2 else 0.0))
+    got = result(spark, "str_18_link_match", "p_partkey", "score")
+    assert [k for k, _ in got] == [k for k, _ in sorted(want)] and [s for _, s in got] == pytest.approx([s for _, s in sorted(want)])
+
+
+def test_fuzzy_titles_of_author_sets(spark):
+    rows = {(r.id, r.title, r.authors, r.doi) for r in fuzzy_input(spark)}
+    form = lambda s: re.sub(r"[^\w\s]", "", s.lower().replace("-", "").replace("'s", "").replace("’s", "")).split()
+    leads, want = {}, set()
+    for k, title, authors, doi in sorted(rows, key=lambda r: r[0]):
+        lead = leads.setdefault((authors, title, doi), k)
+        if lead != k and doi is None:
+            want.add((lead, k))
+    sets = {}
+    for (authors, title, doi), k in leads.items():
+        sets.setdefault(authors, []).append((k, form(title), doi))
+    for own in sets.values():
+        own.sort()
+        for i, (a, x, d) in enumerate(own):
+            for b, y, e in own[i + 1 :]:
+                u, v = (set(z) - set(V.TITLE_STOPWORDS) for z in (x, y))
+                seq, over = ratio(x, y), len(u & v) / min(len(u), len(v)) if u and v else 0.0
+                if not (d is not None and d == e) and (seq if over > seq and seq < 0.5 else max(seq, over)) >= 0.85:
+                    want.add((a, b))
+    got = result(spark, "er_5_fuzzy_titles", "a", "b")
+    assert len(got) == len(set(got)) and set(got) == want
+
+
+def fuzzy_input(spark):
+    """The papers and author sets that the query compares."""
+    from quillstream.operators import identity as I
+    from quillstream.plans import identity as plans
+
+    seen = []
+    keep, I.fuzzy_pairs = I.fuzzy_pairs, lambda papers, *more: seen.append(papers) or keep(papers, *more)
+    try:
+        plans.P.queries["er_5_fuzzy_titles"](spark, SF)
+    finally:
+        I.fuzzy_pairs = keep
+    return seen[0].select("id", "title", "authors", "doi").collect()
