@@ -141,6 +141,16 @@ def nested(rows: DataFrame, key: Sequence[str], order: str, *columns: str) -> Da
 
 
 def pareto(rows: DataFrame, cost: str, score: str, *ties: str) -> DataFrame:
-    """Rows with a better score than all cheaper ones, for a table of a few alternatives."""
-    better = F.max(score).over(Window.orderBy(cost, F.desc(score), *ties).rowsBetween(Window.unboundedPreceding, -1))
-    return rows.withColumn("__best", better).where(F.col("__best").isNull() | (F.col(score) > F.col("__best"))).drop("__best")
+    """Rows with a better score than all cheaper ones (of equal cost, those before them by score, then ``ties``).
+
+    Rows are range-sorted by cost; each range needs its own rows, and of the ranges before it the best score only.
+    """
+    from quillstream.operators.groups import written
+
+    order = [F.col(cost), F.desc(score), *map(F.col, ties)]
+    ranged = written(rows.repartitionByRange(*order).withColumn("__range", F.spark_partition_id()))
+    best = ranged.groupBy("__range").agg(F.max(score).alias("__top"))
+    before = best.withColumn("__before", F.max("__top").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1))).drop("__top")  # a row a range
+    inside = F.max(score).over(Window.partitionBy("__range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
+    found = ranged.withColumn("__inside", inside).join(before, "__range").withColumn("__best", F.greatest("__inside", "__before"))
+    return found.where(F.col("__best").isNull() | (F.col(score) > F.col("__best"))).select(rows.columns)

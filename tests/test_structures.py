@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from quillstream.functions import text as T
 from quillstream.functions import values as V
 from quillstream.operators import fulltext, linkage, matching, pages
+from quillstream.operators import rows as R
 
 
 def greedy(rows):
@@ -121,3 +122,21 @@ def test_marks_of_distinct_papers(spark):
     rows = spark.createDataFrame([(k, a, b) for k, (a, b, _) in enumerate(cases)], "k int, a string, b string")
     got = rows.select("k", T.distinct_markers(F.col("a"), F.col("b")).alias("d")).orderBy("k").collect()
     assert [r.d for r in got] == [d for _, _, d in cases]
+
+
+@pytest.mark.parametrize("parts", ["1", "9"])
+def test_pareto_over_ranges(spark, parts):
+    rng = random.Random(7)
+    rows = [(k, rng.randrange(40), rng.choice([None, *range(60)])) for k in range(400)]
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    try:
+        got = sorted(r.k for r in R.pareto(spark.createDataFrame(rows, "k long, cost int, score int"), "cost", "score", "k").collect())
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    want, best = [], None
+    for k, _, score in sorted(rows, key=lambda r: (r[1], r[2] is None, -(r[2] or 0), r[0])):
+        if best is None or (score is not None and score > best):
+            want.append(k)
+            best = score if score is not None else best
+    assert got == sorted(want)

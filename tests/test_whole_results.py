@@ -195,11 +195,6 @@ def test_signature(spark):
     assert result(spark, "str_32_signature", "c_custkey", "token") == sorted(want)
 
 
-def test_random_sample(spark):
-    got = [k for (k,) in result(spark, "sort_4_random_sample", "c_custkey")]
-    assert len(set(got)) == len(got) == 20 and set(got) <= {c["c_custkey"] for c in table("customer")}
-
-
 def on_page(title, page):
     long, words = [w for w in title.split() if len(w) >= 4], page.split()
     if not title or title in page or len(long) <= 3:
