@@ -176,7 +176,7 @@ def _page_titles(t):
 
 
 @P.add("er_7_renames")
-def _(t):
+def renames(t):
     """Titles that went and came on one page: the best pairs of half their words, each title once, artefacts left out."""
     old, new = _page_titles(t)
     word = lambda c: F.explode(F.array_distinct(T.words(T.normalize_title(F.col(c))))).alias("word")
@@ -186,6 +186,13 @@ def _(t):
     return M.greedy(scored, "page", "old", "new", "score")
 
 
+@P.add("evt_3_rename_events")
+def _(t):
+    """An event for each title that took another's place on its page, under the least paper of the old title."""
+    papers = t("part").groupBy(F.concat_ws(" ", "p_name", F.lower("p_type"), F.lower("p_brand")).alias("old")).agg(F.min("p_partkey").alias("paper"))
+    return renames(t).join(papers, "old").select("paper", "page", F.lit("title_change").alias("kind"), F.col("old").alias("old_title"), F.col("new").alias("new_title"))
+
+
 @P.add("er_11_last_name_in_tokens", """
     with c as (select c_custkey, lower(string_split(c_name, '#')[2]) as last from customer), s as (select s_suppkey, unnest(list_distinct(string_split(lower(s_name), '#'))) as token from supplier)
     select c_custkey, s_suppkey from c join s on token = last

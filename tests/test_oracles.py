@@ -14,7 +14,7 @@ SF = "/root/testdata/sf0.001"
 #: Queries without SQL whose whole results tests/test_whole_results.py recomputes
 IN_PYTHON = {
     "cdc_1_from_bytes", "cdc_1_page_text_hash", "er_5_fuzzy_titles", "html_5_title_on_old_page", "str_18_link_match",
-    "er_7_renames", "evt_9_verified_titles", "er_8_sorted_neighbours", "html_1_visible_text", "html_2_main_text", "html_3_links", "html_4_match_form", "str_10_sequence_ratio", "str_11_title_similarity",
+    "er_7_renames", "evt_3_rename_events", "evt_9_verified_titles", "er_8_sorted_neighbours", "html_1_visible_text", "html_2_main_text", "html_3_links", "html_4_match_form", "str_10_sequence_ratio", "str_11_title_similarity",
     "str_17_title_on_page", "str_22_segments", "str_26_topic_codes", "str_32_signature", "str_34_visible_hash", "url_14_first_subpages", "url_7_absolute", "win_3_greedy_best_match",
 }
 #: and those that only run here; their functions have tests of their own

@@ -246,6 +246,11 @@ def test_renames_of_pages(spark):
                 come.add(b)
                 want.append((page, a, b))
     assert want and result(spark, "er_7_renames", "page", "old", "new") == sorted(want)
+    least = {}
+    for key, title in parts.items():
+        least[title] = min(key, least.get(title, key))
+    events = sorted((least[a], page, "title_change", a, b) for page, a, b in want)
+    assert result(spark, "evt_3_rename_events", "paper", "page", "kind", "old_title", "new_title") == events
 
 
 def normal(text):
