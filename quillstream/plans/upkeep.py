@@ -248,10 +248,18 @@ def _(t):
     return Q.null_where(rows, "year", ~F.col("year").rlike("^199[3-7]$"))
 
 
-@P.add("rep_15_state_venues", "select o_orderkey, case when o_orderstatus = 'F' then null else o_orderpriority end as venue from orders")
+#: Venues, and whether they say a state only.
+VENUES = (
+    (" Working Paper ", True), ("draft", True), ("Under Review", True), ("submitted", True), ("R&R", True), ("Revise and Resubmit", True), ("reject and resubmit", True), ("work in progress", True), ("Job Market Paper", True), ("JMP", True),
+    ("Forthcoming", False), ("accepted", False), ("in progress", False), ("Working Paper Series", False), ("Econometrica", False),
+)
+_VENUE_SQL = f"[{', '.join(repr(v) for v, _ in VENUES)}][o_orderkey % {len(VENUES)} + 1]"
+
+
+@P.add("rep_15_state_venues", f"select o_orderkey, case when not [{', '.join(str(s).lower() for _, s in VENUES)}][o_orderkey % {len(VENUES)} + 1] then {_VENUE_SQL} end as venue from orders")
 def _(t):
-    rows = t("orders").select("o_orderkey", F.when(F.col("o_orderstatus") == "F", " Forthcoming ").otherwise(F.col("o_orderpriority")).alias("venue"))
-    return Q.null_where(rows, "venue", Q.state_venue(F.col("venue")))
+    venue = F.get(F.array(*(F.lit(v) for v, _ in VENUES)), (F.col("o_orderkey") % len(VENUES)).cast("int"))
+    return Q.null_where(t("orders").select("o_orderkey", venue.alias("venue")), "venue", Q.state_venue(F.col("venue")))
 
 
 @P.add("rep_16_short_abstracts", "select doc_id, case when length(trim(text)) >= 400 then text end as abstract from documents")
@@ -291,10 +299,10 @@ def _(t):
 
 
 @P.add("rep_22_ordered_steps", """
-    select o_orderkey, case when length(trim(v)) >= 4 and lower(trim(v)) <> 'accepted' then trim(v) end as venue from (select o_orderkey, case o_orderstatus when 'F' then ' Accepted' when 'P' then ' x ' else o_orderpriority || ' ' end as v from orders)
+    select o_orderkey, case when length(trim(v)) >= 4 and lower(trim(v)) <> 'submitted' then trim(v) end as venue from (select o_orderkey, case o_orderstatus when 'F' then ' Submitted' when 'P' then ' x ' else o_orderpriority || ' ' end as v from orders)
 """)
 def _(t):
-    rows = t("orders").select("o_orderkey", F.when(F.col("o_orderstatus") == "F", " Accepted").when(F.col("o_orderstatus") == "P", " x ").otherwise(F.concat("o_orderpriority", F.lit(" "))).alias("venue"))
+    rows = t("orders").select("o_orderkey", F.when(F.col("o_orderstatus") == "F", " Submitted").when(F.col("o_orderstatus") == "P", " x ").otherwise(F.concat("o_orderpriority", F.lit(" "))).alias("venue"))
     steps = [lambda d: d.withColumn("venue", F.trim("venue")), lambda d: Q.null_where(d, "venue", Q.state_venue(F.col("venue"))), lambda d: Q.null_where(d, "venue", F.length("venue") < 4)]
     return Q.repaired(rows, steps)
 
