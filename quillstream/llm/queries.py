@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -114,13 +116,23 @@ def with_loops(docs: DataFrame) -> DataFrame:
     A null doc_id has no checksum: its text stays.
     """
     h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
-    words = F.regexp_extract_all("text", F.lit(r"([^\x20\x09-\x0D]+)"))
-    turned = docs.where(h % 10 == 0).select("doc_id", words.alias("w"), F.expr("cast(floor(crc32(cast(cast(doc_id as string) as binary)) / 10) as bigint)").alias("g"))
-    turned = turned.where(F.size("w") > 0).withColumn("n", F.size("w").cast("long")).withColumn("a", F.col("g") % F.col("n"))
-    turned = turned.withColumn("p", F.expr("1 + (n - a) div (3 + g % 8)"))
-    looped = turned.select("doc_id", F.expr("array_join(transform(w, (x, i) -> case when i < a then x else get(w, cast(a + (i - a) % p as int)) end), ' ')").alias("text"))
-    same = F.coalesce(h % 10 != 0, F.lit(True)) | ~F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
-    return looped.unionByName(docs.where(same).select("doc_id", "text"))
+    turns = F.coalesce(h % 10 == 0, F.lit(False))
+
+    # only the texts that turn go to Python
+    @F.arrow_udf("string")
+    def looped(checksums: pa.Array, texts: pa.Array) -> pa.Array:
+        return pa.array([text if text is None else _looped(text, g // 10) for g, text in zip(checksums.to_pylist(), texts.to_pylist(), strict=True)], pa.string())
+
+    return docs.select("doc_id", F.when(turns, looped(F.when(turns, h), F.when(turns, F.col("text")))).otherwise(F.col("text")).alias("text"))
+
+
+def _looped(text: str, g: int) -> str:
+    words = re.findall(r"[^\x20\x09-\x0D]+", text)
+    if not words:
+        return text
+    a = g % len(words)
+    p = 1 + (len(words) - a) // (3 + g % 8)
+    return " ".join(words[:a] + [words[a + k % p] for k in range(len(words) - a)])
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_warc_zip, op2_bpe_forced_boundaries, op3_length_buckets, op4_ngram_jaccard, op5_quality_trees, op6_line_dedup, op7_chat_format, op8_pii_spans, op9_bottom_k, op10_toxicity_lexicon, op11_suffix_dedup, op12_filter_interaction, op13_periodic_runs)}

@@ -142,3 +142,14 @@ def test_audit_against_brute_force(spark, odd, sample, parts):
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before[1])
     assert got == brute_audit(rows, labels)
     assert none == []
+
+
+def test_only_texts_that_turn_leave_the_plan(spark):
+    """One scan, and no array of a text's words in the JVM."""
+    docs = spark.createDataFrame([(k, f"w{k} a b c " * 40, 1) for k in range(200)] + [(None, "a b", 1)], "doc_id long, text string, x int")
+    looped = queries.with_loops(docs)
+    with_plan = looped._jdf.queryExecution().toString()
+    assert "Union" not in with_plan and "regexp_extract_all" not in with_plan
+    got = {r.doc_id: r.text for r in looped.collect()}
+    turned = {k for k in range(200) if zlib.crc32(str(k).encode()) % 10 == 0}
+    assert len(turned) > 5 and {k for k, t in got.items() if t != (f"w{k} a b c " * 40 if k is not None else "a b")} == turned
