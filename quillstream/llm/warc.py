@@ -26,7 +26,7 @@ import pyarrow.fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillstream.llm import storage
+from quillstream.llm import membership, storage
 from quillstream.llm import text as tx
 
 DATA, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
@@ -201,9 +201,19 @@ def write(pages: DataFrame, folder: str) -> DataFrame:
     # counted by page first: a payload that a third of all pages have is a row a page_id at most, and written, so that Spark can split it
     each = storage.written(keyed.groupBy("page_id", "sha").agg(F.count("*").alias("n")), "payloads")
     firsts = storage.written(each.groupBy("sha").agg(F.min("page_id").alias("first"), F.sum("n").alias("copies")).where("copies > 1 and first is not null"), "firsts")
-    # Only the few ids of copies meet the payloads again, so these are shuffled by page_id at most.
+    # Only the few ids of copies meet the payloads again; a bitmap of them leaves all other rows where they are.
     copies = each.join(firsts, "sha").where("page_id is null or page_id > first or n > 1").select(F.col("page_id").alias("id"), F.col("sha").alias("copy_sha"), "first")
-    told = rows.withColumn("sha", sha).join(copies, F.col("page_id").eqNullSafe(F.col("id")) & (F.col("sha") == F.col("copy_sha")), "left")
+    copies = storage.written(copies, "copies")
+    flags = pages.sparkSession.sparkContext.broadcast(membership.bitmap(copies, "id", "copy_sha"))
+
+    # only the cells go to Python; pages stay
+    @F.arrow_udf("boolean")
+    def may_copy(cells: pa.Array) -> pa.Array:
+        return pa.array(flags.value.inside(cells.to_numpy()))
+
+    named = rows.withColumn("sha", sha).withColumn("cell", membership.cell("page_id", "sha"))
+    alone = named.where(~may_copy("cell")).select("page_id", "url", "html", F.lit(None).cast("long").alias("refers_to"))
+    told = named.where(may_copy("cell")).join(copies, F.col("page_id").eqNullSafe(F.col("id")) & (F.col("sha") == F.col("copy_sha")), "left")
     tied = F.coalesce(F.col("page_id") == F.col("first"), F.lit(False))
     chosen = told.where(~tied).select("page_id", "url", "html", F.col("first").alias("refers_to"))
     # rows of the least page_id several times over: equal ones are counted, and one of them all is the response
@@ -211,7 +221,7 @@ def write(pages: DataFrame, folder: str) -> DataFrame:
     least = equal.groupBy("page_id", "sha").agg(F.min(F.struct(F.col("url").isNull(), "url")).alias("least"))
     led = equal.join(least, ["page_id", "sha"]).withColumn("leads", F.struct(F.col("url").isNull(), "url") == F.col("least"))
     numbered = led.select("page_id", "url", "html", "leads", F.explode(F.sequence(F.lit(1).cast("long"), "n")).alias("k"))
-    chosen = chosen.unionByName(numbered.select("page_id", "url", "html", F.when(~(F.col("leads") & (F.col("k") == 1)), F.col("page_id")).alias("refers_to")))
+    chosen = alone.unionByName(chosen).unionByName(numbered.select("page_id", "url", "html", F.when(~(F.col("leads") & (F.col("k") == 1)), F.col("page_id")).alias("refers_to")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         writer = Writer(folder)

@@ -186,3 +186,27 @@ def test_byte_pair_rows(spark, odd):
     got = bpe.encode_digests(docs, vocabulary()).collect()
     assert len(got) == len(odd) and {r.n_tokens for r in got if r.doc_id in (0, 1)} == {0}
     assert bpe.tokenise(docs.limit(0), vocabulary()).count() == 0
+
+
+def test_only_copies_of_pages_are_shuffled(spark, monkeypatch):
+    """Pages that are no copies stay where they are; copies, near misses and null ids come out right."""
+    shuffled = []
+    keep = storage.written
+
+    def spied(df, name="table"):
+        if name == "manifest":
+            shuffled.append(df._jdf.queryExecution().analyzed().toString())
+        return keep(df, name)
+
+    monkeypatch.setattr(storage, "written", spied)
+    rows = [(k, f"u{k}", "same" if k % 10 == 3 else f"page {k}") for k in range(200)] + [(None, None, "same"), (None, None, "alone"), (3, "u3", "same"), (7, "u0", "page 7")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)
+    got = sorted(((-1 if r.page_id is None else r.page_id), r.record_type, r.refers_to, r.payload_bytes) for r in warc.read(warc.write(pages, f"{storage.shared_dir(spark)}/archives")).collect())
+    want, seen = [], set()
+    for page, _, html in sorted(rows, key=lambda r: (r[0] is None, r[0])):
+        first = 3 if html == "same" else page
+        new = html not in seen
+        seen.add(html)
+        want.append((-1 if page is None else page, "response" if new else "revisit", None if new else first, len(html)))
+    assert got == sorted(want, key=lambda r: (r[0], r[1], r[2] or 0))
+    assert "NOT may_copy" in shuffled[0]  # rows that go to the archives without a join
