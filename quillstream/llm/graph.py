@@ -1,40 +1,87 @@
-"""Connected components of an edge table, by alternating large and small stars."""
+"""Connected components of an edge table: inside partitions first, then by alternating large and small stars."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillstream.llm.storage import written
 
+#: Edges that a task holds before it replaces them by their components' stars.
+HELD = 1 << 20
+
+
+def stars(edges: pa.Table) -> pa.Table:
+    """(a, b) of every node but the least of each component, and that least node."""
+    n = edges.num_rows
+    ends = pa.chunked_array([*edges.column("a").chunks, *edges.column("b").chunks], edges.schema.field("a").type).combine_chunks().dictionary_encode()
+    order = pc.array_sort_indices(ends.dictionary).to_numpy()
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    at = rank[ends.indices.to_numpy()]
+    a, b, root = at[:n], at[n:], np.arange(len(order))
+    while len(a):
+        np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
+        while (root[root] != root).any():
+            root = root[root]
+        a, b = root[a], root[b]
+        a, b = a[a != b], b[a != b]
+    node = np.flatnonzero(root != np.arange(len(root)))
+    names = ends.dictionary.take(pa.array(order))
+    return pa.table({"a": names.take(pa.array(node)), "b": names.take(pa.array(root[node]))}, schema=edges.schema)
+
+
+def contracted(edges: DataFrame) -> DataFrame:
+    """Each partition's edges as stars of the same components, a > b."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        n, limit = 0, HELD
+        for batch in batches:
+            if batch.num_rows:
+                held.append(batch)
+                n += batch.num_rows
+            if n > limit:
+                held = stars(pa.Table.from_batches(held)).to_batches()
+                n = sum(x.num_rows for x in held)
+                limit = max(HELD, 2 * n)
+        if held:
+            yield from stars(pa.Table.from_batches(held)).to_batches(max_chunksize=1 << 16)
+
+    return edges.mapInArrow(run, edges.schema)
+
 
-def _state(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).head())
+def _ended(edges: DataFrame) -> bool:
+    """Whether each node has one edge to a lower one at most, and none if it is such a lower one."""
+    ends = edges.select(F.col("a").alias("node"), F.col("b").alias("up")).unionAll(edges.select("b", F.lit(None).cast(edges.schema["b"].dataType)))
+    each = ends.groupBy("node").agg(F.min("up").alias("low"), F.max("up").alias("high"), (F.count("*") > F.count("up")).alias("below"))
+    return not each.where("low < high or (low is not null and below)").head(1)
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) of every node of the edges (a, b); root is the least node of its component.
 
-    Each round points all of a node's larger neighbours at its least one, then all its smaller
-    ones, until nothing changes: about the logarithm of the largest component's size in rounds.
+    Every table of edges is first replaced by the stars of its partitions, as they are written and again as
+    they are read: edges of one partition's components are settled there, and small tables need nothing else.
+    Each round then points all of a node's larger neighbours at its least one, then all its smaller
+    ones, until all components are stars: about the logarithm of the largest component's size in rounds.
     Rounds are written tables, so a lost executor costs one round's work at most.  What the edges are
     joined with is dealt anew first: both sides of a join are then plain shuffles, of which Spark can
     split the one key that a large component's root is.
     """
-    now = written(edges.select("a", "b").where("a <> b").distinct(), "edges")
-    state = _state(now)
-    if not state[0]:
-        return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
-    while True:
+    now = written(contracted(edges.select("a", "b").where("a <> b")), "edges")
+    now = written(contracted(now), "edges")
+    while not _ended(now):
         both = now.unionAll(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")).hint("rebalance")
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
         lowest = down.groupBy("a").agg(F.min("b").alias("m")).hint("rebalance")
         small = down.join(lowest, "a").select(F.explode(F.array("a", "b")).alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        after = written(small, "edges")
-        new = _state(after)
-        if new == state:
-            break
-        now, state = after, new
-    return after.select(F.col("a").alias("node"), F.col("b").alias("root")).unionAll(after.select(F.col("b").alias("node"), F.col("b").alias("root"))).distinct()
+        now = written(contracted(written(small, "edges")), "edges")
+    return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionAll(now.select(F.col("b").alias("node"), F.col("b").alias("root"))).distinct()

@@ -141,3 +141,13 @@ def test_chains_over_ranges(spark, parts):
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before[1])
     rows.sort()
     assert got == {(x[2], y[2]) for x, y in zip(rows, rows[1:]) if x[0] == y[0] and x[2] != y[2] and 100 * x[1] >= 85 * y[1]}
+
+
+def test_small_tables_of_edges_need_no_round(spark, monkeypatch):
+    """A long chain in few partitions is settled where it is read: two tables written, no join."""
+    tables = []
+    keep = graph.written
+    monkeypatch.setattr(graph, "written", lambda df, name="table": tables.append(name) or keep(df, name))
+    edges = spark.createDataFrame([((7 * k) % 5003, (7 * k + 7) % 5003) for k in range(5000)], "a long, b long").repartition(4)
+    assert {r.root for r in graph.components(edges).collect()} == {0}
+    assert len(tables) == 2
