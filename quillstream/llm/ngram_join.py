@@ -12,7 +12,10 @@ is on classes.  Two classes link when 100 * intersection >= percent * union.
    scanning the prefix's n-grams plus verifying the candidates that they leave: linked sets share
    min(m, m') n-grams of their lengthened prefixes, so candidates must have that many in common.
    Those are verified exactly.  A pair that is connected already isn't verified again.
-4. Blocks over ``CHUNK`` classes (or ``CHUNK_TOKENS`` n-grams) are dealt into chunks by hash, joined
+4. Blocks over ``CHUNK`` classes (or ``CHUNK_TOKENS`` n-grams) are first split: sets that share a prefix n-gram
+   meet there, and those whose ``sketch``es allow a link make smaller blocks (``_refined``).  Chance meetings, which
+   join ever more sets as a corpus grows, end there, without the sets themselves.
+5. Blocks that are still over ``CHUNK`` classes (or ``CHUNK_TOKENS`` n-grams) are dealt into chunks by hash, joined
    within chunks, dealt and joined anew, and then chunk by chunk against each other, without pairs of
    chunks that lie in one component already.
 
@@ -34,10 +37,12 @@ from quillstream.llm import membership
 from quillstream.llm import rarity as rare
 from quillstream.llm import text as tx
 from quillstream.llm.columns import unused
-from quillstream.llm.graph import components
+from quillstream.llm.graph import components, contracted
 from quillstream.llm.storage import written
 
 CHUNK, CHUNK_TOKENS = 256, 400_000
+#: Rows of a token that meet in one task; a more frequent one is dealt in pairs of blocks of about as many.
+MEET = 4096
 LEVELS = np.array([1, 2, 4, 8, 16])
 
 
@@ -76,6 +81,47 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
+def sketch(own: np.ndarray) -> bytes:
+    """Parities of the set's hashes by cell, a bit a cell: two sets differ in as many n-grams at least as their bits do.
+
+    There are 64 bits at least, and about half to one a member, in a power of two: folded, a longer sketch is that of fewer bits.
+    """
+    bits = max(64, 1 << (max(1, len(own) - 1).bit_length() - 1))
+    odd = np.bincount((own & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def folded(raw: bytes, size: int) -> np.ndarray:
+    """A sketch as 64-bit words, of ``size`` bytes."""
+    words = np.frombuffer(raw, np.uint64)
+    while len(words) * 8 > size:
+        half = len(words) // 2
+        words = words[:half] ^ words[half:]
+    return words
+
+
+def allowed(sizes: np.ndarray, sketches: list[bytes], sides: np.ndarray, percent: int) -> Iterator[tuple[int, int]]:
+    """Pairs that connect all sets whose sizes and sketches allow a link; sides 0 meet all, others the other side."""
+    width = min(len(x) for x in sketches)
+    bits = np.array([folded(x, width) for x in sketches])
+    left = np.arange(len(sizes))
+    while len(left):
+        # from one set on, those met become the next to meet the rest
+        todo, left = [int(left[0])], left[1:]
+        while todo and len(left):
+            i = todo.pop()
+            total = sizes[i] + sizes[left]
+            near = 100 * np.minimum(sizes[i], sizes[left]) >= percent * np.maximum(sizes[i], sizes[left])
+            near &= (sides[i] == 0) | (sides[left] != sides[i])
+            at = np.flatnonzero(near)
+            apart = np.bitwise_count(bits[left[at]] ^ bits[i]).sum(axis=1, dtype=np.int64)
+            hit = at[apart <= total[at] - 2 * -(-percent * total[at] // (100 + percent))]
+            for j in left[hit].tolist():
+                yield i, j
+                todo.append(j)
+            left = np.delete(left, hit)
+
+
 class _Index:
     """Which sets hold a token: postings in one array."""
 
@@ -220,6 +266,45 @@ def _chains(postings: DataFrame, percent: int) -> DataFrame:
     return inside.unionAll(spark.createDataFrame(over, "a long, b long")) if over else inside
 
 
+def _refined(large: DataFrame, percent: int, order, parts: int) -> DataFrame:
+    """(node, root): blocks of the sets of ``large`` (short, n, prefix, sketch) that share a prefix n-gram and may link.
+
+    A token's sets meet in one task, those of a very frequent one in pairs of blocks; edges leave a task as stars.
+    Each token's sets are dealt by it and their sketches' width, those that a set with a shorter sketch may be linked
+    with by that width, too.
+    """
+
+    def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                short, n, raw = (batch.column(c)[row].as_py() for c in ("short", "n", "sketch"))
+                tokens = batch.column("prefix")[row].values.to_numpy().view(np.uint64)
+                blocks = np.minimum(-(-order.value.frequency(tokens) // MEET), 1 << 20)
+                grp, side = [], []
+                shorter = len(raw) > 8 and least_overlap(n, percent) <= 8 * len(raw)  # sets with shorter sketches may be linked
+                for width in (len(raw), len(raw) // 2) if shorter else (len(raw),):
+                    at = np.repeat(np.arange(len(tokens)), blocks)
+                    own = (tx.mix(np.full(len(at), short, np.int64).view(np.uint64)) % blocks[at].astype(np.uint64)).astype(np.int64)
+                    other = np.arange(len(at)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
+                    pair = (np.minimum(own, other) << 32 | np.maximum(own, other)).astype(np.uint64)
+                    grp.append(tx.mix(tokens[at] + tx.mix(pair + np.uint64(width << 24))).view(np.int64))
+                    side.append(np.where(own == other, 0, np.where(own < other, 1, 2)))
+                grp, side = np.concatenate(grp), np.concatenate(side)
+                yield pa.RecordBatch.from_arrays([pa.array(grp), pa.array(side.astype(np.int32)), pa.array(np.full(len(grp), short)), pa.array(np.full(len(grp), n)), pa.array([raw] * len(grp), pa.binary())], names=["grp", "side", "short", "n", "sketch"])
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in grouped(batches, "grp"):
+            if table.num_rows > 1:
+                short = table.column("short").to_numpy()
+                pairs = list(allowed(table.column("n").to_numpy(), table.column("sketch").to_pylist(), table.column("side").to_numpy(), percent))
+                if pairs:
+                    i, j = np.array(pairs).T
+                    yield pa.RecordBatch.from_arrays([pa.array(short[i]), pa.array(short[j])], names=["a", "b"])
+
+    posted = large.mapInArrow(post, "grp long, side int, short long, n long, sketch binary")
+    return components(contracted(posted.repartition(parts, "grp").sortWithinPartitions("grp").mapInArrow(meet, "a long, b long")))
+
+
 def link_components(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
     """doc_id, n_shingles and component_id (the least doc_id reachable by links) of every row, with the
     text's xxhash64 as text_key and the component's name as root (null without n-grams).
@@ -244,32 +329,44 @@ def link_components(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame
         seen: set[bytes] = set()
         for batch in batches:
             for part in tx.slices(batch, "text"):
-                size, names, prefix = [], [], []
+                size, names, prefix, sketches = [], [], [], []
                 for own in sets(part.column("text"), n):
                     size.append(len(own))
                     name = hashlib.blake2b(own.tobytes(), digest_size=16).digest() if len(own) else None
                     names.append(name)
                     if name is None or name in seen:
                         prefix.append(None)
+                        sketches.append(None)
                         continue
                     if len(seen) >= 200_000:
                         seen.clear()
                     seen.add(name)
                     first = order.value.ordered(own)[0][: len(own) - least_overlap(len(own), percent) + 1]
                     prefix.append(first[order.value.may_repeat(first)].view(np.int64))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text_key"), pa.array(size, pa.int64()), pa.array(names, pa.binary()), pa.array(prefix, pa.list_(pa.int64()))], names=["doc_id", "text_key", "n_shingles", "cls", "prefix"])
+                    sketches.append(sketch(own) if len(prefix[-1]) else None)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text_key"), pa.array(size, pa.int64()), pa.array(names, pa.binary()), pa.array(prefix, pa.list_(pa.int64())), pa.array(sketches, pa.binary())], names=["doc_id", "text_key", "n_shingles", "cls", "prefix", "sketch"])
 
-    described = written(read.mapInArrow(describe, "doc_id long, text_key long, n_shingles long, cls binary, prefix array<bigint>"), "described")
+    described = written(read.mapInArrow(describe, "doc_id long, text_key long, n_shingles long, cls binary, prefix array<bigint>, sketch binary"), "described")
     # 1. classes, and blocks of classes that meet in a prefix.  Short names only group candidates.
     short = F.xxhash64("cls")
     place = F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("d"), F.col("text_key").alias("k"))
     classes = described.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("least"), F.min(place).alias("at"), F.max("n_shingles").alias("n"))
     blocks = components(_chains(described.where(F.size("prefix") > 0).select(F.explode("prefix").alias("token"), F.col("n_shingles").alias("n"), short.alias("b")), percent))
     named = written(classes.withColumn("short", short), "classes")
-    members = named.join(blocks.withColumnRenamed("node", "short"), "short").select("cls", "n", "at", F.col("root").alias("block"))
-    total = members.groupBy("block").agg(F.count("*").alias("k"), F.sum("n").alias("tokens"))
-    chunks = F.greatest(F.ceil(F.col("k") / CHUNK), F.ceil(F.col("tokens") / CHUNK_TOKENS))
-    members = written(members.join(total.hint("rebalance"), "block").select("cls", "at", "block", chunks.cast("int").alias("chunks")), "members")
+    members = named.join(blocks.withColumnRenamed("node", "short"), "short").select("cls", "n", "at", "short", F.col("root").alias("block"))
+
+    def chunked(members: DataFrame) -> DataFrame:
+        total = members.groupBy("block").agg(F.count("*").alias("k"), F.sum("n").alias("tokens"))
+        chunks = F.greatest(F.ceil(F.col("k") / CHUNK), F.ceil(F.col("tokens") / CHUNK_TOKENS))
+        return written(members.join(total.hint("rebalance"), "block").select("cls", "n", "at", "short", "block", chunks.cast("int").alias("chunks")), "members")
+
+    members = chunked(members)
+    large = members.where("chunks > 1")
+    if large.select("cls").head(1):
+        prefixes = described.where(F.size("prefix") > 0).select("cls", "prefix", "sketch").join(large.select("cls", "short", "n"), "cls").dropDuplicates(["cls"])
+        smaller = _refined(prefixes.select("short", "n", "prefix", "sketch"), percent, order, parts)
+        inner = large.select("cls", "n", "at", "short").join(smaller.withColumnRenamed("node", "short"), "short").select("cls", "n", "at", "short", F.col("root").alias("block"))
+        members = members.where("chunks = 1").unionByName(chunked(inner))
 
     # 2. their sets, from one text of each class; of rows of one id and text, each task gives one
     flags = spark.sparkContext.broadcast(membership.bitmap(members.select("at.d", "at.k"), "d", "k"))

@@ -151,3 +151,33 @@ def test_small_tables_of_edges_need_no_round(spark, monkeypatch):
     edges = spark.createDataFrame([((7 * k) % 5003, (7 * k + 7) % 5003) for k in range(5000)], "a long, b long").repartition(4)
     assert {r.root for r in graph.components(edges).collect()} == {0}
     assert len(tables) == 2
+
+
+def test_sketches_bound_differences():
+    """The bits of two sketches differ in no more places than the sets do, at the wider one's width folded."""
+    rng = np.random.default_rng(3)
+    for _ in range(200):
+        a = np.unique(rng.integers(0, 2**63, int(rng.integers(1, 900)), dtype=np.uint64))
+        b = np.unique(np.concatenate([a[rng.random(len(a)) < 0.9], rng.integers(0, 2**63, 20, dtype=np.uint64)]))
+        x, y = ngram_join.sketch(a), ngram_join.sketch(b)
+        width = min(len(x), len(y))
+        apart = int(np.bitwise_count(ngram_join.folded(x, width) ^ ngram_join.folded(y, width)).sum())
+        assert apart <= len(np.setxor1d(a, b))
+
+
+@pytest.mark.parametrize("meet", [4096, 16])
+def test_chance_meetings_make_no_large_block(spark, monkeypatch, meet):
+    """Sets that share single rare n-grams in one long chain aren't compared chunk by chunk; links among them are found."""
+    monkeypatch.setattr(ngram_join, "CHUNK", 20)
+    monkeypatch.setattr(ngram_join, "MEET", meet)
+    texts = []
+    for k in range(300):  # each shares a rare passage with the one before and one with the one after
+        texts.append(" ".join([*(f"p{k}x{i}" for i in range(6)), *(f"own{k}x{i}" for i in range(60)), *(f"p{k + 1}x{i}" for i in range(6))]))
+    texts += [t + " end" for t in texts[::7]] + families(5, 50, 100, 6)
+    rows = list(enumerate(texts))
+    dealt = []
+    keep = ngram_join._across
+    monkeypatch.setattr(ngram_join, "_across", lambda large, *a: dealt.append(large.count()) or keep(large, *a))
+    got = ngram_join.link_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == brute(rows, 4, 85)
+    assert sum(dealt) <= 50  # of the family only
