@@ -33,12 +33,14 @@ def packed(columns: Columns) -> bytes:
     return struct.pack("<q", n) + b"".join(planes)
 
 
-def unpacked(blob: bytes | pa.Buffer, at: int, kinds: dict[str, str]) -> tuple[Columns, int]:
+def unpacked(blob: bytes | pa.Buffer, at: int, kinds: dict[str, str], rows: np.ndarray | None = None) -> tuple[Columns, int]:
+    """A table's columns (of ``rows`` only), and where the next table begins."""
     n, out = struct.unpack_from("<q", blob, at)[0], {}
     at += 8
     for name, kind in kinds.items():
         size = np.dtype(kind).itemsize
         planes = np.frombuffer(blob, np.uint8, n * size, at).reshape(size, n)
+        planes = planes if rows is None else planes[:, rows]
         out[name] = np.ascontiguousarray(planes.T).view(kind).ravel()
         at += n * size
     return out, at
@@ -83,10 +85,10 @@ def unused(name: str, taken: list[str]) -> str:
     return name
 
 
-def gathered(blobs: DataFrame, parts: int | None, kinds: list[dict[str, str]], then: Callable[..., Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+def gathered(blobs: DataFrame, parts: int | None, kinds: list[dict[str, str]], then: Callable[..., Iterator[pa.RecordBatch]], schema: str, most: int | None = None) -> DataFrame:
     """``then`` applied to the tables of each part, a dict of columns for each of ``kinds``.
 
-    ``parts``: as many tasks; None if there may be so little that Spark had better choose.
+    ``parts``: as many tasks; None if there may be so little that Spark had better choose, up to ``most``.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -113,4 +115,5 @@ def gathered(blobs: DataFrame, parts: int | None, kinds: list[dict[str, str]], t
         held = []
         tx.release()
 
-    return (blobs.repartitionById(parts, "part") if parts else blobs.repartition("part")).sortWithinPartitions("part").mapInArrow(run, schema)
+    dealt = blobs.repartitionById(parts, "part") if parts else blobs.repartition("part")
+    return (dealt.coalesce(most) if most and not parts else dealt).sortWithinPartitions("part").mapInArrow(run, schema)

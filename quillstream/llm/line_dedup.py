@@ -12,7 +12,7 @@ is left to know is whether a class has an earlier similar one:
   each other's rarest n - ceil(percent * n / 100) + 1; those words (less the ones that occur once)
   are dealt by word.
 * Where classes meet, three exact bounds are applied: on their sizes, on the overlap that the
-  word's positions still allow, and on the difference that 128-bit signatures of the sets prove.
+  word's positions still allow, and on the difference that 128 parity bits of the sets prove.
 * Survivors are verified on the full sets.  Each class first tries its earliest candidates; only
   classes that none of these settled, and that had more, try all of them.
 
@@ -80,25 +80,19 @@ def _postings(token: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return token >> np.uint64(64 - rare.HEAD_BITS), np.minimum(-(-rare.frequency(rank) // BLOCK_ROWS), 1 << 20)
 
 
-def _level(size: np.ndarray) -> np.ndarray:
-    """Signatures of longer lines are of every 2nd, 4th, ... word, lest all bits be set."""
-    return np.maximum(0, np.floor(np.log2(np.maximum(size, 1) / 80))).astype(np.int64)
-
-
 def signatures(lines: Lines) -> tuple[np.ndarray, np.ndarray]:
-    """128 bits of each line: two lines of one level differ in as many words at least as their bits do."""
-    level = _level(lines.size)[lines.owner]
+    """128 bits of each line, whether an even or odd number of its words fall on each: a word that only one of two
+    lines has turns one bit, so they differ in as many words at least as their bits do, however long they are."""
     token = lines.tokens >> np.uint64(22)
     bit = np.uint64(1) << (token & np.uint64(63))
-    bit[((token >> np.uint64(8)).astype(np.int64) & ((1 << level) - 1)) != 0] = 0
     low = (token & np.uint64(64)) == 0
     first = lines.first[:-1]
-    return np.bitwise_or.reduceat(np.where(low, bit, np.uint64(0)), first), np.bitwise_or.reduceat(np.where(low, np.uint64(0), bit), first)
+    return np.bitwise_xor.reduceat(np.where(low, bit, np.uint64(0)), first), np.bitwise_xor.reduceat(np.where(low, np.uint64(0), bit), first)
 
 
-def _earliest(x: np.ndarray, y: np.ndarray, most: int | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of pairs (later, earlier) of ordinals: the ``most`` earliest of each later one, and whether it had more."""
-    order = np.lexsort((y, x))
+def _earliest(x: np.ndarray, y: np.ndarray, doc: np.ndarray, line: np.ndarray, most: int | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of pairs (later, earlier) of rows: the ``most`` earliest of each later one, and whether it had more."""
+    order = np.lexsort((line[y], doc[y], x))
     x, y = x[order], y[order]
     if most is None or not len(x):
         return x, y, np.zeros(len(x), dtype=bool)
@@ -115,13 +109,8 @@ def meet(grp: np.ndarray, side: np.ndarray, doc: np.ndarray, line: np.ndarray, s
     Rows are sorted by group and size.  Step d compares each row with the d-th after it, as long as
     that one is of its group and not too long: all groups at once.
     """
-    ordinal = np.empty(len(doc), dtype=np.int64)
-    by_age = np.lexsort((line, doc))
-    ordinal[by_age] = np.arange(len(doc))
-    row_of = by_age
     new = np.concatenate([[True], grp[1:] != grp[:-1]])
     end = np.append(np.flatnonzero(new), len(grp))[np.cumsum(new)]
-    level = _level(size)
     later, earlier, more = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], np.zeros(0, bool)
     held, had_more = 0, np.zeros(len(doc), dtype=bool)
     i = np.flatnonzero(np.arange(len(grp)) + 1 < end)
@@ -133,24 +122,25 @@ def meet(grp: np.ndarray, side: np.ndarray, doc: np.ndarray, line: np.ndarray, s
         total = size[i] + size[j]
         need = -(-percent * total // (100 + percent))
         good = np.minimum(size[i] - place[i], size[j] - place[j]) >= need
-        good &= (level[i] != level[j]) | (np.bitwise_count(sign[i] ^ sign[j]).astype(np.int64) + np.bitwise_count(sign2[i] ^ sign2[j]) <= total - 2 * need)
+        good &= np.bitwise_count(sign[i] ^ sign[j]).astype(np.int64) + np.bitwise_count(sign2[i] ^ sign2[j]) <= total - 2 * need
         good &= (doc[i] != doc[j]) | (line[i] != line[j])
         good &= (side[i] == 0) | (side[i] != side[j])
         if good.any():
-            a, b = ordinal[i[good]], ordinal[j[good]]
-            x, y = np.maximum(a, b), np.minimum(a, b)
-            wanted = probe[row_of[x]]
+            a, b = i[good], j[good]
+            first = (doc[a] < doc[b]) | ((doc[a] == doc[b]) & (line[a] < line[b]))
+            x, y = np.where(first, b, a), np.where(first, a, b)
+            wanted = probe[x]
             later.append(x[wanted])
             earlier.append(y[wanted])
             held += int(wanted.sum())
             if held > 1 << 20 and most is not None:
-                x, y, more = _earliest(np.concatenate(later), np.concatenate(earlier), most)
+                x, y, more = _earliest(np.concatenate(later), np.concatenate(earlier), doc, line, most)
                 had_more[x[more]] = True
                 later, earlier, held = [x], [y], 0
         d += 1
         i = i[i + d < end[i]]
-    x, y, more = _earliest(np.concatenate(later), np.concatenate(earlier), most)
-    return row_of[x], row_of[y], more | had_more[x]
+    x, y, more = _earliest(np.concatenate(later), np.concatenate(earlier), doc, line, most)
+    return x, y, more | had_more[x]
 
 
 _PAIR = "x_doc long, x_line int, y_doc long, y_line int, more boolean"
@@ -177,6 +167,8 @@ def _spread(columns: dict[str, np.ndarray], blocks: np.ndarray) -> dict[str, np.
     A row of a token with b blocks goes to b groups.  ``side`` tells a pair's blocks apart (1, 2); 0 is
     for rows that meet all others of their group.
     """
+    if (blocks == 1).all():
+        return columns
     at = np.repeat(np.arange(len(blocks)), blocks)
     out = {k: c[at] for k, c in columns.items()}
     several = blocks[at] > 1
@@ -196,7 +188,8 @@ def later_lines(docs: DataFrame, percent: int = PERCENT, least: int = LEAST_WORD
     """
     spark = docs.sparkSession
     read = docs.where(F.col("text").isNotNull()).select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("doc_id"), F.xxhash64("text").alias("text_key"), "text")
-    parts = 2 * rare.n_parts(read.select("text"), 4)
+    # no more parts than there are pieces of PIECE_BYTES, so that small tables aren't dealt among tasks of a few rows
+    parts = 2 * max(4, min(rare.n_parts(read.select("text"), 4), -(-rare.n_bytes(read.select("text")) // rare.PIECE_BYTES)))
     order = spark.sparkContext.broadcast(rare.measure(read.select("text"), _words, per_token=32))
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -300,10 +293,11 @@ def later_lines(docs: DataFrame, percent: int = PERCENT, least: int = LEAST_WORD
                 for batch in batches:
                     out = {}
                     for part, blob in zip(batch.column("part").to_pylist(), batch.column("blob"), strict=True):
-                        c, _ = C.unpacked(blob.as_buffer(), 0, _POSTING)
-                        keep = live.value.inside(membership.pair_cells(c["grp"], np.zeros(len(c["grp"]), np.int64)))
-                        if keep.any():
-                            out.setdefault(part, []).append({k: v[keep] for k, v in c.items()})
+                        raw = blob.as_buffer()
+                        grp = C.unpacked(raw, 0, {"grp": _POSTING["grp"]})[0]["grp"]
+                        keep = np.flatnonzero(live.value.inside(membership.pair_cells(grp, np.zeros(len(grp), np.int64))))
+                        if len(keep):
+                            out.setdefault(part, []).append(C.unpacked(raw, 0, _POSTING, keep)[0])
                     if out:
                         yield C.rows({part: C.packed({k: np.concatenate([c[k] for c in several]) for k in _POSTING}) for part, several in out.items()})
 
@@ -317,32 +311,46 @@ def later_lines(docs: DataFrame, percent: int = PERCENT, least: int = LEAST_WORD
             if len(x):
                 yield pa.RecordBatch.from_arrays([pa.array(v) for v in (c["doc"][x], c["line"][x], c["doc"][y], c["line"][y], more)], names=["x_doc", "x_line", "y_doc", "y_line", "more"])
 
-        met = C.gathered(blobs, parts if probes is None else None, [_POSTING], run, _PAIR)
-        return written(met.groupBy("x_doc", "x_line", "y_doc", "y_line").agg(F.max("more").alias("more")), "pairs")
+        met = C.gathered(blobs, parts if probes is None else None, [_POSTING], run, _PAIR, parts)
+        if most is None:
+            each = met.groupBy("x_doc", "x_line", "y_doc", "y_line").agg(F.max("more").alias("more"))
+        else:  # the earliest of all groups; a group has named ``most`` at most
+            each = met.groupBy("x_doc", "x_line").agg(F.array_sort(F.collect_set(F.struct("y_doc", "y_line"))).alias("ys"), F.max("more").alias("more"))
+            each = each.select("x_doc", "x_line", F.explode(F.slice("ys", 1, most)).alias("y"), (F.col("more") | (F.size("ys") > most)).alias("more")).select("x_doc", "x_line", "y.*", "more")
+        return written(each.coalesce(parts), "pairs")
 
-    def verified(found: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """The later lines of pairs whose sets are similar (x_doc, x_line, text_key); and the sets of both lines."""
-        ends = found.select(F.col("x_doc").alias("doc"), F.col("x_line").alias("line")).unionAll(found.select("y_doc", "y_line"))
-        flags = spark.sparkContext.broadcast(membership.pair_bitmap(ends))
-        texts = spark.sparkContext.broadcast(membership.bitmap(ends.select(F.col("doc").alias("doc_id")), "doc_id"))
+    def verified(found: DataFrame, few: bool = False) -> tuple[DataFrame, DataFrame]:
+        """The later lines of pairs whose sets are similar (x_doc, x_line, text_key); and the sets of later lines.
+
+        ``few``: so few texts have such lines that the others had better not go to Python.
+        """
+        flags = spark.sparkContext.broadcast(membership.end_bitmaps(found.select("x_doc", "x_line", "y_doc", "y_line")))
 
         def read_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            xs, ys, texts = flags.value
             for batch in batches:
-                batch = batch.filter(pa.array(texts.value.inside(batch.column("cell").to_numpy())))
+                batch = batch.filter(pa.array(texts.inside(batch.column("cell").to_numpy())))
                 for part in tx.slices(batch, "text"):
                     data, offsets = tx.buffers(part.column("text"))
                     start, end, row, number = bounds(data, offsets)
                     ids = part.column("doc_id").to_numpy()[row]
                     # only lines that are an end of a pair are parsed
-                    at = np.flatnonzero(flags.value.inside(membership.pair_cells(ids, number)))
+                    cells = membership.pair_cells(ids, number)
+                    later, earlier = xs.inside(cells), ys.inside(cells)
+                    at = np.flatnonzero(later | earlier)
                     size = end[at] - start[at]
                     own = of_buffers(data[C.ranges(start[at], size)], np.concatenate([[0], np.cumsum(size)]))
                     own = own.where(own.size >= least)
                     if len(own.size):
                         at = at[own.row]
-                        yield pa.RecordBatch.from_arrays([pa.array(ids[at]), part.column("text_key").take(pa.array(row[at])), pa.array(number[at].astype(np.int32)), _packed(own)], names=["doc_id", "text_key", "line", "words"])
+                        yield pa.RecordBatch.from_arrays([pa.array(ids[at]), part.column("text_key").take(pa.array(row[at])), pa.array(number[at].astype(np.int32)), pa.array(later[at]), pa.array(earlier[at]), _packed(own)], names=["doc_id", "text_key", "line", "later", "earlier", "words"])
+
+        @F.arrow_udf("boolean")
+        def asked(cells: pa.Array) -> pa.Array:
+            return pa.array(flags.value[2].inside(cells.to_numpy()))
 
-        sets = read.withColumn("cell", membership.cell("doc_id")).mapInArrow(read_sets, "doc_id long, text_key long, line int, words binary")
+        celled = read.withColumn("cell", membership.cell("doc_id"))
+        sets = (celled.where(asked("cell")) if few else celled).mapInArrow(read_sets, "doc_id long, text_key long, line int, later boolean, earlier boolean, words binary")
         held = written(sets, "sets")
 
         def similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -353,19 +361,29 @@ def later_lines(docs: DataFrame, percent: int = PERCENT, least: int = LEAST_WORD
                     hits = 100 * both >= percent * (a.size + b.size - both)
                     yield batch.drop_columns(["a", "b"]).filter(pa.array(hits))
 
-        left, right = (held.select(F.col("doc_id").alias(f"{s}_doc"), F.col("line").alias(f"{s}_line"), *more) for s, more in (("x", ("text_key", F.col("words").alias("a"))), ("y", (F.col("words").alias("b"),))))
+        # later and earlier lines are two tables, of a line only where it may be one
+        left = held.where("later").select(F.col("doc_id").alias("x_doc"), F.col("line").alias("x_line"), "text_key", F.col("words").alias("a"))
+        right = held.where("earlier").select(F.col("doc_id").alias("y_doc"), F.col("line").alias("y_line"), F.col("words").alias("b"))
         both = found.drop("more").join(left, ["x_doc", "x_line"]).join(right, ["y_doc", "y_line"]).select("x_doc", "x_line", "text_key", "a", "b")
-        return both.mapInArrow(similar, "x_doc long, x_line int, text_key long").distinct(), held
+        return both.coalesce(parts).mapInArrow(similar, "x_doc long, x_line int, text_key long").distinct().coalesce(parts), held.where("later")
 
     early = pairs(TRIES)
     found, sets = verified(early)
     settled = written(found, "settled")
     x = ["x_doc", "x_line"]
     # texts of one id share a place: it is settled if all of them are
-    at = sets.withColumnsRenamed({"doc_id": "x_doc", "line": "x_line"})
-    rest = written(early.where("more").select(x).distinct().join(at, x).join(settled, [*x, "text_key"], "left_anti").select(F.col("x_doc").alias("doc_id"), F.col("x_line").alias("line"), "words"), "rest")
+    open_x = early.where("more").select(x).distinct()
+    flags = spark.sparkContext.broadcast(membership.bitmap(open_x, *x))
+
+    # only sets of lines that had more candidates are dealt
+    @F.arrow_udf("boolean")
+    def may_be_open(cells: pa.Array) -> pa.Array:
+        return pa.array(flags.value.inside(cells.to_numpy()))
+
+    at = sets.select(F.col("doc_id").alias("x_doc"), F.col("line").alias("x_line"), "text_key", "words").where(may_be_open(membership.cell(*x)))
+    rest = written(open_x.join(at, x).join(settled, [*x, "text_key"], "left_anti").select(F.col("x_doc").alias("doc_id"), F.col("x_line").alias("line"), "words").coalesce(parts), "rest")
     if rest.head(1):
-        settled = settled.unionAll(written(verified(pairs(None, rest))[0], "settled"))
+        settled = settled.unionAll(written(verified(pairs(None, rest), few=True)[0], "settled"))
     going = settled.select(F.col("x_doc").alias("doc_id"), "text_key", F.col("x_line").alias("line")).distinct()
     beside = twins.join(going.withColumnRenamed("text_key", "first_key"), ["doc_id", "line", "first_key"]).select("doc_id", "text_key", "line")
     return later.unionByName(going).unionByName(beside)

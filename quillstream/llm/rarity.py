@@ -80,8 +80,12 @@ def _unblob(raw: pa.Buffer) -> tuple[np.ndarray, np.ndarray]:
 
 def added(heads: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct heads, ascending, with their counts' sums."""
-    order = np.argsort(heads, kind="stable")
-    heads, counts = heads[order], counts[order]
+    if len(heads) and max(int(heads.max()), int(counts.max())) < 1 << 32:  # both in one number
+        both = np.sort((heads.astype(np.uint64) << np.uint64(32)) | counts.astype(np.uint64))
+        heads, counts = (both >> np.uint64(32)).astype(heads.dtype), (both & np.uint64((1 << 32) - 1)).astype(counts.dtype)
+    else:
+        order = np.argsort(heads, kind="stable")
+        heads, counts = heads[order], counts[order]
     first = np.flatnonzero(np.concatenate([[True], heads[1:] != heads[:-1]]))
     return heads[first], np.add.reduceat(counts, first)
 
@@ -102,8 +106,8 @@ def n_bytes(rows: DataFrame) -> int:
     return size if size < 1 << 44 else int(rows.agg(F.sum(F.octet_length("text"))).head()[0] or 0)
 
 
-#: Bytes of text for each part that a task holds at once.
-PART_BYTES = 1 << 26
+#: Bytes of text for each part that a task holds at once; and those that are worth a task.
+PART_BYTES, PIECE_BYTES = 1 << 26, 1 << 21
 
 
 def n_parts(rows: DataFrame, least: int) -> int:
@@ -181,7 +185,8 @@ def measure(rows: DataFrame, tokens: Callable[[pa.RecordBatch], Iterator[np.ndar
             yield done()
 
     shuffles = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    spread = rows.mapInArrow(split, "range int, blob binary").repartitionById(min(1 << bits, max(8, shuffles)), "range").sortWithinPartitions("range")
+    tasks = min(1 << bits, max(8, min(shuffles, -(-size // PIECE_BYTES))))
+    spread = rows.mapInArrow(split, "range int, blob binary").repartitionById(tasks, "range").sortWithinPartitions("range")
     counted = written(spread.mapInArrow(count, "range int, heads array<bigint>, counts array<bigint>, bitmap binary"), "frequencies")
     each = counted.select(F.explode(F.arrays_zip("heads", "counts")).alias("x")).select("x.heads", F.ceil(4 * F.log2("x.counts")).cast("int").alias("rank"))
     bar, total = 0, 0

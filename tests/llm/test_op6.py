@@ -164,3 +164,51 @@ def test_words_whose_upper_bits_clash():
     assert line_dedup._common(*sides).tolist() == [len(set(a) & set(b)) for a, b in zip(sets[:100], sets[100:], strict=True)]
     back = line_dedup._unpacked(line_dedup._packed(sides[0]))
     assert back.tokens.tolist() == sides[0].tokens.tolist() and back.owner.tolist() == sides[0].owner.tolist()
+
+
+def test_signatures_tell_long_lines_apart():
+    """The bits differ by no more than the sets do, and by much for long lines that share little, of whatever sizes."""
+    rng = np.random.default_rng(5)
+    base = np.unique(rng.integers(0, 1 << 63, 400, dtype=np.uint64))
+
+    def sets(several):
+        size = np.array([len(s) for s in several])
+        row = np.arange(len(several))
+        return Lines(row, row, size, np.concatenate([np.sort(s) for s in several]), np.repeat(row, size))
+
+    def differ(a, b):
+        (p, q), (r, s) = line_dedup.signatures(sets(a)), line_dedup.signatures(sets(b))
+        return np.bitwise_count(p ^ r).astype(int) + np.bitwise_count(q ^ s)
+
+    a = [base[: rng.integers(1, 400)] for _ in range(200)]
+    b = [np.union1d(s[rng.random(len(s)) < rng.random()], base[-5:]) for s in a]
+    assert (differ(a, b) <= [len(np.setxor1d(s, t)) for s, t in zip(a, b, strict=True)]).all()
+    for n, m in ((150, 150), (150, 165), (200, 190)):
+        x, y = ([rng.integers(0, 1 << 63, size, dtype=np.uint64) for _ in range(100)] for size in (n, m))
+        bound = n + m - 2 * -(-80 * (n + m) // 180)
+        assert (differ(x, y) > bound).mean() > 0.95
+
+
+def test_small_tables_and_bitmaps_take_few_tasks(spark, monkeypatch):
+    """However many shuffle partitions the session has, tasks follow the rows; the results stay."""
+    from quillstream.llm import columns, membership
+
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    tasks = []
+    keep = columns.gathered
+    monkeypatch.setattr(columns, "gathered", lambda blobs, parts, *more: tasks.append(parts) or keep(blobs, parts, *more))
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    try:
+        rows = [*enumerate(variants(6, 60))]
+        got = line_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+        pairs = spark.createDataFrame([(k, k % 3, k + 1000, k % 5) for k in range(500)], "x long, a int, y long, b int").repartition(40)
+        xs, ys, texts = membership.end_bitmaps(pairs)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert sorted((r.doc_id, r.text, r.n_removed) for r in got) == sorted(brute(rows, 80, 1))
+    assert max(n for n in tasks if n) == 8
+    k = np.arange(500)
+    assert xs.inside(membership.pair_cells(k, k % 3)).all() and ys.inside(membership.pair_cells(k + 1000, k % 5)).all()
+    assert xs.inside(membership.pair_cells(k + 1000, k % 5)).mean() < 0.3
+    cells = np.array([r[0] for r in pairs.select(membership.cell("y")).collect()])
+    assert texts.inside(cells).all()
