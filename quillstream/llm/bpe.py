@@ -9,8 +9,9 @@ it isn't an apostrophe (which opens a contraction).  Then the right fragment sta
 the pre-tokeniser starts a piece, or in the midst of a piece that no merge spans.
 
 Cuts are found with numpy over a whole Arrow batch, and every one is taken.  Fragments are a few
-bytes long and repeat, so short ones are looked up among those met before; the others are split
-into the pre-tokeniser's pieces and merged here by rank: short pieces of a whole slice side by side,
+bytes long and repeat, so those of up to 16 bytes are looked up among those met before, all of a slice at
+once in arrays (two words and a length say which fragment it is; one that falls on another's place
+takes it); the others are split into the pre-tokeniser's pieces and merged here by rank: short pieces of a whole slice side by side,
 one merge a piece at a time; long ones (runs of blanks or letters of any length) with all places of a
 rank at once.
 
@@ -33,8 +34,8 @@ from pyspark.sql import DataFrame
 from quillstream.llm import text as tx
 from quillstream.llm.columns import ranges
 
-#: Bytes of a fragment that is kept for the next time, and the number of these; bytes of a piece that is merged beside others.
-SHORT, KEPT, FEW = 64, 150_000, 64
+#: Bytes of a fragment that is kept for the next time, its ids, and the number of these; bytes of a piece that is merged beside others.
+SHORT, FEW_IDS, KEPT, FEW = 16, 8, 1 << 20, 64
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 #: Fixed value: the pieces that byte-level vocabularies of this kind are merged in.
 PIECE = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -55,6 +56,43 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(0x100 + k): b for k, b in enumerate(others)}
 
 
+def fragment_keys(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first and the second eight bytes of each fragment as numbers, zeros beyond its end."""
+    padded = np.zeros(len(data) + 16, np.uint8)
+    padded[: len(data)] = data
+    eight = np.ndarray((len(data) + 9,), "<u8", padded, strides=(1,))
+    return eight[start] & tx.LOWEST[np.minimum(size, 8)], eight[start + 8] & tx.LOWEST[np.clip(size - 8, 0, 8)] if len(start) else eight[start]
+
+
+class Known:
+    """Short fragments with their ids: arrays with a place for each hash, of the latest fragment there."""
+
+    def __init__(self, most: int, kind: np.dtype):
+        self.bits = max(1, (most - 1).bit_length())
+        self.low, self.high = np.zeros(1 << self.bits, np.uint64), np.zeros(1 << self.bits, np.uint64)
+        self.size, self.count = np.zeros(1 << self.bits, np.uint8), np.zeros(1 << self.bits, np.uint8)
+        self.ids = np.zeros((1 << self.bits) * FEW_IDS, kind)
+
+    def find(self, low: np.ndarray, high: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Each fragment's place, and whether it is there."""
+        slot = (tx.mix(tx.mix(low + size.astype(np.uint64)) ^ high) >> np.uint64(64 - self.bits)).astype(np.int64)
+        return slot, (self.low[slot] == low) & (self.size[slot] == size) & (self.high[slot] == high)
+
+    def copy(self, slot: np.ndarray, count: np.ndarray, out: np.ndarray, at: np.ndarray) -> None:
+        """The ids of the fragments there to ``out`` from ``at`` on."""
+        k = 0
+        while len(slot):
+            out[at + k] = self.ids[slot * FEW_IDS + k]
+            k += 1
+            more = count > k
+            slot, count, at = slot[more], count[more], at[more]
+
+    def keep(self, slot: np.ndarray, low: np.ndarray, high: np.ndarray, size: np.ndarray, count: np.ndarray, ids: np.ndarray, begin: np.ndarray) -> None:
+        slot, one = np.unique(slot, return_index=True)  # one fragment a place
+        self.low[slot], self.high[slot], self.size[slot], self.count[slot] = low[one], high[one], size[one], count[one]
+        self.ids[ranges(slot * FEW_IDS, count[one])] = ids[ranges(begin[one], count[one])]
+
+
 class Encoder:
     """Encodes as the tokenizers library does with the file's tokenizer and without added special tokens.
 
@@ -89,7 +127,7 @@ class Encoder:
         # Versions of Unicode differ in their letters beyond STABLE, so there the file's own pre-tokeniser is asked.
         self.split = Tokenizer.from_file(path).pre_tokenizer.pre_tokenize_str
         self.piece = regex.compile(PIECE)
-        self.known: dict[bytes, bytes] = {}
+        self.known: Known | None = None
         self.marks = regex.compile(b"(" + b"|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + b")" if self.added else b"$^")
         self.certain = np.ones(1 << 16, dtype=bool)
         for token in self.token:
@@ -238,29 +276,36 @@ class Encoder:
 
     def encode_cut(self, data: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of the fragments between ``edges``, one after the other, and how many each has."""
-        start, end = edges[:-1], edges[1:]
+        if self.known is None:
+            self.known = Known(KEPT, np.dtype("<u2") if len(self.token) <= 1 << 16 else np.dtype("<u4"))
+        start, size = edges[:-1], np.diff(edges)
+        low, high = fragment_keys(data, start, size)
+        slot, met = self.known.find(low, high, size)
+        count = np.where(met, self.known.count[slot], 0).astype(np.int64)
+        new = np.flatnonzero(~met)
+        if len(new):
+            fresh, own, first, of = self.encode_new(data, start[new], start[new] + size[new])
+            count[new] = own[of]
+        at = np.cumsum(count) - count
+        out = np.empty(int(count.sum()), "<u4")
+        old = np.flatnonzero(met)
+        self.known.copy(slot[old], count[old], out, at[old])
+        if len(new):
+            begin = np.cumsum(own) - own
+            out[ranges(at[new], count[new])] = fresh[ranges(begin[of], count[new])]
+            short = (size[new[first]] <= SHORT) & (own <= FEW_IDS)
+            put = new[first[short]]
+            self.known.keep(slot[put], low[put], high[put], size[put], own[short], fresh, begin[short])
+        return out, count
+
+    def encode_new(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of fragments that may repeat: the different ones' ids and how many each has, where each is first, and which each is."""
         # fragments are told apart by hashes, then those of one hash compared
         _, first, of = np.unique(tx.word_hashes(data, start, end, fold=False), return_index=True, return_inverse=True)
         size = end - start
-        if not ((size == size[first][of]).all() and (data == data[ranges(start[first][of], size)]).all()):
+        if not ((size == size[first][of]).all() and (data[ranges(start, size)] == data[ranges(start[first][of], size)]).all()):
             first = of = np.arange(len(start))
-        start, end = start[first], end[first]
-        raw = data.tobytes()
-        keys = [raw[a:b] for a, b in zip(start.tolist(), end.tolist(), strict=True)]
-        known = list(map(self.known.get, keys))
-        new = np.array([k for k, ids in enumerate(known) if ids is None], np.int64)
-        if len(new):
-            ids, count = self.encode_fragments(data, start[new], end[new])
-            packed, ends = ids.tobytes(), (4 * np.cumsum(count)).tolist()
-            if len(self.known) + len(new) > KEPT:
-                self.known.clear()
-            for k, a, b in zip(new.tolist(), [0, *ends[:-1]], ends, strict=True):
-                known[k] = packed[a:b]
-                if len(keys[k]) <= SHORT:
-                    self.known[keys[k]] = known[k]
-        count = np.array([len(ids) for ids in known], np.int64) // 4
-        flat, at = np.frombuffer(b"".join(known), "<u4"), np.cumsum(count) - count
-        return flat[ranges(at[of], count[of])], count[of]
+        return *self.encode_fragments(data, start[first], end[first]), first, of
 
     def encode_all(self, data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
         """The ids of each of several texts of UTF-8 bytes."""

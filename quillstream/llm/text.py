@@ -28,7 +28,7 @@ IS_SPACE[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[ord("A") : ord("Z") + 1] += 32
 #: The lowest k bytes of a number.
-_LOWEST = np.array([(1 << 8 * k) - 1 for k in range(9)], dtype=U64)
+LOWEST = np.array([(1 << 8 * k) - 1 for k in range(9)], dtype=U64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -111,12 +111,12 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: bo
     eight = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
     size = ends - starts
     out = size.astype(U64) * _STEP
-    out ^= eight[starts] & _LOWEST[np.minimum(size, 8)]
+    out ^= eight[starts] & LOWEST[np.minimum(size, 8)]
     out = mix(out)
     live = np.flatnonzero((size > 8) & (size <= LONG_WORD))
     k = 8
     while len(live):
-        out[live] = mix((out[live] * _STEP) ^ (eight[starts[live] + k] & _LOWEST[np.minimum(size[live] - k, 8)]))
+        out[live] = mix((out[live] * _STEP) ^ (eight[starts[live] + k] & LOWEST[np.minimum(size[live] - k, 8)]))
         k += 8
         live = live[size[live] > k]
     for at in np.flatnonzero(size > LONG_WORD).tolist():

@@ -210,3 +210,30 @@ def test_only_copies_of_pages_are_shuffled(spark, monkeypatch):
         want.append((-1 if page is None else page, "response" if new else "revisit", None if new else first, len(html)))
     assert got == sorted(want, key=lambda r: (r[0], r[1], r[2] or 0))
     assert "NOT may_copy" in shuffled[0]  # rows that go to the archives without a join
+
+
+def test_fragments_met_before_stay_known(monkeypatch):
+    """More fragments than places push out some of those met before, not all; what differs only in its end isn't mistaken."""
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(bpe, "KEPT", 1024)
+    code, asked = bpe.Encoder(vocabulary()), []
+    keep = code.encode_fragments
+    monkeypatch.setattr(code, "encode_fragments", lambda data, start, end: asked.append(len(start)) or keep(data, start, end))
+    library = Tokenizer.from_file(vocabulary())
+
+    def encoded(texts):
+        asked.clear()
+        got = code.encode_all(*text.buffers(pa.array(texts)))
+        assert [ids.tolist() for ids in got] == [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+        return sum(asked)
+
+    common = ["".join(x) for x in itertools.product(("an", "en", "ti", "on", "st"), repeat=4)][:600]
+    assert encoded(common) > 300
+    first = encoded(common)
+    encoded(["".join(x) for x in itertools.product(("er", "re", "in", "at", "or", "es"), repeat=4)][:900])
+    again = encoded(common)
+    assert first < 300 and again < 500
+    ends = ["ab", "ab\0", "ab\0\0", "abcdefgh", "abcdefgh\0", "abcdefghabcdefgh", "abcdefghabcdefghi", "abcdefghabcdefg\0", "\0", "\0\0", "", "12345678901234567890"]
+    for _ in range(2):
+        encoded(ends)
