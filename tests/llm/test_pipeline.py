@@ -1,10 +1,11 @@
 import math
 
 import corpus_pipeline as pipeline
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from quillstream.llm import packing, pii, toxicity
+from quillstream.llm import packing, pii, storage, toxicity
 from tests.llm import test_op4, test_op6, test_op8_op10
 
 SF = "/root/testdata/sf0.001"
@@ -110,3 +111,24 @@ def test_run_and_no_rows(spark, stages):
     for _, stage in pipeline.STAGES:
         docs = stage(spark, docs, SF)
     assert docs.count() == 0
+
+
+def test_batches_of_long_texts_are_small(spark):
+    """Neither side of a task's pipe holds 10,000 whole texts at once, in a stage's tables and in its result; less that a session asks for stays."""
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"size": [batch.nbytes]})
+
+    docs = spark.range(400).select(F.col("id").alias("doc_id"), F.repeat(F.lit("some words "), 5000).alias("text")).coalesce(1)
+    before = spark.conf.get(storage.BATCH)
+    spark.conf.unset(storage.BATCH)
+    try:
+        for rows in (storage.written(docs.mapInArrow(sizes, "size long")), docs.mapInArrow(sizes, "size long")):
+            got = [r["size"] for r in rows.collect()]
+            assert sum(got) > 20 << 20 and max(got) < storage.BATCH_BYTES + (1 << 20)
+        spark.conf.set(storage.BATCH, "2m")
+        storage.written(spark.range(1))
+        assert spark.conf.get(storage.BATCH) == "2m"
+    finally:
+        spark.conf.set(storage.BATCH, before)
