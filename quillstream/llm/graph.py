@@ -36,24 +36,25 @@ def stars(edges: pa.Table) -> pa.Table:
     return pa.table({"a": names.take(pa.array(node)), "b": names.take(pa.array(root[node]))}, schema=edges.schema)
 
 
-def contracted(edges: DataFrame) -> DataFrame:
-    """Each partition's edges as stars of the same components, a > b."""
+def contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A task's edges as stars of the same components, a > b."""
+    held: list[pa.RecordBatch] = []
+    n, limit = 0, HELD
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+            n += batch.num_rows
+        if n > limit:
+            held = stars(pa.Table.from_batches(held)).to_batches()
+            n = sum(x.num_rows for x in held)
+            limit = max(HELD, 2 * n)
+    if held:
+        yield from stars(pa.Table.from_batches(held)).to_batches(max_chunksize=1 << 16)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        n, limit = 0, HELD
-        for batch in batches:
-            if batch.num_rows:
-                held.append(batch)
-                n += batch.num_rows
-            if n > limit:
-                held = stars(pa.Table.from_batches(held)).to_batches()
-                n = sum(x.num_rows for x in held)
-                limit = max(HELD, 2 * n)
-        if held:
-            yield from stars(pa.Table.from_batches(held)).to_batches(max_chunksize=1 << 16)
 
-    return edges.mapInArrow(run, edges.schema)
+def contracted(edges: DataFrame) -> DataFrame:
+    """Each partition's edges as stars of the same components, a > b."""
+    return edges.mapInArrow(contract, edges.schema)
 
 
 def _ended(edges: DataFrame) -> bool:
@@ -63,9 +64,12 @@ def _ended(edges: DataFrame) -> bool:
     return not each.where("low < high or (low is not null and below)").head(1)
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, settled: bool = False) -> DataFrame:
     """(node, root) of every node of the edges (a, b); root is the least node of its component.
 
+    ``settled``: each partition's edges are ``contract``ed already, by the Python step that made them: one more
+    would be one more worker, with its memory, beside each task's own.
+
     Every table of edges is first replaced by the stars of its partitions, as they are written and again as
     they are read: edges of one partition's components are settled there, and small tables need nothing else.
     Each round then points all of a node's larger neighbours at its least one, then all its smaller
@@ -74,7 +78,8 @@ def components(edges: DataFrame) -> DataFrame:
     joined with is dealt anew first: both sides of a join are then plain shuffles, of which Spark can
     split the one key that a large component's root is.
     """
-    now = written(contracted(edges.select("a", "b").where("a <> b")), "edges")
+    edges = edges.select("a", "b")
+    now = written(edges if settled else contracted(edges.where("a <> b")), "edges")
     now = written(contracted(now), "edges")
     while not _ended(now):
         both = now.unionAll(now.select(F.col("b").alias("a"), F.col("a").alias("b")))

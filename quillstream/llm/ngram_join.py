@@ -37,7 +37,7 @@ from quillstream.llm import membership
 from quillstream.llm import rarity as rare
 from quillstream.llm import text as tx
 from quillstream.llm.columns import unused
-from quillstream.llm.graph import components, contracted
+from quillstream.llm.graph import components, contract
 from quillstream.llm.storage import written
 
 CHUNK, CHUNK_TOKENS = 256, 400_000
@@ -293,16 +293,24 @@ def _refined(large: DataFrame, percent: int, order, parts: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(grp), pa.array(side.astype(np.int32)), pa.array(np.full(len(grp), short)), pa.array(np.full(len(grp), n)), pa.array([raw] * len(grp), pa.binary())], names=["grp", "side", "short", "n", "sketch"])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []  # of many small groups, edges of one batch
+        n = 0
         for table in grouped(batches, "grp"):
             if table.num_rows > 1:
                 short = table.column("short").to_numpy()
                 pairs = list(allowed(table.column("n").to_numpy(), table.column("sketch").to_pylist(), table.column("side").to_numpy(), percent))
                 if pairs:
-                    i, j = np.array(pairs).T
-                    yield pa.RecordBatch.from_arrays([pa.array(short[i]), pa.array(short[j])], names=["a", "b"])
+                    held.append(short[np.array(pairs)])
+                    n += len(pairs)
+                if n >= 1 << 13:
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in np.concatenate(held).T], names=["a", "b"])
+                    held, n = [], 0
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in np.concatenate(held).T], names=["a", "b"])
 
     posted = large.mapInArrow(post, "grp long, side int, short long, n long, sketch binary")
-    return components(contracted(posted.repartition(parts, "grp").sortWithinPartitions("grp").mapInArrow(meet, "a long, b long")))
+    met = posted.repartition(parts, "grp").sortWithinPartitions("grp").mapInArrow(lambda batches: contract(meet(batches)), "a long, b long")
+    return components(met, settled=True)
 
 
 def link_components(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:

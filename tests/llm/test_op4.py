@@ -181,3 +181,20 @@ def test_chance_meetings_make_no_large_block(spark, monkeypatch, meet):
     got = ngram_join.link_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
     assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == brute(rows, 4, 85)
     assert sum(dealt) <= 50  # of the family only
+
+
+def test_blocks_are_split_by_one_python_step_a_task(spark, monkeypatch):
+    """Each task of the split of large blocks has one worker beside it, as the sets' stars are made where they meet."""
+    monkeypatch.setattr(ngram_join, "CHUNK", 20)
+    steps = []
+    keep = graph.written
+
+    def spied(df, name="table"):
+        steps.append(df._jdf.queryExecution().toString().split("== Physical Plan ==")[1].split("Exchange")[0].count("MapInArrow"))
+        return keep(df, name)
+
+    monkeypatch.setattr(graph, "written", spied)
+    rows = list(enumerate(families(6, 60, 100, 6) + families(7, 60, 100, 30)))
+    got = ngram_join.link_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == brute(rows, 4, 85)
+    assert max(steps) == 1, steps
