@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 from quillstream.llm.storage import written
 
-#: Edges that a task holds before it replaces them by their components' stars.
-HELD = 1 << 20
+#: Edges that a task holds before it replaces them by their components' stars; and those that are worth a task.
+HELD, TASK_EDGES = 1 << 20, 1 << 17
 
 
 def stars(edges: pa.Table) -> pa.Table:
@@ -57,6 +57,12 @@ def contracted(edges: DataFrame) -> DataFrame:
     return edges.mapInArrow(contract, edges.schema)
 
 
+def _few(edges: DataFrame) -> tuple[DataFrame, int]:
+    """The edges of a written table in as few tasks as they are worth, and how many these are at most."""
+    tasks = -(-edges.count() // TASK_EDGES) or 1
+    return edges.coalesce(tasks), tasks
+
+
 def _ended(edges: DataFrame) -> bool:
     """Whether each node has one edge to a lower one at most, and none if it is such a lower one."""
     ends = edges.select(F.col("a").alias("node"), F.col("b").alias("up")).unionAll(edges.select("b", F.lit(None).cast(edges.schema["b"].dataType)))
@@ -70,8 +76,9 @@ def components(edges: DataFrame, settled: bool = False) -> DataFrame:
     ``settled``: each partition's edges are ``contract``ed already, by the Python step that made them: one more
     would be one more worker, with its memory, beside each task's own.
 
-    Every table of edges is first replaced by the stars of its partitions, as they are written and again as
-    they are read: edges of one partition's components are settled there, and small tables need nothing else.
+    Every table of edges is first replaced by the stars of its partitions, twice, each time in as few tasks as its
+    rows are worth: edges of one partition's components are settled there, and tables of ``TASK_EDGES`` need nothing
+    else, however many parts they were made in (``edges`` is counted first, so it had better be written already).
     Each round then points all of a node's larger neighbours at its least one, then all its smaller
     ones, until all components are stars: about the logarithm of the largest component's size in rounds.
     Rounds are written tables, so a lost executor costs one round's work at most.  What the edges are
@@ -79,14 +86,18 @@ def components(edges: DataFrame, settled: bool = False) -> DataFrame:
     split the one key that a large component's root is.
     """
     edges = edges.select("a", "b")
-    now = written(edges if settled else contracted(edges.where("a <> b")), "edges")
+    now, tasks = _few(written(edges, "edges") if settled else edges.where("a <> b"))
     now = written(contracted(now), "edges")
-    while not _ended(now):
+    if tasks > 1:
+        now, tasks = _few(now)
+        now = written(contracted(now), "edges")
+    while tasks > 1 and not _ended(now):
         both = now.unionAll(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")).hint("rebalance")
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
         lowest = down.groupBy("a").agg(F.min("b").alias("m")).hint("rebalance")
         small = down.join(lowest, "a").select(F.explode(F.array("a", "b")).alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        now = written(contracted(written(small, "edges")), "edges")
+        now, tasks = _few(written(small, "edges"))
+        now = written(contracted(now), "edges")
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionAll(now.select(F.col("b").alias("node"), F.col("b").alias("root"))).distinct()

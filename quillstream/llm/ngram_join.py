@@ -44,6 +44,8 @@ CHUNK, CHUNK_TOKENS = 256, 400_000
 #: Rows of a token that meet in one task; a more frequent one is dealt in pairs of blocks of about as many.
 MEET = 4096
 LEVELS = np.array([1, 2, 4, 8, 16])
+#: Rows of small tables (classes, members), and n-grams of tables of sets, that are worth a task and a file.
+TASK_ROWS, TASK_TOKENS = 1 << 16, 1 << 19
 
 
 def least_overlap(n: int, percent: int) -> int:
@@ -360,13 +362,15 @@ def link_components(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame
     place = F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("d"), F.col("text_key").alias("k"))
     classes = described.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("least"), F.min(place).alias("at"), F.max("n_shingles").alias("n"))
     blocks = components(_chains(described.where(F.size("prefix") > 0).select(F.explode("prefix").alias("token"), F.col("n_shingles").alias("n"), short.alias("b")), percent))
-    named = written(classes.withColumn("short", short), "classes")
+    # small tables in few files: without Hadoop's native code, each file of a local file system costs processes, too
+    few = max(1, -(-described.count() // TASK_ROWS))
+    named = written(classes.withColumn("short", short).coalesce(few), "classes")
     members = named.join(blocks.withColumnRenamed("node", "short"), "short").select("cls", "n", "at", "short", F.col("root").alias("block"))
 
     def chunked(members: DataFrame) -> DataFrame:
         total = members.groupBy("block").agg(F.count("*").alias("k"), F.sum("n").alias("tokens"))
         chunks = F.greatest(F.ceil(F.col("k") / CHUNK), F.ceil(F.col("tokens") / CHUNK_TOKENS))
-        return written(members.join(total.hint("rebalance"), "block").select("cls", "n", "at", "short", "block", chunks.cast("int").alias("chunks")), "members")
+        return written(members.join(total.hint("rebalance"), "block").select("cls", "n", "at", "short", "block", chunks.cast("int").alias("chunks")).coalesce(few), "members")
 
     members = chunked(members)
     large = members.where("chunks > 1")
@@ -397,7 +401,8 @@ def link_components(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame
 
     keyed = read.select(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("d"), F.col("text_key").alias("k"), "text")
     fetched = keyed.select(membership.cell("d", "k").alias("cell"), "text").mapInArrow(fetch, "cls binary, tokens binary").join(members.select("cls", "block", "chunks"), "cls")
-    held = written(fetched.dropDuplicates(["cls"]).withColumn("grp", F.xxhash64("block", F.pmod(F.xxhash64("cls"), "chunks"))), "sets")
+    worth = max(1, -(-(members.agg(F.sum("n")).head()[0] or 0) // TASK_TOKENS))
+    held = written(fetched.dropDuplicates(["cls"]).withColumn("grp", F.xxhash64("block", F.pmod(F.xxhash64("cls"), "chunks"))).coalesce(worth), "sets")
 
     def within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in grouped(batches, "grp"):
@@ -412,7 +417,7 @@ def link_components(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame
     if large.select("cls").head(1):
         again = large.select("cls", "tokens", F.xxhash64(F.lit("again"), "block", F.pmod(F.xxhash64(F.lit("again"), "cls"), "chunks")).alias("grp"))
         links.append(written(_dealt(again, within, parts), "links"))
-        links.append(_across(large, links[0].unionAll(links[1]), percent, order, parts))
+        links.append(_across(large, links[0].unionAll(links[1]), percent, order, parts, worth))
     edges = links[0]
     for more in links[1:]:
         edges = edges.unionAll(more)
@@ -439,16 +444,16 @@ def one_of_each(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     return kept.unionByName(docs.where(~wordy))
 
 
-def _across(large: DataFrame, edges: DataFrame, percent: int, order, parts: int) -> DataFrame:
+def _across(large: DataFrame, edges: DataFrame, percent: int, order, parts: int, worth: int) -> DataFrame:
     """Links between chunks of one block.  A component of a chunk's size or more has chunks of its own, of
-    which no two are compared; the other classes share chunks."""
+    which no two are compared; the other classes share chunks.  ``worth``: tasks that the sets are worth."""
     roots = components(edges)
     known = large.select("cls", "block", "chunks", "tokens").join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     size = known.groupBy("block", "root").agg(F.count("*").alias("size"))
     own = known.join(size.hint("rebalance"), ["block", "root"])
     pure = F.col("size") >= CHUNK
     chunk = F.when(pure, F.xxhash64("root", F.pmod(F.xxhash64("cls"), F.ceil(F.col("size") / CHUNK)))).otherwise(F.xxhash64("block", F.pmod(F.xxhash64("cls"), "chunks")))
-    dealt = written(own.select("cls", "block", "root", "tokens", chunk.alias("chunk"), F.when(pure, F.col("root")).alias("whole")), "dealt")
+    dealt = written(own.select("cls", "block", "root", "tokens", chunk.alias("chunk"), F.when(pure, F.col("root")).alias("whole")).coalesce(worth), "dealt")
     names = dealt.select("block", "chunk", "whole").distinct()
     left, right = (names.select("block", *(F.col(c).alias(f"{c}_{s}") for c in ("chunk", "whole"))) for s in "xy")
     pairs = left.join(right, "block").where("chunk_x <= chunk_y and not coalesce(whole_x = whole_y, false)").select("block", "chunk_x", "chunk_y", F.xxhash64("block", "chunk_x", "chunk_y").alias("grp"))

@@ -153,6 +153,36 @@ def test_small_tables_of_edges_need_no_round(spark, monkeypatch):
     assert len(tables) <= 4, tables
 
 
+def test_edges_in_many_parts_need_no_round(spark, monkeypatch):
+    """The parts that edges were made in don't say in how many tasks they are settled, nor into how many files they are written."""
+    tables = []
+    keep = graph.written
+    monkeypatch.setattr(graph, "written", lambda df, name="table": tables.append(keep(df, name)) or tables[-1])
+    edges = spark.createDataFrame([((7 * k) % 5003, (7 * k + 7) % 5003) for k in range(5000)], "a long, b long").repartition(60)
+    assert {r.root for r in graph.components(edges).collect()} == {0}
+    assert [len(t.inputFiles()) for t in tables] == [1]
+    # several tasks settle what each has, and rounds the rest
+    monkeypatch.setattr(graph, "TASK_EDGES", 500)
+    assert {r.root for r in graph.components(edges).collect()} == {0}
+    assert len(tables) > 2
+
+
+def test_small_tables_are_few_files(spark, monkeypatch, sample):
+    """However many shuffle partitions there are: a file is a task and several processes where Hadoop has no native code."""
+    tables = {}
+    keep = ngram_join.written
+    monkeypatch.setattr(ngram_join, "written", lambda df, name="table": tables.update({name: keep(df, name)}) or tables[name])
+    adaptive, before = "spark.sql.adaptive.coalescePartitions.enabled", spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", 40)
+    spark.conf.set(adaptive, "false")
+    try:
+        ngram_join.link_components(spark.createDataFrame(sample, "doc_id long, text string")).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.unset(adaptive)
+    assert {name: len(tables[name].inputFiles()) for name in ("classes", "members", "sets")} == {"classes": 1, "members": 1, "sets": 1}
+
+
 def test_sketches_bound_differences():
     """The bits of two sketches differ in no more places than the sets do, at the wider one's width folded."""
     rng = np.random.default_rng(3)
