@@ -59,20 +59,19 @@ def _words(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
 
 def _prefixes(lines: Lines, order: rare.Rarity, percent: int, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Owner, token, place in the line's order and rank of all prefix words that may occur in a second line."""
-    rank = order.rank(lines.tokens)
-    inside = np.arange(len(lines.tokens)) - lines.first[lines.owner]
-    if lines.size.max(initial=0) < 1 << 24 and len(lines.size) < 1 << 32:  # all three in one number
-        key = np.sort((lines.owner << 32) | (rank.astype(np.int64) << 24) | inside)
-        owner = key >> 32
-        at = lines.first[owner] + (key & ((1 << 24) - 1))
+    rank, first = order.rank(lines.tokens), lines.first
+    place = np.arange(len(lines.tokens)) - np.repeat(first[:-1], lines.size)
+    # sorted by line, each still has its places, of which the first are its prefix
+    count = np.where(_meets(lines.size, percent, least), lines.size - (-(-percent * lines.size // 100)) + 1, 0)
+    prefix = place < np.repeat(count, lines.size)
+    if lines.size.max(initial=0) < 1 << 24 and len(lines.size) < 1 << 31:  # all three in one number
+        key = np.sort((lines.owner << 32) | (rank.astype(np.int64) << 24) | place)[prefix]
+        at = first[lines.owner[prefix]] + (key & ((1 << 24) - 1))
     else:
-        at = np.lexsort((inside, rank, lines.owner))
-        owner = lines.owner[at]
-    place = np.arange(len(at)) - lines.first[owner]
-    size = lines.size[owner]
-    keep = (place < size - (-(-percent * size // 100)) + 1) & _meets(size, percent, least) & (rank[at] > 0)
+        at = np.lexsort((place, rank, lines.owner))[prefix]
+    keep = rank[at] > 0
     at = at[keep]
-    return owner[keep], lines.tokens[at], place[keep], rank[at]
+    return lines.owner[at], lines.tokens[at], place[prefix][keep], rank[at]
 
 
 def _postings(token: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -59,7 +59,7 @@ def of_buffers(data: np.ndarray, offsets: np.ndarray) -> Lines:
     row, number = row[has], number[has]
     line = np.repeat(np.arange(len(row)), count[has])
     order = by_owner(line, words)
-    words, owner = words[order], line[order]
+    words, owner = words[order], line  # lines were in order
     keep = np.concatenate([[True], (owner[1:] != owner[:-1]) | (words[1:] != words[:-1])])
     words, owner = words[keep], owner[keep]
     return Lines(row, number, np.bincount(owner, minlength=len(row)), words, owner)

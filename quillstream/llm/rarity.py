@@ -131,11 +131,10 @@ def measure(rows: DataFrame, tokens: Callable[[pa.RecordBatch], Iterator[np.ndar
         heads = np.sort(np.concatenate(held) >> wide)
         first = np.flatnonzero(np.concatenate([[True], heads[1:] != heads[:-1]]))
         counts, heads = np.diff(np.append(first, len(heads))), heads[first]
-        ranges = heads >> low_bits
-        names, firsts = np.unique(ranges, return_index=True)
-        ends = [*firsts[1:].tolist(), len(heads)]
+        edges = np.append(np.searchsorted(heads, np.arange(1 << bits, dtype=np.uint64) << low_bits), len(heads))
+        names = np.flatnonzero(edges[1:] > edges[:-1])
         low = (heads & np.uint64((1 << int(low_bits)) - 1)).astype(np.uint32)
-        return pa.RecordBatch.from_arrays([pa.array(names.astype(np.int32)), pa.array([_blob(low[a:b], counts[a:b]) for a, b in zip(firsts.tolist(), ends, strict=True)], pa.binary())], names=["range", "blob"])
+        return pa.RecordBatch.from_arrays([pa.array(names.astype(np.int32)), pa.array([_blob(low[a:b], counts[a:b]) for a, b in zip(edges[names].tolist(), edges[names + 1].tolist(), strict=True)], pa.binary())], names=["range", "blob"])
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0

@@ -25,8 +25,6 @@ LONG_WORD = 1024
 
 IS_SPACE = np.zeros(256, dtype=bool)
 IS_SPACE[[0x20, *range(0x09, 0x0E)]] = True
-LOWER = np.arange(256, dtype=np.uint8)
-LOWER[ord("A") : ord("Z") + 1] += 32
 #: The lowest k bytes of a number.
 LOWEST = np.array([(1 << 8 * k) - 1 for k in range(9)], dtype=U64)
 
@@ -83,18 +81,13 @@ def word_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     """Byte starts and ends of all words, and each text's first word (n + 1 entries)."""
     if not len(data):
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(offsets), np.int64)
-    word = (data != 0x20) & (data - np.uint8(9) > 4)
-    edge = np.flatnonzero(word[1:] != word[:-1]) + 1
-    # changes from white space to word and back take turns
-    if word[0]:
-        edge = np.concatenate([[0], edge])
-    if word[-1]:
-        edge = np.append(edge, len(data))
-    starts, ends = np.ascontiguousarray(edge[0::2]), np.ascontiguousarray(edge[1::2])
-    inner = np.unique(offsets[(offsets > 0) & (offsets < len(data))])
-    inner = inner[word[inner - 1] & word[inner]]
-    if len(inner):  # one text ends and the next begins without white space
-        starts, ends = np.sort(np.concatenate([starts, inner])), np.sort(np.concatenate([ends, inner]))
+    gap = np.ones(len(data) + 2, dtype=bool)  # one before the first byte and one after the last
+    gap[1:-1] = (data == 0x20) | (data - np.uint8(9) <= 4)
+    begins, stops = gap[:-2] > gap[1:-1], gap[:-1] < gap[1:]
+    inner = offsets[(offsets > 0) & (offsets < len(data))]
+    inner = inner[~(gap[inner] | gap[inner + 1])]
+    begins[inner] = stops[inner] = True  # one text ends and the next begins without white space
+    starts, ends = np.flatnonzero(begins), np.flatnonzero(stops)
     return starts, ends, np.searchsorted(starts, offsets)
 
 
@@ -105,7 +98,8 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: bo
     padded = np.empty(len(data) + 8, np.uint8)
     padded[len(data) :] = 0
     if fold:
-        np.take(LOWER, data, out=padded[: len(data)])
+        upper = (data - np.uint8(ord("A")) < 26).view(np.uint8)
+        np.bitwise_or(data, upper << 5, out=padded[: len(data)])
     else:
         padded[: len(data)] = data
     eight = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))

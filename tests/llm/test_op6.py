@@ -6,6 +6,7 @@ import pyarrow as pa
 import pytest
 
 from quillstream.llm import line_dedup
+from quillstream.llm import text as tx
 from quillstream.llm.line_sets import Lines, by_owner
 
 
@@ -212,3 +213,14 @@ def test_small_tables_and_bitmaps_take_few_tasks(spark, monkeypatch):
     assert xs.inside(membership.pair_cells(k + 1000, k % 5)).mean() < 0.3
     cells = np.array([r[0] for r in pairs.select(membership.cell("y")).collect()])
     assert texts.inside(cells).all()
+
+
+def test_meeting_texts_cost_no_sort(monkeypatch):
+    """Texts that meet without white space are told apart where words are found, not by a sort of all words."""
+    texts = ["ab Cd", "e", "", "f g\n", None, " h", "i\x0bjk", "\x1cl", "m "]
+    data, offsets = tx.buffers(pa.array(texts))
+    want = [[w.encode() for w in re.findall(r"[^\x20\x09-\x0D]+", t or "")] for t in texts]
+    monkeypatch.setattr(np, "sort", None)
+    starts, ends, first = tx.word_bounds(data, offsets)
+    got = [data.tobytes()[a:b] for a, b in zip(starts, ends, strict=True)]
+    assert [got[a:b] for a, b in zip(first[:-1], first[1:], strict=True)] == want
