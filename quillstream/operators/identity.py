@@ -134,10 +134,9 @@ def link_tiers(links: DataFrame, papers: DataFrame, least: float = 0.75) -> Data
     ``links``: link, owner, anchor, doi; ``papers``: paper, owner, title, doi.  The least paper of equal ones.
     """
     hashed = papers.select(T.title_hash(F.col("title")).alias("h"), "paper").groupBy("h").agg(F.min("paper").alias("paper"))
-    one = links.withColumn("h", T.title_hash(F.col("anchor"))).join(hashed, "h").select("link", "paper", F.lit("title").alias("tier"))
-    rest = links.join(one, "link", "left_anti")
+    one = links.select("link", T.title_hash(F.col("anchor")).alias("h")).join(hashed, "h").select("link", F.lit(1).alias("tier"), "paper")
     dois = papers.where("doi is not null").groupBy("doi").agg(F.min("paper").alias("paper"))
-    two = rest.join(dois, "doi").select("link", "paper", F.lit("doi").alias("tier"))
-    rest = rest.join(two, "link", "left_anti")
-    best = titled(rest.select("link", "owner", "anchor"), papers, least)
-    return one.unionByName(two).unionByName(best.select("link", "paper", F.lit("anchor").alias("tier")))
+    two = links.where("doi is not null").join(dois, "doi").select("link", F.lit(2).alias("tier"), "paper")
+    found = G.written(one.unionByName(two).groupBy("link").agg(F.min(F.struct("tier", "paper")).alias("b")).select("link", "b.paper", F.when(F.col("b.tier") == 1, "title").otherwise("doi").alias("tier")))
+    best = titled(links.join(found, "link", "left_anti").select("link", "owner", "anchor"), papers, least)
+    return found.unionByName(best.select("link", "paper", F.lit("anchor").alias("tier")))

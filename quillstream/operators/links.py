@@ -174,15 +174,20 @@ def research_links(pages: DataFrame) -> DataFrame:
     return kept.where(U.bare(F.col("to")) != U.bare(F.col("base"))).select("page", U.bare(F.col("to")).alias("to")).distinct()
 
 
+def _forms(c: str) -> list[Column]:
+    """What ``text.link_score`` looks at in a text: its letters and digits, and its meaningful words."""
+    return [T.alnum(F.col(c)).alias("s"), F.array_sort(T.meaningful_words(F.col(c))).alias("w")]
+
+
 def shared_words(links: DataFrame, titles: DataFrame, least: float) -> DataFrame:
     """(link, paper, score): pairs of one owner by the words' rule of ``text.link_score``, of ``least`` or more.
 
-    ``links``: link, owner, anchor; ``titles``: paper, owner, title.  The lesser of two shares of common words
+    ``links``: link, owner, w (words); ``titles``: paper, owner, w.  The lesser of two shares of common words
     is that of the larger set, so sets of x and y words need ceil(least * max(x, y)) in common, which bounds
     their sizes by each other.  Words go by how rare they are among the owner's titles; a set's n - ceil(least * n) + 1
     rarest ones must meet the other's, and only those are joined.
     """
-    sides = [links.select("owner", F.col("link").alias("id"), T.meaningful_words(F.col("anchor")).alias("words")), titles.select("owner", F.col("paper").alias("id"), T.meaningful_words(F.col("title")).alias("words"))]
+    sides = [links.select("owner", F.col("link").alias("id"), F.col("w").alias("words")), titles.select("owner", F.col("paper").alias("id"), F.col("w").alias("words"))]
     sides = [s.where(F.size("words") >= 2) for s in sides]
     each = sides[1].select("owner", F.explode("words").alias("word"))
     often = each.groupBy("owner", "word").agg(F.count("*").alias("often"))
@@ -207,11 +212,12 @@ GRAM = 8
 def contained(links: DataFrame, titles: DataFrame, least: float = 0.75) -> DataFrame:
     """(link, paper): pairs of one owner of which one's letters and digits hold the other's and are under 1 / ``least`` as many.
 
-    A string that holds another holds all its strings of GRAM characters; so the one that is rarest among the
-    longer side is enough to join on, and one that none there has ends the search.  Shorter strings than that fit
-    in a few letters more, all of whose parts are listed.
+    ``links``: link, owner, s (letters and digits, five or more); ``titles``: paper, owner, s.  A string that holds
+    another holds all its strings of GRAM characters; so the one that is rarest among the longer side is enough to
+    join on, and one that none there has ends the search.  Shorter strings than that fit in a few letters more, all
+    of whose parts are listed.
     """
-    sides = [links.select("owner", F.col("link").alias("id"), T.alnum(F.col("anchor")).alias("s")).where(F.length("s") >= 5), titles.select("owner", F.col("paper").alias("id"), T.alnum(F.col("title")).alias("s")).where("s <> ''")]
+    sides = [links.select("owner", F.col("link").alias("id"), "s"), titles.select("owner", F.col("paper").alias("id"), "s").where("s <> ''")]
     grams = F.explode(F.array_distinct(F.expr(f"transform(sequence(1, length(s) - {GRAM - 1}), i -> substring(s, i, {GRAM}))"))).alias("g")
     parts = F.explode(F.array_distinct(F.expr("flatten(transform(sequence(1, length(s)), i -> transform(sequence(1, length(s) - i + 1), n -> substring(s, i, n))))"))).alias("x")
     out = []
@@ -232,12 +238,18 @@ def contained(links: DataFrame, titles: DataFrame, least: float = 0.75) -> DataF
 def titled(links: DataFrame, titles: DataFrame, least: float = 0.75) -> DataFrame:
     """(link, paper, score): the title of its owner that an anchor names best, by ``text.link_score``; of equal ones the least paper.
 
-    Anchors of under five characters name nothing.
+    Anchors of under five characters name nothing.  Texts of one form score alike with everything, so an owner's
+    anchors, and its titles (under the least paper), meet once for each form; the tables of forms are written, so that
+    what they come from runs once and the joins' plans stay small.
     """
-    long = links.where((F.length(F.trim("anchor")) >= 5) & (F.length(T.alnum(F.col("anchor"))) >= 5))
-    scored = contained(long, titles).withColumn("score", F.lit(1.0)).unionByName(shared_words(long, titles, least))
-    best = scored.groupBy("link").agg(F.max_by(F.struct("paper", "score"), F.struct("score", -F.col("paper"))).alias("b"))
-    return best.select("link", "b.paper", "b.score")
+    long = written(links.where(F.length(F.trim("anchor")) >= 5).select("link", "owner", *_forms("anchor")).where(F.length("s") >= 5))
+    anchors = written(long.select("owner", "s", "w").distinct().withColumn("link", F.monotonically_increasing_id()))
+    sought = titles.join(anchors.select("owner").distinct(), "owner", "left_semi")
+    names = written(sought.select("owner", "paper", *_forms("title")).groupBy("owner", "s", "w").agg(F.min("paper").alias("paper")))
+    scored = written(contained(anchors, names).withColumn("score", F.lit(1.0))).unionByName(written(shared_words(anchors, names, least)))
+    best = lambda df: df.groupBy("link").agg(F.max_by(F.struct("paper", "score"), F.struct("score", -F.col("paper"))).alias("b")).select("link", "b.paper", "b.score")
+    told = anchors.join(best(scored), "link").drop("link")
+    return best(long.join(told, ["owner", "s", "w"]))
 
 
 def backfill(pages: DataFrame, saved: DataFrame, papers: DataFrame, least: float = 0.75) -> DataFrame:

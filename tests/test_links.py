@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from quillstream.functions import urls as W
 from quillstream.functions import values as V
 from quillstream.operators import links as L
+from quillstream.operators.identity import link_tiers
 
 LONG = "Incomplete Take-Up of Insurance Benefits"
 U = "https://ssrn.com/abstract=99"
@@ -92,6 +93,25 @@ def test_titled_against_all_pairs(spark, least):
     assert L.titled(links.limit(0), papers, least).collect() == [] == L.titled(links, papers.limit(0), least).collect()
 
 
+def test_texts_of_one_form_meet_once(spark, monkeypatch):
+    met = {}
+    for name in ("contained", "shared_words"):
+        monkeypatch.setattr(L, name, lambda links, titles, *rest, f=getattr(L, name), name=name: met.setdefault(name, (links.count(), titles.count())) and f(links, titles, *rest))
+    forms = ["trade and wage growth", "Trade and  WAGE growth!", "tax of the school"]
+    links = spark.createDataFrame([(k, "xyz"[k % 3], forms[k % 3] + " s") for k in range(90)] + [(90, "x", forms[0])] * 2, "link long, owner string, anchor string")
+    papers = spark.createDataFrame([(200 - k, "xyu"[k // 3 % 3], forms[k % 3]) for k in range(90)], "paper long, owner string, title string")
+    got = sorted((r.link, r.paper, r.score) for r in L.titled(links, papers).collect())
+    x, y = (min(200 - k for k in range(90) if k // 3 % 3 == o and k % 3 < 2) for o in (0, 1))
+    assert got == sorted([(k, (x, y)[k % 3], 1.0) for k in range(90) if k % 3 < 2] + [(90, x, 1.0)])
+    assert met == {"contained": (4, 4), "shared_words": (4, 4)}
+
+
+def test_tiers_of_links(spark):
+    papers = spark.createDataFrame([(5, "a", LONG, None), (4, "b", LONG.upper(), "10.1/x"), (3, "a", "Another long title here", "10.1/x"), (9, "a", LONG + " now", None)], "paper long, owner string, title string, doi string")
+    links = spark.createDataFrame([(1, "a", LONG.lower(), "10.1/x"), (2, "a", "PDF", "10.1/x"), (3, "a", LONG + " 's", None), (4, "c", LONG + " 's", None), (5, "a", "PDF", None), (6, "a", None, None)], "link long, owner string, anchor string, doi string")
+    assert sorted(tuple(r) for r in link_tiers(links, papers).collect()) == [(1, 4, "title"), (2, 3, "doi"), (3, 5, "anchor")]
+
+
 def test_backfill_leaves_saved_pages_alone(spark):
     html, cited = (f'<p><a href="{u}">{LONG}</a></p>' for u in (U, "https://papers.ssrn.com/sol3/papers.cfm?abstract_id=99"))
     pages = spark.createDataFrame([(1, "a", html), (2, "a", html), (3, "b", cited), (4, "a", None), (5, "b", html)], "page long, owner string, html string")
