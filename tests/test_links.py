@@ -121,6 +121,14 @@ def test_backfill_leaves_saved_pages_alone(spark):
     assert got == [(1, 7, "anchor", "ssrn"), (3, 8, "doi", "ssrn")]
 
 
+def test_plans_of_backfill_stay_small(spark):
+    pages = spark.createDataFrame([(1, "a", f'<p><a href="{U}">{LONG}</a></p>')], "page long, owner string, html string")
+    papers = spark.createDataFrame([(7, "a", LONG + " now", None)], "paper long, owner string, title string, doi string")
+    plan = L.backfill(pages, pages.select("page").limit(0), papers)._jdf.queryExecution().analyzed().toString()
+    assert plan.count("Join ") <= 5  # 58 when each tier planned all that is before it
+    assert plan.count("Generate ") == 0
+
+
 def test_references_are_resolved_as_the_library_does(spark):
     from urllib.parse import urljoin
 
