@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quillstream.functions import text as T
 from quillstream.functions import values as V
+from quillstream.operators.groups import written
 
 
 def domain(url: Column) -> Column:
@@ -82,16 +83,19 @@ def resolved(wanted: DataFrame, known: DataFrame, told: DataFrame) -> DataFrame:
     """
     name = ["first_key", "last_key"]
     keyed = lambda df: df.withColumn("first_key", F.lower(F.trim("first"))).withColumn("last_key", F.lower(F.trim("last")))
-    people, rest = keyed(known), keyed(wanted)
+    people, sought = keyed(known), keyed(wanted)
     exact = people.groupBy(*name).agg(F.min("id").alias("id"))
-    one = rest.join(exact, name).select("k", "id", F.lit("name").alias("tier"))
-    rest = rest.join(one, "k", "left_anti")
+    one = sought.join(exact, name).select("k", F.lit(1).alias("tier"), "id")
     numbers = people.where("identifier is not null").groupBy("identifier").agg(F.min("id").alias("id"))
-    two = rest.join(numbers, "identifier").select("k", "id", F.lit("identifier").alias("tier"))
-    rest = rest.join(two, "k", "left_anti")
-    near = rest.join(people.select("last_key", F.col("id"), F.col("first").alias("other")), "last_key").where(T.compatible_names(F.col("first"), F.col("other")))
-    three = near.groupBy("k").agg(F.min("id").alias("id"), F.count("*").alias("n")).where("n = 1").select("k", "id", F.lit("compatible").alias("tier"))
-    rest = rest.join(three, "k", "left_anti")
-    four = rest.join(told.where("id is not null").groupBy("k").agg(F.min("id").alias("id")), "k").select("k", "id", F.lit("told").alias("tier"))
-    rest = rest.join(four, "k", "left_anti")
-    return one.unionByName(two).unionByName(three).unionByName(four).unionByName(rest.select("k", F.lit(None).cast("long").alias("id"), F.lit("new").alias("tier")))
+    two = sought.where("identifier is not null").join(numbers, "identifier").select("k", F.lit(2).alias("tier"), "id")
+    found = written(one.unionByName(two).groupBy("k").agg(F.min(F.struct("tier", "id")).alias("b")).select("k", "b.id", F.when(F.col("b.tier") == 1, "name").otherwise("identifier").alias("tier")))
+    # compatible names begin with one letter; each name, however many have it, meets the others once
+    letter = F.left(F.lower(F.get(T.name_words(T.text(F.col("first"))), F.lit(0))), F.lit(1))
+    rest = written(sought.join(found, "k", "left_anti").select("k", "last_key", "first"))
+    names = rest.select("last_key", "first").distinct().withColumn("letter", letter)
+    others = people.groupBy("last_key", "first").agg(F.min("id").alias("id"), F.count("*").alias("n")).withColumn("letter", letter).withColumnRenamed("first", "other")
+    near = names.join(others, ["last_key", "letter"]).where(T.compatible_names(F.col("first"), F.col("other"))).groupBy("last_key", "first").agg(F.min("id").alias("id"), F.sum("n").alias("n"))
+    three = written(rest.join(near, ["last_key", "first"]).groupBy("k").agg(F.min("id").alias("id"), F.sum("n").alias("n")).where("n = 1").select("k", "id", F.lit("compatible").alias("tier")))
+    said = told.where("id is not null").groupBy("k").agg(F.min("id").alias("id"))
+    last = rest.join(three, "k", "left_anti").join(said, "k", "left").select("k", "id", F.when(F.col("id").isNotNull(), "told").otherwise("new").alias("tier"))
+    return found.unionByName(three).unionByName(last)

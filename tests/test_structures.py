@@ -68,6 +68,25 @@ def test_lookup_cascade(spark):
     assert got == [(1, 1, "name"), (2, 3, "identifier"), (3, 6, "compatible"), (4, 4, "compatible"), (5, 4, "compatible"), (6, None, "new"), (7, None, "new")]
 
 
+def test_names_of_a_cascade_meet_once(spark, monkeypatch):
+    met = spark.sparkContext.accumulator(0)
+
+    def fits(x, y):
+        met.add(1)
+        return x[0] == y[0] and (x == y or min(len(x), len(y)) == 2)
+
+    monkeypatch.setattr(T, "compatible_names", lambda a, b: F.udf(fits, "boolean")(a, b))
+    known = spark.createDataFrame([(k, ["Bo", "Bob", "Cy"][k % 3], "Lee", None) for k in range(300)] + [(1000, "Dan", "Lee", "A1")], "id long, first string, last string, identifier string")
+    people = [(k, ["B.", "D.", "Al", None][k % 4], "lee", None) for k in range(400)]
+    people += [(900, "D.", "lee", None)] * 2 + [(901, "Dan", "LEE", None)] * 2 + [(902, "Dan", "lee", "A1"), (902, "Xi", "Wu", "A1")]
+    wanted = spark.createDataFrame(people, "k long, first string, last string, identifier string")
+    got = sorted((tuple(r) for r in linkage.resolved(wanted, known, spark.createDataFrame([(2, 5)], "k long, id long")).collect()), key=lambda r: r[0])
+    # as in SQL, two pairs of one k aren't the only one, and a k has one row of the first two tiers
+    want = [(k, 1000, "compatible") if k % 4 == 1 else (2, 5, "told") if k == 2 else (k, None, "new") for k in range(400)]
+    assert got == want + [(900, None, "new")] * 2 + [(901, 1000, "name"), (902, 1000, "name")]
+    assert met.value <= 20
+
+
 def test_pages_by_key_are_those_by_offset(spark, tmp_path):
     rng = random.Random(3)
     rows = [(rng.choice([None, *range(60)]) if k % 9 == 0 else rng.randrange(60), k) for k in range(1500)]
