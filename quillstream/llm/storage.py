@@ -2,24 +2,13 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import DataFrame, SparkSession
 
+from quillstream.session import BATCH_BYTES, small_batches  # noqa: F401
 from quillstream.session import shared_folder as shared_dir
 
 #: Spark's setting to drop a query's shuffle files as soon as the query has ended.
 CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-#: Spark's setting of an Arrow batch's bytes, of which each task's JVM and Python hold some batches at once; and the most here.
-BATCH, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 1 << 22
-
-
-def small_batches(spark: SparkSession) -> None:
-    """From now on the session's Arrow batches have ``BATCH_BYTES`` and a row at most, or fewer if it says so."""
-    now = re.fullmatch(r"(\d+)([kmgtp]?)b?", spark.conf.get(BATCH).lower())
-    if not now or int(now[1]) << 10 * " kmgtp".index(now[2] or " ") > BATCH_BYTES:
-        spark.conf.set(BATCH, str(BATCH_BYTES))
-
 
 def written(df: DataFrame, name: str = "table") -> DataFrame:
     """The frame as a table in the shared folder, read again: later plans start from its files, and its shuffles are gone."""

@@ -54,14 +54,9 @@ def _(t):
 @P.add("win_3_greedy_best_match")
 def _(t):
     """Each old title of a page used once, best pairs first."""
-    titles = t("pages").select("page_id", F.posexplode(F.slice(F.split("html", "<p>"), 2, 1 << 30)).alias("k", "piece"))
-    # words once a title, before titles meet
-    sets = titles.select("page_id", "k", F.array_distinct(T.words(T.normalize_title(F.col("piece")))).alias("w")).where(F.size("w") > 0)
-    pair = sets.select("page_id", F.col("k").alias("i"), F.col("w").alias("x")).join(sets.select("page_id", F.col("k").alias("j"), F.col("w").alias("y")), "page_id").where("i < j")
-    able = pair.where(5 * F.least(F.size("x"), F.size("y")) >= F.greatest(F.size("x"), F.size("y")))
-    both = able.select("page_id", "i", "j", F.size(F.array_intersect("x", "y")).alias("both"), (F.size("x") + F.size("y")).alias("all"))
-    scored = both.select("page_id", "i", "j", (F.col("both") / (F.col("all") - F.col("both"))).alias("score")).where("score >= 0.2")
-
+    pieces = F.slice(F.split("html", "<p>"), 2, 1 << 30)
+    sets = t("pages").select("page_id", F.transform(pieces, lambda p: F.array_distinct(T.words(T.normalize_title(p)))).alias("w"))
+    scored = M.alike(sets.where("page_id is not null"), "page_id", "w", 0.2)
     return M.greedy(scored, "page_id", "i", "j", "score")
 
 

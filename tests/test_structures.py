@@ -159,3 +159,26 @@ def test_pareto_over_ranges(spark, parts):
             want.append(k)
             best = score if score is not None else best
     assert got == sorted(want)
+
+
+def test_titles_alike_against_all_pairs(spark):
+    rng = random.Random(4)
+    texts = lambda n: [sorted(rng.sample("abcdefgh", rng.randrange(9))) for _ in range(n)]
+    rows = [(k, texts(n)) for k, n in enumerate([0, 1, 2, 30, 7, 400])] + [(6, None), (7, [[]] * 3), (8, [["a"]] * 500)]
+    got = sorted(tuple(r) for r in matching.alike(spark.createDataFrame(rows, "page long, w array<array<string>>").repartition(2), "page", "w", 0.5).collect())
+    want = []
+    for page, sets in rows:
+        sets = [set(w) for w in sets or []]
+        want += [(page, i, j, len(a & b) / len(a | b)) for j, b in enumerate(sets) for i, a in enumerate(sets[:j]) if 2 * len(a & b) >= len(a | b) > 0]
+    assert got == sorted(want)
+
+
+@pytest.mark.parametrize("in_order", [0, 5, 1 << 22])
+def test_equal_scores_need_no_rounds(spark, in_order, monkeypatch):
+    written = []
+    monkeypatch.setattr(matching, "written", lambda df, f=matching.written: written.append(1) or f(df))
+    n = 4 if in_order < 9 else 60
+    rows = [(1, a, b, 1.0) for b in range(n) for a in range(b)] + [(2, 0, 1, 0.5), (None, 0, 1, 0.5)]
+    got = matching.greedy(spark.createDataFrame(rows, "g long, a long, b long, score double"), "g", "a", "b", "score", in_order)
+    assert sorted(tuple(r) for r in got.collect()) == greedy([r for r in rows if r[0]])
+    assert in_order < 9 or len(written) == 2  # a round for each of the 59 pairs before
