@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillstream.session import BATCH_BYTES, small_batches  # noqa: F401
+from quillstream.session import BATCH, BATCH_BYTES, small_batches  # noqa: F401
 from quillstream.session import shared_folder as shared_dir
 
 #: Spark's setting to drop a query's shuffle files as soon as the query has ended.

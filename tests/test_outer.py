@@ -8,10 +8,12 @@ import re
 import sqlite3
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import Row
 from pyspark.sql import functions as F
 
+from quillstream import session
 from quillstream.functions import charset
 from quillstream.functions import udfs as U
 from quillstream.functions import values as V
@@ -160,3 +162,31 @@ def test_fuzzy_pairs_against_all_pairs(spark, least):
     titles = spark.createDataFrame(rows, "id long, title string, authors string, doi string")
     met = identity.likely_pairs(titles.select("authors", "id", T.words(T.fuzzy_form(F.col("title"))).alias("w"), T.content_words(F.col("title")).alias("c")), least).count()
     assert met < 0.4 * sum(s[2] == r[2] for i, r in enumerate(rows) for s in rows[i + 1 :])
+
+
+def test_batches_of_pages_are_small(spark):
+    """10,000 whole pages at once, of which each byte takes some thirty, were more than an executor has."""
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"size": [batch.nbytes]})
+
+    pages = spark.range(400).select(F.col("id").alias("page_id"), F.encode(F.repeat(F.lit("some words "), 5000), "UTF-8").alias("raw")).coalesce(1)
+    before = spark.conf.get(session.BATCH)
+    spark.conf.unset(session.BATCH)
+    try:
+        texts = charset.decoded(pages)
+        for rows in (pages, texts):  # those it reads, and those it gives on
+            got = [r["size"] for r in rows.mapInArrow(sizes, "size long").collect()]
+            assert sum(got) > 20 << 20 and max(got) < session.BATCH_BYTES + (1 << 20)
+    finally:
+        spark.conf.set(session.BATCH, before)
+
+
+def test_slices_of_pages():
+    raw = [b"x" * n for n in (3, 1 << 19, 0, 1 << 19, 1 << 22, 5, (1 << 20) - 5)] + [None]
+    batch = pa.RecordBatch.from_pydict({"raw": pa.array(raw, pa.binary())})
+    parts = [part.column("raw").to_pylist() for part in charset._slices(batch, "raw")]
+    assert [v for part in parts for v in part] == raw and 3 <= len(parts) <= 5
+    assert all(sum(len(v or b"") for v in part[1:]) <= 1 << 20 for part in parts)
+    assert list(charset._slices(batch.slice(0, 0), "raw"))[0].num_rows == 0
