@@ -51,15 +51,32 @@ def by_address(people: DataFrame, by_domain: DataFrame) -> DataFrame:
     return met.select("id", "handle").distinct()
 
 
+#: Pairs of a name's people and records that one task gives out.
+PAIRS = 1 << 22
+
+
 def by_name(people: DataFrame, names: DataFrame) -> DataFrame:
     """(id, handle, confidence) of people (id, first, last, affiliation): the only record of the name is unique; of several,
-    the only one of the same workplace is an affiliation_match; else all of them are ambiguous."""
-    met = people.select("id", F.lower(F.trim("first")).alias("first_key"), F.lower(F.trim("last")).alias("last_key"), "affiliation").join(names, ["first_key", "last_key"])
-    met = met.withColumn("fits", same_workplace(F.col("affiliation"), F.col("record.workplace")))
-    fitting = met.groupBy("id").agg(F.count_if("fits").alias("n_fits"))
-    told = met.join(fitting.hint("rebalance"), "id")
-    confidence = F.when(F.col("n") == 1, "unique").when(F.col("n_fits") == 1, F.when(F.col("fits"), "affiliation_match")).otherwise("ambiguous")
-    return told.select("id", "record.handle", confidence.alias("confidence")).where("confidence is not null")
+    the only one of the same workplace is an affiliation_match; else all of them are ambiguous.
+
+    What holds is found once for each name and affiliation.  Only what is given out is made, by the last join, and no
+    pair of a person and a record is dealt again; a name's people are dealt in as many parts as their pairs are worth.
+    """
+    key = ["first_key", "last_key"]
+    who = written(people.select("id", F.lower(F.trim("first")).alias("first_key"), F.lower(F.trim("last")).alias("last_key"), F.coalesce("affiliation", F.lit("")).alias("affiliation")))
+    records = written(names.select(*key, "n", "record.handle", F.coalesce("record.workplace", F.lit("")).alias("workplace")))
+    places = records.groupBy(*key, "n", "workplace").agg(F.count("*").alias("c"), F.min("handle").alias("handle"))
+    met = who.groupBy(*key, "affiliation").agg(F.count("*").alias("m")).join(places, key).withColumn("fits", same_workplace(F.col("affiliation"), F.col("workplace")))
+    fitting = met.groupBy(*key, "affiliation", "n", "m").agg(F.sum(F.when(F.col("fits"), F.col("c")).otherwise(0)).alias("n_fits"), F.min(F.when(F.col("fits"), F.col("handle"))).alias("handle"))
+    told = written(fitting.select(*key, "affiliation", "n", "m", F.when((F.col("n") > 1) & (F.col("n_fits") == 1), F.col("handle")).alias("only")))
+    one = who.join(told.where("only is not null"), [*key, "affiliation"]).select("id", F.col("only").alias("handle"), F.lit("affiliation_match").alias("confidence"))
+    every = told.where("only is null")
+    parts = every.groupBy(*key).agg(F.greatest(F.lit(1), F.least(F.sum("m"), F.ceil(F.sum("m") * F.max("n") / PAIRS))).cast("int").alias("parts"))
+    sides = [who.join(every.select(*key, "affiliation"), [*key, "affiliation"]).join(parts, key).select("id", *key, F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part")), records.join(parts, key).select(*key, "n", "handle", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))]
+    # in a given number of partitions: small inputs of large results would be put together in a few tasks
+    many = int(who.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    left, right = (side.repartition(many, *key, "part") for side in sides)
+    return one.unionByName(left.join(right, [*key, "part"]).select("id", "handle", F.when(F.col("n") == 1, "unique").otherwise("ambiguous").alias("confidence")))
 
 
 def linked(people: DataFrame, records: DataFrame) -> DataFrame:
@@ -69,7 +86,7 @@ def linked(people: DataFrame, records: DataFrame) -> DataFrame:
     """
     names, domains = index(records)
     own = people.where(F.size(F.coalesce("urls", F.array())) > 0)
-    first = by_address(own, domains).select("id", "handle", F.lit("url_match").alias("match"), F.lit("unique").alias("confidence"))
+    first = written(by_address(own, domains)).select("id", "handle", F.lit("url_match").alias("match"), F.lit("unique").alias("confidence"))
     rest = own.join(first.select("id").distinct(), "id", "left_anti")
     return first.unionByName(by_name(rest, names).select("id", "handle", F.lit("exact_name").alias("match"), "confidence"))
 

@@ -59,6 +59,22 @@ def test_linkage_tiers(spark):
     assert linkage.linked(people, records.limit(0)).collect() == []
 
 
+def test_a_name_that_many_have(spark, monkeypatch):
+    met = spark.sparkContext.accumulator(0)
+
+    def fits(a, w):
+        met.add(1)
+        return a == w
+
+    monkeypatch.setattr(linkage, "same_workplace", lambda a, w: F.udf(fits, "boolean")(a, w))
+    monkeypatch.setattr(linkage, "PAIRS", 64)
+    records = spark.createDataFrame([(f"h{k:02}", "Al", "Roe", "only" if k == 7 else f"u{k % 2}", f"http://x.y/{k}") for k in range(60)], "handle string, first string, last string, workplace string, homepage string")
+    people = spark.createDataFrame([(k, " AL", "roe", ["only", "u1", None][k % 3], ["http://p.q"]) for k in range(90)], "id long, first string, last string, affiliation string, urls array<string>")
+    got = sorted(tuple(r) for r in linkage.linked(people, records).collect())
+    assert got == sorted((k, f"h{h:02}", "exact_name", "ambiguous" if k % 3 else "affiliation_match") for k in range(90) for h in (range(60) if k % 3 else [7]))
+    assert met.value <= 40  # not once for each of 5,400 pairs
+
+
 def test_lookup_cascade(spark):
     known = spark.createDataFrame([(1, "Ann", "Roe", "A1"), (2, "ann", "roe", None), (3, "Bob", "Poe", "A3"), (4, "B.", "Lee", None), (5, "Bo", "Lee", None), (6, "Carl", "Lee", None)], "id long, first string, last string, identifier string")
     wanted = spark.createDataFrame([(1, "ANN", "Roe", "A3"), (2, "Zed", "Poe", "A3"), (3, "C.", "Lee", None), (4, "Bob", "Lee", None), (5, "Ben", "Lee", "A9"), (6, "New", "One", None), (7, "Bo", "Li", "")], "k long, first string, last string, identifier string")
